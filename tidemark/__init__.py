@@ -1,0 +1 @@
+"""Posting tracking on Spark: read, normalize, track, search, observe and plan."""
