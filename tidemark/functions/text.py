@@ -66,14 +66,15 @@ def clean_line(s: Column) -> Column:
     return null_if_empty(collapse_ws(s))
 
 
-def _lines(s: Column) -> Column:
+def clean_lines(s: Column) -> Column:
+    """Each line trimmed, at most one blank line between two."""
     lines = F.transform(F.split(s, "\n"), lambda x: trim(F.regexp_replace(x, rf"[{BLANK}]+", " ")))
     return trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def clean_block(s: Column) -> Column:
     """Text of several lines: each trimmed, at most one blank line between two, empty as null."""
-    return null_if_empty(_lines(F.regexp_replace(s, r"\r\n?", "\n")))
+    return null_if_empty(clean_lines(F.regexp_replace(s, r"\r\n?", "\n")))
 
 
 _REFERENCE = re.compile(r"&(#x[0-9a-f]+|#\d+|[a-z][a-z0-9]*);", re.I | re.A)
@@ -113,7 +114,7 @@ def strip_tags(html: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    return _lines(decode_entities(strip_tags(html)))
+    return clean_lines(decode_entities(strip_tags(html)))
 
 
 @F.pandas_udf(T.StringType())
