@@ -49,9 +49,9 @@ def _read(payloads: DataFrame, provider: str) -> DataFrame:
     schema, _, title = _SHAPES[provider]
     rows = payloads.select(*_KEYS, F.posexplode(_entries(provider)).alias("item_idx", "entry"))
     value = lambda name: F.get_json_object("entry", f"$.{name}")
-    is_text = F.try_variant_get(F.try_parse_json("entry"), f"$.{title}", "string")
+    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json("entry"), f"$.{title}", "variant")) == "STRING"
     kind = F.schema_of_variant(F.coalesce(F.try_parse_json("entry"), F.parse_json(F.lit("null"))))
-    no_title = is_text.isNull() | (text.trim(F.coalesce(value(title), F.lit(""))) == "")
+    no_title = ~F.coalesce(is_text, F.lit(False)) | (text.trim(F.coalesce(value(title), F.lit(""))) == "")
     error = F.when(~kind.startswith("OBJECT"), "not an object").when(no_title, f"{title}: missing or empty")
     if provider != "ashby":
         error = error.when(value("id").isNull(), "id: missing")
