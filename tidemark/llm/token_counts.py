@@ -31,7 +31,7 @@ from tidemark.llm import textbytes
 #: Characters of a chunk, and of the overlap that is tried first.
 CHUNK, OVERLAP = 1 << 16, 256
 #: Parts that a worker remembers at most; then it forgets all of them.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _BLANK = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff\ufff0-\uffff"
 #: A space beside something that is, or might be, white space.
@@ -87,7 +87,9 @@ class TokenCounter:
         self._learn(p for parts in short.values() for p in parts[1:])
         firsts = dict(zip(short, self._library([p[0] for p in short.values()]), strict=True)) if short else {}
         get = self._inner.__getitem__
-        return [firsts[i] + sum(map(get, short[i][1:])) if i in short else self.count_long(t) if t else 0 for i, t in enumerate(texts)]
+        counts = [firsts[i] + sum(map(get, short[i][1:])) if i in short else 0 for i in range(len(texts))]
+        # afterwards, for a long text may make the worker forget the parts of the short ones
+        return [self.count_long(t) if t and i not in short else n for i, (t, n) in enumerate(zip(texts, counts, strict=True))]
 
     def _encoded(self, text: str, at: int) -> tuple[list[int], list[int]]:
         """Offsets in the whole text where the parts of a chunk begin, and the tokens before each of them."""
