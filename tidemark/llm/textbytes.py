@@ -86,13 +86,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and the accented capitals of Latin-1 in lower case."""
+    low = _LOWER[data]
+    wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = wide[(data[wide] >= 0x80) & (data[wide] <= 0x9E) & (data[wide] != 0x97)]
+    low[capital] += 0x20
+    return low
+
+
 class SpanHasher:
-    """Hashes of any spans of a block's bytes, with A-Z as a-z, in one array operation each."""
+    """Hashes of any spans of a block's bytes, whatever their case, in one array operation each."""
 
     def __init__(self, data: np.ndarray) -> None:
         up, self._down = _power_tables(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
+        np.cumsum((lowered(data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self._sums[end] - self._sums[begin]) * self._down[begin]
@@ -103,7 +112,7 @@ class SpanHasher:
 
 def letter_grams(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A bucket for each run of three bytes of letters and single spaces, and the row it is in."""
-    plain = _LETTERS[data]
+    plain = _LETTERS[lowered(data)]
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     # runs of non-letters count as one space
     keep = np.ones(len(plain), bool)
