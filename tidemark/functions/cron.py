@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 # Days in words, names of months and days that cron takes.
 DAYS = ["Sundays", "Mondays", "Tuesdays", "Wednesdays", "Thursdays", "Fridays", "Saturdays"]
 MONTH_NAMES = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -57,15 +59,29 @@ def field_numbers(text: Column, field: str) -> Column:
     least, most = RANGES[field]
 
     def one(item: Column) -> Column:
-        span, step = F.substring_index(item, "/", 1), F.when(item.contains("/"), F.substring_index(item, "/", -1).try_cast("int")).otherwise(1)
+        span = F.substring_index(item, "/", 1)
         ends = F.split(span, "-")
-        low = F.when(span == "*", least).otherwise(_number(F.try_element_at(ends, F.lit(1)), field))
-        high = F.when((span == "*") | ((F.size(ends) == 1) & item.contains("/")), most).otherwise(_number(F.element_at(ends, -1), field))
-        valid = (step >= 1) & (low >= least) & (high <= most) & (low <= high) & (F.size(ends) <= 2) & item.rlike(r"^(?:\*|\w+(?:-\w+)?)(?:/\d+)?$")
-        return F.when(F.coalesce(valid, F.lit(False)), F.sequence(low, high, step))
+        stepped = item.contains("/")
+        numbers = F.struct(
+            F.when(stepped, F.substring_index(item, "/", -1).try_cast("int")).otherwise(1).alias("step"),
+            F.when(span == "*", least).otherwise(let(F.try_element_at(ends, F.lit(1)), lambda t: _number(t, field))).alias("low"),
+            F.when((span == "*") | ((F.size(ends) == 1) & stepped), most).otherwise(let(F.element_at(ends, -1), lambda t: _number(t, field))).alias("high"),
+            ((F.size(ends) <= 2) & item.rlike(r"^(?:\*|\w+(?:-\w+)?)(?:/\d+)?$")).alias("shaped"),
+        )
+
+        def spread(x: Column) -> Column:
+            valid = x["shaped"] & (x["step"] >= 1) & (x["low"] >= least) & (x["high"] <= most) & (x["low"] <= x["high"])
+            return F.when(F.coalesce(valid, F.lit(False)), F.sequence(x["low"], x["high"], x["step"]))
+
+        return let(numbers, spread)
 
     lists = F.transform(F.split(text, ","), one)
-    numbers = F.array_sort(F.array_distinct(F.flatten(lists)))
-    if field == "dow":
-        numbers = F.array_sort(F.array_distinct(F.transform(numbers, lambda n: n % 7)))
-    return F.when(F.forall(lists, lambda x: x.isNotNull()), numbers)
+
+
+    def joined(lists: Column) -> Column:
+        numbers = F.flatten(lists)
+        if field == "dow":
+            numbers = F.transform(numbers, lambda n: n % 7)
+        return F.when(F.forall(lists, lambda x: x.isNotNull()), F.array_sort(F.array_distinct(numbers)))
+
+    return let(lists, joined)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,6 +50,11 @@ ENTITIES = {
 BLOCK_TAGS = "address article aside blockquote div dl dt dd fieldset figure footer form h[1-6] header hr main nav ol p pre section table tr ul".split()
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with value computed once, however often make uses it: plans stay as small as they read."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def trim(s: Column) -> Column:
     return F.regexp_replace(s, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.text import trim
+from tidemark.functions.text import let, trim
 
 # Query parameters that only track visitors, besides utm_*.
 TRACKING = ["gh_src", "source", "ref", "fbclid", "gclid", "mc_cid", "mc_eid"]
@@ -63,23 +63,32 @@ def absolute_url(value: Column, base: Column | None = None) -> Column:
     """value resolved against base; null unless it is an http(s) URL. Plain URLs stay in the JVM."""
     value = trim(value)
     base = F.lit(None).cast("string") if base is None else base
-    plain = value.rlike(_PLAIN) & ~value.rlike(_DOTS)
-    # a path from the root of a plain base
-    rooted = value.rlike(r"^/(?!/)[!-~&&[^?#\\\"<>`{}]]*(?:\?[!-~&&[^#\"<>]]*)?(?:#[!-~]*)?$") & ~value.rlike(_DOTS) & base.rlike(_PLAIN)
-    origin = F.regexp_extract(base, r"^([^:]+://[^/?#]*)", 1)
-    return F.when(plain, _normal(value)).when(rooted, _normal(F.concat(origin, value))).when(value.isNotNull(), _resolve(F.when(~F.coalesce(plain | rooted, F.lit(False)), value), base))
+
+    def test(v: Column, b: Column) -> Column:
+        """1 for a plain URL, 2 for a path from the root of a plain base, else 0."""
+        rooted = v.rlike(r"^/(?!/)[!-~&&[^?#\\\"<>`{}]]*(?:\?[!-~&&[^#\"<>]]*)?(?:#[!-~]*)?$") & b.rlike(_PLAIN)
+        return F.when(v.rlike(_DOTS), 0).when(v.rlike(_PLAIN), 1).when(rooted, 2).otherwise(0)
+
+    known = F.struct(value.alias("v"), base.alias("b"), test(value, base).alias("k"))
+    ready = let(known, lambda x: F.when(x["k"] == 1, x["v"]).when(x["k"] == 2, F.concat(F.regexp_extract(x["b"], r"^([^:]+://[^/?#]*)", 1), x["v"])))
+    resolved = _resolve(F.when(test(value, base) == 0, value), base)
+    return F.coalesce(let(ready, _normal), resolved)
 
 
 def canonicalize_url(value: Column, base: Column | None = None) -> Column:
     """The form of a URL that names a posting: no login, fragment, tracking or trailing slash, parameters in order."""
-    url = absolute_url(value, base)
+    return let(absolute_url(value, base), _canonical)
+
+
+def _canonical(url: Column) -> Column:
     part = lambda i: F.regexp_extract(url, _PARTS, i)
     pairs = F.transform(F.filter(F.split(part(6), "&"), lambda p: p != ""), lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("i"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("pair")))
     kept = F.filter(pairs, lambda p: ~(F.lower(p["name"]).startswith("utm_") | F.lower(p["name"]).isin(TRACKING)))
     query = F.array_join(F.transform(F.array_sort(kept), lambda p: p["pair"]), "&")
-    path = F.regexp_replace(part(5), "/+$", "")
-    port = F.when(part(4) != "", F.concat(F.lit(":"), part(4))).otherwise("")
-    return F.when(url.isNotNull(), F.concat(part(1), F.lit("://"), part(3), port, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    port = let(part(4), lambda p: F.when(p != "", F.concat(F.lit(":"), p)).otherwise(""))
+    path = let(F.regexp_replace(part(5), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+    asked = let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.concat(part(1), F.lit("://"), part(3), port, path, asked)
 
 
 def domain_of(url: Column) -> Column:
@@ -94,21 +103,22 @@ def publicise_url(url: Column) -> Column:
 
 def url_origin(url: Column) -> Column:
     """Scheme, host and port; null for what is no http(s) URL."""
-    full = absolute_url(url)
     pattern = r"^(https?://)(?:[^/?#@]*@)?([^/?#]*)"
-    return F.when(full.isNotNull(), F.concat(F.regexp_extract(full, pattern, 1), F.regexp_extract(full, pattern, 2)))
+    return let(absolute_url(url), lambda full: F.concat(F.regexp_extract(full, pattern, 1), F.regexp_extract(full, pattern, 2)))
 
 
 def url_wait_pattern(url: Column, typed: Column | None = None) -> Column:
     """A glob for the page of a URL, without what differs between runs: ids, typed words, queries."""
-    full = absolute_url(url)
-    part = lambda i: F.regexp_extract(full, _PARTS, i)
     words = F.coalesce(typed if typed is not None else F.array().cast("array<string>"), F.array().cast("array<string>"))
-    words = F.filter(words, lambda w: w != "")
+    return let(F.struct(absolute_url(url).alias("url"), F.filter(words, lambda w: w != "").alias("words")), lambda x: _wait_pattern(x["url"], x["words"]))
+
+
+def _wait_pattern(full: Column, words: Column) -> Column:
+    part = lambda i: F.regexp_extract(full, _PARTS, i)
     varies = lambda s: s.rlike(r"^\d+$|\d{4,}|^[0-9a-fA-F]{8,}$|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-|[*?\[\]{}\\]") | (F.length(s) > 40) | F.array_contains(words, s) | F.array_contains(words, F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))))
     path = F.array_join(F.transform(F.split(part(5), "/"), lambda s: F.when(F.coalesce(varies(s), F.lit(False)), "*").otherwise(s)), "/")
-    tail = F.when(part(6) != "", "?*").when(part(7) != "", "#**").when(path.endswith("*"), "").otherwise("*")
-    return F.when(full.isNotNull(), F.concat(F.lit("**"), path, tail))
+    tail = lambda p: F.when(part(6) != "", "?*").when(part(7) != "", "#**").when(p.endswith("*"), "").otherwise("*")
+    return let(path, lambda p: F.concat(F.lit("**"), p, tail(p)))
 
 
 def glob_regex(pattern: Column) -> Column:
