@@ -225,3 +225,13 @@ def c24_params(read):
     declared = F.create_map(F.lit("city"), F.lit(None).cast("string"), F.lit("lang"), F.lit("en"))
     over = F.when(k % 3 == 0, F.create_map(F.lit("city"), F.lit("x"))).when(k % 3 == 1, F.create_map(F.lit("zip"), F.lit("1")))
     return read("orders").select("o_orderkey", definitions.resolve_params(declared, over).alias("g")).select("o_orderkey", F.col("g.params")["city"].alias("city"), "g.error")
+
+
+@query("select o_orderkey as version_seq, (o_orderkey = (select max(o_orderkey) from orders where o_custkey = 1)) as restored from orders where o_custkey = 1")
+def w5_version_history(read):
+    versions = _versions(read).where("recording_id % 2 = 1")
+    last = definitions.latest_version(versions.where("recording_id = 1")).select("version_id")
+    history = definitions.version_history(versions, 1)
+    newest = last.first()
+    restored = definitions.version_at(versions, 1, newest[0] if newest else "").select("version_id", F.lit(True).alias("restored"))
+    return history.join(restored, "version_id", "left").select("version_seq", F.coalesce("restored", F.lit(False)).alias("restored"))

@@ -112,7 +112,7 @@ def w1_latest_runs(read):
     return track.latest_runs(_runs(read), 4, ["succeeded", "partial"]).select("recording_id", "run_id", "status")
 
 
-@query(_S + f"select recording_id, dedup_key from ({_FLAGS}) where is_new and run_seq = (select max(run_seq) from runs r where r.recording_id = recording_id and run_seq < 21) and run_seq < 21")
+@query(_S + f"select f.recording_id, f.dedup_key from ({_FLAGS}) f where f.is_new and f.run_seq = (select max(r.run_seq) from runs r where r.recording_id = f.recording_id and r.run_seq < 21)")
 def j2_new_in_latest_run(read):
     runs = _runs(read).withColumn("finished_at", F.when(F.col("run_seq") < 21, F.col("finished_at")))
     flagged = track.flag_new_changed(_sightings(read))
@@ -455,3 +455,19 @@ def t2_streamed_tracking(read):
     source = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/seen")
     streams.stream_track_jobs(source, table, f"{path}/state").awaitTermination()
     return table.read().select(*track.KEY, "content_hash", F.dayofmonth("first_seen_at").cast("long").alias("first_day"), F.dayofmonth("last_seen_at").cast("long").alias("last_day"))
+
+
+@query(_S + f", {_BEFORE} select recording_id, dedup_key, last_run < 13 as closed from before")
+def t4_streamed_closing(read):
+    from tidemark.streaming import streams
+
+    state = _state(read, 15).withColumn("closed_at", F.lit(None).cast("timestamp"))
+    spark, path = state.sparkSession, _folder(state.sparkSession)
+    table = streams.StateTable(spark, f"{path}/table", state.limit(0))
+    table.write(state, 0)
+    runs = _runs(read).where("run_seq <= 15").withColumn("status", F.lit("succeeded"))
+    last = runs.groupBy("recording_id").agg(F.lit("succeeded").alias("status"), F.lit("2024-01-16").cast("timestamp").alias("finished_at"))
+    last.write.parquet(f"{path}/finished")
+    source = spark.readStream.schema(last.schema).parquet(f"{path}/finished")
+    streams.stream_close(source, table, _sightings(read), runs, f"{path}/state", n=3).awaitTermination()
+    return table.read().select(*track.KEY, F.col("closed_at").isNotNull().alias("closed"))

@@ -296,3 +296,41 @@ def s9_csv_lines(read):
     d = read("documents")
     cells = [text.csv_cell(F.col(c).cast("string")) for c in ("text", "source", "lang", "n_chars")]
     return d.select("doc_id", F.concat_ws(",", *cells).alias("line"))
+
+
+@query(f"""select page_id, {_ORIGIN} || '/up' as above, {_ORIGIN} || '/jobs/' || page_id || '?a=1' as rooted, {_ORIGIN} || {_PATH} || '?next' as asked, cast(null as varchar) as mail from pages""")
+def c6_absolute_urls(read):
+    url, own = F.col("url"), F.col("page_id").cast("string")
+    origin = F.regexp_extract(url, r"^(https?://[^/]+)", 1)
+    return read("pages").select("page_id", urls.absolute_url(F.lit("../up"), F.concat(origin, F.lit("/a/b"))).alias("above"), urls.absolute_url(F.concat(F.lit(" /jobs/"), own, F.lit("?a=1")), url).alias("rooted"), urls.absolute_url(F.lit("?next"), url).alias("asked"), urls.absolute_url(F.lit("mailto:x@y.example"), url).alias("mail"))
+
+
+@query(r"""select page_id, '<p>' || chr(8211) || chr(8212) || ' &nope; ' || page_id || ' & &lt;' as decoded from pages""")
+def c4_decoded_entities(read):
+    return read("pages").select("page_id", text.decode_entities(F.concat(F.lit("&lt;p&gt;&#8211;&#x2014; &nope; "), F.col("page_id").cast("string"), F.lit(" &AMP; &amp;lt;"))).alias("decoded"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then ['lang', 'source'] else ['source'] end as names from documents")
+def f6_compact_fields(read):
+    d = read("documents")
+    fields = normalize.compact_fields(F.create_map(F.lit("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.lit("source"), F.col("source"), F.lit("empty"), F.lit("")))
+    return d.select("doc_id", F.array_sort(F.map_keys(fields)).alias("names"))
+
+
+@query("select count(*) as groups, max(n) as most from (select count(*) as n from pages group by regexp_extract(html, '<title>(.*?)</title>', 1, 's'), page_id % 3)")
+def c13_content_hashes(read):
+    """Postings with the same content have the same hash, and others another one."""
+    rows = read("pages").select(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.create_map(F.lit("b"), (F.col("page_id") % 3).cast("string"), F.lit("a"), F.lit(None).cast("string")).alias("custom"))
+    return rows.groupBy(normalize.content_hash(F.col("custom"), ["title"]).alias("h")).agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.max("n").alias("most"))
+
+
+@query("select doc_id as job_seq, source as recording_id from documents order by doc_id % 97 desc, doc_id desc limit 200")
+def s10_json_export(read):
+    from tidemark.registry.postings import _folder
+    from tidemark.sources import sinks
+
+    jobs = _jobs(read)
+    full = jobs.withColumns({c: F.lit(None).cast("string") for c in sinks.EXPORT_COLUMNS if c not in jobs.columns}).withColumn("url", F.col("job_seq").cast("string"))
+    path = _folder(jobs.sparkSession)
+    sinks.write_jobs_json(full, path, limit=200)
+    return jobs.sparkSession.read.schema("url string, recordingId string").json(path).select(F.col("url").cast("long").alias("job_seq"), F.col("recordingId").alias("recording_id"))
