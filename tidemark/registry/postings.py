@@ -457,7 +457,8 @@ def t2_streamed_tracking(read):
     return table.read().select(*track.KEY, "content_hash", F.dayofmonth("first_seen_at").cast("long").alias("first_day"), F.dayofmonth("last_seen_at").cast("long").alias("last_day"))
 
 
-@query(_S + f", {_BEFORE} select recording_id, dedup_key, last_run < 13 as closed from before")
+@query(_S + f""", {_BEFORE}, newest as (select recording_id, min(run_seq) as least, count(*) as n from (select * from runs where run_seq <= 15 qualify row_number() over (partition by recording_id order by run_seq desc) <= 3) group by 1)
+ select recording_id, dedup_key, n = 3 and last_run < least as closed from before join newest using (recording_id)""")
 def t4_streamed_closing(read):
     from tidemark.streaming import streams
 
