@@ -120,7 +120,7 @@ def _postings(read):
 _TITLE = r"nullif(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '\s+', ' ', 'g')), '')"
 
 
-@query(f"""select page_id as item_idx, {_TITLE} as title, 'Acme Robotics' as company, 'Remote (EU)' as location, 'remote' as remote, 85000.0 as salary_min, 110000.0 as salary_max, 'EUR' as salary_currency, 'year' as salary_period,
+@query(f"""select page_id as item_idx, {_TITLE} as title, 'Acme Robotics' as company, 'Remote (EU)' as location, 'remote' as remote, 85000.0::double as salary_min, 110000.0::double as salary_max, 'EUR' as salary_currency, 'year' as salary_period,
  {_CANONICAL} as dedup_key, 'Platform' as department, 64 as hash_length from pages where page_id % 11 <> 0 and {_TITLE} is not null""")
 def c14_normalized_postings(read):
     return _postings(read).select("item_idx", "title", "company", "location", "remote", "salary_min", "salary_max", "salary_currency", "salary_period", "dedup_key", F.col("custom")["department"].alias("department"), F.length("content_hash").alias("hash_length"))
@@ -151,7 +151,7 @@ def d3_extracted_records(read):
     return got.select("page_id", "item_idx", F.col("fields")["href"].alias("href"), text.null_if_empty(F.col("fields")["label"]).alias("label"), F.size("drift").alias("drifted"))
 
 
-@query("select * from (values ('href', 0, 0.0, false), ('href', 1, 1.0, true), ('label', 0, 1.0, true)) t(target, locator, share, kept)")
+@query("select target, locator, share::double as share, kept from (values ('href', 0, 0.0, false), ('href', 1, 1.0, true), ('label', 0, 1.0, true)) t(target, locator, share, kept)")
 def d4_locator_coverage(read):
     return extract.locator_coverage(extract.locator_attempts(read("pages"), _LINK))
 
