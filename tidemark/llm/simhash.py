@@ -245,7 +245,8 @@ def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id") -> Data
     apart and stay.
     """
     kept = written(groups.where(F.col(key) == F.col("component_id")).groupBy(key).count(), "kept")
-    parts = [docs.join(kept.where("count = 1"), key, "left_semi"), docs.where(F.col(key).isNull())]
+    # merged at every size: how many ids are kept follows the corpus, so they are never broadcast
+    parts = [docs.join(kept.where("count = 1").hint("merge"), key, "left_semi"), docs.where(F.col(key).isNull())]
     repeated = kept.where("count > 1")
     if not repeated.isEmpty():
         parts.append(docs.join(repeated, key, "left_semi").dropDuplicates([key]))
