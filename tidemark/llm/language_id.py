@@ -94,7 +94,7 @@ def _lettered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows_per_language: int = 800, epochs: int = 30, reg: float = 1e-4) -> Model:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows_per_language: int = 300, epochs: int = 30, reg: float = 1e-4) -> Model:
     """Train on about rows_per_language texts of each language, dealt by the text's hash."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -116,9 +116,11 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows_per_lan
     langs = sorted({r.lang for r in rows})
     if not rows:
         return Model([], {}, {}, np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    x = np.stack([np.frombuffer(r.f, np.uint16) for r in rows]).astype(np.float32)
+    x, y = np.empty((len(rows), 1 << BITS), np.float32), np.array([r.lang for r in rows])
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r.f, np.uint16)
+    del rows
     x /= x.sum(1, keepdims=True)
-    y = np.array([r.lang for r in rows])
     family_of = {name: _FAMILY.get(name, name) for name in langs}
     families = sorted(set(family_of.values()))
     languages = {f: [name for name in langs if family_of[name] == f] for f in families}

@@ -39,8 +39,8 @@ PREFIXES = (4, 5, 6, 7)
 class Settings:
     """max_toxic and max_unlabelled bound the rows that the classifiers are fitted on."""
 
-    max_toxic: int = 3000
-    max_unlabelled: int = 6000
+    max_toxic: int = 1000
+    max_unlabelled: int = 2000
     max_features: int = 2048
     min_support: int = 4
     classifiers: int = 3
@@ -106,7 +106,7 @@ def _sparse(df: DataFrame, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(feats, pa.binary()), pa.array(nums, pa.binary())], names=["h", "f", "n"])
 
     got = df.select(F.col(text), F.xxhash64(F.col(text)).alias("h")).mapInArrow(run, "h long, f binary, n binary").collect()
-    return [(np.frombuffer(r.f, np.int32), np.frombuffer(r.n, np.uint16)) for r in sorted(got)]
+    return [(np.frombuffer(f, np.int32), np.frombuffer(n, np.uint16)) for _, f, n in sorted(tuple(r) for r in got)]
 
 
 def _bounded(df: DataFrame, key: str, limit: int) -> DataFrame:
@@ -126,14 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     counts = marks.agg(F.count("__toxic"), F.sum("__toxic")).first()
     texts = docs.select(key, text).where(F.col(text).isNotNull())
     toxic_ids = _bounded(marks.where("__toxic = 1").select(key), key, settings.max_toxic)
-    positive = _sparse(texts.join(toxic_ids, key, "left_semi"), text) if counts[1] else []
+    # about max_toxic ids, so they may be broadcast
+    positive = _sparse(texts.join(F.broadcast(toxic_ids), key, "left_semi"), text) if counts[1] else []
     slots = np.full(1 << BITS, -1, np.int32)
     if not positive:
         return Model(slots, np.zeros((0, 1)), 0.0, settings.threshold)
     prior = min(0.9, counts[1] / counts[0])
     unlabelled = _sparse(_bounded(texts, key, settings.max_unlabelled), text)
 
-    share = lambda rows: np.bincount(np.concatenate([f for f, _ in rows]), minlength=1 << BITS)
+    def share(rows):
+        out = np.zeros(1 << BITS, np.float32)
+        for f, _ in rows:
+            out[f] += 1  # each feature once in a row
+        return out
+
     in_toxic, in_all = share(positive), share(unlabelled)
     p, u = (in_toxic + 0.5) / (len(positive) + 1), (in_all + 0.5) / (len(unlabelled) + 1)
     lift = np.log(p / u) * np.sqrt(in_toxic)
@@ -150,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             out[i, s[s >= 0]] = np.log1p(n[s >= 0])
         return out
 
-    weights = [_nnpu(matrix(positive), matrix(unlabelled[i :: settings.classifiers] or unlabelled), prior, settings) for i in range(settings.classifiers)]
+    known, parts = matrix(positive), [matrix(unlabelled[i :: settings.classifiers] or unlabelled) for i in range(settings.classifiers)]
+    del positive, unlabelled  # the driver keeps the chosen features only
+    weights = [_nnpu(known, part, prior, settings) for part in parts]
     return Model(slots, np.array(weights), prior, settings.threshold)
 
 
