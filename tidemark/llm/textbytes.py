@@ -62,9 +62,9 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np
         first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the row that it is in. No word reaches over two rows."""
-    mask = _IS_WORD[data]
+    mask = is_word[data]
     before, after = np.zeros_like(mask), np.zeros_like(mask)
     before[1:], after[:-1] = mask[:-1], mask[1:]
     edges = at[1:-1]
