@@ -94,9 +94,9 @@ def _lettered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows_per_language: int = 300, epochs: int = 30, reg: float = 1e-4) -> Model:
-    """Train on about rows_per_language texts of each language, dealt by the text's hash."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 800, epochs: int = 30, reg: float = 1e-4) -> Model:
+    """Train on about rows_per_language texts of each language, dealt by the hash of their key."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.lit(7)).alias("h"), F.xxhash64(text).alias("t"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     part = F.lit(False)
     for name, n in counts.items():
@@ -108,41 +108,44 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows_per_lan
             for _, data, at in textbytes.blocks(batch.column(0)):
                 bucket, row = textbytes.letter_grams(data, at, BITS)
                 for i in range(len(at) - 1):
-                    out.append(np.minimum(np.bincount(bucket[row == i], minlength=1 << BITS), 65535).astype(np.uint16).tobytes() if (row == i).any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["lang", "h", "f"])
+                    n = np.minimum(np.bincount(bucket[row == i], minlength=1 << BITS), 65535)
+                    # the buckets that occur, then their counts
+                    out.append(np.concatenate([b := np.flatnonzero(n), n[b]]).astype(np.uint16).tobytes() if n.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(out, pa.binary())], names=["lang", "h", "t", "f"])
 
-    rows = known.where(part).mapInArrow(grams, "lang string, h long, f binary").where("f is not null").collect() if counts else []
-    rows.sort(key=lambda r: (r.h, r.lang))
+    rows = known.where(part).mapInArrow(grams, "lang string, h long, t long, f binary").where("f is not null").collect() if counts else []
+    rows.sort(key=lambda r: (r.h, r.t, r.lang))
     langs = sorted({r.lang for r in rows})
     if not rows:
         return Model([], {}, {}, np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    x, y = np.empty((len(rows), 1 << BITS), np.float32), np.array([r.lang for r in rows])
+    x, y = np.zeros((len(rows), 1 << BITS), np.float32), np.array([r.lang for r in rows])
     for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r.f, np.uint16)
+        bucket, n = np.frombuffer(r.f, np.uint16).reshape(2, -1)
+        x[i, bucket] = n
     del rows
     x /= x.sum(1, keepdims=True)
     family_of = {name: _FAMILY.get(name, name) for name in langs}
     families = sorted(set(family_of.values()))
     languages = {f: [name for name in langs if family_of[name] == f] for f in families}
     fam = np.array([family_of[name] for name in y])
-    planes = [_svm(x, np.where(fam == f, 1, -1), epochs, reg) if len(families) > 1 else (np.zeros(1 << BITS, np.float32), 0.0) for f in families]
+    planes = [_svm(x, np.arange(len(y)), np.where(fam == f, 1, -1), epochs, reg) if len(families) > 1 else (np.zeros(1 << BITS, np.float32), 0.0) for f in families]
     duels: dict[str, list[tuple[int, int, int]]] = {}
     for f in families:
         duels[f] = []
         for a, b in combinations(range(len(languages[f])), 2):
             one, two = y == languages[f][a], y == languages[f][b]
             duels[f].append((len(planes), a, b))
-            planes.append(_svm(x[one | two], np.where(one, 1, -1)[one | two], epochs, reg))
+            planes.append(_svm(x, np.flatnonzero(one | two), np.where(one, 1, -1)[one | two], epochs, reg))
     return Model(families, languages, duels, np.stack([w for w, _ in planes], 1).astype(np.float32), np.array([b for _, b in planes]))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, epochs: int, reg: float) -> tuple[np.ndarray, float]:
-    """Averaged stochastic subgradient descent (Pegasos) on the hinge loss, in small batches.
+def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int, reg: float) -> tuple[np.ndarray, float]:
+    """Averaged stochastic subgradient descent (Pegasos) on the hinge loss, in small batches of these rows of x.
 
     Rows are scaled so that a typical one has length 1; the weights returned are
     for the rows as given.
     """
-    scale = 1 / float(np.sqrt((x**2).sum(1)).mean())
+    scale = 1 / float(np.sqrt(np.einsum("ij,ij->i", x, x)[rows]).mean())
     share = {k: len(y) / (2 * (y == k).sum()) for k in (1, -1)}
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     total, bias, n = np.zeros_like(w), 0.0, 0
@@ -152,9 +155,10 @@ def _svm(x: np.ndarray, y: np.ndarray, epochs: int, reg: float) -> tuple[np.ndar
         for part in np.array_split(order.permutation(len(y)), max(1, len(y) // 64)):
             step += 1
             rate = 1 / (reg * (step + 1 / reg / 5))
-            margin = y[part] * (x[part] @ w * scale + b)
+            own = x[rows[part]]
+            margin = y[part] * (own @ w * scale + b)
             cost = np.where(margin < 1, y[part] * np.where(y[part] > 0, share[1], share[-1]), 0).astype(np.float32)
-            w = w * (1 - rate * reg) + (rate * scale / len(part)) * (cost @ x[part])
+            w = w * (1 - rate * reg) + (rate * scale / len(part)) * (cost @ own)
             b += rate * 0.1 * float(cost.mean())
             if epoch >= epochs // 2:
                 total, bias, n = total + w, bias + b, n + 1

@@ -9,7 +9,7 @@ so that the toxic share among the unlabelled texts is not learned as clean, and
 the second part cannot turn negative and overfit. Several classifiers, each with
 another share of the unlabelled texts, are averaged.
 
-Features are hashed words and hashed word beginnings. Only those that occur
+Features are hashed words and hashed word beginnings, counted over all texts. Only those that occur
 oftener in toxic than in unlabelled texts by a wide margin, or the reverse, are
 kept, so that a long clean text does not gather a score from chance.
 
@@ -39,8 +39,8 @@ PREFIXES = (4, 5, 6, 7)
 class Settings:
     """max_toxic and max_unlabelled bound the rows that the classifiers are fitted on."""
 
-    max_toxic: int = 1000
-    max_unlabelled: int = 2000
+    max_toxic: int = 3000
+    max_unlabelled: int = 6000
     max_features: int = 2048
     min_support: int = 4
     classifiers: int = 3
@@ -48,6 +48,7 @@ class Settings:
     rate: float = 0.1
     decay: float = 1.5e-4
     threshold: float = 0.7
+    broadcast_rows: int = 200_000
 
 
 @dataclass(frozen=True)
@@ -92,26 +93,44 @@ def _counts(data: np.ndarray, at: np.ndarray, slots: np.ndarray | None = None) -
     return key >> BITS, key & ((1 << BITS) - 1), n
 
 
-def _sparse(df: DataFrame, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and counts of each row of a bounded sample, in order of the rows' hash."""
+def _supports(texts: DataFrame, text: str, flag: str) -> DataFrame:
+    """bucket, in_toxic, in_all: how many rows, toxic and all, have each feature. Rows are summed in each task first."""
+
+    def run(batches):
+        n = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            toxic = np.asarray(batch.column(1).to_pylist(), bool)
+            for first, data, at in textbytes.blocks(batch.column(0)):
+                rows, cols, _ = _counts(data, at)
+                np.add.at(n[1], cols, 1)
+                np.add.at(n[0], cols[toxic[first + rows]], 1)
+        for i in range(0, 1 << BITS, 1 << 16):
+            at = i + np.flatnonzero(n[1, i : i + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "in_toxic", "in_all"])
+
+    parts = texts.select(text, flag).mapInArrow(run, "bucket int, in_toxic long, in_all long")
+    return parts.groupBy("bucket").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_all").alias("in_all"))
+
+
+def _sparse(df: DataFrame, key: str, text: str, slots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Columns and counts of the chosen features in each row of a bounded sample, in order of the rows' hash."""
 
     def run(batches):
         for batch in batches:
             column, feats, nums = batch.column(0), [], []
             for _, data, at in textbytes.blocks(column):
-                rows, cols, n = _counts(data, at)
+                rows, cols, n = _counts(data, at, slots)
                 cut = np.searchsorted(rows, np.arange(1, len(at) - 1))
                 feats += [x.astype(np.int32).tobytes() for x in np.split(cols, cut)]
                 nums += [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(n, cut)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(feats, pa.binary()), pa.array(nums, pa.binary())], names=["h", "f", "n"])
 
-    got = df.select(F.col(text), F.xxhash64(F.col(text)).alias("h")).mapInArrow(run, "h long, f binary, n binary").collect()
+    got = df.select(F.col(text), F.xxhash64(F.col(key), F.col(text)).alias("h")).mapInArrow(run, "h long, f binary, n binary").collect()
     return [(np.frombuffer(f, np.int32), np.frombuffer(n, np.uint16)) for _, f, n in sorted(tuple(r) for r in got)]
 
 
-def _bounded(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """About limit rows at most, dealt by the hash of their key: the same rows in any run."""
-    n = df.count()
+def _dealt(df: DataFrame, n: int, key: str, limit: int) -> DataFrame:
+    """About limit of the n rows at most, dealt by the hash of their key: the same rows in any run."""
     if n <= limit:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * limit / n))
@@ -125,39 +144,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     marks = labels.groupBy(F.col(key)).agg(F.max(toxic).alias("__toxic"))
     counts = marks.agg(F.count("__toxic"), F.sum("__toxic")).first()
     texts = docs.select(key, text).where(F.col(text).isNotNull())
-    toxic_ids = _bounded(marks.where("__toxic = 1").select(key), key, settings.max_toxic)
-    # about max_toxic ids, so they may be broadcast
-    positive = _sparse(texts.join(F.broadcast(toxic_ids), key, "left_semi"), text) if counts[1] else []
     slots = np.full(1 << BITS, -1, np.int32)
-    if not positive:
+    if not counts[1]:
+        return Model(slots, np.zeros((0, 1)), 0.0, settings.threshold)
+    ids = marks.where("__toxic = 1").select(key, F.lit(True).alias("__flag"))
+    # few ids are broadcast; more are joined by key
+    ids = F.broadcast(ids) if counts[1] <= settings.broadcast_rows else ids.hint("merge")
+    flagged = texts.join(ids, key, "left").select(key, text, F.coalesce("__flag", F.lit(False)).alias("__flag"))
+    n = flagged.agg(F.count("*").alias("n"), F.count_if("__flag").alias("toxic")).first()
+    if not n.toxic:
         return Model(slots, np.zeros((0, 1)), 0.0, settings.threshold)
     prior = min(0.9, counts[1] / counts[0])
-    unlabelled = _sparse(_bounded(texts, key, settings.max_unlabelled), text)
-
-    def share(rows):
-        out = np.zeros(1 << BITS, np.float32)
-        for f, _ in rows:
-            out[f] += 1  # each feature once in a row
-        return out
-
-    in_toxic, in_all = share(positive), share(unlabelled)
-    p, u = (in_toxic + 0.5) / (len(positive) + 1), (in_all + 0.5) / (len(unlabelled) + 1)
-    lift = np.log(p / u) * np.sqrt(in_toxic)
-    lift[in_toxic < settings.min_support] = -np.inf
-    chosen = np.argsort(-lift, kind="stable")[: settings.max_features]
-    chosen = chosen[(p > 1.5 * u)[chosen] & np.isfinite(lift[chosen])]
+    p, u = (F.col("in_toxic") + 0.5) / (n.toxic + 1), (F.col("in_all") + 0.5) / (n.n + 1)
+    best = _supports(flagged, text, "__flag").where(F.col("in_toxic") >= settings.min_support).where(p > 1.5 * u)
+    best = best.orderBy((F.log(p / u) * F.sqrt("in_toxic")).desc(), "bucket").limit(settings.max_features)
+    chosen = np.array([r.bucket for r in best.select("bucket").collect()], np.int64)
     slots[chosen] = np.arange(len(chosen))
+    positive = _sparse(_dealt(flagged.where("__flag"), n.toxic, key, settings.max_toxic), key, text, slots)
+    if not positive:
+        return Model(slots, np.zeros((0, 1)), 0.0, settings.threshold)
+    unlabelled = _sparse(_dealt(texts, n.n, key, settings.max_unlabelled), key, text, slots)
 
     def matrix(rows):
         out = np.zeros((len(rows), len(chosen) + 1), np.float32)
         out[:, -1] = 1
         for i, (f, n) in enumerate(rows):
-            s = slots[f]
-            out[i, s[s >= 0]] = np.log1p(n[s >= 0])
+            out[i, f] = np.log1p(n)
         return out
 
     known, parts = matrix(positive), [matrix(unlabelled[i :: settings.classifiers] or unlabelled) for i in range(settings.classifiers)]
-    del positive, unlabelled  # the driver keeps the chosen features only
     weights = [_nnpu(known, part, prior, settings) for part in parts]
     return Model(slots, np.array(weights), prior, settings.threshold)
 
