@@ -10,10 +10,8 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Inside a character class: white space of browsers.
 SPACE = r"\s\u000B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -83,25 +81,25 @@ def clean_block(s: Column) -> Column:
     return null_if_empty(clean_lines(F.regexp_replace(s, r"\r\n?", "\n")))
 
 
-_REFERENCE = re.compile(r"&(#x[0-9a-f]+|#\d+|[a-z][a-z0-9]*);", re.I | re.A)
+def _character(body: Column) -> Column:
+    """The character of a reference without & and ;, null if there is none."""
+    named = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    digits = F.regexp_replace(F.substring(body, 3, 1 << 20), "^0+", "")
+    code = F.when(body.rlike("(?i)^#x[0-9a-f]+$"), F.when(F.length(digits) <= 6, F.conv(digits, 16, 10).try_cast("int"))).when(body.rlike(r"^#\d+$"), F.substring(body, 2, 1 << 20).try_cast("int"))
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.coalesce(F.try_element_at(named, F.lower(body)), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")))
 
 
-def decode_reference(body: str) -> str | None:
-    """The character of a reference without & and ;, None if there is none."""
-    if not body.startswith("#"):
-        return ENTITIES.get(body.lower())
-    code = int(body[2:], 16) if body[1] in "xX" else int(body[1:])
-    return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
-
+def decode_entities(s: Column) -> Column:
+    """Character references decoded once; unknown ones stay."""
 
-@F.pandas_udf(T.StringType())
-def _decode(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _REFERENCE.sub(lambda m: decode_reference(m[1]) or m[0], t), na_action="ignore")
+    def decoded(piece: Column) -> Column:
+        body = F.regexp_extract(piece, "(?i)^(#x[0-9a-f]+|#[0-9]+|[a-z][a-z0-9]*);", 1)
+        return let(F.struct(body.alias("body"), F.when(body != "", _character(body)).alias("made")), lambda x: F.when(x["made"].isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(x["made"], F.substring(piece, F.length(x["body"]) + 2, F.length(piece)))))
 
-
-def decode_entities(s: Column) -> Column:
-    """Character references decoded once; unknown ones stay. Only texts with an & go to the helper."""
-    return F.when(s.contains("&"), _decode(s)).otherwise(s)
+    # each piece but the first stood behind an &
+    split = let(F.split(s, "&"), lambda p: F.concat(F.element_at(p, 1), F.array_join(F.transform(F.slice(p, 2, F.size(p)), decoded), "")))
+    return F.when(s.contains("&"), split).otherwise(s)
 
 
 def strip_tags(html: Column) -> Column:
@@ -123,11 +121,22 @@ def html_to_text(html: Column) -> Column:
     return clean_lines(decode_entities(strip_tags(html)))
 
 
-@F.pandas_udf(T.StringType())
-def fold_accents(texts: pd.Series) -> pd.Series:
-    """Lower case without diacritics."""
-    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c)[0] != "M")
-    return texts.map(lambda t: t.lower() if t.isascii() else plain(t), na_action="ignore")
+def _plain(t: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c)[0] != "M")
+
+
+#: Letters up to the end of the Latin and Greek extensions that are one letter and marks, and that letter.
+_MARKED = {c: p for c in map(chr, range(0xC0, 0x2000)) if len(p := _plain(c)) == 1 and p != c}
+
+
+def folded(t: str) -> str:
+    """What fold_accents makes of a text."""
+    return "".join(_MARKED.get(c, c) for c in t.lower() if unicodedata.category(c)[0] != "M")
+
+
+def fold_accents(s: Column) -> Column:
+    """Lower case without diacritics, of alphabets; syllables of Hangul and the like stay whole."""
+    return F.translate(F.regexp_replace(F.lower(s), r"\p{M}+", ""), "".join(_MARKED), "".join(_MARKED.values()))
 
 
 def regex_extract_first(s: Column, pattern: str) -> Column:
@@ -174,20 +183,20 @@ def csv_cell(s: Column) -> Column:
     return F.coalesce(F.when(guarded.rlike(r'[",\n\r]'), quoted).otherwise(guarded), F.lit(""))
 
 
-# Why a run ended, in words.
+#: Why a run ended, in words.
 REASONS = {
-    "auth_expired": "The saved login has expired",
-    "bot_wall": "The site showed an anti-bot check or refused the request",
-    "robots_disallowed": "The site's robots.txt does not allow this",
-    "locator_not_found": "An element could not be found",
-    "navigation_failed": "A page could not be loaded",
-    "item_errors": "Some jobs could not be read",
+    "auth_expired": "Login needed again",
+    "bot_wall": "Stopped by a bot check",
+    "robots_disallowed": "Closed to robots by the site",
+    "locator_not_found": "An expected element was missing from the page",
+    "navigation_failed": "The page did not load",
+    "item_errors": "Not all postings were readable",
     "run_cancelled": "Cancelled",
-    "run_timeout": "Took too long",
-    "interrupted": "The server was restarted while it was running",
-    "required_field_missing": "A required field was empty",
-    "not_found": "The board was not found",
-    "internal_error": "Something went wrong inside the tracker",
+    "run_timeout": "Ran out of time",
+    "interrupted": "Cut off by a restart",
+    "required_field_missing": "A needed field was blank",
+    "not_found": "No such board",
+    "internal_error": "Internal fault",
 }
 
 
