@@ -3,223 +3,260 @@
 pages: page_id, url, html and what else identifies them. A spec names the list
 (ranked locators, one match or more) and its fields (ranked locators inside an
 item, exactly one match). The first locator that matches is used; any but the
-first is drift. Pages are parsed one by one in an Arrow-batched helper; the
-source is dropped there, and what comes back is small.
+first is drift.
+
+A page is parsed once, by a small helper, into an array of its elements; locators
+are column expressions over that array. All of a page is one row, so nothing is
+shuffled and the pages are spread as they are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+_INLINE = {"b", "i", "em", "strong", "span", "a"}
 # Roles that elements have by themselves.
 ROLES = {"a": "link", "button": "button", "li": "listitem", "ul": "list", "ol": "list", "nav": "navigation", "main": "main", "article": "article", "table": "table", "tr": "row", "td": "cell", "img": "img", "form": "form", **{f"h{i}": "heading" for i in range(1, 7)}}
-RECORD = "page_id long, item_idx int, fields map<string,string>, item_error string, drift array<struct<field: string, used: int>>"
-ATTEMPT = "page_id long, item_idx int, target string, locator int, matches int"
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
-
-    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None) -> None:
-        self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
+#: An element: its place in the page, its parent's and its last descendant's; its place among its siblings and among those of its tag.
+NODE = "struct<node: int, up: int, last: int, tag: string, attrs: map<string, string>, nth: int, kin: int, text: string, inner: string>"
 
-    def walk(self) -> Iterator[Node]:
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
 
-    def text(self) -> str:
-        return " ".join("".join(self._texts()).split())
+class _Elements(HTMLParser):
+    """Flat list of a page's elements; element 0 is the page."""
 
-    def _texts(self) -> Iterator[str]:
-        for k in self.kids:
-            if isinstance(k, str):
-                yield k
-            elif k.tag not in ("script", "style"):
-                yield from k._texts()
-                yield " " if k.tag not in ("b", "i", "em", "strong", "span", "a") else ""
-
-    def inner_html(self) -> str:
-        return "".join(k if isinstance(k, str) else f"<{k.tag}{''.join(f' {a}="{v}"' for a, v in k.attrs.items())}>{k.inner_html()}{'' if k.tag in VOID else f'</{k.tag}>'}" for k in self.kids)
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.html, self.lines = html, [0, *(i + 1 for i, c in enumerate(html) if c == "\n")]
+        self.rows: list[dict] = []
+        self.words: list[str] = []
+        self.silent = 0
+        self.open: list[dict] = []
+        self._begin("", {}, 0)
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._end(len(html))
+
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _begin(self, tag: str, attrs: dict[str, str], source: int) -> None:
+        up = self.open[-1] if self.open else None
+        kids = up["kids"] if up else {}
+        kids[""], kids[tag] = kids.get("", 0) + 1, kids.get(tag, 0) + 1
+        row = {"node": len(self.rows), "up": up["node"] if up else -1, "last": 0, "tag": tag, "attrs": list(attrs.items()), "nth": kids[""], "kin": kids[tag], "kids": {}, "first": len(self.words), "source": source}
+        self.rows.append(row)
+        self.open.append(row)
+        self.silent += tag in ("script", "style")
+
+    def _end(self, source: int) -> None:
+        row = self.open.pop()
+        row["last"] = len(self.rows) - 1
+        row["text"] = " ".join("".join(self.words[row["first"] :]).split())
+        row["inner"] = self.html[row["source"] : source]
+        self.silent -= row["tag"] in ("script", "style")
+        if row["tag"] not in _INLINE:
+            self.words.append(" ")
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "tr", "td", "th") and self.at.tag == tag:
-            self.at = self.at.up
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
+        here = self._here()
+        if tag in ("p", "li", "tr", "td", "th") and self.open[-1]["tag"] == tag:
+            self._end(here)
+        after = here + len(self.get_starttag_text())
+        self._begin(tag, {k: v or "" for k, v in attrs}, after)
+        if tag in VOID:
+            self._end(after)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.up
+            self._end(self._here())
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.up and n.tag != tag:
-            n = n.up
-        if n.up:
-            self.at = n.up
+        if tag in VOID or not any(r["tag"] == tag for r in self.open[1:]):
+            return
+        here = self._here()
+        while self.open[-1]["tag"] != tag:
+            self._end(here)
+        self._end(here)
 
     def handle_data(self, data):
-        self.at.kids.append(data)
-
-
-def tree(html: str) -> Node:
-    p = _Tree()
-    p.feed(html)
-    p.close()
-    return p.root
-
-
-_SIMPLE = re.compile(r"""([a-zA-Z][\w-]*|\*)|\.([\w-]+)|\#([\w-]+)|\[([\w-]+)(?:=["']?([^"'\]]*)["']?)?\]|:nth-(?:of-type|child)\((\d+)\)""")
-
-
-def _is(node: Node, simple: str) -> bool:
-    for m in _SIMPLE.finditer(simple):
-        tag, cls, ident, attr, value, nth = m.groups()
-        if tag and tag not in ("*", node.tag):
-            return False
-        if cls and cls not in node.attrs.get("class", "").split():
-            return False
-        if ident and node.attrs.get("id") != ident:
-            return False
-        if attr and (attr not in node.attrs or (value is not None and node.attrs[attr] != value)):
-            return False
-        if nth:
-            same = [k for k in node.up.kids if isinstance(k, Node) and ("nth-child" in m[0] or k.tag == node.tag)]
-            if same.index(node) + 1 != int(nth):
-                return False
-    return True
-
-
-def css(scope: Node, selector: str) -> list[Node]:
-    steps = re.findall(r"(>?)\s*([^\s>]+)", selector.strip())
-
-    def holds(node: Node, i: int) -> bool:
-        if not _is(node, steps[i][1]):
-            return False
-        if i == 0:
-            return True
-        up = node.up
-        if steps[i][0]:
-            return up is not None and up is not scope.up and holds(up, i - 1)
-        while up is not None and up is not scope.up:
-            if up.tag and holds(up, i - 1):
-                return True
-            up = up.up
-        return False
-
-    return [n for n in scope.walk() if holds(n, len(steps) - 1)]
-
-
-def xpath(scope: Node, path: str) -> list[Node]:
-    found = [scope]
-    for deep, tag, nth in re.findall(r"(//|/)([\w*-]+)(?:\[(\d+)\])?", path.lstrip(".")):
-        ahead = []
-        for n in found:
-            some = [k for k in (n.walk() if deep == "//" else n.kids) if isinstance(k, Node) and tag in ("*", k.tag)]
-            if nth:
-                some = [k for k in some if [s for s in k.up.kids if isinstance(s, Node) and tag in ("*", s.tag)].index(k) + 1 == int(nth)]
-            ahead += some
-        found = ahead
-    return found
-
-
-def matches(scope: Node, locator: dict) -> list[Node]:
-    """Elements in scope that a locator (kind, value, and for some name, exact, level) names."""
+        if not self.silent:
+            self.words.append(data)
+
+
+def with_nodes(pages: DataFrame) -> DataFrame:
+    """page_id and nodes, the array of a page's elements. An element's text is its descendants' too, so it is kept once for each level."""
+    kind = dict(pages.select("page_id").dtypes)["page_id"]
+    node = pa.struct([("node", pa.int32()), ("up", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("nth", pa.int32()), ("kin", pa.int32()), ("text", pa.string()), ("inner", pa.string())])
+    names = [node.field(i).name for i in range(node.num_fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):  # a page at a time, so that memory follows the page
+                found = [[{n: row[n] for n in names} for row in _Elements(batch.column(1)[i].as_py() or "").rows]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array(found, pa.list_(node))], names=["page_id", "nodes"])
+
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, nodes array<{NODE}>")
+
+
+# --- locators, as expressions over the array of elements
+
+_SIMPLE = re.compile(r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:=["']?(?P<value>[^"'\]]*)["']?)?\]|:nth-(?P<of>of-type|child)\((?P<nth>\d+)\)""")
+_STEP = re.compile(r"""\s*(>|\s)?\s*((?:[^\s>\["']|\[[^\]]*\])+)""")
+
+
+def _simple(selector: str, node: Column) -> Column:
+    """Whether an element fits a compound selector: tag, class, id, attribute and place."""
+    test, at = F.lit(True), 0
+    attr = lambda name: F.try_element_at(node["attrs"], F.lit(name))
+    while at < len(selector):
+        m = _SIMPLE.match(selector, at)
+        if not m:
+            raise ValueError(f"selector not understood: {selector}")
+        at = m.end()
+        if m["tag"] and m["tag"] != "*":
+            test &= node["tag"] == m["tag"].lower()
+        elif m["cls"]:
+            test &= F.array_contains(F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"), m["cls"])
+        elif m["id"]:
+            test &= F.coalesce(attr("id") == m["id"], F.lit(False))
+        elif m["attr"]:
+            test &= attr(m["attr"]).isNotNull() if m["value"] is None else F.coalesce(attr(m["attr"]) == m["value"], F.lit(False))
+        elif m["nth"]:
+            test &= node["kin" if m["of"] == "of-type" else "nth"] == int(m["nth"])
+    return test & (node["node"] > 0)
+
+
+def _inside(node: Column, scope: Column) -> Column:
+    return (node["node"] > scope["node"]) & (node["node"] <= scope["last"])
+
+
+def _below(nodes: Column, reached: Column, child: bool, fits: Callable[[Column], Column]) -> Column:
+    """Elements that fit and are children (or else descendants) of one that was reached."""
+    near = (lambda n, a: n["up"] == a["node"]) if child else _inside
+    return let(reached, lambda before: F.filter(nodes, lambda n: fits(n) & F.exists(before, lambda a: near(n, a))))
+
+
+def _css(nodes: Column, scope: Column, selector: str) -> Column:
+    steps, at, text = [], 0, selector.strip()
+    while at < len(text):
+        m = _STEP.match(text, at)
+        if not m:
+            raise ValueError(f"selector not understood: {selector}")
+        steps.append((m[1] == ">", m[2]))
+        at = m.end()
+    # ancestors may be the scope itself, what is found is inside it
+    reached = F.filter(nodes, lambda n: _simple(steps[0][1], n) & (_inside(n, scope) | (n["node"] == scope["node"])))
+    for child, simple in steps[1:]:
+        reached = _below(nodes, reached, child, partial(_simple, simple))
+    return F.filter(reached, lambda n: _inside(n, scope))
+
+
+def _xpath(nodes: Column, scope: Column, path: str) -> Column:
+    steps = re.findall(r"(//|/)([\w*-]+)(?:\[(\d+)\])?", path.lstrip("."))
+    if "".join(f"{d}{t}{f'[{n}]' if n else ''}" for d, t, n in steps) != path.lstrip("."):
+        raise ValueError(f"path not understood: {path}")
+    reached = F.array(scope)
+
+    def fits(tag: str, nth: str, n: Column) -> Column:
+        test = F.lit(True) if tag == "*" else n["tag"] == tag.lower()
+        return test & (n["nth" if tag == "*" else "kin"] == int(nth)) if nth else test
+
+    for deep, tag, nth in steps:
+        reached = _below(nodes, reached, deep == "/", partial(fits, tag, nth))
+    return reached
+
+
+def matches(nodes: Column, scope: Column, locator: dict) -> Column:
+    """Elements inside scope that a locator (kind, value, and for some name, role, exact, level) names, in order."""
     kind, value = locator["kind"], locator.get("value") or ""
-    if kind == "testId":
-        return [n for n in scope.walk() if n.attrs.get("data-testid") == value]
+    says = lambda n, t: n["text"] == t if locator.get("exact") else F.contains(F.lower(n["text"]), F.lit(t.lower()))
     if kind == "css":
-        return css(scope, value)
+        return _css(nodes, scope, value)
     if kind == "xpath":
-        return xpath(scope, value)
-    if kind == "text":
-        fits = (lambda t: t == value) if locator.get("exact") else (lambda t: value.lower() in t.lower())
-        found = [n for n in scope.walk() if fits(n.text())]
-        return [n for n in found if not any(k in found for k in n.walk())]  # the innermost
+        return _xpath(nodes, scope, value)
+    if kind == "testId":
+        return F.filter(nodes, lambda n: _inside(n, scope) & F.coalesce(F.try_element_at(n["attrs"], F.lit("data-testid")) == value, F.lit(False)))
+    if kind == "text":  # the innermost
+        return let(F.filter(nodes, lambda n: _inside(n, scope) & says(n, value)), lambda found: F.filter(found, lambda n: ~F.exists(found, lambda k: _inside(k, n))))
     if kind == "role":
-        found = [n for n in scope.walk() if (n.attrs.get("role") or ROLES.get(n.tag)) == locator.get("role", value)]
-        if locator.get("level"):
-            found = [n for n in found if n.tag == f"h{locator['level']}"]
-        if name := locator.get("name"):
-            found = [n for n in found if (n.text() == name if locator.get("exact") else name.lower() in n.text().lower())]
-        return found
+        own = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+
+        def fits(n: Column) -> Column:
+            given = F.try_element_at(n["attrs"], F.lit("role"))
+            test = F.coalesce(F.coalesce(F.when(given != "", given), F.try_element_at(own, n["tag"])) == locator.get("role", value), F.lit(False))
+            if locator.get("level"):
+                test &= n["tag"] == f"h{locator['level']}"
+            return test & says(n, locator["name"]) if locator.get("name") else test
+
+        return F.filter(nodes, lambda n: _inside(n, scope) & fits(n))
     raise ValueError(f"unknown locator {kind}")
 
 
-def resolve(scope: Node, locators: list[dict], many: bool) -> tuple[int, list[Node]]:
-    """Place of the first locator that matches (one element exactly, for a list one or more), and its elements."""
-    for i, loc in enumerate(locators):
-        found = matches(scope, loc)
-        if found and (many or len(found) == 1):
-            return i, found
-    return -1, []
+def _resolved(nodes: Column, scope: Column, locators: list[dict], many: bool, make) -> Column:
+    """make(place, elements) of the first locator that matches (one element exactly, for a list one or more); null if none does."""
+
+    def tried(i: int, locator: dict) -> Column:
+        return let(matches(nodes, scope, locator), lambda found: F.when(F.size(found) > 0 if many else F.size(found) == 1, make(i, found)))
+
+    return F.coalesce(*(tried(i, locator) for i, locator in enumerate(locators)))
 
 
-def read(node: Node, how: str) -> str:
-    if how == "text":
-        return node.text()
-    return node.inner_html() if how == "html" else node.attrs.get(how.removeprefix("attr:"), "")
+def _items(nodes: Column, spec: dict, make) -> Column:
+    """make(item, place) of every element of a page's list."""
+    whole = F.element_at(nodes, 1)
+    listed = _resolved(nodes, whole, spec["list"], True, lambda _, found: found)
+    return F.transform(listed, make)
+
+
+def _value(node: Column, how: str) -> Column:
+    if how in ("text", "html"):
+        return node["text" if how == "text" else "inner"]
+    return F.coalesce(F.try_element_at(node["attrs"], F.lit(how.removeprefix("attr:"))), F.lit(""))
 
 
 def extract_records(pages: DataFrame, spec: dict) -> DataFrame:
     """page_id, item_idx, fields, item_error and drift of every list item.
 
     spec: {"list": [locators], "fields": [{"name", "locators", "read", "required"}]};
-    read is text, html or attr:NAME. A page whose list isn't found gives nothing.
+    read is text, html or attr:NAME. A page whose list isn't found gives nothing; a
+    selector or path beyond what is known here is an error when the plan is made.
     """
+    nodes = F.col("nodes")
+
+    def record(item: Column, place: Column) -> Column:
+        got = [_resolved(nodes, item, f["locators"], False, lambda i, found, f=f: F.struct(F.lit(i).alias("used"), _value(F.element_at(found, 1), f.get("read", "text")).alias("value"))) for f in spec["fields"]]
+        return F.struct(place.alias("item_idx"), *(g.alias(f"f{i}") for i, g in enumerate(got)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                for i, item in enumerate(resolve(tree(html or ""), spec["list"], True)[1]):
-                    fields, lacking, drift = {}, [], []
-                    for f in spec["fields"]:
-                        used, found = resolve(item, f["locators"], False)
-                        fields[f["name"]] = read(found[0], f.get("read", "text")) if found else None
-                        if used > 0:
-                            drift.append({"field": f["name"], "used": used})
-                        if f.get("required") and not fields[f["name"]]:
-                            lacking.append(f["name"])
-                    out.append((page, i, fields, "empty: " + ", ".join(lacking) if lacking else None, drift))
-            yield pd.DataFrame(out, columns=["page_id", "item_idx", "fields", "item_error", "drift"])
-
-    return pages.select("page_id", "html").mapInPandas(run, RECORD)
+    rows = with_nodes(pages).select("page_id", F.explode(_items(nodes, spec, record)).alias("r"))
+    of = lambda i, name: F.col(f"r.f{i}.{name}")
+    fields = F.create_map(*(c for i, f in enumerate(spec["fields"]) for c in (F.lit(f["name"]), of(i, "value"))))
+    lacking = F.array_compact(F.array(*(F.when(F.coalesce(of(i, "value"), F.lit("")) == "", f["name"]) for i, f in enumerate(spec["fields"]) if f.get("required")), F.lit(None).cast("string")))
+    drift = F.array_compact(F.array(*(F.when(of(i, "used") > 0, F.struct(F.lit(f["name"]).alias("field"), of(i, "used").alias("used"))) for i, f in enumerate(spec["fields"]))))
+    error = F.when(F.size(lacking) > 0, F.concat(F.lit("empty: "), F.array_join(lacking, ", ")))
+    return rows.select("page_id", F.col("r.item_idx").alias("item_idx"), fields.alias("fields"), error.alias("item_error"), drift.alias("drift"))
 
 
 def locator_attempts(pages: DataFrame, spec: dict) -> DataFrame:
-    """How many elements each locator of each field matches in each item."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [
-                (page, i, f["name"], k, len(matches(item, loc)))
-                for page, html in zip(pdf["page_id"], pdf["html"], strict=True)
-                for i, item in enumerate(resolve(tree(html or ""), spec["list"], True)[1])
-                for f in spec["fields"]
-                for k, loc in enumerate(f["locators"])
-            ]
-            yield pd.DataFrame(out, columns=["page_id", "item_idx", "target", "locator", "matches"])
-
-    return pages.select("page_id", "html").mapInPandas(run, ATTEMPT)
+    """page_id, item_idx, target, locator and matches: how many elements each locator of each field matches in each item."""
+    nodes = F.col("nodes")
+
+    def tried(item: Column, place: Column) -> Column:
+        return F.array(*(F.struct(place.alias("item_idx"), F.lit(f["name"]).alias("target"), F.lit(k).alias("locator"), F.size(matches(nodes, item, loc)).alias("matches")) for f in spec["fields"] for k, loc in enumerate(f["locators"])))
+
+    return with_nodes(pages).select("page_id", F.explode(F.flatten(_items(nodes, spec, tried))).alias("a")).select("page_id", "a.*")
 
 
 def locator_coverage(attempts: DataFrame, least: float = 0.6) -> DataFrame:
