@@ -6,16 +6,17 @@ version_seq, recording_id, definition_json, note, created_at.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import regex_extract_first, trim
 from tidemark.functions.urls import domain_of
 
-#: Levels of nested steps.
-DEPTH = 8
 #: Where a step may hold further steps.
 BODIES = ["body", "steps", "detail"]
 
@@ -52,20 +53,48 @@ def version_at(versions: DataFrame, recording: str, version: str) -> DataFrame:
     return versions.where((F.col("recording_id") == recording) & (F.col("version_id") == version))
 
 
-def walk_steps(definitions: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _steps_of(definition: str | None) -> list[tuple]:
+    """parent id, depth, path, JSON of every step, each before the ones in its bodies; depth is that of the definition."""
+    try:
+        whole = json.loads(definition or "null")
+    except (ValueError, RecursionError):
+        return []
+    top = whole.get("steps") if isinstance(whole, dict) else None
+    out, ahead = [], [(None, [i], step) for i, step in enumerate(top if isinstance(top, list) else [])][::-1]
+    while ahead:
+        parent, path, step = ahead.pop()
+        out.append((parent, len(path) - 1, path, step))
+        if isinstance(step, dict):
+            inner = [x for body in BODIES if isinstance(step.get(body), list) for x in step[body]]
+            ahead += [(_plain(step.get("id")), [*path, i], x) for i, x in enumerate(inner)][::-1]
+    return out
+
+
+def _plain(value: object) -> str | None:
+    """A JSON value as text, strings without quotes."""
+    return value if value is None or isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
+def walk_steps(definitions: DataFrame) -> DataFrame:
     """recording_id, step_id, parent_id, depth, path (place, for the order), type, step_json; steps before their bodies.
 
-    A bounded number of levels, each an explode of the one before.
+    Each definition is read once, whatever its depth. A definition that is no JSON
+    object has no steps.
     """
-    level = definitions.select("recording_id", F.lit(None).cast("string").alias("parent_id"), F.posexplode(F.from_json(F.get_json_object("definition_json", "$.steps"), "array<string>")).alias("ord", "step_json"))
-    level = level.withColumn("path", F.array("ord"))
-    levels = []
-    for d in range(depth):
-        step = level.select("recording_id", F.get_json_object("step_json", "$.id").alias("step_id"), "parent_id", F.lit(d).alias("depth"), "path", F.get_json_object("step_json", "$.type").alias("type"), "step_json")
-        levels.append(step)
-        bodies = F.flatten(F.array(*(F.transform(F.coalesce(F.from_json(F.get_json_object("step_json", f"$.{b}"), "array<string>"), F.array().cast("array<string>")), lambda s: s) for b in BODIES)))
-        level = step.select("recording_id", F.col("step_id").alias("parent_id"), "path", F.posexplode(bodies).alias("ord", "step_json")).select("recording_id", "parent_id", F.concat("path", F.array("ord")).alias("path"), "step_json")
-    return reduce(DataFrame.unionByName, levels)
+    kind = dict(definitions.select("recording_id").dtypes)["recording_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, step) for i, text in enumerate(batch.column(1).to_pylist()) for step in _steps_of(text)]
+            steps = [step for _, step in found]
+            field = lambda name: pa.array([_plain(s[3].get(name)) if isinstance(s[3], dict) else None for s in steps], pa.string())
+            columns = [
+                batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), field("id"), pa.array([s[0] for s in steps], pa.string()), pa.array([s[1] for s in steps], pa.int32()),
+                pa.array([s[2] for s in steps], pa.list_(pa.int32())), field("type"), pa.array([_plain(s[3]) for s in steps], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["recording_id", "step_id", "parent_id", "depth", "path", "type", "step_json"])
+
+    return definitions.select("recording_id", "definition_json").mapInArrow(run, f"recording_id {kind}, step_id string, parent_id string, depth int, path array<int>, type string, step_json string")
 
 
 def lint_definitions(definitions: DataFrame) -> DataFrame:

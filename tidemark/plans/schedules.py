@@ -20,38 +20,64 @@ from tidemark.functions.cron import RANGES, describe_cron, field_numbers
 SHORTEST_MINUTES = 15
 
 
-def _zones(spark) -> list[str]:
-    """Names of time zones that the JVM knows."""
-    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+#: Days are sought through at most so many years for each time that is wanted: a 29 February that is a certain day of the week recurs within 40.
+RARE_YEARS = 40
+
+
+def _zones(spark) -> DataFrame:
+    """Names of time zones that the JVM knows: some hundred, so they may be broadcast."""
+    return spark.createDataFrame([(z,) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds()], "zone string")
 
 
 def _parsed(schedules: DataFrame) -> DataFrame:
     """schedules with spaced (the expression with single spaces), a column of numbers for each field, zone (null if unknown)."""
-    zones = F.array(*map(F.lit, _zones(schedules.sparkSession)))
     spaced = F.regexp_replace(F.trim("cron"), r"\s+", " ")
     parts = F.split(spaced, " ")
     fields = {f"__{f}": field_numbers(F.try_element_at(parts, F.lit(i)), f) for i, f in enumerate(RANGES, 1)}
-    zone = F.coalesce("timezone", F.lit("UTC"))
-    return schedules.withColumns({"spaced": spaced, "__parts": F.size(parts), "zone": F.when(F.array_contains(zones, zone), zone), **fields, "__any_dom": F.try_element_at(parts, F.lit(3)).startswith("*"), "__any_dow": F.try_element_at(parts, F.lit(5)).startswith("*")})
+    named = schedules.withColumn("__zone", F.coalesce("timezone", F.lit("UTC"))).join(F.broadcast(_zones(schedules.sparkSession)), F.col("__zone") == F.col("zone"), "left").drop("__zone")
+    return named.withColumns({"spaced": spaced, "__parts": F.size(parts), **fields, "__any_dom": F.try_element_at(parts, F.lit(3)).startswith("*"), "__any_dow": F.try_element_at(parts, F.lit(5)).startswith("*")})
+
+
+def _fires_on(day: Column) -> Column:
+    in_month = F.array_contains("__dom", F.dayofmonth(day))
+    in_week = F.array_contains("__dow", F.dayofweek(day) - 1)
+    return F.when(F.col("__any_dom") | F.col("__any_dow"), in_month & in_week).otherwise(in_month | in_week)
+
+
+def _days_of_year(year: Column) -> Column:
+    """The days of a year on which a schedule fires: its months first, then their days."""
+    first = lambda month: F.make_date(year, month, F.lit(1))
+    days = lambda start: F.filter(F.sequence(start, F.last_day(start), F.expr("interval 1 day")), _fires_on)
+    return F.flatten(F.transform("__month", lambda month: days(first(month))))
+
+
+def _next_days(start: Column, needed: Column, years: int) -> Column:
+    """The first needed days from a start on which a schedule fires; years that come after enough days aren't looked at."""
+
+    def more(found: Column, year: Column) -> Column:
+        return F.when(F.size(found) >= needed, found).otherwise(F.concat(found, F.filter(_days_of_year(year), lambda d: d >= start)))
+
+    return F.slice(F.aggregate(F.sequence(F.year(start), F.year(start) + years), F.array().cast("array<date>"), more), 1, needed)
 
 
-def fire_times(schedules: DataFrame, after: Column | datetime, days: int = 400, most: int | None = None) -> DataFrame:
-    """schedule_id, fire_at: times strictly after a moment within some days, the first `most` of each schedule.
+def fire_times(schedules: DataFrame, after: Column | datetime, days: int | None = None, most: int | None = None) -> DataFrame:
+    """schedule_id, fire_at: times strictly after a moment; within some days, or the first `most` of each schedule, or both.
 
-    Days are made first and filtered, then hours and minutes of the days that
-    remain, so that a schedule costs its fire times and not its minutes.
+    The days are an array of each schedule, made month by month, so that a schedule
+    costs its fire times and not its minutes. Without days there is no horizon.
     """
+    if days is None and most is None:
+        raise ValueError("give days or most")
     after = after if isinstance(after, Column) else F.lit(after).cast("timestamp")
     valid = _parsed(schedules).where("__parts = 5 and zone is not null and __minute is not null and __hour is not null and __dom is not null and __month is not null and __dow is not null")
-    local_now = F.from_utc_timestamp(after, F.col("zone"))
-    day = F.explode(F.sequence(F.to_date(local_now) - 1, F.to_date(local_now) + days, F.expr("interval 1 day")))
-    dated = valid.select("schedule_id", "zone", *(f"__{f}" for f in RANGES), "__any_dom", "__any_dow", day.alias("day"))
-    in_month = F.array_contains("__dom", F.dayofmonth("day"))
-    in_week = F.array_contains("__dow", F.dayofweek("day") - 1)
-    dated = dated.where(F.array_contains("__month", F.month("day"))).where(F.when(F.col("__any_dom") | F.col("__any_dow"), in_month & in_week).otherwise(in_month | in_week))
-    if most is not None:  # so many days hold the first times
-        by_day = Window.partitionBy("schedule_id").orderBy("day")
-        dated = dated.withColumn("__d", F.row_number().over(by_day)).where(F.col("__d") <= most + 3)
+    # a day before, for zones; its and this day's times may have gone by
+    start = F.to_date(F.from_utc_timestamp(after, F.col("zone"))) - 1
+    if days is None:
+        a_day = F.size("__hour") * F.size("__minute")
+        dates = _next_days(start, (F.ceil(F.lit(most) / a_day) + 3).cast("int"), RARE_YEARS * most)
+    else:
+        dates = F.filter(F.sequence(start, start + days + 1, F.expr("interval 1 day")), lambda d: F.array_contains("__month", F.month(d)) & _fires_on(d))
+    dated = valid.select("schedule_id", "zone", "__hour", "__minute", F.explode(dates).alias("day"))
     timed = dated.select("schedule_id", "zone", "day", F.explode("__hour").alias("hour"), "__minute").select("schedule_id", "zone", "day", "hour", F.explode("__minute").alias("minute"))
     local = F.make_timestamp(F.year("day"), F.month("day"), F.dayofmonth("day"), F.col("hour"), F.col("minute"), F.lit(0).cast("decimal(16,6)"))
     at = F.to_utc_timestamp(local, F.col("zone"))
@@ -66,7 +92,7 @@ def fire_times(schedules: DataFrame, after: Column | datetime, days: int = 400,
 def validate_schedules(schedules: DataFrame, now: Column | datetime) -> DataFrame:
     """schedule_id, cron (with single spaces), error (null if it is fine)."""
     parsed = _parsed(schedules)
-    fires = fire_times(schedules, now, days=366 * 5, most=25)
+    fires = fire_times(schedules, now, most=25)
     gap = (F.unix_timestamp(F.lead("fire_at").over(Window.partitionBy("schedule_id").orderBy("fire_at"))) - F.unix_timestamp("fire_at")) / 60
     gaps = fires.withColumn("gap", gap).groupBy("schedule_id").agg(F.min("gap").alias("gap"), F.count("*").alias("fires"))
     bad_field = F.coalesce(*(F.when(F.col(f"__{f}").isNull(), f"invalid {f} field") for f in RANGES))
@@ -102,8 +128,8 @@ def due_runs(schedules: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     return free.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("recording_id", "schedule_id", F.lit("queued").alias("status"), F.lit("schedule").alias("trigger"), now.alias("created_at"))
 
 
-def after_firing(schedules: DataFrame, now: Column, days: int = 400) -> DataFrame:
+def after_firing(schedules: DataFrame, now: Column) -> DataFrame:
     """schedules with last_run_at and next_run_at moved on where they were due."""
     due = F.col("enabled") & (F.col("next_run_at") <= now)
-    following = fire_times(schedules.where(due), now, days=days, most=1).select("schedule_id", F.col("fire_at").alias("__next"))
+    following = fire_times(schedules.where(due), now, most=1).select("schedule_id", F.col("fire_at").alias("__next"))
     return schedules.join(following, "schedule_id", "left").withColumns({"last_run_at": F.when(due, now).otherwise(F.col("last_run_at")), "next_run_at": F.when(due, F.col("__next")).otherwise(F.col("next_run_at"))}).drop("__next")
