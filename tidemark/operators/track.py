@@ -64,6 +64,27 @@ def merge_job_state(state: DataFrame, batch: DataFrame, content: list[str] | Non
     )
 
 
+def merge_runs(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """State after the sightings of any number of runs, which merge_job_state would take run by run in the order of run_seq.
+
+    The state's row is the first of each key's history; windows find where the
+    content last changed, so that all runs are merged at once.
+    """
+    content = [c for c in state.columns if c not in (*KEY, "posted_at", "first_seen_at", "last_seen_at", "first_seen_run_id", "closed_at")]
+    known = state.select(*KEY, F.lit(None).cast("long").alias("run_seq"), F.struct(*content).alias("content"), "posted_at", "first_seen_at", "last_seen_at", "first_seen_run_id", "closed_at")
+    seen = batch.select(*KEY, F.col("run_seq").cast("long"), F.struct(*content).alias("content"), "posted_at", F.col("seen_at").alias("first_seen_at"), F.col("seen_at").alias("last_seen_at"), F.col("run_id").alias("first_seen_run_id"), F.lit(None).cast("timestamp").alias("closed_at"))
+    w = Window.partitionBy(*KEY).orderBy(F.asc_nulls_first("run_seq"))
+    before = F.lag("content.content_hash").over(w)
+    kept = F.when((F.row_number().over(w) == 1) | ~before.eqNullSafe(F.col("content.content_hash")), F.col("content"))
+    history = known.unionByName(seen).withColumn("__kept", kept).withColumn("__place", F.row_number().over(w))
+    first, last = (lambda c: F.min_by(c, "__place")), (lambda c: F.max_by(c, "__place"))
+    merged = history.groupBy(*KEY).agg(
+        F.max_by(F.col("__kept"), F.when(F.col("__kept").isNotNull(), F.col("__place"))).alias("content"), last("posted_at").alias("posted_at"), first("first_seen_at").alias("first_seen_at"),
+        last("last_seen_at").alias("last_seen_at"), first("first_seen_run_id").alias("first_seen_run_id"), last("closed_at").alias("closed_at"),
+    )
+    return merged.select(*KEY, "content.*", "posted_at", "first_seen_at", "last_seen_at", "first_seen_run_id", "closed_at").select(state.columns)
+
+
 def diff_snapshots(before: DataFrame, after: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """change: added, changed, same or gone, by key and content_hash."""
     keys = keys or KEY

@@ -1,12 +1,18 @@
 """The log and the tracker as streams.
 
 Sources are streaming DataFrames with the columns of their batch forms. State that
-outlives a batch is a table in versioned folders, so a restarted batch writes the
-same version again.
+outlives a batch is a table whose versions name the folder of each bucket of keys,
+so a batch rewrites only the buckets that it touches. Each version knows the last
+batch of every source, so a batch that is run again changes nothing, and tracker
+and closer take turns on one table.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,44 +38,67 @@ def stream_timeline(events: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """A table whose versions are folders; readers take the newest that is complete."""
+    """Postings by key in buckets; a version is written last and as a whole, so readers see complete ones only.
 
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame) -> None:
-        self.spark, self.path, self._empty = spark, path, empty
+    Two writers at once: the later one's version exists already and its batch fails,
+    to be run again from the newest version.
+    """
 
-    def versions(self) -> list[int]:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        done = (s.getPath() for s in fs.listStatus(fs_path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-        return sorted(int(p.getName().removeprefix("version=")) for p in done)
+    def __init__(self, spark: SparkSession, path: str, empty: DataFrame, buckets: int = 64) -> None:
+        self.spark, self.path, self._empty, self.buckets = spark, path, empty, buckets
 
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.schema(self._empty.schema).parquet(f"{self.path}/version={known[-1]}") if known else self._empty
+    def _names(self, folder: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(self._empty.columns).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+    def versions(self) -> list[int]:
+        return sorted(int(n) for n in self._names("versions") if "_SUCCESS" in self._names(f"versions/{n}"))
+
+    def _newest(self) -> dict:
+        known = self.versions()
+        none = {"version": 0, "applied": {}, "folders": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{known[-1]}", wholetext=True).first()[0]) if known else none
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*track.KEY), F.lit(self.buckets)).cast("int")
+
+    def _rows(self, newest: dict, buckets: set[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in newest["folders"].items() if buckets is None or b in buckets]
+        return self.spark.read.schema(self._empty.schema).parquet(*paths) if paths else self._empty
+
+    def read(self) -> DataFrame:
+        return self._rows(self._newest())
+
+    def update(self, source: str, batch: int, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the rows in the buckets of keys by change(rows); nothing if this batch of the source is in already."""
+        newest = self._newest()
+        if newest["applied"].get(source, -1) >= batch:
+            return
+        touched = {str(r[0]) for r in keys.select(self._bucket()).distinct().collect()}  # so many buckets at most
+        folder = uuid.uuid4().hex
+        rows = change(self._rows(newest, touched)).select(self._empty.columns).withColumn("bucket", self._bucket())
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        made = {n.removeprefix("bucket=") for n in self._names(f"data/{folder}") if n.startswith("bucket=")}
+        folders = {b: f for b, f in newest["folders"].items() if b not in touched} | dict.fromkeys(sorted(made), folder)
+        after = {"version": newest["version"] + 1, "applied": newest["applied"] | {source: batch}, "folders": folders}
+        self.spark.createDataFrame([(json.dumps(after),)], "value string").coalesce(1).write.text(f"{self.path}/versions/{after['version']}")
+
+    def prune(self, keep: int = 5) -> None:
+        """Remove all but the newest versions, and folders that none of them names."""
+        jvm, known = self.spark._jvm, self.versions()
+        names = [json.loads(r[0])["folders"].values() for v in known[-keep:] for r in self.spark.read.text(f"{self.path}/versions/{v}", wholetext=True).collect()]
+        used = {f for folders in names for f in folders}
+        for old in [f"versions/{v}" for v in known[:-keep]] + [f"data/{f}" for f in self._names("data") if f not in used]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def track_batch(table: StateTable, batch: DataFrame, batch_id: int) -> None:
-    """Merge a batch's sightings into the state, run by run in the order of run_seq.
-
-    The runs of different boards have nothing in common, so the n-th runs of all
-    boards in the batch are merged together: as many merges as the busiest board
-    has runs in the batch.
-    """
-    from pyspark.sql import Window
-
-    rank = F.dense_rank().over(Window.partitionBy("recording_id").orderBy("run_seq"))
-    ranked = batch.withColumn("__turn", rank).persist()
-    state = table.read(before=batch_id)
-    most = ranked.agg(F.max("__turn")).first()[0] or 0
-    for turn in range(1, most + 1):
-        state = track.merge_job_state(state, ranked.where(F.col("__turn") == turn).drop("__turn")).drop("flag")
-    table.write(state, batch_id)
-    ranked.unpersist()
+    """Merge a batch's sightings into the state, whatever number of runs it holds."""
+    batch = batch.persist()
+    table.update("track", batch_id, batch, lambda state: track.merge_runs(state, batch))
+    batch.unpersist()
 
 
 def stream_track_jobs(sightings: DataFrame, table: StateTable, checkpoint: str) -> StreamingQuery:
@@ -77,18 +106,16 @@ def stream_track_jobs(sightings: DataFrame, table: StateTable, checkpoint: str)
     return sightings.writeStream.foreachBatch(lambda batch, i: track_batch(table, batch, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def close_batch(table: StateTable, sightings: DataFrame, runs: DataFrame, finished: DataFrame, version: int, n: int = 3) -> None:
+def close_batch(table: StateTable, sightings: DataFrame, runs: DataFrame, finished: DataFrame, batch_id: int, n: int = 3) -> None:
     """Close what the last n succeeded runs of the boards in finished missed."""
     boards = finished.where("status = 'succeeded'").select("recording_id").distinct()
     own = lambda df: df.join(boards, "recording_id", "left_semi")
-    state = table.read(before=version)
-    closing = track.close_missing(own(state), own(sightings), own(runs), n).select(*track.KEY, F.lit(True).alias("__close"))
     when = finished.groupBy("recording_id").agg(F.max("finished_at").alias("__at"))
-    closed = state.join(closing, track.KEY, "left").join(when, "recording_id", "left").withColumn("closed_at", F.when(F.col("__close"), F.col("__at")).otherwise(F.col("closed_at")))
-    table.write(closed.drop("__close", "__at"), version)
+    closing = track.close_missing(own(table.read()), own(sightings), own(runs), n).join(when, "recording_id").select(*track.KEY, "__at").persist()
+    table.update("close", batch_id, closing, lambda state: state.join(closing, track.KEY, "left").withColumn("closed_at", F.coalesce("__at", "closed_at")))
+    closing.unpersist()
 
 
 def stream_close(run_events: DataFrame, table: StateTable, sightings: DataFrame, runs: DataFrame, checkpoint: str, n: int = 3) -> StreamingQuery:
     """Close postings as finished runs (recording_id, status, finished_at) arrive."""
-    first = (table.versions() or [0])[-1] + 1
-    return run_events.writeStream.foreachBatch(lambda batch, i: close_batch(table, sightings, runs, batch, first + i, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_events.writeStream.foreachBatch(lambda batch, i: close_batch(table, sightings, runs, batch, i, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
