@@ -8,7 +8,9 @@ navigations: session_id, url, at, seq.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,51 +42,75 @@ def attribute_navigations(actions: DataFrame, navigations: DataFrame) -> DataFra
     return found.withColumn("__n", F.row_number().over(last)).where("__n = 1").select("session_id", F.col("cause.idx").alias("idx"), F.col("nav_url").alias("url"))
 
 
+def _folded(steps: list[dict]) -> list[dict]:
+    """The steps of one stretch that are worth replaying: what is dropped or merged follows from the one before that was kept."""
+    kept: list[dict] = []
+    for item in steps:
+        before = kept[-1] if kept and kept[-1]["kind"] == "step" else {}
+        same = bool(item["element_key"]) and before.get("element_key") == item["element_key"]
+        if item["kind"] != "step":
+            kept.append(item)
+            continue
+        match item["step_type"]:
+            case "navigate":
+                if item["replaces_click"] is True and before.get("step_type") == "click" and item["at"] - before["at"] <= POPUP_MS:
+                    kept.pop()
+                if kept and kept[-1]["kind"] == "step" and kept[-1]["step_type"] == "navigate" and kept[-1]["url"] == item["url"]:
+                    continue
+            case "click" if item["interactive"] is False and item["mutated"] is False and item["navigated"] is not True:
+                continue
+            case "press" if item["__skipped"]:
+                continue
+            case "fill" if same and before["step_type"] in ("click", "fill") and before["navigated"] is not True:
+                kept.pop()
+            case "scroll" if before.get("step_type") == "scroll" and before["element_key"] == item["element_key"]:
+                if "toBottom" in (item["mode"], before["mode"]):
+                    before |= {"mode": "toBottom", "amount": None}
+                else:
+                    before["amount"] = (before["amount"] or 0) + (item["amount"] or 0)
+                before["at"] = item["at"]
+                continue
+        kept.append(item)
+    return kept
+
+
 def coalesce_actions(actions: DataFrame, navigations: DataFrame | None = None) -> DataFrame:
     """The actions worth replaying, with the value, amount and mode that they end with.
 
-    What is dropped follows from the row before that was kept, so a session is
-    folded in order by one helper; sessions are short and spread over all tasks.
+    What is dropped follows from the row before that was kept. Markers, fields and key
+    presses that count are kept whatever stood before, so windows cut sessions there,
+    and a small helper folds the stretches as they stream by: it holds one stretch at
+    a time, and a session's stretches are spread over tasks. The windows sort a
+    session in one task.
     """
     caused = attribute_navigations(actions, navigations).select("session_id", "idx", F.lit(True).alias("navigated")) if navigations is not None else None
     rows = actions.join(caused, ["session_id", "idx"], "left") if caused is not None else actions.withColumn("navigated", F.lit(None).cast("boolean"))
+    in_order = Window.partitionBy("session_id").orderBy("at", "idx")
+    step = F.col("kind") == "step"
+    tab_on = F.coalesce(step & (F.col("step_type") == "press") & (F.col("key") == "Tab") & (F.lead("kind").over(in_order) == "step") & F.lead("has_target").over(in_order), F.lit(False))
+    certain = ~step | ((F.col("step_type") == "press") & ~F.col("__skipped"))
+    cut = rows.withColumn("__skipped", tab_on).withColumn("__stretch", F.sum(F.coalesce(certain, F.lit(False)).cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     names = rows.columns
 
-    def fold(session: pd.DataFrame) -> pd.DataFrame:
-        items = session.sort_values(["at", "idx"], kind="stable").to_dict("records")
-        kept: list[dict] = []
-        for item, after in zip(items, [*items[1:], {}], strict=True):
-            before = kept[-1] if kept and kept[-1]["kind"] == "step" else {}
-            same = bool(item.get("element_key")) and before.get("element_key") == item["element_key"]
-            if item["kind"] != "step":
-                kept.append(item)
-                continue
-            match item["step_type"]:
-                case "navigate":
-                    if item.get("replaces_click") is True and before.get("step_type") == "click" and item["at"] - before["at"] <= POPUP_MS:
-                        kept.pop()
-                    if kept and kept[-1]["kind"] == "step" and kept[-1]["step_type"] == "navigate" and kept[-1]["url"] == item["url"]:
-                        continue
-                case "click" if item.get("interactive") is False and item.get("mutated") is False and item.get("navigated") is not True:
-                    continue
-                case "press" if item.get("key") == "Tab" and after.get("kind") == "step" and after.get("has_target") is True:
-                    continue
-                case "fill" if same and before["step_type"] in ("click", "fill") and before.get("navigated") is not True:
-                    kept.pop()
-                case "scroll" if before.get("step_type") == "scroll" and before.get("element_key") == item.get("element_key"):
-                    if "toBottom" in (item.get("mode"), before.get("mode")):
-                        before |= {"mode": "toBottom", "amount": None}
-                    else:
-                        before["amount"] = (before.get("amount") or 0) + (item.get("amount") or 0)
-                    before["at"] = item["at"]
-                    continue
-            kept.append(item)
-        return pd.DataFrame(kept, columns=names).astype(object)
-
-    def safe(session: pd.DataFrame) -> pd.DataFrame:
-        return fold(session.astype(object).where(session.notna(), None))
-
-    return rows.groupBy("session_id").applyInPandas(safe, T.StructType([*rows.schema.fields])).drop("navigated")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, of, schema = [], None, None
+
+        def out(items: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in _folded(items)], schema=schema)
+
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(n) for n in names])
+            for row in batch.to_pylist():
+                if (row["session_id"], row["__stretch"]) != of:
+                    if stretch:
+                        yield out(stretch)
+                    stretch, of = [], (row["session_id"], row["__stretch"])
+                stretch.append(row)
+        if stretch:
+            yield out(stretch)
+
+    dealt = cut.repartition("session_id", "__stretch").sortWithinPartitions("session_id", "__stretch", "at", "idx")
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields])).drop("navigated")
 
 
 # What marks a field whose typed value must not be kept.

@@ -91,7 +91,12 @@ def dropped_in_run(jobs: DataFrame, run: list[str] | None = None, key: str = "de
 
 
 def cap_items(records: DataFrame, most: int, run: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """The first records of a run, and whether the run had more (limited)."""
+    """The first records of a run, and whether the run had more (limited).
+
+    One more than that is kept of each run, by every task before the shuffle, and
+    tells whether there were more: no task reads a whole run.
+    """
     run, order = run or ["run_id"], order or ["item_idx"]
     w = Window.partitionBy(*run)
-    return records.withColumns({"__n": F.row_number().over(w.orderBy(*order)), "limited": F.count("*").over(w) > most}).where(F.col("__n") <= most).drop("__n")
+    some = records.withColumn("__n", F.row_number().over(w.orderBy(*order))).where(F.col("__n") <= most + 1)
+    return some.withColumn("limited", F.max("__n").over(w) > most).where(F.col("__n") <= most).drop("__n")

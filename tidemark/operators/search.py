@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from tidemark.functions import text
 #: Columns that a search looks in.
 SEARCHED = ["title", "company", "location", "description"]
 _TOKEN = r"[\p{L}\p{N}]+"
+#: Letters of a token by which an index is partitioned.
+PREFIX = 2
 
 
 def filter_jobs(jobs: DataFrame, *, recording: str | None = None, remote: str | None = None, since: datetime | None = None, until: datetime | None = None, include_closed: bool = False) -> DataFrame:
@@ -36,46 +39,49 @@ def end_of_day(day: Column) -> Column:
 
 
 def search_index(jobs: DataFrame, columns: list[str] = SEARCHED, key: str = "job_id") -> DataFrame:
-    """key, field, pos, token of every word, folded. Partition it by prefix to search it often."""
-    folded = jobs.select(key, *(text.fold_accents(F.col(c)).alias(c) for c in columns))
-    tokens = [folded.select(key, F.lit(i).alias("field"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(_TOKEN), F.lit(0))).alias("pos", "token")) for i, c in enumerate(columns)]
-    out = tokens[0]
-    for t in tokens[1:]:
-        out = out.unionByName(t)
-    return out.withColumn("prefix", F.substring("token", 1, 2))
+    """key, field, pos, token and prefix of every word, folded; from one scan. Write it partitioned by prefix to search it often."""
+
+    def tokens(field: int, column: str) -> Column:
+        found = F.regexp_extract_all(text.fold_accents(F.coalesce(F.col(column), F.lit(""))), F.lit(_TOKEN), F.lit(0))
+        return F.transform(found, lambda token, pos: F.struct(F.lit(field).alias("field"), pos.alias("pos"), token.alias("token")))
+
+    words = F.flatten(F.array(*(tokens(i, c) for i, c in enumerate(columns))))
+    return jobs.select(key, F.explode(words).alias("w")).select(key, "w.*", F.substring("w.token", 1, PREFIX).alias("prefix"))
 
 
 def _terms(query: str) -> list[list[str]]:
     """Words of a query as the tokens that must follow one another; words without any are left out."""
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if unicodedata.category(c)[0] != "M")
-    return [t for t in ([x for x in re.split(r"[\W_]+", w) if x] for w in plain.split()) if t]
+    return [t for t in (re.findall(r"[^\W_]+", w) for w in text.folded(query).split()) if t]
 
 
-def search_jobs(jobs: DataFrame, query: str, *, index: DataFrame | None = None, key: str = "job_id") -> DataFrame:
+def search_jobs(jobs: DataFrame, query: str, *, index: DataFrame | None = None, columns: list[str] = SEARCHED, key: str = "job_id") -> DataFrame:
     """Postings in which every word of the query begins a token of some searched column.
 
     A word with punctuation is a phrase: its tokens follow one another in one
     column, the last one being a beginning. A query without any token finds nothing.
+    Without an index the postings are filtered as they are read; with one only the
+    words' prefixes of it are read.
     """
     terms = _terms(query)
     if not terms:
         return jobs.limit(0)
-    index = search_index(jobs, key=key) if index is None else index
-    single = [t[0] for t in terms if len(t) == 1]
+    if index is None:
+        fold = [text.fold_accents(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+        for term in terms:
+            phrase = rf"(?<![\p{{L}}\p{{N}}])" + r"[^\p{L}\p{N}]+".join(term)
+            jobs = jobs.where(reduce(lambda a, b: a | b, (c.rlike(phrase) for c in fold)))
+        return jobs
     hits = None
-    if single:
-        # one pass for all single words, and the intersection as a count of words
-        found = F.array_compact(F.array(*(F.when(F.col("token").startswith(w), i) for i, w in enumerate(single))))
-        wanted = index.where(F.rlike("token", F.lit("^(?:" + "|".join(map(re.escape, single)) + ")"))) if len(single) < 50 else index
-        hits = wanted.select(key, F.explode(found).alias("w")).groupBy(key).agg(F.countDistinct("w").alias("n")).where(F.col("n") == len(single)).select(key)
-    for phrase in (t for t in terms if len(t) > 1):
-        *whole, last = phrase
-        tokens = [F.when(F.col("token") == w, F.col("pos") - i) for i, w in enumerate(whole)] + [F.when(F.col("token").startswith(last), F.col("pos") - len(whole))]
-        starts = index.select(key, "field", F.posexplode(F.array(*tokens)).alias("i", "at")).where("at is not null")
-        one = starts.groupBy(key, "field", "at").agg(F.countDistinct("i").alias("n")).where(F.col("n") == len(phrase)).select(key).distinct()
-        hits = one if hits is None else hits.intersect(one)
+    for term in terms:
+        found = None
+        for i, word in enumerate(term):
+            last = i == len(term) - 1
+            # a word shorter than a prefix begins several
+            near = index.where(F.col("prefix").startswith(word) if len(word) < PREFIX else F.col("prefix") == word[:PREFIX])
+            here = near.where(F.col("token").startswith(word) if last else F.col("token") == word).select(key, "field", (F.col("pos") - i).alias("at"))
+            found = here if found is None else found.join(here.distinct(), [key, "field", "at"], "left_semi")
+        one = found.select(key).distinct()
+        hits = one if hits is None else hits.join(one, key, "left_semi")
     return jobs.join(hits, key, "left_semi")
 
 

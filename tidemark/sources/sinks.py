@@ -19,10 +19,11 @@ def _newest(jobs: DataFrame, limit: int) -> DataFrame:
     return jobs.orderBy(F.desc("first_seen_at"), F.desc("job_seq")).limit(limit)
 
 
-def write_jobs_csv(jobs: DataFrame, path: str, limit: int = EXPORT_LIMIT) -> None:
-    """The newest postings as one CSV file with CRLF line ends. The limit is what an export holds."""
-    header = jobs.sparkSession.createDataFrame([(0, ",".join(EXPORT_COLUMNS.values()))], "n int, line string")
-    lines = job_cells(_newest(jobs, limit), list(EXPORT_COLUMNS)).select(F.lit(1).alias("n"), "line").withColumn("n", F.monotonically_increasing_id() + 1)
+def write_jobs_csv(jobs: DataFrame, path: str, limit: int = EXPORT_LIMIT, blank: tuple[str, ...] = ()) -> None:
+    """The newest postings as one CSV file with CRLF line ends. The limit is what an export holds; columns in blank are left empty."""
+    header = jobs.sparkSession.createDataFrame([(0, ",".join(EXPORT_COLUMNS.values()))], "n long, line string")
+    shown = _newest(jobs, limit).withColumns({c: F.lit(None).cast("string") for c in blank}) if blank else _newest(jobs, limit)
+    lines = job_cells(shown, list(EXPORT_COLUMNS)).select((F.monotonically_increasing_id() + 1).alias("n"), "line")
     header.unionByName(lines).coalesce(1).sortWithinPartitions("n").select("line").write.text(path, lineSep="\r\n")
 
 
