@@ -21,13 +21,13 @@ def day(n):
 
 
 def test_normalized_record(spark):
-    fields = {"title": "  Senior   Backend Engineer ", "location": "Remote (EU)", "salaryText": "€85,000 - €110,000 per year", "url": "/jobs/123/?utm_source=x", "postedAt": "Posted 3 days ago", "department": " Platform ", "reqId": None, "description": ""}
-    raw = spark.createDataFrame([("rec_1", "run", 1, 0, fields, "https://careers.acme.example/jobs?page=1"), ("rec_1", "run", 1, 1, {"title": "  ", "x": "y"}, "https://a.example")], "recording_id string, run_id string, run_seq long, item_idx int, fields map<string,string>, source_url string")
+    fields = {"title": "\tData  Steward\n", "location": "Hybrid, Turin", "salaryText": "from £2,150 monthly", "url": "../role/77?ref=feed&lang=it", "postedAt": "yesterday", "team": " Maps", "grade": None, "description": " "}
+    raw = spark.createDataFrame([("rec_1", "run", 1, 0, fields, "https://tern.example/boards/open?page=1"), ("rec_1", "run", 1, 1, {"title": "  ", "x": "y"}, "https://a.example")], "recording_id string, run_id string, run_seq long, item_idx int, fields map<string,string>, source_url string")
     now = F.lit("2026-10-06 15:30:00").cast("timestamp")
-    (job,) = normalize.normalize_records(raw, now, F.lit("Acme Robotics")).collect()
-    assert (job.title, job.company, job.remote, job.dedup_key) == ("Senior Backend Engineer", "Acme Robotics", "remote", "https://careers.acme.example/jobs/123")
-    assert (job.salary_min, job.salary_max, job.salary_currency, job.salary_period) == (85000, 110000, "EUR", "year")
-    assert job.posted_at == dt.datetime(2026, 10, 3) and job.custom == {"department": "Platform", "reqId": None} and job.description is None
+    (job,) = normalize.normalize_records(raw, now, F.lit("Tern Maps")).collect()
+    assert (job.title, job.company, job.remote, job.dedup_key) == ("Data Steward", "Tern Maps", "hybrid", "https://tern.example/role/77?lang=it")
+    assert (job.salary_min, job.salary_max, job.salary_currency, job.salary_period) == (2150, None, "GBP", "month")
+    assert job.posted_at == dt.datetime(2026, 10, 5) and job.custom == {"team": "Maps", "grade": None} and job.description is None
     (left,) = normalize.untitled(raw).collect()
     assert (left.item_idx, left.field_names) == (1, ["title", "x"])
 
@@ -266,3 +266,120 @@ def test_stream_close_and_track(spark, tmp_path):
     spark.createDataFrame([("r", "succeeded", day(3))], done).write.parquet(f"{base}/done")
     streams.stream_close(spark.readStream.schema(done).parquet(f"{base}/done"), table, seen, runs, f"{base}/c2", n=1).awaitTermination()
     assert {r.dedup_key: r.closed_at for r in table.read().collect()} == {"a": day(3), "b": None}
+
+
+def test_tracker_and_closer_take_turns(spark, tmp_path):
+    """Three rounds on one table, each batch run twice, with pruning, against the run-by-run merge."""
+    base = f"file://{tmp_path}"
+    table = streams.StateTable(spark, f"{base}/table", spark.createDataFrame([], STATE), buckets=4)
+    schema = "recording_id string, dedup_key string, run_id string, run_seq long, content_hash string, title string, posted_at timestamp, seen_at timestamp"
+    deal, rows = random.Random(2), []
+    for n in range(1, 10):
+        rows += [("r", f"k{k}", f"run{n}", n, deal.choice("xy"), f"t{n}", None, day(n)) for k in range(12) if deal.random() < 0.5]
+    runs = spark.createDataFrame([("r", f"run{n}", n, "succeeded") for n in range(1, 10)], "recording_id string, run_id string, run_seq long, status string")
+    all_seen, want = spark.createDataFrame(rows, schema), {}
+    for turn in range(3):
+        high = 3 * turn + 3
+        batch = all_seen.where((F.col("run_seq") > high - 3) & (F.col("run_seq") <= high))
+        past = F.col("run_seq") <= high
+        done = spark.createDataFrame([("r", "succeeded", day(high))], "recording_id string, status string, finished_at timestamp")
+        for _ in range(2):
+            streams.track_batch(table, batch, turn)
+        for _ in range(2):
+            streams.close_batch(table, all_seen.where(past), runs.where(past), done, turn, n=2)
+        for n in range(high - 2, high + 1):
+            for _, key, run, _, content, title, posted, at in (r for r in rows if r[3] == n):
+                old = want.get(key)
+                same = old and old["content_hash"] == content
+                want[key] = {"content_hash": content, "title": old["title"] if same else title, "first": old["first"] if old else at, "last": at, "run": old["run"] if old else run, "closed": None}
+        for key, x in want.items():
+            if x["closed"] is None and not any(r[1] == key and high - 2 < r[3] <= high for r in rows):
+                x["closed"] = day(high)
+        got = {r.dedup_key: {"content_hash": r.content_hash, "title": r.title, "first": r.first_seen_at, "last": r.last_seen_at, "run": r.first_seen_run_id, "closed": r.closed_at} for r in table.read().collect()}
+        assert got == want
+        table.prune(keep=2)
+        assert len(table.versions()) == 2 and table.read().count() == len(want)
+    assert any(x["closed"] for x in want.values())
+
+
+def test_merging_many_runs_at_once(spark):
+    deal = random.Random(7)
+    state = spark.createDataFrame([("r", f"k{i}", "h0", "t0", None, day(0), day(0), "run0", day(1) if i % 3 else None) for i in range(10)], STATE)
+    schema = "recording_id string, dedup_key string, run_id string, run_seq long, content_hash string, title string, posted_at timestamp, seen_at timestamp"
+    rows = [("r", f"k{i}", f"run{n}", n, deal.choice(["h0", "h1"]), f"t{n}", day(n) if n % 2 else None, day(n)) for n in range(1, 6) for i in range(14) if deal.random() < 0.6]
+    batch = spark.createDataFrame(rows, schema)
+    one_by_one = state
+    for n in range(1, 6):
+        one_by_one = track.merge_job_state(one_by_one, batch.where(F.col("run_seq") == n)).drop("flag")
+    assert sorted(map(tuple, track.merge_runs(state, batch).collect()), key=str) == sorted(map(tuple, one_by_one.select(state.columns).collect()), key=str)
+
+
+def test_deep_steps(spark):
+    """Twelve levels, odd values, and what is no definition."""
+    import json
+
+    step = {"id": "s12", "type": "click"}
+    for i in range(11, 0, -1):
+        step = {"id": f"s{i}", "type": "group", ["body", "steps", "detail"][i % 3]: [step, {"id": i, "type": None}]}
+    texts = [("a", json.dumps({"steps": [step, "odd", {"id": "é"}]})), ("b", "{"), ("c", None), ("d", "[1]"), ("e", '{"steps": {"id": 1}}')]
+    got = definitions.walk_steps(spark.createDataFrame(texts, "recording_id string, definition_json string")).collect()
+    assert {r.recording_id for r in got} == {"a"} and max(r.depth for r in got) == 11
+    assert [r.step_id for r in got if r.type == "group"] == [f"s{i}" for i in range(1, 12)]
+    assert {r.step_id: r.parent_id for r in got}["s12"] == "s11" and {r.step_id: r.parent_id for r in got}["11"] == "s11"
+    assert [(r.path, r.step_id, r.step_json) for r in got if r.depth == 0][1:] == [([1], None, "odd"), ([2], "é", '{"id":"é"}')]
+    twice = [("x", json.dumps({"steps": [step, {"id": "s12", "type": "scroll", "mode": "by"}]}))]
+    problems = {(r.step_id, r.problem) for r in definitions.lint_definitions(spark.createDataFrame(twice, "recording_id string, definition_json string")).collect()}
+    assert problems == {("s12", "step id is used twice"), ("s12", "scroll by needs an amount")}
+
+
+def test_rare_schedules(spark):
+    rows = [("leap", "0 0 29 2 *"), ("leap sunday", "0 0 29 2 */7"), ("never", "0 0 30 2 *"), ("monthly", "5 4 31 * *")]
+    df = spark.createDataFrame([(i, c, None) for i, c in rows], "schedule_id string, cron string, timezone string")
+    got = {}
+    for r in schedules.fire_times(df, F.lit("2024-03-01").cast("timestamp"), most=2).collect():
+        got.setdefault(r.schedule_id, []).append(r.fire_at)
+    assert sorted(got["leap"]) == [dt.datetime(2028, 2, 29), dt.datetime(2032, 2, 29)] and "never" not in got
+    assert sorted(got["leap sunday"])[0] == dt.datetime(2032, 2, 29) and sorted(got["monthly"]) == [dt.datetime(2024, 3, 31, 4, 5), dt.datetime(2024, 5, 31, 4, 5)]
+
+
+def test_selectors(spark):
+    """Chains, places, attributes and nested elements; what isn't understood is an error."""
+    html = "<div id=top><section class='a b'><p>one</p><p data-x='1'>two <b>bold</b></p></section><section class=b><div><p>three</p></div></section></div><br>tail"
+    nodes = extract.with_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+
+    def found(kind, value, **more):
+        scope = F.element_at("nodes", 1)
+        return nodes.select(F.transform(extract.matches(F.col("nodes"), scope, {"kind": kind, "value": value, **more}), lambda n: n["text"])).first()[0]
+
+    assert found("css", "section.a > p") == ["one", "two bold"] and found("css", "#top p") == ["one", "two bold", "three"] and found("css", "section > p:nth-child(2)[data-x='1']") == ["two bold"]
+    assert found("css", ".b div p") == ["three"] and found("css", "div > p") == ["three"] and found("css", "b p") == [] and found("css", "*[data-x]") == ["two bold"]
+    assert found("xpath", "//section[2]//p") == ["three"] and found("xpath", "./div/section[1]/p[1]") == ["one"]
+    assert found("text", "BOLD") == ["bold"] and found("text", "three", exact=True) == ["three"]
+    for kind, value in (("css", "p:hover"), ("css", "a ~ b"), ("xpath", "//p[@x]"), ("odd", "x")):
+        try:
+            found(kind, value)
+        except ValueError:
+            continue
+        raise AssertionError(value)
+    deep = extract.with_nodes(spark.createDataFrame([(1, "<div>" * 3000 + "x")], "page_id long, html string")).select(F.size("nodes")).first()[0]
+    assert deep == 3001
+
+
+def test_coalesced_actions_equal_a_fold_of_whole_sessions(spark, sf_dir):
+    """The stretches of the query against a plain fold of each session's rows, in order."""
+    from tidemark.registry import postings
+
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    actions, navigations = postings._actions(read), postings._navigations(read)
+    caused = {(r.session_id, r.idx) for r in clicks.attribute_navigations(actions, navigations).collect()}
+    sessions = {}
+    for r in actions.collect():
+        sessions.setdefault(r.session_id, []).append({**r.asDict(), "navigated": True if (r.session_id, r.idx) in caused else None})
+    want = []
+    for rows in sessions.values():
+        rows.sort(key=lambda r: (r["at"], r["idx"]))
+        for row, after in zip(rows, [*rows[1:], {}], strict=True):
+            row["__skipped"] = row["kind"] == "step" and row["step_type"] == "press" and row["key"] == "Tab" and after.get("kind") == "step" and after.get("has_target") is True
+        want += [(r["session_id"], r["idx"], r["at"], r["value"], r["amount"], r["mode"]) for r in clicks._folded(rows)]
+    got = clicks.coalesce_actions(actions, navigations)
+    assert sorted(((r.session_id, r.idx, r.at, r.value, r.amount, r["mode"]) for r in got.collect()), key=str) == sorted(want, key=str)

@@ -74,12 +74,12 @@ def w3_merged_state(read):
     return track.merge_job_state(state, batch).select(*track.KEY, "flag", "value", "first_seen_at", F.col("closed_at").isNotNull().alias("closed"))
 
 
-@query(_S + f""", {_BEFORE} select count(*) as postings, count(*) filter (last_run = 15) as on_last_day from before""")
+@query(_S + "select recording_id, dedup_key, arg_max(content_hash, run_seq) as content_hash, min(ts) as first_seen_at, max(ts) as last_seen_at, max(run_seq) = 15 as seen from s where run_seq <= 15 group by all")
 def s12_upserted(read):
     state = _state(read, 14)
     batch = _sightings(read).where("run_seq = 15").withColumns({"seen_at": F.col("ts"), "posted_at": F.col("ts")})
     after = sinks.upsert_jobs(state, batch)
-    return after.agg(F.count("*").alias("postings"), F.count_if(F.dayofmonth("last_seen_at") == 15).alias("on_last_day"))
+    return after.select(*track.KEY, "content_hash", "first_seen_at", "last_seen_at", (F.dayofmonth("last_seen_at") == 15).alias("seen"))
 
 
 _CLOSED = """, r as (select *, sum(case when status = 'succeeded' then 1 else 0 end) over (partition by recording_id order by run_seq) as upto from runs),
@@ -173,16 +173,12 @@ def j5_board_overview(read):
     return track.board_overview(_boards(read), jobs, _order_runs(read)).select("recording_id", "open_jobs", "last_run_id", "last_status")
 
 
-@query(_ORDERS + """, busy as (select distinct domain from r where status = 'running' and run_seq % 40 = 0) select run_seq from (select run_seq, domain from r where status = 'queued' and domain not in (select domain from busy) qualify row_number() over (partition by domain order by run_seq) = 1)
- order by run_seq limit greatest(0, 30 - (select count(*) from r where status = 'running' and run_seq % 40 = 0 and run_seq < 2000))::int""")
+@query(_ORDERS + """, busy as (select distinct domain from r where status = 'running') select run_seq from (select run_seq, domain from r where status = 'queued' and domain not in (select domain from busy) qualify row_number() over (partition by domain order by run_seq) = 1)
+ order by run_seq limit 30""")
 def j6_claimable_runs(read):
     runs = _order_runs(read)
-    running = runs.where("status = 'running' and run_seq % 40 = 0")
-    few = running.where("run_seq < 2000").unionByName(running.where("run_seq >= 2000").withColumn("status", F.lit("done")))
-    # boards on the domains of the older ones are busy as well, but only the newer count against the limit
-    busy = running.select("domain").distinct()
-    queued = runs.where("status = 'queued'").join(busy, "domain", "left_anti")
-    return track.claimable_runs(queued.unionByName(few.select(queued.columns)), 30).select("run_seq")
+    # room for all that are running and for 30 more
+    return track.claimable_runs(runs, 30 + runs.where("status = 'running'").count()).select("run_seq")
 
 
 @query(_ORDERS + "select distinct run_seq as run_id from r where run_seq % 2 = 0 and run_seq not in (select run_seq from r qualify row_number() over (partition by recording_id order by run_seq desc) <= 3)")
@@ -411,11 +407,14 @@ def t5_streamed_timeline(read):
 
     log = _log(read)
     spark, path = log.sparkSession, _folder(log.sparkSession)
-    log.write.parquet(f"{path}/log")
-    source = spark.readStream.schema(log.schema).parquet(f"{path}/log")
+    for odd in (0, 1):  # two files, two batches
+        log.where(F.col("event_id") % 2 == odd).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
     (streams.stream_timeline(source).writeStream.outputMode("complete").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"))
      .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{path}/out/batch=0").select("run_id", "step_id", "starts", "warnings", "errors")
+    # each batch holds the whole result so far
+    batches = spark.read.parquet(f"{path}/out")
+    return batches.join(F.broadcast(batches.agg(F.max("batch").alias("batch"))), "batch").select("run_id", "step_id", "starts", "warnings", "errors")
 
 
 @query(_LOG + "select event_id, run_id from log where event_id > 500")
@@ -442,33 +441,38 @@ def t3_streamed_dedupe(read):
     return spark.read.schema("run_id string, dedup_key string").parquet(f"{path}/out")
 
 
-@query(_S + "select recording_id, dedup_key, arg_max(content_hash, run_seq) as content_hash, min(run_seq) as first_day, max(run_seq) as last_day from s where run_seq <= 4 group by all")
-def t2_streamed_tracking(read):
+_EMPTY = "recording_id string, dedup_key string, content_hash string, posted_at timestamp, first_seen_at timestamp, last_seen_at timestamp, first_seen_run_id string, closed_at timestamp"
+
+
+def _streamed(read, closed: bool):
+    """Sightings of all days as a stream of three files; with closed, the finished runs up to each close what they missed."""
     from tidemark.streaming import streams
 
-    seen = _sightings(read).where("run_seq <= 4").select(*track.KEY, "run_id", "run_seq", "content_hash", F.col("ts").alias("posted_at"), F.col("ts").alias("seen_at"))
+    seen = _sightings(read).select(*track.KEY, "run_id", "run_seq", "content_hash", F.col("ts").alias("posted_at"), F.col("ts").alias("seen_at"))
     spark, path = seen.sparkSession, _folder(seen.sparkSession)
-    for days in ("run_seq <= 2", "run_seq > 2"):  # two files, two batches
-        seen.where(days).coalesce(1).write.mode("append").parquet(f"{path}/seen")
-    empty = spark.createDataFrame([], "recording_id string, dedup_key string, content_hash string, posted_at timestamp, first_seen_at timestamp, last_seen_at timestamp, first_seen_run_id string, closed_at timestamp")
-    table = streams.StateTable(spark, f"{path}/table", empty)
-    source = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/seen")
-    streams.stream_track_jobs(source, table, f"{path}/state").awaitTermination()
-    return table.read().select(*track.KEY, "content_hash", F.dayofmonth("first_seen_at").cast("long").alias("first_day"), F.dayofmonth("last_seen_at").cast("long").alias("last_day"))
+    table = streams.StateTable(spark, f"{path}/table", spark.createDataFrame([], _EMPTY), buckets=8)
+    runs = _runs(read).withColumn("status", F.lit("succeeded"))
+    for low, high in ((0, 10), (10, 20), (20, 31)):
+        seen.where((F.col("run_seq") > low) & (F.col("run_seq") <= high)).coalesce(1).write.mode("append").parquet(f"{path}/seen")
+        source = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/seen")
+        streams.stream_track_jobs(source, table, f"{path}/tracked").awaitTermination()
+        if closed:
+            past = F.col("run_seq") <= high
+            last = runs.where(past).groupBy("recording_id").agg(F.lit("succeeded").alias("status"), F.lit(f"2024-03-{high}").cast("timestamp").alias("finished_at"))
+            last.coalesce(1).write.mode("append").parquet(f"{path}/finished")
+            finished = spark.readStream.schema(last.schema).parquet(f"{path}/finished")
+            streams.stream_close(finished, table, seen.where(past), runs.where(past), f"{path}/closed", n=3).awaitTermination()
+    return table.read()
+
+
+@query(_S + "select recording_id, dedup_key, arg_max(content_hash, run_seq) as content_hash, min(run_seq) as first_day, max(run_seq) as last_day from s group by all")
+def t2_streamed_tracking(read):
+    return _streamed(read, closed=False).select(*track.KEY, "content_hash", F.dayofmonth("first_seen_at").cast("long").alias("first_day"), F.dayofmonth("last_seen_at").cast("long").alias("last_day"))
 
 
-@query(_S + f""", {_BEFORE}, newest as (select recording_id, min(run_seq) as least, count(*) as n from (select * from runs where run_seq <= 15 qualify row_number() over (partition by recording_id order by run_seq desc) <= 3) group by 1)
- select recording_id, dedup_key, n = 3 and last_run < least as closed from before join newest using (recording_id)""")
+# closed at the first look that finds a posting in none of its board's three newest runs, if it isn't seen after that
+@query(_S + """, looks as (select unnest([10, 20, 31]) as look), newest as (select recording_id, look, min(run_seq) as oldest from (select runs.*, look from runs, looks where run_seq <= look qualify row_number() over (partition by recording_id, look order by run_seq desc) <= 3) group by all having count(*) = 3),
+ last as (select recording_id, dedup_key, max(run_seq) as last_day from s group by all), shut as (select l.recording_id, l.dedup_key, min(look) as look from last l join newest n on n.recording_id = l.recording_id and l.last_day <= n.look and l.last_day < n.oldest group by all)
+ select recording_id, dedup_key, timestamp '2024-03-01' + to_days(cast(look as integer) - 1) as closed_at from last left join shut using (recording_id, dedup_key)""")
 def t4_streamed_closing(read):
-    from tidemark.streaming import streams
-
-    state = _state(read, 15).withColumn("closed_at", F.lit(None).cast("timestamp"))
-    spark, path = state.sparkSession, _folder(state.sparkSession)
-    table = streams.StateTable(spark, f"{path}/table", state.limit(0))
-    table.write(state, 0)
-    runs = _runs(read).where("run_seq <= 15").withColumn("status", F.lit("succeeded"))
-    last = runs.groupBy("recording_id").agg(F.lit("succeeded").alias("status"), F.lit("2024-01-16").cast("timestamp").alias("finished_at"))
-    last.write.parquet(f"{path}/finished")
-    source = spark.readStream.schema(last.schema).parquet(f"{path}/finished")
-    streams.stream_close(source, table, _sightings(read), runs, f"{path}/state", n=3).awaitTermination()
-    return table.read().select(*track.KEY, F.col("closed_at").isNotNull().alias("closed"))
+    return _streamed(read, closed=True).select(*track.KEY, "closed_at")

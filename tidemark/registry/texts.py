@@ -31,7 +31,10 @@ def c22_url_patterns(read):
     return read("pages").select("page_id", urls.url_wait_pattern(F.col("url")).alias("pattern"))
 
 
-@query(r"select page_id, regexp_matches(url, '^.*/en/[^/]*$') as hit, true as own from pages")
+# a * is anything but a slash, ** anything, all else stands for itself
+@query(rf"""select page_id, regexp_full_match(url, '.*/en/[^/]*') as hit, regexp_full_match(url, replace(replace(replace(regexp_escape(pattern), '\*\*', chr(1)), '\*', '[^/]*'), chr(1), '.*')) as own
+from (select page_id, url, '**' || p || case when url like '%?%' then '?*' when url like '%#_%' then '#**' when p like '%*' then '' else '*' end as pattern
+from (select page_id, url, array_to_string(list_transform(string_split({_PATH}, '/'), lambda s: case when regexp_matches(s, '^[0-9]+$|[0-9]{{4,}}|^[0-9a-fA-F]{{8,}}$') or length(s) > 40 then '*' else s end), '/') as p from pages))""")
 def c23_glob_matches(read):
     url = F.col("url")
     return read("pages").select("page_id", urls.glob_matches(F.lit("**/en/*"), url).alias("hit"), urls.glob_matches(urls.url_wait_pattern(url), url).alias("own"))
@@ -60,10 +63,12 @@ def c25_csv_cells(read):
     return read("documents").select("doc_id", text.csv_cell(F.col("text")).alias("cell"))
 
 
+# the words of each text's first half against those of its second
 @query(r"""select doc_id, case when len(a) = 0 or len(b) = 0 then 0.0 else round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 9) end as similarity from (select doc_id,
- list_distinct(regexp_extract_all(lower(text[1:400]), '[\p{L}\p{N}]+')) as a, list_distinct(regexp_extract_all(lower(text[401:800]), '[\p{L}\p{N}]+')) as b from documents)""")
+ list_distinct(regexp_extract_all(lower(text[1:length(text) // 2]), '[\p{L}\p{N}]+')) as a, list_distinct(regexp_extract_all(lower(text[length(text) // 2 + 1:]), '[\p{L}\p{N}]+')) as b from documents)""")
 def c20_text_similarity(read):
-    a, b = F.substring("text", 1, 400), F.substring("text", 401, 400)
+    middle = F.floor(F.length("text") / 2).cast("int")
+    a, b = F.substring("text", F.lit(1), middle), F.substring("text", middle + 1, F.length("text"))
     return read("documents").select("doc_id", F.round(text.text_similarity(a, b), 9).alias("similarity"))
 
 
@@ -151,14 +156,16 @@ def d3_extracted_records(read):
     return got.select("page_id", "item_idx", F.col("fields")["href"].alias("href"), text.null_if_empty(F.col("fields")["label"]).alias("label"), F.size("drift").alias("drifted"))
 
 
-@query("select target, locator, share::double as share, kept from (values ('href', 0, 0.0, false), ('href', 1, 1.0, true), ('label', 0, 1.0, true)) t(target, locator, share, kept)")
+@query(r"""with items as (select unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>(.*?)</li>', 1)) as x from pages),
+ tried as (select 'href' as target, 0 as locator, len(regexp_extract_all(x, 'data-testid="x"')) as n from items union all select 'href', 1, len(regexp_extract_all(x, '<a ')) from items union all select 'label', 0, len(regexp_extract_all(x, '<a |role="link"')) from items),
+ shares as (select target, locator, avg(case when n = 1 then 1.0 else 0.0 end)::double as share from tried group by all) select target, locator, share, share >= 0.6 or max(share) over (partition by target) < 0.6 as kept from shares""")
 def d4_locator_coverage(read):
     return extract.locator_coverage(extract.locator_attempts(read("pages"), _LINK))
 
 
-@query(r"select doc_id, regexp_replace(source, '[^0-9]', '', 'g') as digits, trim(regexp_replace(text, '\s+', ' ', 'g'))[1:50] as opening from documents")
+@query(r"select doc_id, regexp_replace(source, '[^0-9]', '', 'g') as digits, trim(regexp_replace(text, '\s+', ' ', 'g')) as line from documents")
 def d1_transform_chain(read):
-    return read("documents").select("doc_id", definitions.transform_chain(F.col("source"), ["trim", r"regex:src(\d+)"]).alias("digits"), F.substring(definitions.transform_chain(F.col("text"), ["collapseWhitespace", "trim"]), 1, 50).alias("opening"))
+    return read("documents").select("doc_id", definitions.transform_chain(F.col("source"), ["trim", r"regex:src(\d+)"]).alias("digits"), definitions.transform_chain(F.col("text"), ["collapseWhitespace", "trim"]).alias("line"))
 
 
 @query(f"select page_id, {_ORIGIN} || '/jobs/' || page_id as url, case when page_id % 11 = 0 then 'empty: title' end as item_error from pages")
@@ -222,6 +229,17 @@ def s7_shape_errors(read):
     return feeds.feed_shape_errors(_payloads(read, "ashby"), "ashby").select("recording_id", "reason")
 
 
+@query("select cast(s_nationkey as varchar) as recording_id, count(*) as records from supplier where s_nationkey % 7 <> 3 group by 1")
+def d7_registered_adapter(read):
+    """A provider that comes with its own reader: entries are names only."""
+
+    def names(payloads):
+        return payloads.select("recording_id", F.posexplode(F.from_json("body", "array<struct<id: string, text: string>>")).alias("item_idx", "entry"))
+
+    feeds.register_adapter("names", names)
+    return feeds.read_feeds(_payloads(read, "lever").where("recording_id % 7 <> 3"), "names").groupBy("recording_id").agg(F.count("*").alias("records"))
+
+
 @query("""select s_suppkey, case s_suppkey % 3 when 0 then 'https://boards-api.greenhouse.io/v1/boards/a%20b' || s_suppkey || '/jobs?content=true&pay_transparency=true' when 1 then 'https://api.lever.co/v0/postings/a%20b' || s_suppkey || '?mode=json' else 'https://api.ashbyhq.com/posting-api/job-board/a%20b' || s_suppkey || '?includeCompensation=true' end as feed_url from supplier""")
 def s8_feed_urls(read):
     k = F.col("s_suppkey")
@@ -257,11 +275,15 @@ def f2_search_phrase(read):
     return search.search_jobs(_jobs(read), "Public-Licen gén").select("job_id")
 
 
-@query(rf"select 'license' as token, count(*) as postings from documents where regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])license([^\p{{L}}\p{{N}}]|$)')")
+@query(rf"select doc_id as job_id from documents where regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])of[^\p{{L}}\p{{N}}]+th') and regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])er') and regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])t')")
 def f3_refreshed_index(read):
+    """A stored index, half of it made anew, searched by its prefixes: the same hits as without one."""
+    from tidemark.registry.postings import _folder
+
     jobs = _jobs(read)
-    fresh = search.refresh_index(search.search_index(jobs), jobs.where("job_id % 2 = 0"))
-    return fresh.where("token = 'license'").groupBy("token").agg(F.countDistinct("job_id").alias("postings"))
+    path = _folder(jobs.sparkSession)
+    search.refresh_index(search.search_index(jobs), jobs.where("job_id % 2 = 0")).write.partitionBy("prefix").parquet(path)
+    return search.search_jobs(jobs, "Of-th ér T", index=jobs.sparkSession.read.option("basePath", path).schema("job_id long, field int, pos int, token string, prefix string").parquet(path)).select("job_id")
 
 
 _SEEN = "to_timestamp(1700000000 + doc_id % 97 * 3600)::timestamp"
@@ -291,11 +313,20 @@ def f8_resolved_ref(read):
     return search.resolve_ref(suppliers, first[0] if first else "", name="s_name").select("s_suppkey", "s_name", "status")
 
 
-@query(r"""select doc_id, case when regexp_matches(g, '[",\n\r]') then '"' || replace(g, '"', '""') || '"' else g end || ',' || source || ',' || lang || ',' || n_chars as line from (select *, case when regexp_matches(text, '^[=+\-@\t\r]') then '''' || text else text end as g from documents)""")
+# the newest rows of an export (its limit is a feature) as lines of the file; a line feed inside a title is no line's end
+@query(r"""select case when regexp_matches(g, '[",\n\r]') then '"' || replace(g, '"', '""') || '"' else g end || ',' || source || ',' || lang || ',' || case when doc_id % 3 = 0 then 'remote' else 'onsite' end || ',,,,,,,,' || doc_id || ',,,,' || source as line
+from (select *, case when regexp_matches(t, '^[=+\-@\t\r]') then '''' || t else t end as g from (select *, text[1:60] as t from documents) order by doc_id % 97 desc, doc_id desc limit 5000)
+union all select 'title,company,location,remote,salaryText,salaryMin,salaryMax,salaryCurrency,salaryPeriod,employmentType,postedAt,url,firstSeenAt,lastSeenAt,closedAt,recordingId'""")
 def s9_csv_lines(read):
-    d = read("documents")
-    cells = [text.csv_cell(F.col(c).cast("string")) for c in ("text", "source", "lang", "n_chars")]
-    return d.select("doc_id", F.concat_ws(",", *cells).alias("line"))
+    from tidemark.registry.postings import _folder
+    from tidemark.sources import sinks
+
+    jobs = _jobs(read)
+    full = jobs.withColumns({c: F.lit(None).cast("string") for c in sinks.EXPORT_COLUMNS if c not in jobs.columns}).withColumn("url", F.col("job_seq").cast("string"))
+    path = _folder(jobs.sparkSession)
+    # times are left out of the comparison, not of the order
+    sinks.write_jobs_csv(full, path, limit=5000, blank=("first_seen_at", "closed_at"))
+    return jobs.sparkSession.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
 
 
 @query(f"""select page_id, {_ORIGIN} || '/up' as above, {_ORIGIN} || '/jobs/' || page_id || '?a=1' as rooted, {_ORIGIN} || {_PATH} || '?next' as asked, cast(null as varchar) as mail from pages""")
@@ -317,11 +348,11 @@ def f6_compact_fields(read):
     return d.select("doc_id", F.array_sort(F.map_keys(fields)).alias("names"))
 
 
-@query("select count(*) as groups, max(n) as most from (select count(*) as n from pages group by regexp_extract(html, '<title>(.*?)</title>', 1, 's'), page_id % 3)")
+# the hash is of JSON text with the columns and the sorted custom fields, nulls included
+@query(r"""select page_id, sha256('{"title":' || to_json(regexp_extract(html, '<title>(.*?)</title>', 1, 's')) || ',"custom":[{"key":"a","value":null},{"key":"b","value":"' || page_id % 3 || '"}]}') as content_hash from pages""")
 def c13_content_hashes(read):
-    """Postings with the same content have the same hash, and others another one."""
-    rows = read("pages").select(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.create_map(F.lit("b"), (F.col("page_id") % 3).cast("string"), F.lit("a"), F.lit(None).cast("string")).alias("custom"))
-    return rows.groupBy(normalize.content_hash(F.col("custom"), ["title"]).alias("h")).agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.max("n").alias("most"))
+    rows = read("pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.create_map(F.lit("b"), (F.col("page_id") % 3).cast("string"), F.lit("a"), F.lit(None).cast("string")).alias("custom"))
+    return rows.select("page_id", normalize.content_hash(F.col("custom"), ["title"]).alias("content_hash"))
 
 
 @query("select doc_id as job_seq, source as recording_id from documents order by doc_id % 97 desc, doc_id desc limit 200")
