@@ -78,12 +78,15 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base modulo 2**64, and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, inverse)]
-    return _powers[0], _powers[1]
+    """Powers of the base modulo 2**64, and of its inverse. What is kept follows the size of a block, not the longest text."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    size = max(n, BLOCK_BYTES + 1)
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    tables = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, inverse)]
+    if size == BLOCK_BYTES + 1:
+        _powers[:] = tables
+    return tables[0], tables[1]
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -96,20 +99,42 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """Hashes of any spans of a block's bytes, whatever their case, in one array operation each."""
+    """Hashes of spans of a block's bytes, in order of their begin and whatever their case, in a few array operations."""
 
     def __init__(self, data: np.ndarray) -> None:
-        up, self._down = _power_tables(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((lowered(data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
+        self._data, self._sums = data, None
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self._sums[end] - self._sums[begin]) * self._down[begin]
+        if len(self._data) <= BLOCK_BYTES:
+            if self._sums is None:
+                self._sums = _prefix_sums(self._data)
+            return self._hashed(self._sums, begin, end)
+        # a long text a stretch at a time
+        out = np.empty(len(begin), np.uint64)
+        i = 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + BLOCK_BYTES // 2)))
+            low, high = int(begin[i]), int(end[i:j].max())
+            out[i:j] = self._hashed(_prefix_sums(self._data[low:high]), begin[i:j] - low, end[i:j] - low)
+            i = j
+        return out
+
+    @staticmethod
+    def _hashed(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        down = _power_tables(len(sums))[1]
+        h = (sums[end] - sums[begin]) * down[begin]
         h ^= h >> np.uint64(31)
         h *= _MIX
         return h ^ (h >> np.uint64(29))
 
 
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    up = _power_tables(len(data) + 1)[0]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((lowered(data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return sums
+
+
 def letter_grams(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A bucket for each run of three bytes of letters and single spaces, and the row it is in."""
     plain = _LETTERS[lowered(data)]
