@@ -6,12 +6,14 @@ The risk of Kiryo et al. (2017) is minimised: with the class prior p,
     p R+(toxic) + max(0, R-(unlabelled) - p R-(toxic)),
 
 so that the toxic share among the unlabelled texts is not learned as clean, and
-the second part cannot turn negative and overfit. Several classifiers, each with
-another share of the unlabelled texts, are averaged.
+the second part cannot turn negative and overfit. The unlabelled part is a sum
+over all texts: they are written once as sparse features, and every step of the
+descent adds up their part of loss and gradient on the executors. Several
+classifiers, each with another share of the unlabelled texts, are averaged.
 
-Features are hashed words and hashed word beginnings, counted over all texts. Only those that occur
-oftener in toxic than in unlabelled texts by a wide margin, or the reverse, are
-kept, so that a long clean text does not gather a score from chance.
+Features are hashed words and hashed word beginnings, counted over all texts. Only
+those that occur oftener in toxic than in all texts by a wide margin are kept, so
+that a long clean text does not gather a score from chance.
 
 Defined cases: null and empty texts get the score of a text without features;
 null ids are scored like others; without any
@@ -21,6 +23,7 @@ confirmed toxic example every score is 0.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textbytes
+from tidemark.llm.storage import written
+from tidemark.llm.sums import summed_rows
 
 BITS = 20
 #: Bytes of the word beginnings that are features besides the whole word.
@@ -37,23 +42,22 @@ PREFIXES = (4, 5, 6, 7)
 
 @dataclass(frozen=True)
 class Settings:
-    """max_toxic and max_unlabelled bound the rows that the classifiers are fitted on."""
+    """max_toxic bounds the labelled rows that the classifiers are fitted on; the unlabelled ones are all used."""
 
     max_toxic: int = 3000
-    max_unlabelled: int = 6000
     max_features: int = 2048
     min_support: int = 4
     classifiers: int = 3
-    steps: int = 150
-    rate: float = 0.1
+    steps: int = 40
+    rate: float = 0.3
     decay: float = 1.5e-4
     threshold: float = 0.7
-    broadcast_rows: int = 200_000
+    rows_a_task: int = 200_000
 
 
 @dataclass(frozen=True)
 class Model:
-    slots: np.ndarray  # feature bucket -> column, -1 for none
+    chosen: np.ndarray  # feature bucket of each column
     weights: np.ndarray  # classifier x (columns, bias)
     prior: float
     threshold: float
@@ -62,8 +66,9 @@ class Model:
         out = np.zeros(len(column))
         if not len(self.weights):
             return out
+        slots = _slots(self.chosen.tobytes())
         for first, data, at in textbytes.blocks(column):
-            rows, cols, counts = _counts(data, at, self.slots)
+            rows, cols, counts = _counts(data, at, slots)
             value = np.log1p(counts)
             for w in self.weights:
                 logit = np.bincount(rows, w[cols] * value, minlength=len(at) - 1) + w[-1]
@@ -71,6 +76,15 @@ class Model:
         return out / len(self.weights)
 
 
+@lru_cache(maxsize=2)
+def _slots(chosen: bytes) -> np.ndarray:
+    """Feature bucket -> column, -1 for none; made in each worker, so that only the chosen buckets travel."""
+    out = np.full(1 << BITS, -1, np.int16)
+    buckets = np.frombuffer(chosen, np.int64)
+    out[buckets] = np.arange(len(buckets))
+    return out
+
+
 def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of every feature."""
     begin, end, row = textbytes.word_spans(data, at)
@@ -88,52 +102,74 @@ def _counts(data: np.ndarray, at: np.ndarray, slots: np.ndarray | None = None) -
     bucket, row = _features(data, at)
     if slots is not None:
         bucket = slots[bucket]
-        bucket, row = bucket[bucket >= 0], row[bucket >= 0]
+        bucket, row = bucket[bucket >= 0].astype(np.int64), row[bucket >= 0]
     key, n = np.unique((row << BITS) | bucket, return_counts=True)
     return key >> BITS, key & ((1 << BITS) - 1), n
 
 
-def _supports(texts: DataFrame, text: str, flag: str) -> DataFrame:
-    """bucket, in_toxic, in_all: how many rows, toxic and all, have each feature. Rows are summed in each task first."""
+def _supports(texts: DataFrame, text: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """bucket, n: how many texts have each feature (of those wanted). Texts are summed in each task first."""
 
     def run(batches):
-        n = np.zeros((2, 1 << BITS), np.int64)
+        n = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            toxic = np.asarray(batch.column(1).to_pylist(), bool)
-            for first, data, at in textbytes.blocks(batch.column(0)):
-                rows, cols, _ = _counts(data, at)
-                np.add.at(n[1], cols, 1)
-                np.add.at(n[0], cols[toxic[first + rows]], 1)
+            for _, data, at in textbytes.blocks(batch.column(0)):
+                n += np.bincount(_counts(data, at)[1], minlength=1 << BITS)
+        if wanted is not None:
+            n[np.unpackbits(wanted) == 0] = 0
         for i in range(0, 1 << BITS, 1 << 16):
-            at = i + np.flatnonzero(n[1, i : i + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "in_toxic", "in_all"])
+            at = i + np.flatnonzero(n[i : i + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
+
+    return texts.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Sparse rows: the features of all of them on end, and which classifier each row belongs to."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    part: np.ndarray
 
-    parts = texts.select(text, flag).mapInArrow(run, "bucket int, in_toxic long, in_all long")
-    return parts.groupBy("bucket").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_all").alias("in_all"))
+    def risk(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows of each classifier: summed loss of calling them clean, its gradient, and how many they are."""
+        k, width = w.shape
+        own = self.part[self.row]
+        logit = np.bincount(self.row, w[own, self.col] * self.value, minlength=len(self.part)) + w[self.part, -1]
+        p = _sigmoid(logit)
+        grad = np.bincount(own * width + self.col, p[self.row] * self.value, minlength=k * width).reshape(k, width)
+        grad[:, -1] = np.bincount(self.part, p, minlength=k)
+        loss = np.bincount(self.part, -np.log(np.maximum(1 - p, 1e-12)), minlength=k)
+        return loss, grad, np.bincount(self.part, minlength=k).astype(float)
 
 
-def _sparse(df: DataFrame, key: str, text: str, slots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Columns and counts of the chosen features in each row of a bounded sample, in order of the rows' hash."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _sparse(texts: DataFrame, key: str, text: str, chosen: np.ndarray, classifiers: int) -> DataFrame:
+    """row, col, value, part (binary): the chosen features of the texts, some hundred rows in each record."""
+    sought = chosen.tobytes()
 
     def run(batches):
+        slots = _slots(sought)
         for batch in batches:
-            column, feats, nums = batch.column(0), [], []
-            for _, data, at in textbytes.blocks(column):
+            dealt, out = batch.column(1).to_numpy().view(np.uint64) % np.uint64(classifiers), []
+            for first, data, at in textbytes.blocks(batch.column(0)):
                 rows, cols, n = _counts(data, at, slots)
-                cut = np.searchsorted(rows, np.arange(1, len(at) - 1))
-                feats += [x.astype(np.int32).tobytes() for x in np.split(cols, cut)]
-                nums += [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(n, cut)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(feats, pa.binary()), pa.array(nums, pa.binary())], names=["h", "f", "n"])
+                part = dealt[first : first + len(at) - 1].astype(np.int8)
+                out.append((rows.astype(np.int32).tobytes(), cols.astype(np.int16).tobytes(), np.log1p(n).astype(np.float32).tobytes(), part.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in list(zip(*out, strict=True)) or [()] * 4], names=["row", "col", "value", "part"])
 
-    got = df.select(F.col(text), F.xxhash64(F.col(key), F.col(text)).alias("h")).mapInArrow(run, "h long, f binary, n binary").collect()
-    return [(np.frombuffer(f, np.int32), np.frombuffer(n, np.uint16)) for _, f, n in sorted(tuple(r) for r in got)]
+    return texts.select(F.col(text), F.xxhash64(F.col(key), F.col(text)).alias("h")).mapInArrow(run, "row binary, col binary, value binary, part binary")
 
 
-def _dealt(df: DataFrame, n: int, key: str, limit: int) -> DataFrame:
-    """About limit of the n rows at most, dealt by the hash of their key: the same rows in any run."""
-    if n <= limit:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * limit / n))
+def _rows(record) -> Rows:
+    kinds = (np.int32, np.int16, np.float32, np.int8)
+    row, col, value, part = (np.frombuffer(x, kind) for x, kind in zip(record, kinds, strict=True))
+    return Rows(row, col.astype(np.int64), value, part.astype(np.int64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", toxic: str = "toxic", settings: Settings = Settings()) -> Model:
@@ -144,55 +180,97 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     marks = labels.groupBy(F.col(key)).agg(F.max(toxic).alias("__toxic"))
     counts = marks.agg(F.count("__toxic"), F.sum("__toxic")).first()
     texts = docs.select(key, text).where(F.col(text).isNotNull())
-    slots = np.full(1 << BITS, -1, np.int32)
+    none = Model(np.zeros(0, np.int64), np.zeros((0, 1)), 0.0, settings.threshold)
     if not counts[1]:
-        return Model(slots, np.zeros((0, 1)), 0.0, settings.threshold)
-    ids = marks.where("__toxic = 1").select(key, F.lit(True).alias("__flag"))
-    # few ids are broadcast; more are joined by key
-    ids = F.broadcast(ids) if counts[1] <= settings.broadcast_rows else ids.hint("merge")
-    flagged = texts.join(ids, key, "left").select(key, text, F.coalesce("__flag", F.lit(False)).alias("__flag"))
-    n = flagged.agg(F.count("*").alias("n"), F.count_if("__flag").alias("toxic")).first()
-    if not n.toxic:
-        return Model(slots, np.zeros((0, 1)), 0.0, settings.threshold)
+        return none
+    ids = marks.where("__toxic = 1").select(key)
+    # how many ids there are follows the labels: joined by key, never broadcast
+    flagged = written(texts.join(ids.hint("merge"), key, "left_semi"), "toxic")
+    n_toxic, n_all = flagged.count(), texts.count()
+    if not n_toxic:
+        return none
     prior = min(0.9, counts[1] / counts[0])
-    p, u = (F.col("in_toxic") + 0.5) / (n.toxic + 1), (F.col("in_all") + 0.5) / (n.n + 1)
-    best = _supports(flagged, text, "__flag").where(F.col("in_toxic") >= settings.min_support).where(p > 1.5 * u)
-    best = best.orderBy((F.log(p / u) * F.sqrt("in_toxic")).desc(), "bucket").limit(settings.max_features)
-    chosen = np.array([r.bucket for r in best.select("bucket").collect()], np.int64)
-    slots[chosen] = np.arange(len(chosen))
-    positive = _sparse(_dealt(flagged.where("__flag"), n.toxic, key, settings.max_toxic), key, text, slots)
+    often = np.zeros(1 << BITS, np.int64)
+    for r in _supports(flagged, text).where(F.col("n") >= settings.min_support).toLocalIterator():
+        often[r.bucket] = r.n
+    # only features of toxic texts are counted in all texts: at most 2**BITS buckets, whatever the corpus
+    counted = _supports(texts, text, np.packbits(often > 0))
+    known = np.zeros(1 << BITS, np.int64)
+    for r in counted.toLocalIterator():
+        known[r.bucket] = r.n
+    p, u = (often + 0.5) / (n_toxic + 1), (known + 0.5) / (n_all + 1)
+    worth = np.where((often > 0) & (p > 1.5 * u), np.log(p / u) * np.sqrt(often), 0)
+    chosen = np.argsort(-worth, kind="stable")[: settings.max_features]
+    chosen = chosen[worth[chosen] > 0].astype(np.int64)
+
+    share = min(1.0, settings.max_toxic / n_toxic)
+    # rows that repeat an id and its text are dealt alike, so they count once there
+    dealt = flagged.where(F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * share)).dropDuplicates([key, text])
+    positive = [_rows(r) for r in _sparse(dealt, key, text, chosen, 1).collect()]
     if not positive:
-        return Model(slots, np.zeros((0, 1)), 0.0, settings.threshold)
-    unlabelled = _sparse(_dealt(texts, n.n, key, settings.max_unlabelled), key, text, slots)
-
-    def matrix(rows):
-        out = np.zeros((len(rows), len(chosen) + 1), np.float32)
-        out[:, -1] = 1
-        for i, (f, n) in enumerate(rows):
-            out[i, f] = np.log1p(n)
-        return out
-
-    known, parts = matrix(positive), [matrix(unlabelled[i :: settings.classifiers] or unlabelled) for i in range(settings.classifiers)]
-    weights = [_nnpu(known, part, prior, settings) for part in parts]
-    return Model(slots, np.array(weights), prior, settings.threshold)
+        return none
+    # a few tasks for each step of the descent, more for more texts
+    tasks = max(4, n_all // settings.rows_a_task)
+    sparse = written(_sparse(texts, key, text, chosen, settings.classifiers).repartition(tasks), "sparse")
+    shape = (settings.classifiers, len(chosen) + 3)
+
+    def unlabelled(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def run(batches):
+            total = np.zeros(shape)
+            for batch in batches:
+                for record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    loss, grad, n = _rows(record).risk(w)
+                    total += np.column_stack([grad, loss, n])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["data"])
+
+        got = summed_rows(sparse.mapInArrow(run, "data binary"), shape, sums=max(1, round(tasks**0.5) // 2))
+        return got[:, -2], got[:, :-2], got[:, -1]
+
+    return Model(chosen, nnpu(positive, unlabelled, prior, len(chosen) + 1, settings), prior, settings.threshold)
+
+
+def nnpu_gradient(of_toxic: tuple[np.ndarray, np.ndarray, np.ndarray], of_unlabelled: tuple[np.ndarray, np.ndarray, np.ndarray], on_toxic: tuple[np.ndarray, np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Risk and descent direction of each classifier.
+
+    of_toxic and of_unlabelled: loss, gradient and number of the rows, as clean ones;
+    on_toxic: loss and gradient of the toxic rows as toxic ones. Where the corrected
+    risk of the clean class is negative, the direction goes up in it instead, which
+    is the rule of the non-negative estimator.
+    """
+    loss_t, grad_t, n_t = of_toxic
+    loss_u, grad_u, n_u = of_unlabelled
+    n_u = np.maximum(n_u, 1)
+    excess = loss_u / n_u - prior * loss_t / n_t
+    negative = grad_u / n_u[:, None] - prior * grad_t / n_t[:, None]
+    toxic = prior * on_toxic[1] / n_t[:, None]
+    return prior * on_toxic[0] / n_t + np.maximum(0, excess), np.where(excess[:, None] >= 0, toxic + negative, -negative)
+
+
+def nnpu(positive: list[Rows], unlabelled, prior: float, width: int, s: Settings) -> np.ndarray:
+    """Minimise the non-negative risk with logistic loss by Adam on all rows; one row of weights for each classifier."""
+    w = np.zeros((s.classifiers, width))
+    w[:, -1] = np.log(prior / (1 - prior))
+    m, v = np.zeros_like(w), np.zeros_like(w)
 
+    def over_toxic(w: np.ndarray):
+        as_clean, as_toxic = [np.zeros(len(w)), np.zeros(w.shape), np.zeros(len(w))], [np.zeros(len(w)), np.zeros(w.shape)]
+        for rows in positive:
+            for k in range(len(w)):  # the toxic rows are all of every classifier
+                for sign, total in ((1, as_clean), (-1, as_toxic)):
+                    loss, grad, n = rows.risk(sign * w[k : k + 1])
+                    total[0][k] += loss[0]
+                    total[1][k] += sign * grad[0]
+                    if sign > 0:
+                        total[2][k] += n[0]
+        return tuple(as_clean), tuple(as_toxic)
 
-def _nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Settings) -> np.ndarray:
-    """Minimise the non-negative risk with logistic loss by Adam on all rows."""
-    w = np.zeros(positive.shape[1], np.float32)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, s.steps + 1):
-        sp, su = sigmoid(positive @ w), sigmoid(unlabelled @ w)
-        loss_minus = lambda q: -np.log(np.maximum(1 - q, 1e-12)).mean()
-        for_positive = positive.T @ (sp - 1) / len(sp) * prior
-        negative = unlabelled.T @ su / len(su) - prior * (positive.T @ sp) / len(sp)
-        excess = loss_minus(su) - prior * loss_minus(sp)
-        grad = for_positive + negative if excess >= 0 else -negative
-        grad = grad + s.decay * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - s.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        as_clean, as_toxic = over_toxic(w)
+        _, grad = nnpu_gradient(as_clean, unlabelled(w), as_toxic, prior)
+        grad[:, :-1] += s.decay * w[:, :-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        rate = s.rate * min(1.0, 2 * (1 - step / (s.steps + 1)))
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w
 
 
