@@ -94,13 +94,16 @@ def _lettered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 800, epochs: int = 30, reg: float = 1e-4) -> Model:
-    """Train on about rows_per_language texts of each language, dealt by the hash of their key."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.lit(7)).alias("h"), F.xxhash64(text).alias("t"))
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 800, max_rows: int = 4000, epochs: int = 30, reg: float = 1e-4) -> Model:
+    """Train on about rows_per_language texts of each language (fewer if that were over max_rows of all), dealt by the hash of key and text.
+
+    Rows that repeat a key and its text count once among those dealt.
+    """
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text), F.lit(7)).alias("h"), F.xxhash64(text).alias("t"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    part = F.lit(False)
+    part, most = F.lit(False), min(rows_per_language, max_rows // max(1, len(counts)))
     for name, n in counts.items():
-        part = part | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1, rows_per_language / n))))
+        part = part | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1, most / n))))
 
     def grams(batches):
         for batch in batches:
@@ -108,19 +111,19 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
             for _, data, at in textbytes.blocks(batch.column(0)):
                 bucket, row = textbytes.letter_grams(data, at, BITS)
                 for i in range(len(at) - 1):
-                    n = np.minimum(np.bincount(bucket[row == i], minlength=1 << BITS), 65535)
+                    n = np.bincount(bucket[row == i], minlength=1 << BITS)
                     # the buckets that occur, then their counts
-                    out.append(np.concatenate([b := np.flatnonzero(n), n[b]]).astype(np.uint16).tobytes() if n.any() else None)
+                    out.append(np.concatenate([b := np.flatnonzero(n), n[b]]).astype(np.uint32).tobytes() if n.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(out, pa.binary())], names=["lang", "h", "t", "f"])
 
-    rows = known.where(part).mapInArrow(grams, "lang string, h long, t long, f binary").where("f is not null").collect() if counts else []
+    rows = known.where(part).dropDuplicates(["lang", "h", "t"]).mapInArrow(grams, "lang string, h long, t long, f binary").where("f is not null").collect() if counts else []
     rows.sort(key=lambda r: (r.h, r.t, r.lang))
     langs = sorted({r.lang for r in rows})
     if not rows:
         return Model([], {}, {}, np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     x, y = np.zeros((len(rows), 1 << BITS), np.float32), np.array([r.lang for r in rows])
     for i, r in enumerate(rows):
-        bucket, n = np.frombuffer(r.f, np.uint16).reshape(2, -1)
+        bucket, n = np.frombuffer(r.f, np.uint32).reshape(2, -1)
         x[i, bucket] = n
     del rows
     x /= x.sum(1, keepdims=True)
