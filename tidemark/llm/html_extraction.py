@@ -1,17 +1,25 @@
 """Main text of web pages by site template removal.
 
-Every element subtree has a hash of its tag, class, id, text and children. Spark
-counts per host on how many different pages a subtree occurs; subtrees that recur
-on many of them are the site's template and are deleted. What names itself as
-furniture (menus, footers, forms, adverts, comments ...) goes on any page.
-
-Copies of one page count once, and neither an element that holds an article, nor
-a plain paragraph inside one, nor a large part of a page's text is ever a
-template: repeated pages and sentences keep their text.
+Every element subtree gets two hashes: of its content (tag, class, id, text and
+children) and of its slot (the tags, classes and ids on the way to it, what its
+children are, and whether most of its text is links), which a menu or footer keeps
+while its words vary from page to page. Spark counts both on the different pages
+of each host; subtrees that recur on many of them are the site's template and are
+deleted with all they hold.
+
+What recurs but is no template: a slot with a large part of the host's text, an
+element that holds an article, and paragraphs, headings, lists and tables that
+aren't links; repeated pages and repeated sentences keep their text.
+
+Besides, elements that are furniture by their tag or role (menus, footers, forms,
+...) go on any page. A class or id that names furniture is the tie-break where
+counts don't decide: outside an article, on hosts with too few pages to count, and
+inside an article for slots that recur.
 
 Defined cases: null or empty html gives empty text; pages without a host share
 the host ''. Text outside any article or main element counts only where a page
-has none of either.
+has none of either. An unclosed script, style, title, textarea or iframe reaches to
+the end of the page, as in browsers.
 """
 
 from __future__ import annotations
@@ -19,19 +27,25 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import written
+
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object"}
+#: Elements whose content is no markup and no text of the page.
+_RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-_FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "canvas", "audio", "video"}
+_INLINE = {
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "msub", "msup", "mrow", "noscript",
+    "object", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var",
+}
+_FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "canvas", "audio", "video", "template"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 #: Words of a class or id that name furniture.
 _NAMES = set(
@@ -41,103 +55,142 @@ _NAMES = set(
 )
 _HEADER_NAMES = {"header", "siteheader", "topbar"}
 _CONTAINERS = {"article", "main"}
-_PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "blockquote", "pre", "figcaption", "caption"}
+#: Elements of running text: never a template by their slot, unless they are lists of links.
+_PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot", "blockquote", "pre", "figcaption", "caption"}
+_LISTS = {"ul", "ol", "dl", "table", "figure"}
 #: A new one ends an open one (up to the element that holds them).
-_ENDS = {"p": ({"p"}, None), "li": ({"li", "p"}, {"ul", "ol"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"})}
+_ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+
+#: What a recurring subtree is by: its content or its slot.
+BY_CONTENT, BY_SLOT = 0, 1
+
+
+class Templates(NamedTuple):
+    """Hashes that recur on a host. counted: whether the host has enough pages to count."""
+
+    content: frozenset[int] = frozenset()
+    slots: frozenset[int] = frozenset()
+    counted: bool = False
 
 
-@dataclass
 class _Element:
-    tag: str
-    dropped: bool
-    container: str
-    sign: str
-    parts: list[bytes] = field(default_factory=list)
-    chars: int = 0
-    digest: int = 0
-    holds_container: bool = False
-
-
-@dataclass
-class _Block:
+    __slots__ = ("tag", "above", "block", "furniture", "named", "container", "link", "sign", "way", "parts", "kinds", "own", "linked", "content", "slot", "holds_container", "inline", "out")
+
+    def __init__(self, tag: str, above: _Element | None) -> None:
+        self.tag, self.above = tag, above
+        self.furniture = self.named = self.holds_container = self.out = False
+        self.container, self.link = (above.container, above.link or tag == "a") if above else ("", False)
+        #: The nearest element around it that is not inline, or itself.
+        self.block = above.block if above and tag in _INLINE else self
+        self.sign, self.way = tag, 0
+        self.parts: list[bytes] = []
+        self.kinds: set[str] = set()
+        self.own = self.linked = 0
+        self.content = self.slot = 0
+        self.inline: dict[str, int] = {}  # open inline elements since this block began
+
+
+class _Block(NamedTuple):
     text: str
-    container: str
-    owners: list[_Element]
+    owner: _Element
+
+
+def _digest(raw: bytes) -> int:
+    value = xxhash.xxh64_intdigest(raw)
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _new(tag: str, attrs: str, above: _Element | None) -> _Element:
-    dropped = bool(above and above.dropped) or tag in _FURNITURE
-    container = above.container if above else ""
-    sign = tag
+def _begun(tag: str, attrs: str, above: _Element) -> _Element:
+    e = _Element(tag, above)
+    names = ""
+    e.furniture = tag in _FURNITURE
     if "=" in attrs or "hidden" in attrs:
         got = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-        names = {w for n in ("class", "id") for w in re.split(r"[^a-z0-9]+", got.get(n, "").lower())}
-        sign = f"{tag}.{got.get('class', '')}#{got.get('id', '')}"
+        names = re.sub(r"\d+", "0", f"{got.get('class', '')}#{got.get('id', '')}")
+        e.sign = f"{tag}.{got.get('class', '')}#{got.get('id', '')}"
         if tag not in ("html", "body"):
-            dropped |= bool(names & _NAMES) or (not container and bool(names & _HEADER_NAMES)) or got.get("role", "").lower() in _ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
+            words = {w for n in ("class", "id") for w in re.split(r"[^a-z0-9]+", got.get(n, "").lower())}
+            e.named = bool(words & _NAMES) or (not e.container and bool(words & _HEADER_NAMES))
+            e.furniture |= got.get("role", "").lower() in _ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
         if got.get("role") == "main" or got.get("itemprop") == "articleBody":
-            container = container if container == "article" else "main"
-    if tag == "header" and not container:
-        dropped = True
-    if tag in _CONTAINERS and not dropped:
-        container = tag if container != "article" else container
-    return _Element(tag, dropped, container, sign)
-
-
-def parse(html: str) -> list[_Block]:
-    """The blocks of a page that don't name themselves as furniture, with the elements that hold them."""
-    root = _Element("", False, "", "")
-    stack, blocks, buffer = [root], [], []
+            e.container = e.container or "main"
+    e.furniture |= tag == "header" and not e.container
+    e.furniture |= above.furniture
+    if tag in _CONTAINERS and not e.furniture:
+        e.container = tag if e.container != "article" else e.container
+    if tag not in _INLINE:
+        e.way = _digest(above.block.way.to_bytes(8, "little", signed=True) + f"{tag}.{names}".encode("utf-8", "surrogatepass"))
+    return e
+
+
+def parse(html: str) -> tuple[list[_Element], list[_Block]]:
+    """All elements in the order in which they begin, and the blocks of text with the element that each is in."""
+    root = _Element("", None)
+    stack, elements, blocks, buffer = [root], [root], [], []
+    open_tags: dict[str, int] = {}
 
     def flush() -> None:
-        text = " ".join("".join(buffer).split())
+        text = " ".join("".join(t for t, _ in buffer).split())
+        if text:
+            owner = stack[-1].block
+            linked = sum(len(t) for t, link in buffer if link)
+            blocks.append(_Block(text, owner))
+            owner.own += len(text)
+            owner.linked += min(len(text), linked)
         buffer.clear()
-        if text and not stack[-1].dropped:
-            blocks.append(_Block(text, stack[-1].container, stack[1:]))
-            for e in stack:
-                e.chars += len(text)
 
     def close() -> None:
-        if stack[-1].tag not in _INLINE:
+        e = stack[-1]
+        if e.tag in _INLINE:
+            e.block.inline[e.tag] -= 1
+        else:
             flush()
-        e = stack.pop()
-        e.digest = xxhash.xxh64_intdigest(e.sign.encode() + b"\x1f".join(e.parts))
-        stack[-1].parts.append(e.digest.to_bytes(8, "little"))
-        stack[-1].holds_container |= e.holds_container or (e.tag in _CONTAINERS and not e.dropped)
+        stack.pop()
+        open_tags[e.tag] -= 1
+        above = stack[-1]
+        e.content = _digest(e.sign.encode("utf-8", "surrogatepass") + b"\x1f".join(e.parts))
+        e.parts.clear()
+        above.parts.append(e.content.to_bytes(8, "little", signed=True))
+        above.holds_container |= e.holds_container or (e.tag in _CONTAINERS and not e.furniture)
+        if e.tag not in _INLINE:
+            link = b"a" if 2 * e.linked >= e.own > 0 else b""
+            e.slot = _digest(e.way.to_bytes(8, "little", signed=True) + ",".join(sorted(e.kinds)).encode("utf-8", "surrogatepass") + link)
+            above.block.kinds.add(e.tag)
+            above.block.own += e.own
+            above.block.linked += e.linked
 
     def words(raw: str) -> None:
-        if raw and not stack[-1].dropped:
+        if raw:
             text = entities.unescape(raw) if "&" in raw else raw
-            buffer.append(text)
+            buffer.append((text, stack[-1].link))
             if said := text.split():
                 stack[-1].parts.append(" ".join(said).encode("utf-8", "surrogatepass"))
 
-    at, n = 0, len(html)
+    # behind the last > no tag can end, so the search for one never runs to the end of the page in vain
+    at, n = 0, html.rfind(">") + 1
     while at < n:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at, n)
         if not m:
-            words(html[at:])
             break
         words(html[at : m.start()])
         at = m.end()
         if not m["tag"]:
+            if html.startswith("<!--", m.start()) and not html.endswith("-->", m.start(), at):
+                at = n = len(html)  # an open comment
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            if tag in _INLINE:  # not beyond the block that it is in
-                k = len(stack) - 1
-                while k and stack[k].tag in _INLINE and stack[k].tag != tag:
-                    k -= 1
-            else:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if k and stack[k].tag == tag:
-                while len(stack) > k:
-                    close()
+            # nothing to close, or an inline element beyond the block that this is in
+            if not (stack[-1].block.inline if tag in _INLINE else open_tags).get(tag):
+                continue
+            while stack[-1].tag != tag:
+                close()
+            close()
             continue
         if tag in _RAW:
             if not m["attrs"].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else n
+                at = end.end() if end else len(html)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -147,86 +200,134 @@ def parse(html: str) -> list[_Block]:
             continue
         if tag not in _INLINE:
             flush()
-            ended, up_to = _ENDS.get(tag, ({"p"}, None))
-            k = len(stack) - 1
-            while k and (stack[k].tag in ended or stack[k].tag in _INLINE):
-                k -= 1
-            if any(e.tag in ended for e in stack[k + 1 :]):
-                while len(stack) > k + 1:
+            ended, block = _ENDS.get(tag, {"p"}), stack[-1].block
+            while block.tag in ended:
+                while stack[-1] is not block:
                     close()
-        stack.append(_new(tag, m["attrs"], stack[-1]))
+                close()
+                block = stack[-1].block
+        e = _begun(tag, m["attrs"], stack[-1])
+        if tag in _INLINE:
+            e.block.inline[tag] = e.block.inline.get(tag, 0) + 1
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        stack.append(e)
+        elements.append(e)
+        if m["attrs"].endswith("/") and e.tag in ("svg", "math", "object"):
+            close()
+    if at < len(html):
+        words(re.split("<[!?]", html[at:], maxsplit=1)[0])
     while len(stack) > 1:
         close()
     flush()
-    best = next((c for c in ("article", "main") if any(b.container == c for b in blocks)), None)
-    if best == "main":
-        return [b for b in blocks if b.container]
-    return [b for b in blocks if b.container == best] if best else blocks
-
-
-def _candidates(blocks: list[_Block]) -> list[list[_Element]]:
-    """For each block the elements around it that may be templates."""
-    total = sum(len(b.text) for b in blocks)
-    out = []
-    for b in blocks:
-        out.append([e for e in b.owners if not e.holds_container and e.tag not in ("html", "body", "article", "main") and e.tag not in _INLINE and not (b.container and e.tag in _PLAIN) and (e.container or e.tag) and e.chars <= 0.3 * total])
-    return out
-
-
-def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks on lines of their own, without those in a subtree of the template."""
-    blocks = parse(html or "")
-    if not template:
-        return "\n".join(b.text for b in blocks)
-    return "\n".join(b.text for b, around in zip(blocks, _candidates(blocks), strict=True) if not any(_signed(e.digest) in template for e in around))
+    return elements, blocks
 
 
-def _signed(digest: int) -> int:
-    return digest - (1 << 64) if digest >> 63 else digest
+def _counted(elements: list[_Element]) -> Iterator[tuple[int, int, int]]:
+    """(by, hash, characters) of each subtree of a page that counts may delete."""
+    total = elements[0].own
+    for e in elements[1:]:
+        if not e.own or e.tag in _INLINE or e.holds_container or e.tag in _CONTAINERS or e.tag in _PLAIN or e.tag in ("html", "body"):
+            continue
+        if e.tag in _LISTS and 2 * e.linked < e.own:
+            continue
+        yield BY_SLOT, e.slot, e.own
+        if e.own <= 0.3 * total:
+            yield BY_CONTENT, e.content, e.own
+
+
+def _outcast(e: _Element, templates: Templates) -> bool:
+    """Whether an element by itself (not by what is around it) is no part of the main text."""
+    if e.furniture:
+        return True
+    if e.tag in _INLINE or e.holds_container or e.tag in _CONTAINERS or e.tag in ("", "html", "body"):
+        return False
+    inside = bool(e.above.container)
+    if e.tag in _PLAIN:
+        return e.named and not inside
+    links = 2 * e.linked >= e.own > 0
+    if e.content in templates.content or (e.slot in templates.slots and (links or not (inside or e.tag in _LISTS))):
+        return True
+    return e.named and (not inside or not templates.counted or e.slot in templates.slots)
+
+
+def main_text(html: str | None, templates: Templates = Templates()) -> str:
+    """Blocks on lines of their own, without those in a subtree of the host's templates."""
+    elements, blocks = parse(html or "")
+    for e in elements[1:]:
+        e.out = e.above.out or _outcast(e, templates)
+    left = [b for b in blocks if not b.owner.out]
+    best = next((c for c in ("article", "main") if any(b.owner.container == c for b in left)), None)
+    if best:
+        left = [b for b in left if b.owner.container == best or (best == "main" and b.owner.container)]
+    return "\n".join(b.text for b in left)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
 
 
-def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.25) -> DataFrame:
-    """host, subtree: hashes that recur on min_pages different pages and min_share of the host's different pages."""
+def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = 3, min_share: float = 0.25, max_text: float = 0.3) -> DataFrame:
+    """host, by, subtree: what recurs on min_pages different pages and min_share of the host's different pages, as a written table.
+
+    by: BY_CONTENT or BY_SLOT; a slot with more than max_text of the host's text is
+    none, unless it is links. A row with a null subtree names each host with enough
+    pages to count. A host has 2 / min_share times its average page's subtrees at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, subtrees, docs = [], [], []
-            for host, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks = parse(body or "")
-                doc = _signed(xxhash.xxh64_intdigest("\n".join(b.text for b in blocks).encode("utf-8", "surrogatepass")))
-                found = {_signed(e.digest) for around in _candidates(blocks) for e in around}
-                hosts += [host] * (len(found) + 1)
-                subtrees += [None, *found]  # null: the page itself
-                docs += [doc] * (len(found) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(docs, pa.int64())], names=["host", "subtree", "page"])
-
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, subtree long, page long")
-    counts = seen.distinct().groupBy("host", "subtree").count()
-    totals = counts.where("subtree is null").select("host", F.col("count").alias("pages"))
-    return counts.where("subtree is not null").where(F.col("count") >= min_pages).join(totals, "host").where(F.col("count") >= min_share * F.col("pages")).select("host", "subtree")
-
-
-def extract(pages: DataFrame, templates: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", broadcast_rows: int = 200_000) -> DataFrame:
+            pages, totals, found = [], [], []
+            for body in batch.column(1).to_pylist():
+                elements, blocks = parse(body or "")
+                pages.append(_digest("\n".join(b.text for b in blocks).encode("utf-8", "surrogatepass")))
+                totals.append(elements[0].own)
+                of_page: dict[tuple[int, int], int] = {}
+                for by, subtree, chars in _counted(elements):
+                    of_page[by, subtree] = of_page.get((by, subtree), 0) + chars
+                found.append([{"by": by, "subtree": subtree, "chars": chars} for (by, subtree), chars in of_page.items()])
+            kind = pa.list_(pa.struct([("by", pa.int32()), ("subtree", pa.int64()), ("chars", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.int64()), pa.array(totals, pa.int64()), pa.array(found, kind)], names=["host", "page", "total", "found"])
+
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, total long, found array<struct<by: int, subtree: long, chars: long>>")
+    # copies of a page count once; written, as two sums follow
+    seen = written(seen.groupBy("host", "page").agg(F.first("total").alias("total"), F.first("found").alias("found")), "subtrees")
+    totals = seen.groupBy("host").agg(F.count("*").alias("pages"), F.sum("total").alias("total")).where(F.col("pages") >= min_pages)
+    counts = seen.select("host", F.explode("found").alias("f")).groupBy("host", "f.by", "f.subtree").agg(F.count("*").alias("n"), F.sum("f.chars").alias("chars")).where(F.col("n") >= min_pages)
+    often = counts.join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).where((F.col("by") == BY_CONTENT) | (F.col("chars") <= max_text * F.col("total")))
+    return written(often.select("host", "by", "subtree").unionByName(totals.select("host", F.lit(None).cast("int").alias("by"), F.lit(None).cast("long").alias("subtree"))), "templates")
+
+
+def extract(pages: DataFrame, templates: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", broadcast_rows: int = 100_000, salt: int = 16) -> DataFrame:
     """key, url, text and n_chars of every page.
 
-    templates (see template_subtrees) is broadcast only up to broadcast_rows rows;
-    beyond that pages are joined with it by host.
+    templates (see template_subtrees) is broadcast up to broadcast_rows rows, about
+    2 MB; beyond that pages are joined with it by host, a host's pages dealt to salt
+    keys.
     """
-    rows = templates.count()
-    sets = templates.groupBy(F.col("host").alias("__host")).agg(F.collect_list("subtree").alias("__template"))
+    of_host = templates.groupBy(F.col("host").alias("__host")).agg(
+        F.collect_list(F.when(F.col("by") == BY_CONTENT, F.col("subtree"))).alias("__content"),
+        F.collect_list(F.when(F.col("by") == BY_SLOT, F.col("subtree"))).alias("__slots"),
+    )
     page = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url"), F.col(html).alias("__html"), host_of(F.col(url)).alias("__host"))
-    joined = page.join(F.broadcast(sets) if rows <= broadcast_rows else sets, "__host", "left") if rows else page.withColumn("__template", F.array().cast("array<bigint>"))
+    if templates.count() <= broadcast_rows:
+        joined = page.join(F.broadcast(of_host), "__host", "left")
+    else:
+        dealt = of_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        joined = page.withColumn("__salt", F.pmod(F.xxhash64("__key", "__url"), F.lit(salt)).cast("int")).join(dealt.hint("merge"), ["__host", "__salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Templates] = {}
         for batch in batches:
-            bodies, templates = batch.column(2).to_pylist(), batch.column(3)
-            texts = [main_text(body, set(templates[i].as_py() or ())) for i, body in enumerate(bodies)]
+            if len(known) > 1000:
+                known.clear()
+            texts = []
+            for i, (host, body) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if host not in known:
+                    content, slots = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
+                    known[host] = Templates(frozenset(content or ()), frozenset(slots or ()), content is not None)
+                texts.append(main_text(body, known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["k", "u", "text", "n_chars"])
 
     kind = dict(pages.select(key).dtypes)[key]
-    out = joined.select("__key", "__url", "__html", "__template").mapInArrow(run, f"k {kind}, u string, text string, n_chars long")
+    out = joined.select("__key", "__url", "__html", "__host", "__content", "__slots").mapInArrow(run, f"k {kind}, u string, text string, n_chars long")
     return out.select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars")

@@ -55,10 +55,8 @@ def op2_language_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.storage import written
-
     pages = table(spark, sf_dir, "pages")
-    return html_extraction.extract(pages, written(html_extraction.template_subtrees(pages), "templates"))
+    return html_extraction.extract(pages, html_extraction.template_subtrees(pages))
 
 
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
