@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, components, neighbours, queries, sharding, simhash, token_counts, url_filters
+from tidemark.llm import byte_bpe, components, near_copies, neighbours, queries, sharding, simhash, token_counts, url_filters
 
 DOC = "doc_id long, text string"
 
@@ -87,7 +87,7 @@ def test_neighbours_edges(spark):
     got = defaultdict(list)
     for r in sorted(neighbours.search(df, F.col("vec_id") % 50 == 0).collect(), key=lambda r: (r.query_id, r["rank"])):
         got[r.query_id].append(r.vec_id)
-    assert got == {0: [3, 50, 2, 9], 50: [0, 3, 2, 9]}
+    assert got == {0: [3, 3, 50, 2, 9], 50: [0, 3, 3, 2, 9]}
     assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -97,6 +97,33 @@ def test_equal_vectors_keep_only_what_can_be_near(spark):
     assert [got[0, i] for i in range(1, 6)] == [1, 2, 3, 4, 5] and [got[100, i] for i in range(1, 6)] == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_of_parallel_and_repeated_rows(spark):
+    factors = [1, 1.37, 0.1, 3, 7.7, 1e-3, 12.1, 2.3]
+    rows = [(i, [1.0 * f, 2.0 * f, -0.3 * f]) for i in range(40) for f in [factors[i % 8]]] + [(100, [0.9, 0.1, 0.0]), (101, [0.9, 0.1, 0.0]), (101, [-1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") % 50 == 0).collect()}
+    assert [got[0, i][0] for i in range(1, 6)] == [1, 2, 3, 4, 5] and all(abs(got[0, i][1] - 1) < 1e-12 for i in range(1, 6))
+    assert [got[100, i][0] for i in range(1, 6)] == [101, 0, 1, 2, 3]
+
+
+def test_probes_follow_the_data(spark, monkeypatch):
+    """Hashed lengths, with one turn and with two, against brute force; clustered vectors take few probes."""
+    monkeypatch.setattr(neighbours, "FEW_ROWS", 100)
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 16))
+    near = np.repeat(centres, 40, axis=0) + 0.1 * rng.standard_normal((2400, 16))
+    for block in (2048, 32):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        for x in (near, rng.standard_normal((2400, 16))):
+            table = [(i, v.tolist()) for i, v in enumerate(x)]
+            df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+            got = defaultdict(set)
+            for r in neighbours.search(df, F.col("vec_id") % 50 == 0).collect():
+                got[r.query_id].add(r.vec_id)
+            want = brute_neighbours(table)
+            assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
 # --- token counts and BPE
 
 HARD = ["", " ", "a", "  a  b ", "word\n\n word", "it's  they'll 'tis", "x" * 5000, "é à ü " * 50, "tab\t space  nbsp 　wide", "<|endoftext|> and <|endoftext|>x", "a  b ​ c", "हिन्दी 中文文字", "1234 5678 !!! ??", "trailing ", "\x85 \x1c b"]
@@ -229,7 +256,12 @@ def test_simhash_edges_and_keep_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     groups = simhash.near_duplicates(df)
     assert Counter((r.doc_id, r.component_id) for r in groups.collect()) == Counter({(3, 1): 1, (1, 1): 1, (None, 7): 1, (7, 7): 2, (9, 9): 1})
-    assert sorted(r.doc_id or 0 for r in simhash.keep_one(df, groups).collect()) == [0, 1, 7, 9]
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    # (7, "A b c d e") twice and its copy without an id are one group
+    assert sorted(r[0] for r in kept) == [1, 7, 9] and Counter(r[0] for r in kept)[7] == 1
+    one_id = spark.createDataFrame([(3, "a b c d e"), (5, "a b c d e"), (5, "q r s t u"), (5, "q r s t u")], "doc_id long, text string")
+    for keep in (simhash.keep_one, near_copies.keep_one):
+        assert sorted(tuple(r) for r in keep(one_id).collect()) == [(3, "a b c d e"), (5, "q r s t u")]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -274,3 +306,42 @@ def test_links_carry_trust_and_distrust(spark):
     assert got[4][3] == "block" and got[2][3] == "allow" and got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow")
     assert got[8] == ("lone.net", "", None, "allow")
     assert url_filters.judge(df.limit(0), queries.URL_RULES).count() == 0
+
+
+def brute_ranks(seeds, links, damping=0.85):
+    """Fixed point of one kind: seeds node -> mass, links (a, b) -> n."""
+    nodes = sorted(set(seeds) | {x for edge in links for x in edge})
+    at = {n: i for i, n in enumerate(nodes)}
+    step, start = np.zeros((len(nodes), len(nodes))), np.zeros(len(nodes))
+    for n, mass in seeds.items():
+        start[at[n]] = mass / sum(seeds.values())
+    for (a, b), n in links.items():
+        step[at[b], at[a]] = n / sum(m for (x, _), m in links.items() if x == a)
+    dangling = step.sum(0) == 0
+    rank = start
+    for _ in range(300):
+        rank = (1 - damping) * start + damping * (step @ rank + rank[dangling].sum() * start)
+    return dict(zip(nodes, rank))
+
+
+def test_page_ranks_of_hosts(spark):
+    """Trust and distrust over cross-host links with cycles, chains and hosts without links, against the fixed point."""
+    rng = random.Random(4)
+    hosts = [f"h{i}.net" for i in range(40)] + [f"good{i}.org" for i in range(4)] + [f"x{i}.com" for i in range(4)]
+    rows, links = [], Counter()
+    for i, h in enumerate(hosts):
+        to = [rng.choice(hosts) for _ in range(rng.choice([0, 1, 3]))] + ([hosts[i + 1]] if i < 20 else [])
+        rows.append((i, f"http://{h}{'/de/' if h.startswith('x') else '/'}", "".join(f'<a href="https://{t}/">x</a>' for t in to)))
+        links.update((h, t) for t in to if t != h)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trust = brute_ranks({h: 1 for h in hosts if h.endswith(".org")}, links)
+    distrust = brute_ranks({h: 1 for h in hosts if h.startswith("x")}, {(b, a): n for (a, b), n in links.items()})
+    got = {r.host: r for r in url_filters.judge(df, queries.URL_RULES, tolerance=1e-9).collect()}
+    for h in hosts:
+        if not got[h].rule and abs(trust.get(h, 0) - distrust.get(h, 0)) > 1e-6:
+            assert got[h].verdict == ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow"), h
+    assert {"allow", "block"} <= {got[h].verdict for h in hosts if not got[h].rule}
+    seeds = spark.createDataFrame([("trust", h, 0.25) for h in hosts if h.endswith(".org")], "kind string, node string, mass double")
+    ways = spark.createDataFrame([("trust", a, b, n / sum(m for (x, _), m in links.items() if x == a)) for (a, b), n in links.items()], "kind string, a string, b string, share double")
+    ranks = {r.node: r.mass for r in url_filters.spread(seeds, ways, tolerance=1e-9).collect()}
+    assert all(abs(ranks.get(h, 0) - trust.get(h, 0)) < 1e-6 for h in hosts) and abs(sum(ranks.values()) - 1) < 1e-6

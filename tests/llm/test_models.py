@@ -64,6 +64,52 @@ def test_toxicity_edges(spark, toxic_model):
     assert [r.score for r in toxicity.score(df, none).collect()] == [0.0] * 3
 
 
+def test_gradient_of_the_risk():
+    """Both branches of the non-negative risk against differences of the risk itself."""
+    rng = np.random.default_rng(5)
+
+    def rows(n, k):
+        row = np.sort(rng.integers(0, n, 4 * n))
+        return toxicity.Rows(row, rng.integers(0, 6, len(row)), rng.random(len(row)), rng.integers(0, k, n))
+
+    toxic, unlabelled = rows(20, 1), rows(60, 2)
+    branches = set()
+    for shift in (-4.0, 0.0, 3.0):
+        w = rng.standard_normal((2, 7))
+        w[:, -1] += shift
+
+        def parts(w):
+            as_clean, as_toxic = [], []
+            for k in range(2):
+                as_clean.append(toxic.risk(w[k : k + 1]))
+                loss, grad, n = toxic.risk(-w[k : k + 1])
+                as_toxic.append((loss, -grad, n))
+            join = lambda some, i: np.concatenate([x[i] for x in some])
+            return tuple(join(as_clean, i) for i in range(3)), (join(as_toxic, 0), join(as_toxic, 1)), unlabelled.risk(w)
+
+        def risks(w, prior):
+            of_toxic, on_toxic, of_unlabelled = parts(w)
+            positive = prior * on_toxic[0] / of_toxic[2]
+            negative = of_unlabelled[0] / of_unlabelled[2] - prior * of_toxic[0] / of_toxic[2]
+            return positive, negative
+
+        for prior in (0.1, 0.9):
+            of_toxic, on_toxic, of_unlabelled = parts(w)
+            risk, grad = toxicity.nnpu_gradient(of_toxic, of_unlabelled, on_toxic, prior)
+            positive, negative = risks(w, prior)
+            assert np.allclose(risk, positive + np.maximum(0, negative))
+            for k in range(2):
+                branches.add(bool(negative[k] >= 0))
+                for j in range(7):
+                    step = np.zeros_like(w)
+                    step[k, j] = 1e-5
+                    up, down = risks(w + step, prior), risks(w - step, prior)
+                    slope = lambda i: (up[i][k] - down[i][k]) / 2e-5
+                    want = slope(0) + slope(1) if negative[k] >= 0 else -slope(1)
+                    assert abs(grad[k, j] - want) < 1e-6
+    assert branches == {True, False}
+
+
 # --- language
 
 
@@ -110,8 +156,9 @@ def test_templates_are_found_by_recurrence(spark):
     rows += [(200 + i, f"https://art.example/{i}", f"<article><p>Repeated sentence.</p><p>Text {i}</p></article>") for i in range(9)]
     rows += [(300, None, None), (301, "no scheme", "<p>x</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    templates = storage.written(html_extraction.template_subtrees(df), "t")
-    assert {r.host for r in templates.collect()} == {"one.example"}
+    templates = html_extraction.template_subtrees(df)
+    assert {r.host for r in templates.where("subtree is not null").collect()} == {"one.example"}
+    assert {r.host for r in templates.where("subtree is null").collect()} == {"one.example", "art.example"}
     for limit in (0, 1000):
         got = {r.page_id: r for r in html_extraction.extract(df, templates, broadcast_rows=limit).collect()}
         assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got.values())
@@ -120,6 +167,55 @@ def test_templates_are_found_by_recurrence(spark):
         assert got[300].text == "" and got[301].text == "x"
 
 
+def test_furniture_by_count_alone(spark):
+    """Pages without an article element, class names or telling tags: what recurs on a host goes, its text stays."""
+    import re
+
+    def bare(html):
+        html = re.sub(r' class="[^"]*"', "", html)
+        return re.sub(r"</?article>", "", re.sub(r"<(/?)(nav|footer)\b", r"<\1div", html))
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    hosts = {r[0] for r in pages.groupBy(html_extraction.host_of(F.col("url"))).count().where("count > 5").collect()}
+    stripped = spark.createDataFrame([(p.page_id, p.url, bare(p.html)) for p in pages.collect()], pages.schema)
+    got = {r.page_id: r for r in html_extraction.extract(stripped, html_extraction.template_subtrees(stripped)).collect()}
+    want = {r.page_id: r.text for r in queries.op3_template_removal(spark, SF).collect()}
+    checked = [i for i, r in got.items() if r.url.split("://")[1].split("/")[0] in hosts]
+    assert len(checked) > 150 and all(got[i].text == want[i] for i in checked)
+
+
+def test_templates_equal_a_count_of_all_pages(spark):
+    from collections import Counter, defaultdict
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    of_host = defaultdict(dict)
+    for p in pages.collect():
+        elements, blocks = html_extraction.parse(p.html)
+        of_host[p.url.split("://")[1].split("/")[0].lower()]["\n".join(b.text for b in blocks)] = (elements[0].own, list(html_extraction._counted(elements)))
+    want = set()
+    for host, found in of_host.items():
+        pages_with, chars = Counter(), Counter()
+        for _, subtrees in found.values():
+            pages_with.update({(by, s) for by, s, _ in subtrees})
+            for by, s, n in subtrees:
+                chars[by, s] += n
+        total = sum(n for n, _ in found.values())
+        if len(found) >= 3:
+            want |= {(host, None, None)}
+            want |= {(host, *k) for k, n in pages_with.items() if n >= 3 and n >= 0.25 * len(found) and (k[0] == html_extraction.BY_CONTENT or chars[k] <= 0.3 * total)}
+    assert {tuple(r) for r in html_extraction.template_subtrees(pages).collect()} == want and len(want) > 100
+
+
+def test_hard_markup():
+    text = html_extraction.main_text
+    assert text("<article><p>c<noscript>vis</noscript> d</p><p>e <math><mi>x</mi></math> <object>o</object></p><p class='banner-text'>k</p></article>") == "cvis d\ne x o\nk"
+    assert text("<p>a</p><svg><text>drawn<p>b") == "a\ndrawn\nb"
+    assert text("<article><div class='comments'>no</div><div class='body'>yes</div></article>") == "yes"
+    assert text("<div>x" * 3000) == "\n".join("x" * 3000)
+    for page in ("<a " * 20000, "</x>" * 20000, "<b>" * 20000 + "</i>" * 20000, "<span>" * 5000 + "<p>q</p>" * 500, "<!--" * 20000):
+        text(page)
+
+
 def test_pages_query(spark):
     rows = {r.page_id: r.text for r in queries.op3_template_removal(spark, SF).collect()}
     for p in spark.read.parquet(f"{SF}/pages.parquet").collect():
@@ -153,6 +249,58 @@ def test_common_subsequence():
         assert decontamination.common_subsequence(masks, 5, words) == brute(item, words)
 
 
+def test_recall_of_the_candidate_search(spark):
+    """Verbatim and altered items inside other words, at two sizes of the benchmark, against the subsequence check of every window."""
+    import random
+
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text")
+    deal = random.Random(3)
+    others = [t for t in texts(spark, SF).values() if t and len(t.split()) > 130]
+    vocabulary = [w for t in others for w in t.split()]
+    items = [(r.item_id, r.text) for r in queries.table(spark, SF, "benchmark").collect()]
+    items += [(1000 + i, " ".join(deal.choice(others).split()[60 : 60 + deal.randrange(15, 60)])) for i in range(300)]
+
+    def altered(words, kind):
+        words = list(words)
+        if kind == "sixth":
+            for i in range(deal.randrange(6), len(words), 6):
+                words[i] = deal.choice(vocabulary)
+        elif kind == "order":
+            for i in range(deal.randrange(5), len(words) - 1, 6):
+                words[i], words[i + 1] = words[i + 1], words[i]
+        elif kind == "answer":
+            words = [w for i, w in enumerate(words) if i >= len(words) - 5 or deal.random() < 0.72]
+        return words
+
+    frequencies = decontamination.document_frequencies(docs)
+    sample = decontamination.sampled_passages(docs, frequencies[2], F.xxhash64("doc_id", "text"))
+    for some in (items[:40], items):
+        index = decontamination.fit(sample, some, frequencies)
+        for kind in ("verbatim", "sixth", "order", "answer"):
+            planted = []
+            for _ in range(100):
+                j = deal.randrange(len(some))
+                around = deal.choice(others).split()
+                planted.append((j, " ".join(around[:50] + altered(some[j][1].split(), kind) + around[50:])))
+            data, at = textbytes.text_bytes(pa.array([t for _, t in planted]))
+            words = decontamination._words(data, at)
+            bounds = np.searchsorted(words[1], np.arange(len(planted) + 1))
+            found = set(decontamination._search(index, *words, len(planted)))
+            want = set()
+            for r, (j, _) in enumerate(planted):
+                n, own = len(index.words[j]), words[0][bounds[r] : bounds[r + 1]]
+                if any(decontamination._verdict(index, j, own[max(0, i - n) : i + 32 + n].tolist()) for i in range(0, len(own), 16)):
+                    want.add((r, j))
+            assert len(want) > 80 and len(found & want) >= 0.95 * len(want), (kind, len(some))
+    # the passage of the review: between few words of a small vocabulary
+    small = [f"v{i}" for i in range(400)]
+    item = " ".join(deal.choice(small) for _ in range(30))
+    filled = [(i, " ".join(deal.choice(small) for _ in range(80))) for i in range(30)]
+    between = lambda: " ".join(deal.choice(small) for _ in range(40))
+    df = spark.createDataFrame([*filled, (100, f"{between()} {item} {between()}"), (101, item)], "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == {100, 101}
+
+
 def test_planted_leaks(spark):
     docs = queries.table(spark, SF, "documents").select("doc_id", "text")
     items = [(r.item_id, r.text) for r in queries.table(spark, SF, "benchmark").collect()]
@@ -175,6 +323,9 @@ def test_planted_leaks(spark):
     kept = decontamination.without_leaks(df, queries.table(spark, SF, "benchmark"))
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in df.select("doc_id").collect()} - {d for d, _ in found}
     none = queries.table(spark, SF, "benchmark").limit(0)
+    named = queries.table(spark, SF, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("doc_id"), "text").unionByName(spark.createDataFrame([(None, None), ("", ""), (None, "???")], "doc_id string, text string"))
+    again = {(r.doc_id, r.item_doc_id) for r in decontamination.leaks(df.drop("item_id"), named, item="doc_id", settings=decontamination.Settings(items_at_once=15, blocks_at_once=2)).collect()}
+    assert {(10_000 + i, f"item {i}") for i, _ in items[:20]} <= again
     assert decontamination.leaks(docs, none).count() == 0 and decontamination.without_leaks(docs.limit(0), queries.table(spark, SF, "benchmark")).count() == 0
 
 
@@ -220,4 +371,4 @@ def test_pipeline_edges(spark):
 
 def test_keep_one_of_copies(spark):
     df = spark.createDataFrame([(i, "one two three four five six") for i in (5, 3, 9)] + [(7, "another text of some words here")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(df, simhash.near_duplicates(df)).collect()) == [3, 7]
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [3, 7]

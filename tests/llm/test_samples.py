@@ -10,7 +10,7 @@ def test_features_are_counted_over_all_texts(spark):
     rows = [(i, f"clean words of number{i % 7}", 0) for i in range(800)]
     rows += [(1000 + i, "awful text" + (" zorgblatter" if i % 33 == 0 else ""), 1) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), settings=toxicity.Settings(max_toxic=40, max_unlabelled=80))
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), settings=toxicity.Settings(max_toxic=40))
     new = spark.createDataFrame([(1, "zorgblatter"), (2, "clean words")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(new, model).collect()}
     data = np.frombuffer(b"zorgblatter", np.uint8)
