@@ -52,6 +52,17 @@ def test_shards_of_documents(spark, sf_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_of_one_repeated_key(spark):
+    """A key with most of the rows: gapless slots, from many buckets; many shards: few jumps."""
+    df = spark.createDataFrame([(None if i % 2 else 7, "x") for i in range(3000)] + [(i, "y") for i in range(500)], "doc_id long, text string")
+    slots = defaultdict(list)
+    for r in sharding.assign(df, bucket_rows=100).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 3500
+    many = df.select("doc_id", sharding.jump_shard(F.col("doc_id"), 3000).alias("s")).where("doc_id > 7").distinct().collect()
+    assert many and all(r.s == jump(r.doc_id, 3000) for r in many)
+
+
 def test_shard_edge_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (None, "é", 2), (5, "a", 3), (5, "a", 3)], "doc_id long, text string, shard int")
     rows = sorted(tuple(r) for r in sharding.assign(df).select("doc_id", "size", "text_crc32", "shard", "slot").na.fill(-1).collect())

@@ -4,7 +4,7 @@ A key's shard follows from the key and the number of shards alone: no ring and n
 table. With one more shard, a key either stays or goes to the new shard. All of
 it is DataFrame expressions.
 
-Defined cases: a null key counts as key 0; null texts have size 1 and the
+Defined cases: a null key counts as key 0, which has its own shard; null texts have size 1 and the
 checksum of no bytes, 0. Repeated rows go to the same shard and get a slot each.
 """
 
@@ -13,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import written
+
 # Multiplier of the published generator, in halves of 32 bits.
 _MULTIPLIER_HIGH, _MULTIPLIER_LOW = divmod(2862933555777941757, 1 << 32)
 _MASK = (1 << 32) - 1
+#: Jumps that are made for every key; more are needed for one key in 10**20 of a million shards.
+JUMPS = 64
 
 
 def _times_plus_one(high: Column, low: Column) -> tuple[Column, Column]:
@@ -49,30 +53,41 @@ def jump_shard(key: Column, shards: int) -> Column:
         moved = F.struct(high.alias("high"), low.alias("low"), s["ahead"].alias("shard"), to.cast("long").alias("ahead"))
         return F.when(s["ahead"] < shards, moved).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump)["shard"].cast("int")
+    # about log(shards) jumps; only keys that aren't through after many go on with what may be left
+    most = F.aggregate(F.sequence(F.lit(1), F.lit(min(shards, JUMPS))), start, jump)
+    if shards <= JUMPS:
+        return most["shard"].cast("int")
+    rest = F.transform(F.array(most), lambda s: F.when(s["ahead"] < shards, F.aggregate(F.sequence(F.lit(JUMPS + 1), F.lit(shards)), s, jump)).otherwise(s))
+    return F.element_at(rest, 1)["shard"].cast("int")
 
 
-def assign(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shards: int = 8, buckets: int = 512) -> DataFrame:
+def assign(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shards: int = 8, bucket_rows: int = 250_000) -> DataFrame:
     """key, size, text_crc32, law, shard, slot and grown_shard of every row.
 
-    Slots are numbered in two steps, so that a shard isn't one task's work: each
-    shard is cut into buckets by the key's hash; rows are numbered inside their
-    bucket, and the buckets' sizes (shards x buckets rows at most, so they may be
-    broadcast) give where each begins.
+    Slots are numbered in two steps, so that a shard isn't one task's work: the rows
+    are written once with an id of the row, whose hash deals each shard's rows to
+    buckets of bucket_rows at most, whatever their keys; they are numbered inside
+    their bucket, and the buckets' sizes give where each begins. Those are 65,536
+    rows, or one for each bucket_rows of the table, so they may be broadcast.
     """
     k, body = F.col(key), F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        k.alias("__key"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        jump_shard(k, shards).alias("shard"),
-        jump_shard(k, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int").alias("__bucket"),
+    rows = written(
+        docs.select(
+            F.monotonically_increasing_id().alias("__row"),
+            k.alias("__key"),
+            (F.octet_length(body) + 1).cast("long").alias("size"),
+            F.crc32(body).alias("text_crc32"),
+            jump_shard(k, shards).alias("shard"),
+            jump_shard(k, shards + 1).alias("grown_shard"),
+        ),
+        "sharded",
     )
-    sizes = docs.select(jump_shard(k, shards).alias("shard"), F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int").alias("__bucket")).groupBy("shard", "__bucket").count()
+    buckets = max(1, min(64, (1 << 16) // shards), -(-rows.count() // (shards * bucket_rows)))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__row"), F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy("shard", "__bucket").count()
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__bucket").orderBy("__key", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "__bucket").orderBy("__row")
     return (
         rows.withColumn("__place", F.row_number().over(inside) - 1)
         .join(F.broadcast(starts), ["shard", "__bucket"])

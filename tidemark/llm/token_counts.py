@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import accumulate
 
@@ -30,8 +30,8 @@ from tidemark.llm import textbytes
 
 #: Characters of a chunk, and of the overlap that is tried first.
 CHUNK, OVERLAP = 1 << 16, 256
-#: Parts that a worker remembers at most; then it forgets all of them.
-REMEMBERED = 1_000_000
+#: Parts that a worker remembers at most (then it forgets all of them), and characters of one that is remembered.
+REMEMBERED, LONGEST = 300_000, 64
 
 _BLANK = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff\ufff0-\uffff"
 #: A space beside something that is, or might be, white space.
@@ -71,22 +71,20 @@ class TokenCounter:
         encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
         return [len(e.ids) for e in encode(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: Iterable[str]) -> None:
+    def _learn(self, parts: Iterable[str]) -> Callable[[str], int]:
+        """Counts of these parts; long ones are not remembered, so that memory is bounded in bytes."""
         if len(self._inner) > REMEMBERED:
             self._inner.clear()
-        new = [p for p in set(parts) if p not in self._inner]
+        new, long = [p for p in set(parts) if p not in self._inner], {}
         for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            self._inner.update(zip(some, self._library([" " + p for p in some]), strict=True))
-
-    def _counts(self, parts: list[str]) -> list[int]:
-        return [self._library(parts[:1])[0] if parts[0] else 0, *map(self._inner.__getitem__, parts[1:])]
+            for part, n in zip(new[i : i + 4096], self._library([" " + p for p in new[i : i + 4096]]), strict=True):
+                (self._inner if len(part) <= LONGEST else long)[part] = n
+        return (lambda p: long[p] if p in long else self._inner[p]) if long else self._inner.__getitem__
 
     def count_all(self, texts: list[str]) -> list[int]:
         short = {i: stable_parts(t) for i, t in enumerate(texts) if t and len(t) <= CHUNK}
-        self._learn(p for parts in short.values() for p in parts[1:])
+        get = self._learn(p for parts in short.values() for p in parts[1:])
         firsts = dict(zip(short, self._library([p[0] for p in short.values()]), strict=True)) if short else {}
-        get = self._inner.__getitem__
         counts = [firsts[i] + sum(map(get, short[i][1:])) if i in short else 0 for i in range(len(texts))]
         # afterwards, for a long text may make the worker forget the parts of the short ones
         return [self.count_long(t) if t and i not in short else n for i, (t, n) in enumerate(zip(texts, counts, strict=True))]
@@ -94,8 +92,7 @@ class TokenCounter:
     def _encoded(self, text: str, at: int) -> tuple[list[int], list[int]]:
         """Offsets in the whole text where the parts of a chunk begin, and the tokens before each of them."""
         parts = stable_parts(text)
-        self._learn(parts[1:])
-        counts = self._counts(parts)
+        counts = [self._library(parts[:1])[0] if parts[0] else 0, *map(self._learn(parts[1:]), parts[1:])]
         starts = [at, *(at + n + i for i, n in enumerate(accumulate(len(p) for p in parts[:-1])))]
         return starts, [0, *accumulate(counts)]
 
