@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import written
+from tidemark.llm.storage import Scratch, written
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -289,12 +289,18 @@ def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.int64()), pa.array(totals, pa.int64()), pa.array(found, kind)], names=["host", "page", "total", "found"])
 
     seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, total long, found array<struct<by: int, subtree: long, chars: long>>")
-    # copies of a page count once; written, as two sums follow
-    seen = written(seen.groupBy("host", "page").agg(F.first("total").alias("total"), F.first("found").alias("found")), "subtrees")
+    with Scratch(pages.sparkSession) as scratch:
+        # copies of a page count once; written, as two sums follow
+        seen = scratch.written(seen.groupBy("host", "page").agg(F.first("total").alias("total"), F.first("found").alias("found")), "subtrees")
+        return written(_recurring(seen, min_pages, min_share, max_text), "templates")
+
+
+def _recurring(seen: DataFrame, min_pages: int, min_share: float, max_text: float) -> DataFrame:
+    """host, by, subtree from the subtrees found on each host's different pages."""
     totals = seen.groupBy("host").agg(F.count("*").alias("pages"), F.sum("total").alias("total")).where(F.col("pages") >= min_pages)
     counts = seen.select("host", F.explode("found").alias("f")).groupBy("host", "f.by", "f.subtree").agg(F.count("*").alias("n"), F.sum("f.chars").alias("chars")).where(F.col("n") >= min_pages)
     often = counts.join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).where((F.col("by") == BY_CONTENT) | (F.col("chars") <= max_text * F.col("total")))
-    return written(often.select("host", "by", "subtree").unionByName(totals.select("host", F.lit(None).cast("int").alias("by"), F.lit(None).cast("long").alias("subtree"))), "templates")
+    return often.select("host", "by", "subtree").unionByName(totals.select("host", F.lit(None).cast("int").alias("by"), F.lit(None).cast("long").alias("subtree")))
 
 
 def extract(pages: DataFrame, templates: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", broadcast_rows: int = 100_000, salt: int = 16) -> DataFrame:

@@ -19,6 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Scratch:
+    """Tables that only the steps inside a with block read; removed at its end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._path = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        at = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        at.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return _reread(df, f"{self._path}/{name}-{uuid.uuid4().hex}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
@@ -26,7 +43,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     computing df again. The result may be read as long as the folder is there, so
     what clears spark.checkpoint.dir after a job clears these too.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return _reread(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _reread(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

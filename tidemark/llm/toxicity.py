@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textbytes
-from tidemark.llm.storage import written
+from tidemark.llm.storage import Scratch
 from tidemark.llm.sums import summed_rows
 
 BITS = 20
@@ -53,6 +53,7 @@ class Settings:
     decay: float = 1.5e-4
     threshold: float = 0.7
     rows_a_task: int = 200_000
+    broadcast_rows: int = 200_000
 
 
 @dataclass(frozen=True)
@@ -184,49 +185,51 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     if not counts[1]:
         return none
     ids = marks.where("__toxic = 1").select(key)
-    # how many ids there are follows the labels: joined by key, never broadcast
-    flagged = written(texts.join(ids.hint("merge"), key, "left_semi"), "toxic")
-    n_toxic, n_all = flagged.count(), texts.count()
-    if not n_toxic:
-        return none
-    prior = min(0.9, counts[1] / counts[0])
-    often = np.zeros(1 << BITS, np.int64)
-    for r in _supports(flagged, text).where(F.col("n") >= settings.min_support).toLocalIterator():
-        often[r.bucket] = r.n
-    # only features of toxic texts are counted in all texts: at most 2**BITS buckets, whatever the corpus
-    counted = _supports(texts, text, np.packbits(often > 0))
-    known = np.zeros(1 << BITS, np.int64)
-    for r in counted.toLocalIterator():
-        known[r.bucket] = r.n
-    p, u = (often + 0.5) / (n_toxic + 1), (known + 0.5) / (n_all + 1)
-    worth = np.where((often > 0) & (p > 1.5 * u), np.log(p / u) * np.sqrt(often), 0)
-    chosen = np.argsort(-worth, kind="stable")[: settings.max_features]
-    chosen = chosen[worth[chosen] > 0].astype(np.int64)
-
-    share = min(1.0, settings.max_toxic / n_toxic)
-    # rows that repeat an id and its text are dealt alike, so they count once there
-    dealt = flagged.where(F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * share)).dropDuplicates([key, text])
-    positive = [_rows(r) for r in _sparse(dealt, key, text, chosen, 1).collect()]
-    if not positive:
-        return none
-    # a few tasks for each step of the descent, more for more texts
-    tasks = max(4, n_all // settings.rows_a_task)
-    sparse = written(_sparse(texts, key, text, chosen, settings.classifiers).repartition(tasks), "sparse")
-    shape = (settings.classifiers, len(chosen) + 3)
-
-    def unlabelled(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        def run(batches):
-            total = np.zeros(shape)
-            for batch in batches:
-                for record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    loss, grad, n = _rows(record).risk(w)
-                    total += np.column_stack([grad, loss, n])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["data"])
-
-        got = summed_rows(sparse.mapInArrow(run, "data binary"), shape, sums=max(1, round(tasks**0.5) // 2))
-        return got[:, -2], got[:, :-2], got[:, -1]
-
-    return Model(chosen, nnpu(positive, unlabelled, prior, len(chosen) + 1, settings), prior, settings.threshold)
+    # few ids are broadcast, which spares the texts a shuffle; more are joined by key
+    ids = F.broadcast(ids) if counts[1] <= settings.broadcast_rows else ids.hint("merge")
+    with Scratch(docs.sparkSession) as scratch:
+        flagged = scratch.written(texts.join(ids, key, "left_semi"), "toxic")
+        n_toxic, n_all = flagged.count(), texts.count()
+        if not n_toxic:
+            return none
+        prior = min(0.9, counts[1] / counts[0])
+        often = np.zeros(1 << BITS, np.int64)
+        for r in _supports(flagged, text).where(F.col("n") >= settings.min_support).toLocalIterator():
+            often[r.bucket] = r.n
+        # only features of toxic texts are counted in all texts: at most 2**BITS buckets, whatever the corpus
+        counted = _supports(texts, text, np.packbits(often > 0))
+        known = np.zeros(1 << BITS, np.int64)
+        for r in counted.toLocalIterator():
+            known[r.bucket] = r.n
+        p, u = (often + 0.5) / (n_toxic + 1), (known + 0.5) / (n_all + 1)
+        worth = np.where((often > 0) & (p > 1.5 * u), np.log(p / u) * np.sqrt(often), 0)
+        chosen = np.argsort(-worth, kind="stable")[: settings.max_features]
+        chosen = chosen[worth[chosen] > 0].astype(np.int64)
+
+        share = min(1.0, settings.max_toxic / n_toxic)
+        # rows that repeat an id and its text are dealt alike, so they count once there
+        dealt = flagged.where(F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * share)).dropDuplicates([key, text])
+        positive = [_rows(r) for r in _sparse(dealt, key, text, chosen, 1).collect()]
+        if not positive:
+            return none
+        # a few tasks for each step of the descent, more for more texts
+        tasks = max(4, n_all // settings.rows_a_task)
+        sparse = scratch.written(_sparse(texts, key, text, chosen, settings.classifiers).repartition(tasks), "sparse")
+        shape = (settings.classifiers, len(chosen) + 3)
+
+        def unlabelled(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            def run(batches):
+                total = np.zeros(shape)
+                for batch in batches:
+                    for record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        loss, grad, n = _rows(record).risk(w)
+                        total += np.column_stack([grad, loss, n])
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["data"])
+
+            got = summed_rows(sparse.mapInArrow(run, "data binary"), shape, sums=max(1, round(tasks**0.5) // 2))
+            return got[:, -2], got[:, :-2], got[:, -1]
+
+        return Model(chosen, nnpu(positive, unlabelled, prior, len(chosen) + 1, settings), prior, settings.threshold)
 
 
 def nnpu_gradient(of_toxic: tuple[np.ndarray, np.ndarray, np.ndarray], of_unlabelled: tuple[np.ndarray, np.ndarray, np.ndarray], on_toxic: tuple[np.ndarray, np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import written
+from tidemark.llm.storage import Scratch, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,21 +64,22 @@ def spread(seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, toleran
     always. Ends as soon as four rounds change a kind's masses by less than the
     tolerance in all, and at last when damping alone makes any change smaller.
     """
-    rank = seeds
-    for _ in range(ceil(log(tolerance / 2) / log(damping) / 4)):
-        before = rank
-        for _ in range(4):
-            moved = rank.join(links, (rank.kind == links.kind) & (rank.node == links.a)).select(rank.kind, F.col("b").alias("node"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-            moved = moved.groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
-            # what the links don't carry goes to the seeds: a row for each kind, so it may be broadcast
-            carried = moved.groupBy(F.col("kind").alias("of")).agg(F.sum("mass").alias("carried"))
-            back = seeds.join(F.broadcast(carried), F.col("kind") == F.col("of"), "left").select("kind", "node", (F.col("mass") * (1 - F.coalesce("carried", F.lit(0.0)))).alias("mass"))
-            rank = moved.unionByName(back).groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
-        rank = written(rank, "ranks")
-        change = rank.unionByName(before.withColumn("mass", -F.col("mass"))).groupBy("kind", "node").agg(F.sum("mass").alias("by"))
-        if not change.groupBy("kind").agg(F.sum(F.abs("by")).alias("by")).where(F.col("by") > tolerance).take(1):
-            break
-    return rank
+    with Scratch(seeds.sparkSession) as scratch:
+        rank = seeds
+        for _ in range(ceil(log(tolerance / 2) / log(damping) / 4)):
+            before = rank
+            for _ in range(4):
+                moved = rank.join(links, (rank.kind == links.kind) & (rank.node == links.a)).select(rank.kind, F.col("b").alias("node"), (F.col("mass") * F.col("share") * damping).alias("mass"))
+                moved = moved.groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
+                # what the links don't carry goes to the seeds: a row for each kind, so it may be broadcast
+                carried = moved.groupBy(F.col("kind").alias("of")).agg(F.sum("mass").alias("carried"))
+                back = seeds.join(F.broadcast(carried), F.col("kind") == F.col("of"), "left").select("kind", "node", (F.col("mass") * (1 - F.coalesce("carried", F.lit(0.0)))).alias("mass"))
+                rank = moved.unionByName(back).groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
+            rank = scratch.written(rank, "ranks")
+            change = rank.unionByName(before.withColumn("mass", -F.col("mass"))).groupBy("kind", "node").agg(F.sum("mass").alias("by"))
+            if not change.groupBy("kind").agg(F.sum(F.abs("by")).alias("by")).where(F.col("by") > tolerance).take(1):
+                break
+        return written(rank, "ranks")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], *, key: str = "page_id", url: str = "url", html: str = "html", damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
