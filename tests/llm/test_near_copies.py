@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.test_exact import texts
 from tidemark.llm import near_copies, queries
@@ -61,3 +63,34 @@ def test_planted_similarities(spark):
     rows |= {200: None, 201: " ", 202: "Two words", 203: "two\nWORDS", 204: "two other"}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == brute_groups(rows)
+
+
+def test_chains_of_near_copies_in_blocks(spark, monkeypatch):
+    """Copies of copies, each a few words further, in cells of many small blocks, with and without leaders."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 16)
+    deal = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    chain, rows = [deal.choice(words) for _ in range(120)], {}
+    for i in range(150):
+        if i % 3 == 0:
+            chain = list(chain)
+            chain[deal.randrange(120)] = deal.choice(words)
+        own = list(chain)
+        own[deal.randrange(120)] = deal.choice(words)
+        rows[i] = " ".join(own)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = brute_groups(rows)
+    for rounds in (0, 2):
+        got = {r.doc_id: r.component_id for r in near_copies.near_copies(df, rounds=rounds).collect()}
+        # a link may be missed by all bands, but hardly in a chain with so many
+        assert got == want
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 1, 50, 200, 300, 50)]
+    for at_once in (7, 4096):
+        near_copies.SHARED_AT_ONCE = at_once
+        got = near_copies.shared_counts(sets, 4)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(6) if i != j)
+    near_copies.SHARED_AT_ONCE = 4096
