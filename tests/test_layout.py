@@ -1,6 +1,7 @@
 """The library stands without its training-data subpackage."""
 
 import ast
+import os
 import shutil
 import subprocess
 import sys
@@ -21,5 +22,13 @@ def test_nothing_else_imports_the_subpackage():
 def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(o) <= set(q) and not any(n.startswith('op') for n in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+
+q, o = e.queries(), e.oracle_sql()
+assert len(q) > 80 and set(o) <= set(q) and not any(n.startswith('op') for n in q)
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.sql.session.timeZone', 'UTC').getOrCreate()
+assert q['a1_count'](spark, '/root/testdata/sf0.001').first()[0] > 0 and q['d5_steps'](spark, '/root/testdata/sf0.001').count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
