@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_exact import brute_components, brute_fingerprint, texts
+from tests.llm.test_exact import texts
+from tests.llm.test_near_copies import brute_groups
 from tidemark.llm import decontamination, html_extraction, language_id, queries, simhash, storage, textbytes, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -344,8 +345,7 @@ def test_pipeline_stages(spark):
         if name != "byte_bpe":
             assert kept.columns == docs.columns
         if name == "near_duplicates":
-            fps = {r.doc_id: brute_fingerprint(r.text) for r in before.select("doc_id", "text").collect()}
-            assert ids[name] == set(brute_components(fps).values())
+            assert ids[name] == set(brute_groups({r.doc_id: r.text for r in before.select("doc_id", "text").collect()}).values())
     sizes = [docs.count(), *(len(ids[n]) for n, _ in corpus_pipeline.STAGES)]
     assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] > sizes[4] == sizes[5]
     labels = {r.doc_id: r.toxic for r in queries.table(spark, SF, "labels").collect()}
