@@ -53,7 +53,7 @@ SECRETS = rf"""
 with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 spans as ({_spans("assign", 0, _ASSIGN, 1, 12)}
   union all {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 18)}
-  union all {_spans("hex", 2, "[0-9a-f]+", 0, 16)}
+  union all {_spans("hex", 2, "[0-9a-f]{16,}", 0, 16)}
   union all {_spans("pem", 3, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 1)}
   union all {_spans("login", 4, r"\b[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~%+-]{1,64}:([^\s:@/" + '"' + r"''<>]+)@[A-Za-z0-9.-]+", 1, 6)}
 ), told as (
