@@ -210,7 +210,7 @@ def test_templates_equal_a_count_of_all_pages(spark):
 
 def test_hard_markup():
     text = html_extraction.main_text
-    assert text("<article><p>c<noscript>vis</noscript> d</p><p>e <math><mi>x</mi></math> <object>o</object></p><p class='banner-text'>k</p></article>") == "cvis d\ne x o\nk"
+    assert text("<article><p>c<noscript>vis</noscript> d</p><option>o</option><p>e <math><mi>x</mi></math> <object>o</object></p><p class='banner-text'>k</p></article>") == "c d\ne x o\nk"
     assert text("<p>a</p><svg><text>drawn<p>b") == "a\ndrawn\nb"
     assert text("<article><div class='comments'>no</div><div class='body'>yes</div></article>") == "yes"
     assert text("<div>x" * 3000) == "\n".join("x" * 3000)
@@ -218,6 +218,32 @@ def test_hard_markup():
         text(page)
 
 
+def test_what_ends_scripts_and_what_names_may_take():
+    text = html_extraction.main_text
+    assert text('<script src="x"/>var leak=1;</script><style a=b/>p{}</style><p>said</p>') == "said"
+    assert text('<svg><style/><text>drawn</text></svg><p>said</p>') == "drawn\nsaid"
+    assert text('<div class="alert-body hidden-gems"><p>body</p></div>') == "body"
+    assert text("<main><p>intro</p><article>body</article><p>outro</p></main><div>beside</div>") == "intro\nbody\noutro"
+    assert text("<article>teaser</article><div><p>The real text of this page, which is longer.</p></div>") == "teaser\nThe real text of this page, which is longer."
+    counted = html_extraction.Templates(counted=True)
+    assert text('<div class="notice"><p>kept</p></div><article><p>body of the page</p></article><nav>menu</nav>', counted) == "kept\nbody of the page"
+
+
+def test_counts_decide_on_counted_hosts(spark):
+    """Most given pages change if what recurs on their hosts is left out; pages repeat, tables may be empty."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    templates = html_extraction.template_subtrees(pages)
+    only_hosts = templates.where("subtree is null")
+    with_counts = {r.page_id: r.text for r in html_extraction.extract(pages, templates).collect()}
+    without = {r.page_id: r.text for r in html_extraction.extract(pages, only_hosts).collect()}
+    assert sum(with_counts[i] != without[i] for i in with_counts) > 0.6 * len(with_counts)
+    few = pages.limit(3)
+    repeated = few.unionByName(few)
+    assert html_extraction.extract(repeated, templates).count() == 6
+    empty = pages.limit(0)
+    assert html_extraction.extract(empty, html_extraction.template_subtrees(empty)).count() == 0
+
+
 def test_pages_query(spark):
     rows = {r.page_id: r.text for r in queries.op3_template_removal(spark, SF).collect()}
     for p in spark.read.parquet(f"{SF}/pages.parquet").collect():

@@ -11,15 +11,16 @@ What recurs but is no template: a slot with a large part of the host's text, an
 element that holds an article, and paragraphs, headings, lists and tables that
 aren't links; repeated pages and repeated sentences keep their text.
 
-Besides, elements that are furniture by their tag or role (menus, footers, forms,
-...) go on any page. A class or id that names furniture is the tie-break where
-counts don't decide: outside an article, on hosts with too few pages to count, and
-inside an article for slots that recur.
+Elements that are furniture by their tag or role (menus, footers, forms, ...) go on
+any page. On a host with enough pages to count the counts decide all else: neither
+an article element nor the name of a class takes text out there, but for a named
+element inside an article whose slot recurs. Only on hosts with too few pages a class
+or id that names furniture goes (unless that would leave nothing), and a main or
+article element that holds half of the text or more is all of it.
 
 Defined cases: null or empty html gives empty text; pages without a host share
-the host ''. Text outside any article or main element counts only where a page
-has none of either. An unclosed script, style, title, textarea or iframe reaches to
-the end of the page, as in browsers.
+the host ''. Script, style, title, textarea and iframe end at their end tag only,
+or at the end of the page, as in browsers.
 """
 
 from __future__ import annotations
@@ -39,13 +40,13 @@ from tidemark.llm.storage import Scratch, written
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Elements whose content is no markup and no text of the page.
-_RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
+_RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "noscript", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
-    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "msub", "msup", "mrow", "noscript",
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "msub", "msup", "mrow",
     "object", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var",
 }
-_FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "canvas", "audio", "video", "template"}
+_FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "canvas", "audio", "video", "template", "option", "optgroup", "datalist"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 #: Words of a class or id that name furniture.
 _NAMES = set(
@@ -117,7 +118,7 @@ def _begun(tag: str, attrs: str, above: _Element) -> _Element:
     e.furniture |= tag == "header" and not e.container
     e.furniture |= above.furniture
     if tag in _CONTAINERS and not e.furniture:
-        e.container = tag if e.container != "article" else e.container
+        e.container = e.container or tag
     if tag not in _INLINE:
         e.way = _digest(above.block.way.to_bytes(8, "little", signed=True) + f"{tag}.{names}".encode("utf-8", "surrogatepass"))
     return e
@@ -188,7 +189,8 @@ def parse(html: str) -> tuple[list[_Element], list[_Block]]:
             close()
             continue
         if tag in _RAW:
-            if not m["attrs"].endswith("/"):
+            # a slash closes them in drawings and formulas only
+            if not (m["attrs"].endswith("/") and (open_tags.get("svg") or open_tags.get("math"))):
                 end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = end.end() if end else len(html)
             continue
@@ -235,30 +237,39 @@ def _counted(elements: list[_Element]) -> Iterator[tuple[int, int, int]]:
             yield BY_CONTENT, e.content, e.own
 
 
-def _outcast(e: _Element, templates: Templates) -> bool:
-    """Whether an element by itself (not by what is around it) is no part of the main text."""
+def _outcast(e: _Element, templates: Templates, by_name: bool) -> bool:
+    """Whether an element by itself (not by what is around it) is no part of the main text. by_name: whether names decide where counts can't."""
     if e.furniture:
         return True
     if e.tag in _INLINE or e.holds_container or e.tag in _CONTAINERS or e.tag in ("", "html", "body"):
         return False
     inside = bool(e.above.container)
     if e.tag in _PLAIN:
-        return e.named and not inside
+        return by_name and e.named and not inside
     links = 2 * e.linked >= e.own > 0
     if e.content in templates.content or (e.slot in templates.slots and (links or not (inside or e.tag in _LISTS))):
         return True
-    return e.named and (not inside or not templates.counted or e.slot in templates.slots)
+    return e.named and (by_name or e.slot in templates.slots)
+
+
+def _left(elements: list[_Element], blocks: list[_Block], templates: Templates, by_name: bool) -> list[_Block]:
+    for e in elements[1:]:
+        e.out = e.above.out or _outcast(e, templates, by_name)
+    return [b for b in blocks if not b.owner.out]
 
 
 def main_text(html: str | None, templates: Templates = Templates()) -> str:
     """Blocks on lines of their own, without those in a subtree of the host's templates."""
     elements, blocks = parse(html or "")
-    for e in elements[1:]:
-        e.out = e.above.out or _outcast(e, templates)
-    left = [b for b in blocks if not b.owner.out]
-    best = next((c for c in ("article", "main") if any(b.owner.container == c for b in left)), None)
-    if best:
-        left = [b for b in left if b.owner.container == best or (best == "main" and b.owner.container)]
+    left = _left(elements, blocks, templates, by_name=not templates.counted)
+    if not templates.counted:
+        left = left or _left(elements, blocks, templates, by_name=False)
+        size = lambda some: sum(len(b.text) for b in some)
+        for containers in ({"main"}, _CONTAINERS):
+            held = [b for b in left if b.owner.container in containers]
+            if 2 * size(held) >= size(left) > 0:
+                left = held
+                break
     return "\n".join(b.text for b in left)
 
 
@@ -276,22 +287,24 @@ def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages, totals, found = [], [], []
+            pages, signs, totals, found = [], [], [], []
             for body in batch.column(1).to_pylist():
                 elements, blocks = parse(body or "")
                 pages.append(_digest("\n".join(b.text for b in blocks).encode("utf-8", "surrogatepass")))
+                signs.append(_digest((body or "").encode("utf-8", "surrogatepass")))
                 totals.append(elements[0].own)
                 of_page: dict[tuple[int, int], int] = {}
                 for by, subtree, chars in _counted(elements):
                     of_page[by, subtree] = of_page.get((by, subtree), 0) + chars
                 found.append([{"by": by, "subtree": subtree, "chars": chars} for (by, subtree), chars in of_page.items()])
             kind = pa.list_(pa.struct([("by", pa.int32()), ("subtree", pa.int64()), ("chars", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.int64()), pa.array(totals, pa.int64()), pa.array(found, kind)], names=["host", "page", "total", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.int64()), pa.array(signs, pa.int64()), pa.array(totals, pa.int64()), pa.array(found, kind)], names=["host", "page", "sign", "total", "found"])
 
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, total long, found array<struct<by: int, subtree: long, chars: long>>")
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, sign long, total long, found array<struct<by: int, subtree: long, chars: long>>")
     with Scratch(pages.sparkSession) as scratch:
-        # copies of a page count once; written, as two sums follow
-        seen = scratch.written(seen.groupBy("host", "page").agg(F.first("total").alias("total"), F.first("found").alias("found")), "subtrees")
+        # pages of the same text count once, as the one of the first markup; written, as two sums follow
+        one = seen.groupBy("host", "page").agg(F.min_by(F.struct("total", "found"), "sign").alias("p"))
+        seen = scratch.written(one.select("host", "page", "p.total", "p.found"), "subtrees")
         return written(_recurring(seen, min_pages, min_share, max_text), "templates")
 
 
