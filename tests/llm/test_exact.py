@@ -92,6 +92,38 @@ def test_neighbours_recall(spark, sf_dir):
     assert all(a[1] >= b[1] for v in got.values() for a, b in zip(v, v[1:]))
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_given_vectors_are_hashed(spark, monkeypatch, sf):
+    """No comparison of everything, and 0.9 of the true neighbours or more."""
+    hashed = []
+    real = neighbours._hashed
+
+    def noted(classes, tables, plans, *, index):
+        hashed.append(plans)
+        return real(classes, tables, plans, index=index)
+
+    monkeypatch.setattr(neighbours, "_hashed", noted)
+    sf_dir = f"/root/testdata/{sf}"
+    rows = queries.op5_cross_polytope(spark, sf_dir).collect()
+    assert len(hashed) == 2 and all(set(p) == {64} and p[64][1] < 128 for p in hashed)
+    want = brute_neighbours([(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()])
+    hits = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in rows)
+    assert hits >= 0.9 * 5 * len(want)
+
+
+def test_wide_vectors_and_full_comparison(spark):
+    """More axes than are probed at several turns; in_full finds the same as brute force."""
+    rng = np.random.default_rng(4)
+    table = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((120, 2100)))]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    want = {q: [i for _, i in v] for q, v in brute_neighbours(table).items()}
+    for full in (False, True):
+        got = defaultdict(set)
+        for r in neighbours.search(df, F.col("vec_id") % 50 == 0, in_full=full).collect():
+            got[r.query_id].add(r.vec_id)
+        assert sum(len(got[q] & set(want[q])) for q in want) >= (15 if full else 0.9 * 15)
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [1.0, None]), (8, [float("nan"), 1.0]), (None, [1.0, 1.0]), (9, [-1.0, 0.0]), (100, [1.0, 1.0, 1.0]), (3, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
@@ -119,7 +151,6 @@ def test_neighbours_of_parallel_and_repeated_rows(spark):
 
 def test_probes_follow_the_data(spark, monkeypatch):
     """Hashed lengths, with one turn and with two, against brute force; clustered vectors take few probes."""
-    monkeypatch.setattr(neighbours, "FEW_ROWS", 100)
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((60, 16))
     near = np.repeat(centres, 20, axis=0) + 0.1 * rng.standard_normal((1200, 16))

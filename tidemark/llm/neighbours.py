@@ -11,15 +11,16 @@ of bounded size, so that a crowded bucket is many tasks.
 How many buckets are probed is measured, not guessed: a bounded sample of queries
 is compared with all vectors, and the probes are as many as find a share of
 target_recall of their true neighbours. If that takes too many probes, buckets get
-fewer turns; with one turn, probing all axes is a full comparison.
+fewer turns; with one turn, probing all axes is a full comparison. A table of any
+size is hashed.
 
 Vectors of one direction are one class: only the k + 1 smallest ids of a class can
 be among anyone's k nearest, so a class of any size costs as much as one vector,
 with the same result. Cosines are compared rounded to 12 places, so that parallel
 vectors are ties, as they are in exact numbers; scores are not rounded.
 
-Queries with fewer than k candidates, and vectors of lengths with few rows, are
-compared with all vectors, in blocks.
+Queries with fewer than k candidates are compared with all vectors, in blocks; so is
+everything if search is asked to (in_full), and vectors of 65,536 numbers or more.
 
 Defined cases: vectors that are null, empty, zero or hold a null or a non-finite
 number take no part, nor do rows with a null id. Rows that repeat an id are
@@ -39,8 +40,8 @@ from tidemark.llm.storage import written
 
 #: Rows of either side that are compared at once; rows of a bucket that are aimed at.
 BLOCK = 2048
-#: Queries by which the probes are measured; rows under which a length of vectors isn't hashed; probes that are tried at most.
-MEASURED, FEW_ROWS, MOST_PROBES = 256, 4096, 4096
+#: Queries by which the probes are measured; probes that are tried at most where a bucket is the axes of several turns.
+MEASURED, MOST_PROBES = 256, 4096
 
 
 def _turn(x: np.ndarray, table: int) -> np.ndarray:
@@ -148,7 +149,7 @@ def _plan(classes: DataFrame, sought: DataFrame, size: int, rows: int, tables: i
     axes = 2 << max(0, size - 1).bit_length()
     turns = int(np.clip(np.ceil(np.log(max(1, rows / BLOCK)) / np.log(axes)), 1, 42 // int(np.log2(axes))))
     for turns in range(turns, 0, -1):
-        probes = min(axes**turns, MOST_PROBES)
+        probes = axes if turns == 1 else min(axes**turns, MOST_PROBES)
         first = np.full(len(place), probes)
         for t in range(tables):
             for i in range(0, len(place), 256):
@@ -201,10 +202,11 @@ def _cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, tables: int = 2, target_recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, tables: int = 2, target_recall: float = 0.97, in_full: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the condition queries names its k nearest other rows.
 
-    Nearest by cosine in double precision, ties to the smaller id.
+    Nearest by cosine in double precision, ties to the smaller id. in_full: without
+    hashing, exact and quadratic.
     """
     kind = dict(vectors.select(vector).dtypes)[vector]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
@@ -223,12 +225,12 @@ def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector:
     sought = written(classes.join(rows.where("asks").select("cls").distinct(), "cls", "left_semi"), "sought")
 
     lengths = {r.length: r.n for r in classes.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).collect()}
-    plans = {size: _plan(classes, sought, size, n, tables, k, target_recall) for size, n in lengths.items() if n > FEW_ROWS and size < 65536}
+    plans = {size: _plan(classes, sought, size, n, tables, k, target_recall) for size, n in lengths.items() if size < 65536 and not in_full}
     hashed = F.size("vector").isin(list(plans))
     all_of = lambda df: df.select("cls", "id", "vector", F.size("vector").cast("long").alias("bucket"))
-    found = _best(all_of(sought.where(~hashed)), all_of(classes.where(~hashed)), k + 3)
-    if plans:
-        found = found.unionByName(_best(_hashed(sought.where(hashed), tables, plans, index=False), _hashed(classes.where(hashed), tables, plans, index=True), k + 3))
+    found = _best(_hashed(sought.where(hashed), tables, plans, index=False), _hashed(classes.where(hashed), tables, plans, index=True), k + 3)
+    if len(plans) < len(lengths):
+        found = found.unionByName(_best(all_of(sought.where(~hashed)), all_of(classes.where(~hashed)), k + 3))
     found = written(found, "candidates")
 
     # A class has k + 1 ids as soon as there are so many; queries that found too few are compared with everything of their length.
