@@ -19,8 +19,8 @@ def run(spark, rows, make, schema="s string"):
 
 
 def test_white_space(spark):
-    assert run(spark, ["  Senior \n  Engineer ", " a b﻿", "", None], text.clean_line) == ["Senior Engineer", "a b", None, None]
-    assert run(spark, [" a  b \r\n\r\n\r\n\r\n c  d ", " \n "], text.clean_block) == ["a b\n\nc d", None]
+    assert run(spark, ["\tNight shift\r\n  baker\u00a0", "\u3000x\ufeffy\u2003", " \n", None], text.clean_line) == ["Night shift baker", "x y", None, None]
+    assert run(spark, ["first\u00a0 line\t\r\n \r\n\r\n\n\n  second \x0b line\n", "\r\n\u2028"], text.clean_block) == ["first line\n\nsecond line", None]
 
 
 def test_entities_and_html(spark):
@@ -31,8 +31,8 @@ def test_entities_and_html(spark):
 
 
 def test_regex_and_similarity(spark):
-    assert run(spark, ["Req ID: R-4471 (EU)", "no"], lambda s: text.regex_extract_first(s, r"R-(\d+)")) == ["4471", None]
-    assert run(spark, ["Req ID: R-4471"], lambda s: text.regex_extract_first(s, r"R-\d+")) == ["R-4471"]
+    assert run(spark, ["ref. K-902/b of May", "none here"], lambda s: text.regex_extract_first(s, r"K-(\d+)/")) == ["902", None]
+    assert run(spark, ["ref. K-902/b of May"], lambda s: text.regex_extract_first(s, r"K-\d+/[a-z]")) == ["K-902/b"]
     pairs = [("Apply now", "apply NOW"), ("a b", "b c"), ("", "x"), ("one", "two")]
     assert run(spark, pairs, text.text_similarity, "a string, b string") == [1.0, 0.5, 0.0, 0.0]
     assert run(spark, ["FullTime", "PartTimeJob", "x", None], text.hyphen_case) == ["Full-time", "Part-time-job", "x", None]
@@ -47,6 +47,9 @@ def test_csv_cell_and_reason(spark):
 
 def test_scrub_html(spark):
     got = run(spark, ['<script>x</script><input type="text" value="secret" checked><textarea>mine</textarea><div contenteditable="true">typed</div><p>kept</p>'], text.scrub_html)[0]
+    nested = ['<div contenteditable="true"><div>line one</div>my typed secret</div><p>kept</p>', "<b CONTENTEDITABLE=''><b>a</b><i>typed</i></b><p>kept</p>", '<div contenteditable>typed <p>kept', '<div contenteditable="false">kept</div>', "<!-- <div contenteditable> --><p>kept</p>", "<textarea>typed", None]
+    told = run(spark, nested, text.scrub_html)
+    assert all("typed" not in x and "secret" not in x for x in told[:6]) and "kept" in told[0] and "kept" in told[3] and "kept" in told[4] and "kept" not in told[2] and told[6] is None
     assert "secret" not in got and "mine" not in got and "typed" not in got and "<script" not in got and "checked" not in got and "<p>kept</p>" in got
 
 

@@ -243,6 +243,21 @@ def test_schedule_rules(spark):
     assert errors["bad"] == "invalid hour field" and errors["short"] == "not five fields" and "15 minutes" in errors["often"] and errors["never"] == "never fires" and errors["step"] is None
 
 
+def test_as_many_fire_times_as_asked(spark):
+    crons = {"sundays of march": "30 2 * 3 0", "last days of march": "30 2 25-31 3 *", "either": "30 2 31 3 0", "often": "*/5 * * * *", "rare": "0 0 29 2 *", "never": "0 0 30 2 *", "stepped": "0 0 31 4,6 */2"}
+    df = spark.createDataFrame([(k, c, "Europe/Madrid") for k, c in crons.items()] + [("no zone", "0 0 * * *", "Nowhere/Land")], "schedule_id string, cron string, timezone string")
+    got = {}
+    for r in schedules.fire_times(df, dt.datetime(2024, 1, 1), most=25).orderBy("schedule_id", "n").collect():
+        got.setdefault(r.schedule_id, []).append((r.n, r.fire_at))
+    assert set(got) == set(crons) - {"never", "stepped"} and all([n for n, _ in v] == list(range(1, 26)) for v in got.values())
+    for key, fires in got.items():
+        times = [t for _, t in fires]
+        assert times == sorted(set(times))
+        if "2 " in crons[key][:5]:  # 01:30 in UTC in winter, never in the hour that is skipped
+            assert all(t.minute == 30 and t.hour in (0, 1) for t in times)
+    assert got["rare"][-1][1].year == 2024 + 4 * 25 - 4 + 4 - 1 or got["rare"][-1][1].year > 2115
+
+
 def test_templates(spark):
     df = spark.createDataFrame([("a {{x}} {{ y }} {{x}}", {"x": "1", "y": "$2"}), ("{{z}}", {"x": "1"}), ("plain", {})], "t string, v map<string,string>")
     got = [(r.g.text, r.g.error) for r in df.select(definitions.render_template(F.col("t"), F.col("v")).alias("g")).collect()]
@@ -268,6 +283,34 @@ def test_stream_close_and_track(spark, tmp_path):
     assert {r.dedup_key: r.closed_at for r in table.read().collect()} == {"a": day(3), "b": None}
 
 
+def test_state_table_after_a_crash_and_with_two_writers(spark, tmp_path):
+    """A writer that died half-way leaves nothing in the way; of two writers of one version one fails and can be run again."""
+    table = streams.StateTable(spark, f"file://{tmp_path}/table", spark.createDataFrame([], STATE), buckets=2)
+    schema = "recording_id string, dedup_key string, run_id string, run_seq long, content_hash string, title string, posted_at timestamp, seen_at timestamp"
+    batch = lambda n: spark.createDataFrame([("r", f"k{n}", f"run{n}", n, "x", "t", None, day(n))], schema)
+    (tmp_path / "table/versions").mkdir(parents=True)
+    (tmp_path / "table/versions/_half.json").write_text('{"version"')
+    (tmp_path / "table/data/orphan/bucket=0").mkdir(parents=True)
+    streams.track_batch(table, batch(1), 0)
+    assert table.versions() == [1] and table.read().count() == 1
+
+    def meanwhile(state):  # another writer is first while this one works
+        streams.track_batch(streams.StateTable(spark, table.path, spark.createDataFrame([], STATE), buckets=2), batch(2), 1)
+        return state
+
+    try:
+        table.update("other", 0, batch(3), meanwhile)
+    except Exception as e:
+        assert "version 2" in str(e)
+    else:
+        raise AssertionError("two writers of one version")
+    assert {r.dedup_key for r in table.read().collect()} == {"k1", "k2"}
+    table.update("other", 0, batch(3), lambda state: state)
+    assert table.versions() == [1, 2, 3] and {r.dedup_key for r in table.read().collect()} == {"k1", "k2"}
+    table.prune(keep=1)
+    assert table.versions() == [3] and table.read().count() == 2 and not (tmp_path / "table/data/orphan").exists()
+
+
 def test_tracker_and_closer_take_turns(spark, tmp_path):
     """Three rounds on one table, each batch run twice, with pruning, against the run-by-run merge."""
     base = f"file://{tmp_path}"
@@ -349,7 +392,8 @@ def test_selectors(spark):
 
     def found(kind, value, **more):
         scope = F.element_at("nodes", 1)
-        return nodes.select(F.transform(extract.matches(F.col("nodes"), scope, {"kind": kind, "value": value, **more}), lambda n: n["text"])).first()[0]
+        of = extract.page()
+        return nodes.select(F.transform(extract.matches(of, scope, {"kind": kind, "value": value, **more}), lambda k: extract.text_of(of, extract.node_at(of, k)))).first()[0]
 
     assert found("css", "section.a > p") == ["one", "two bold"] and found("css", "#top p") == ["one", "two bold", "three"] and found("css", "section > p:nth-child(2)[data-x='1']") == ["two bold"]
     assert found("css", ".b div p") == ["three"] and found("css", "div > p") == ["three"] and found("css", "b p") == [] and found("css", "*[data-x]") == ["two bold"]
@@ -361,8 +405,21 @@ def test_selectors(spark):
         except ValueError:
             continue
         raise AssertionError(value)
-    deep = extract.with_nodes(spark.createDataFrame([(1, "<div>" * 3000 + "x")], "page_id long, html string")).select(F.size("nodes")).first()[0]
-    assert deep == 3001
+    deep = extract.with_nodes(spark.createDataFrame([(1, "<div>" * 3000 + "x")], "page_id long, html string")).select(F.size("nodes"), F.length("said")).first()
+    assert tuple(deep) == (3001, 2)
+
+
+def test_texts_inner_html_roles_and_names(spark):
+    html = """<h1> Ünï <b>code</b>\n x</h1><label for=q>Find  it</label><input id=q type=search><input type=submit value=Go><label>Age <input type=number></label><p id=t>Titled</p><textarea aria-labelledby=t>own</textarea>
+<summary>More</summary><a>no link</a><a href=/x aria-label='The link'>é</a><img alt=Pic><img><select multiple></select><div role='button extra'>Press</div>"""
+    of = extract.page()
+    rows = extract.with_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    got = rows.select(F.inline(F.transform("nodes", lambda n: F.struct(n["tag"].alias("tag"), extract.text_of(of, n).alias("text"), extract.inner_of(of, n).alias("inner"), extract.role_of(n).alias("role"), extract.name_of(of, n).alias("name"))))).collect()
+    told = [(r.tag, r.role, r.name) for r in got if r.role]
+    assert ("h1", "heading", "Ünï code x") in told and got[1].inner == " Ünï <b>code</b>\n x" and got[2].text == "code"
+    assert [t for t in told if t[0] != "h1"] == [
+        ("input", "searchbox", "Find it"), ("input", "button", "Go"), ("input", "spinbutton", "Age"), ("textarea", "textbox", "Titled"), ("summary", "button", "More"), ("a", "link", "The link"), ("img", "img", "Pic"), ("select", "listbox", ""), ("div", "button", "Press"),
+    ]
 
 
 def test_coalesced_actions_equal_a_fold_of_whole_sessions(spark, sf_dir):

@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -205,15 +206,44 @@ def reason_text(reason: Column) -> Column:
     return F.coalesce(F.try_element_at(known, reason), F.replace(reason, F.lit("_"), F.lit(" ")), F.lit(""))
 
 
+_EDITABLE = re.compile(r"""\scontenteditable(?:\s*=\s*(?:"(?:true|plaintext-only|)"|'(?:true|plaintext-only|)'|(?:true|plaintext-only)(?=[\s>/])))?(?=[\s>/])""", re.I)
+_TAGS = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+
+
+def _without_typed(html: str) -> str:
+    """The source without what is inside elements that someone may edit: from such an element's start tag to its own end tag, however tags nest in it; to the end of the page if it has none."""
+    kept, at, depth, tag = [], 0, 0, ""
+    for m in _TAGS.finditer(html):
+        name = (m[2] or "").lower()
+        if not name or name in _VOID:
+            continue
+        if depth:
+            if name == tag:
+                depth += -1 if m[1] else 1
+                if not depth:
+                    at = m.start()
+        elif not m[1] and _EDITABLE.search(f"{m[3]}>"):
+            kept.append(html[at : m.end()])
+            depth, tag = 1, name
+    return "".join(kept) + ("" if depth else html[at:])
+
+
+def _scrubbed(html: pd.Series) -> pd.Series:
+    return html.map(_without_typed, na_action="ignore")
+
+
 def scrub_html(html: Column, limit: int = 60_000) -> Column:
     """Page source that may be shown: no scripts or styles, nothing that someone typed, cut at a length."""
     for pattern, by in (
         (r"(?is)<(script|style|noscript|svg|template)\b[^>]*>.*?</\1\s*>", ""),
         (r"(?is)<(?:link|meta)\b[^>]*>", ""),
-        (r"(?is)(<textarea\b[^>]*>).*?(</textarea\s*>)", "$1$2"),
-        (r"""(?is)(<([a-z][a-z0-9]*)\b[^>]*\scontenteditable(?:\s*=\s*(?:"(?:true|)"|'(?:true|)'|true))?(?=[\s>])[^>]*>).*?(</\2\s*>)""", "$1$3"),
+        (r"(?is)(<textarea\b[^>]*>).*?(</textarea\s*>|\z)", "$1$2"),
     ):
         html = F.regexp_replace(html, pattern, by)
+    # the helper gets only what has such an element
+    editable = html.rlike(r"(?i)\scontenteditable")
+    html = F.coalesce(F.pandas_udf(_scrubbed, "string")(F.when(editable, html)), html)
     field = r"""(?is)(<(?:input|option|select|textarea|button)\b[^>]*?)\s(?:value|selected|checked)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>])"""
     for _ in range(3):
         html = F.regexp_replace(html, field, "$1")

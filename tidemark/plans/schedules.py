@@ -44,27 +44,43 @@ def _fires_on(day: Column) -> Column:
     return F.when(F.col("__any_dom") | F.col("__any_dow"), in_month & in_week).otherwise(in_month | in_week)
 
 
-def _days_of_year(year: Column) -> Column:
-    """The days of a year on which a schedule fires: its months first, then their days."""
-    first = lambda month: F.make_date(year, month, F.lit(1))
-    days = lambda start: F.filter(F.sequence(start, F.last_day(start), F.expr("interval 1 day")), _fires_on)
-    return F.flatten(F.transform("__month", lambda month: days(first(month))))
+def _possible() -> Column:
+    """Whether some day of the allowed months can have an allowed number; where either kind of day will do, the days of the week can."""
+    longest = F.array(*(F.lit(n) for n in (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)))
+    in_month = F.exists("__month", lambda m: F.element_at("__dom", 1) <= F.element_at(longest, m))
+    return F.when(F.col("__any_dom") | F.col("__any_dow"), in_month).otherwise(F.lit(True))
 
 
-def _next_days(start: Column, needed: Column, years: int) -> Column:
-    """The first needed days from a start on which a schedule fires; years that come after enough days aren't looked at."""
+def _valid_times(day: Column, after: Column) -> Column:
+    """The fire times of a day: local times that exist, at their first occurrence, behind a moment."""
+    of_day = F.flatten(F.transform("__hour", lambda h: F.transform("__minute", lambda m: F.make_timestamp(F.year(day), F.month(day), F.dayofmonth(day), h, m, F.lit(0).cast("decimal(16,6)")))))
+    both = F.transform(of_day, lambda local: F.struct(local.alias("local"), F.to_utc_timestamp(local, F.col("zone")).alias("at")))
+    kept = F.filter(both, lambda t: (F.from_utc_timestamp(t["at"], F.col("zone")) == t["local"]) & (t["at"] > after))
+    return F.transform(kept, lambda t: t["at"])
 
-    def more(found: Column, year: Column) -> Column:
-        return F.when(F.size(found) >= needed, found).otherwise(F.concat(found, F.filter(_days_of_year(year), lambda d: d >= start)))
 
-    return F.slice(F.aggregate(F.sequence(F.year(start), F.year(start) + years), F.array().cast("array<date>"), more), 1, needed)
+def _first_times(start: Column, after: Column, most: int) -> Column:
+    """The first `most` fire times from a day on, by carrying on from time to day, month and year until there are enough."""
+    enough = lambda found, more: F.when(F.size(found) >= most, found).otherwise(more)
+
+    def of_month(found: Column, first: Column) -> Column:
+        days = F.filter(F.sequence(first, F.last_day(first), F.expr("interval 1 day")), lambda d: (d >= start) & _fires_on(d))
+        return enough(found, F.aggregate(days, found, lambda so_far, d: enough(so_far, F.concat(so_far, _valid_times(d, after)))))
+
+    def of_year(found: Column, year: Column) -> Column:
+        months = F.transform("__month", lambda m: F.make_date(year, m, F.lit(1)))
+        return enough(found, F.aggregate(months, found, of_month))
+
+    years = F.when(_possible(), F.sequence(F.year(start), F.year(start) + RARE_YEARS * most)).otherwise(F.array().cast("array<int>"))
+    return F.slice(F.aggregate(years, F.array().cast("array<timestamp>"), of_year), 1, most)
 
 
 def fire_times(schedules: DataFrame, after: Column | datetime, days: int | None = None, most: int | None = None) -> DataFrame:
-    """schedule_id, fire_at: times strictly after a moment; within some days, or the first `most` of each schedule, or both.
+    """schedule_id, fire_at: times strictly after a moment; within some days, or the first `most` of each schedule (with n from 1), or both.
 
-    The days are an array of each schedule, made month by month, so that a schedule
-    costs its fire times and not its minutes. Without days there is no horizon.
+    Each schedule's times are an array, found on its own row: nothing is shuffled,
+    and a time that a clock change skips is passed over before it counts. Without
+    days there is no horizon.
     """
     if days is None and most is None:
         raise ValueError("give days or most")
@@ -73,20 +89,14 @@ def fire_times(schedules: DataFrame, after: Column | datetime, days: int | None
     # a day before, for zones; its and this day's times may have gone by
     start = F.to_date(F.from_utc_timestamp(after, F.col("zone"))) - 1
     if days is None:
-        a_day = F.size("__hour") * F.size("__minute")
-        dates = _next_days(start, (F.ceil(F.lit(most) / a_day) + 3).cast("int"), RARE_YEARS * most)
+        times = _first_times(start, after, most)
     else:
         dates = F.filter(F.sequence(start, start + days + 1, F.expr("interval 1 day")), lambda d: F.array_contains("__month", F.month(d)) & _fires_on(d))
-    dated = valid.select("schedule_id", "zone", "__hour", "__minute", F.explode(dates).alias("day"))
-    timed = dated.select("schedule_id", "zone", "day", F.explode("__hour").alias("hour"), "__minute").select("schedule_id", "zone", "day", "hour", F.explode("__minute").alias("minute"))
-    local = F.make_timestamp(F.year("day"), F.month("day"), F.dayofmonth("day"), F.col("hour"), F.col("minute"), F.lit(0).cast("decimal(16,6)"))
-    at = F.to_utc_timestamp(local, F.col("zone"))
-    exact = timed.withColumns({"fire_at": at, "__local": local}).where(F.from_utc_timestamp("fire_at", F.col("zone")) == F.col("__local")).where(F.col("fire_at") > after)
-    out = exact.select("schedule_id", "fire_at").distinct()
+        times = F.flatten(F.transform(dates, lambda d: _valid_times(d, after)))
+        times = times if most is None else F.slice(times, 1, most)
     if most is None:
-        return out
-    w = Window.partitionBy("schedule_id").orderBy("fire_at")
-    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+        return valid.select("schedule_id", F.explode(times).alias("fire_at"))
+    return valid.select("schedule_id", F.posexplode(times).alias("n", "fire_at")).select("schedule_id", "fire_at", (F.col("n") + 1).alias("n"))
 
 
 def validate_schedules(schedules: DataFrame, now: Column | datetime) -> DataFrame:

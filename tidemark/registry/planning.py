@@ -54,6 +54,17 @@ def k1_fire_times_over_clock_change(read):
     return schedules.fire_times(all_of, _at("2024-03-29 00:00:00"), days=4)
 
 
+# the first 25 of schedules that a clock change hits: Sundays of March, and the last days of March, at each hour
+@query("""with d as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2032-12-31', interval 1 day)) as d), k as (select c_custkey as schedule_id, c_custkey % 24 as h, c_custkey % 2 as kind from customer),
+ t as (select schedule_id, d, h, d + to_hours(cast(h as integer)) + interval 30 minute as local from k, d where month(d) = 3 and case kind when 0 then dayofweek(d) = 0 else day(d) >= 25 end),
+ f as (select schedule_id, timezone('UTC', timezone('Europe/Madrid', local)) as fire_at from t where not (h = 2 and dayofweek(d) = 0 and day(d) >= 25))
+ select schedule_id, fire_at, cast(row_number() over (partition by schedule_id order by fire_at) as integer) as n from f qualify n <= 25""")
+def k1_fire_times_behind_clock_changes(read):
+    days = F.when(F.col("c_custkey") % 2 == 0, " * 3 0").otherwise(" 25-31 3 *")
+    all_of = read("customer").select(F.col("c_custkey").alias("schedule_id"), F.concat(F.lit("30 "), (F.col("c_custkey") % 24).cast("string"), days).alias("cron"), F.lit("Europe/Madrid").alias("timezone"))
+    return schedules.fire_times(all_of, _at("2024-01-01 00:00:00"), most=25)
+
+
 # schedules of every 29 February: further apart than any fixed horizon
 @query("""select schedule_id, fire_at, cast(row_number() over (partition by schedule_id order by fire_at) as integer) as n from (select c_custkey as schedule_id, make_timestamp(y, 2, 29, c_custkey % 24, 0, 0) as fire_at from customer, (values (2024), (2028), (2032), (2036)) t(y)) where fire_at > timestamp '2024-02-29 10:30:00' qualify n <= 3""")
 def k1_rare_fire_times(read):
@@ -166,13 +177,18 @@ def c19_bot_walls(read):
     return read("pages").select("page_id", politeness.detect_bot_wall(title, body, F.length("html") / 2, frames, markers).alias("signal"))
 
 
+# what someone typed in front of a page: in a form, and in an element that holds others, the page's own text among it
 _FORM = '<form><textarea rows=2>typed</textarea><input type="text" value="mine" checked></form>'
+_OPEN, _SHUT = ("<div contenteditable='true'><div>", "<section contentEditable><p>"), ("</div>secret<DIV><br>2</DIV></div>", "</p><section>3</section>secret</section>")
+_BARE = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>', '', 'g')"""
 
 
-@query(rf"""select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('{_FORM}' || html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>', '', 'g'),
- '(?is)(<textarea\b[^>]*>).*?(</textarea\s*>)', '\1\2', 'g'), '(<input\b[^>]*?) value="[^"]*"', '\1', 'g'), '(<input\b[^>]*?) checked', '\1', 'g')[1:60000] as scrubbed from pages""")
+@query(rf"""select page_id, ('<form><textarea rows=2></textarea><input type="text"></form>' || case when page_id % 2 = 0 then '<div contenteditable=''true''></div>' else '<section contentEditable></section>' end || {_BARE})[1:60000] as scrubbed from pages""")
 def c30_scrubbed(read):
-    return read("pages").select("page_id", text.scrub_html(F.concat(F.lit(_FORM), "html")).alias("scrubbed"))
+    even = F.col("page_id") % 2 == 0
+    said = F.regexp_extract("html", r"(?s)<p>([^<]*)", 1)
+    typed = F.concat(F.when(even, _OPEN[0]).otherwise(_OPEN[1]), said, F.when(even, _SHUT[0]).otherwise(_SHUT[1]))
+    return read("pages").select("page_id", text.scrub_html(F.concat(F.lit(_FORM), typed, "html")).alias("scrubbed"))
 
 
 @query("select o_orderkey, case o_orderkey % 3 when 0 then 'Stopped by a bot check' when 1 then 'code ' || o_orderkey else '' end as words from orders")
