@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import money_dates, text, urls
-from tidemark.operators import extract, normalize, search
+from tidemark.operators import discover, extract, normalize, search
 from tidemark.plans import definitions
 from tidemark.registry.common import registry
 from tidemark.sources import feeds
@@ -163,6 +163,30 @@ def d4_locator_coverage(read):
     return extract.locator_coverage(extract.locator_attempts(read("pages"), _LINK))
 
 
+# the menu is the list whose items are links; the texts' own lists (of unclosed tags) are found too, but SQL can't nest elements
+_MENU = r"(select page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>(.*?)</li>', 1) as l from pages)"
+
+
+def _menus(read):
+    return discover.list_groups(read("pages")).where("look = 'li>a'")
+
+
+@query(rf"select page_id, len(l) as size, 'li>a' as look from {_MENU} where len(l) >= 2")
+def d8_found_lists(read):
+    return _menus(read).select("page_id", F.col("size").cast("long").alias("size"), "look")
+
+
+@query(rf"""select page_id, i, k as kind, v as value from {_MENU}, (values (0, 'role', 'listitem'), (1, 'css', 'li'), (2, 'css', 'ul > li'), (3, 'css', 'nav > ul > li'), (4, 'xpath', '/html[1]/body[1]/nav[1]/ul[1]/li')) as t(i, k, v) where len(l) >= 2""")
+def d9_list_locators(read):
+    found = discover.list_locators(read("pages"), _menus(read))
+    return found.select("page_id", F.posexplode("locators").alias("i", "l")).select("page_id", "i", "l.kind", "l.value")
+
+
+@query(rf"""select page_id, 'a' as value, len(l) as items, len(list_filter(l, lambda x: len(regexp_extract_all(x, '<a ')) = 1)) / len(l) as share from {_MENU} where len(l) >= 2""")
+def d10_field_locators(read):
+    return discover.field_locators(read("pages"), _menus(read)).select("page_id", "value", F.col("items").cast("long").alias("items"), "share")
+
+
 @query(r"select doc_id, regexp_replace(source, '[^0-9]', '', 'g') as digits, trim(regexp_replace(text, '\s+', ' ', 'g')) as line from documents")
 def d1_transform_chain(read):
     return read("documents").select("doc_id", definitions.transform_chain(F.col("source"), ["trim", r"regex:src(\d+)"]).alias("digits"), definitions.transform_chain(F.col("text"), ["collapseWhitespace", "trim"]).alias("line"))
