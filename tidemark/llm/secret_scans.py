@@ -123,7 +123,7 @@ def _scanned(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return texts.select("blob", "text", "unseen").mapInArrow(run, _SCANS)
 
 
-def scan(versions: DataFrame, ledger: Ledger, *, text: str = "text", rules: tuple[Rule, ...] = RULES, broadcast_blobs: int = 100_000) -> int:
+def scan(versions: DataFrame, ledger: Ledger, *, text: str = "text", rules: tuple[Rule, ...] = RULES, broadcast_blobs: int = 10_000) -> int:
     """Bring the ledger up to date with all texts; gives the number of blobs that some rule had not seen."""
     place = {r.name: i for i, r in enumerate(rules)}
     addresses = versions.select(blob_of(F.col(text).cast("string")).alias("blob")).distinct()
@@ -143,7 +143,8 @@ def findings(versions: DataFrame, ledger: Ledger, *, text: str = "text", rules:
     order = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)))
     known = ledger.scans(rules).where(F.size("spans") > 0).dropDuplicates(["blob", "rule"])
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("order"), s["end"].alias("end"), F.col("rule").alias("kind")))
-    of_blob = known.groupBy("blob").agg(F.flatten(F.collect_list(spans)).alias("__found"))
+    # written, so that the join's partitions are its own and Spark can split that of a blob with many rows
+    of_blob = written(known.groupBy("blob").agg(F.flatten(F.collect_list(spans)).alias("__found")), "found")
     rest = [c for c in versions.columns if c.lower() not in (text.lower(), "found", "blob")]
     addressed = versions.select(*(F.col(f"`{c}`") for c in rest), blob_of(F.col(text).cast("string")).alias("blob"))
     kept = F.transform(F.array_sort(F.coalesce("__found", F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>"))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
