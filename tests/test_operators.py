@@ -422,21 +422,71 @@ def test_texts_inner_html_roles_and_names(spark):
     ]
 
 
-def test_coalesced_actions_equal_a_fold_of_whole_sessions(spark, sf_dir):
-    """The stretches of the query against a plain fold of each session's rows, in order."""
-    from tidemark.registry import postings
-
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    actions, navigations = postings._actions(read), postings._navigations(read)
-    caused = {(r.session_id, r.idx) for r in clicks.attribute_navigations(actions, navigations).collect()}
-    sessions = {}
-    for r in actions.collect():
-        sessions.setdefault(r.session_id, []).append({**r.asDict(), "navigated": True if (r.session_id, r.idx) in caused else None})
-    want = []
-    for rows in sessions.values():
-        rows.sort(key=lambda r: (r["at"], r["idx"]))
-        for row, after in zip(rows, [*rows[1:], {}], strict=True):
-            row["__skipped"] = row["kind"] == "step" and row["step_type"] == "press" and row["key"] == "Tab" and after.get("kind") == "step" and after.get("has_target") is True
-        want += [(r["session_id"], r["idx"], r["at"], r["value"], r["amount"], r["mode"]) for r in clicks._folded(rows)]
-    got = clicks.coalesce_actions(actions, navigations)
-    assert sorted(((r.session_id, r.idx, r.at, r.value, r.amount, r["mode"]) for r in got.collect()), key=str) == sorted(want, key=str)
+def rewritten(rows):
+    """A session by rules on neighbours, the leftmost pair first, until none fits."""
+    step = lambda r, *kinds: r["kind"] == "step" and r["step_type"] in kinds
+    idle = lambda r: step(r, "click") and r["interactive"] is False and r["mutated"] is False and not r["navigated"]
+    tab = lambda r, n: step(r, "press") and r["key"] == "Tab" and n and n["kind"] == "step" and n["has_target"]
+    left = [dict(r) for r, n in zip(rows, [*rows[1:], None]) if not idle(r) and not tab(r, n)]
+    while True:
+        for i, (a, b) in enumerate(zip(left, left[1:])):
+            if step(a, "click", "fill") and step(b, "fill") and b["element_key"] and a["element_key"] == b["element_key"] and not a["navigated"]:
+                left[i : i + 2] = [b]
+            elif step(a, "click") and step(b, "navigate") and b["replaces_click"] and b["at"] - a["at"] <= 5000:
+                left[i : i + 2] = [{**b, "replaces_click": False}]
+            elif step(a, "navigate") and step(b, "navigate") and a["url"] == b["url"]:
+                left[i : i + 2] = [a]
+            elif step(a, "scroll") and step(b, "scroll") and a["element_key"] == b["element_key"]:
+                bottom = "toBottom" in (a["mode"], b["mode"])
+                left[i : i + 2] = [{**a, "at": b["at"], "mode": "toBottom" if bottom else a["mode"], "amount": None if bottom else (a["amount"] or 0) + (b["amount"] or 0)}]
+            else:
+                continue
+            break
+        else:
+            return left
+
+
+def test_coalesced_actions_equal_rewriting(spark):
+    """Random sessions, one of half of all rows, in spans from a few rows to all of them."""
+    deal = random.Random(4)
+    rows, at = [], {}
+    for idx in range(900):
+        s = deal.choice(["hot", "hot", "hot", "a", "b", None])
+        at[s] = at.get(s, 0) + deal.choice([0, 1, 900, 4000, 7000])
+        rows.append({
+            "session_id": s, "idx": idx, "at": at[s], "kind": deal.choice(["step"] * 9 + ["field", "scopeEnd"]), "step_type": deal.choice(["click", "fill", "navigate", "scroll", "scroll", "press", "hover"]), "url": deal.choice(["u", "v", None]), "value": str(idx), "key": deal.choice(["Tab", "Enter"]),
+            "mode": deal.choice(["by", "by", "by", "toBottom"]), "amount": deal.choice([1.0, 2.5, None]), "element_key": deal.choice(["e", "f", "", None]), "has_target": deal.choice([True, False, None]), "interactive": deal.choice([True, False, False, None]), "mutated": deal.choice([True, False, False]),
+            "replaces_click": deal.choice([True, False, None]), "seq": None,
+        })
+    names = [c.split()[0] for c in ACTION.split(", ")]
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ACTION)
+    navigations = spark.createDataFrame([(r["session_id"], f"n{r['idx']}", r["at"] + deal.choice([0, 3, 400]), None) for r in rows if r["session_id"] and deal.random() < 0.2], "session_id string, url string, at long, seq long")
+    for span in (1500, 40_000, 10**9):
+        caused = {(r.session_id, r.idx) for r in clicks.attribute_navigations(df, navigations, span).collect()}
+        if span == 1500:
+            first = caused
+        assert caused == first and len(caused) > 20
+        want = []
+        for s in ("hot", "a", "b", None):
+            own = sorted(({**r, "navigated": (s, r["idx"]) in caused} for r in rows if r["session_id"] == s), key=lambda r: (r["at"], r["idx"]))
+            want += [(s, r["idx"], r["at"], r["amount"], r["mode"]) for r in rewritten(own)]
+        got = [(r.session_id, r.idx, r.at, r.amount, r["mode"]) for r in clicks.coalesce_actions(df, navigations, span).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_no_task_has_a_whole_key(spark):
+    """As-of joins of one key with half of all rows: windows over rows are by key and span, those by key alone over one row for each span."""
+    from tidemark.operators import ordered
+
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise((F.col("id") % 97).cast("string")).alias("k"), F.col("id").alias("t"), F.when(F.col("id") % 50 == 0, F.col("id")).alias("v"))
+    got = ordered.carried(df, ["k"], ["t"], F.floor(F.col("t") / 100), F.col("v"), "last")
+    want = {}
+    for r in df.orderBy("t").collect():
+        want[r.k] = r.v if r.v is not None else want.get(r.k)
+        want[r.k, r.t] = want[r.k]
+    assert all(want[r.k, r.t] == r["last"] for r in got.collect())
+    near = ordered.neighbours(df.where("k = 'hot'"), ["k"], ["t"], F.floor(F.col("t") / 7), ["t"], 3, 2)
+    for r in near.collect():
+        assert [x.t for x in r.before] == [t for t in range(r.t - 6, r.t, 2) if t >= 0] and [x.t for x in r.after] == [t for t in range(r.t + 2, r.t + 5, 2) if t < 4000]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and "windowspecdefinition(k#" in plan

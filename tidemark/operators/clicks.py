@@ -8,22 +8,22 @@ navigations: session_id, url, at, seq.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidemark.operators import ordered
 
 SLACK_MS, WINDOW_MS, POPUP_MS = 5, 10_000, 5_000
+#: A session is cut into spans of this length, each a task of its own.
+SPAN_MS = 3_600_000
 
 
-def attribute_navigations(actions: DataFrame, navigations: DataFrame) -> DataFrame:
+def attribute_navigations(actions: DataFrame, navigations: DataFrame, span_ms: int = SPAN_MS) -> DataFrame:
     """session_id, idx, url: the action that caused each navigation, as an as-of join.
 
     The cause is the latest action up to 5 ms behind the navigation and 10 s
     before. An address typed by hand or the edge of a scope in between means that
-    no action caused it. Union and windows: n log n for each session, no pairs.
+    no action caused it. One pass over actions and navigations in order, span by span.
     """
     acts = actions.select(
         "session_id", "idx", "at", "seq", F.lit(None).cast("string").alias("nav_url"), F.col("at").alias("sort_at"), F.lit(0).alias("order"),
@@ -32,85 +32,58 @@ def attribute_navigations(actions: DataFrame, navigations: DataFrame) -> DataFra
     navs = navigations.select("session_id", F.lit(None).cast("int").alias("idx"), "at", "seq", F.col("url").alias("nav_url"), (F.col("at") + SLACK_MS).alias("sort_at"), F.lit(1).alias("order"), F.lit("nav").alias("what"))
     # a typed address counts up to the navigation itself, by the shared sequence where both have one
     typed_at = F.when(F.col("what") == "typed", F.col("at") + SLACK_MS).otherwise(F.col("sort_at"))
-    rows = acts.unionByName(navs).withColumns({"sort_at": typed_at, "order": F.when(F.col("what") == "typed", 0).otherwise(F.col("order"))})
-    up_to = Window.partitionBy("session_id").orderBy("sort_at", "order", F.coalesce("seq", F.lit(0)), F.coalesce("idx", F.lit(-1)))
-    so_far = up_to.rowsBetween(Window.unboundedPreceding, 0)
-    cause = F.last(F.when(F.col("what") == "act", F.struct("idx", "at")).when(F.col("what").isin("typed", "reset"), F.struct(F.lit(None).cast("int").alias("idx"), F.col("at").alias("at"))), ignorenulls=True).over(so_far)
-    found = rows.withColumn("cause", cause).where("what = 'nav' and cause.idx is not null").where(F.col("at") - F.col("cause.at") <= WINDOW_MS)
+    rows = acts.unionByName(navs).withColumns({"sort_at": typed_at, "order": F.when(F.col("what") == "typed", 0).otherwise(F.col("order")), "__seq": F.coalesce("seq", F.lit(0)), "__idx": F.coalesce("idx", F.lit(-1))})
+    cause = F.when(F.col("what") == "act", F.struct("idx", "at")).when(F.col("what").isin("typed", "reset"), F.struct(F.lit(None).cast("int").alias("idx"), F.col("at").alias("at")))
+    known = ordered.carried(rows, ["session_id"], ["sort_at", "order", "__seq", "__idx"], F.floor(F.col("sort_at") / span_ms), cause, "cause")
+    found = known.where("what = 'nav' and cause.idx is not null").where(F.col("at") - F.col("cause.at") <= WINDOW_MS)
     # an action that caused several keeps the last
-    last = Window.partitionBy("session_id", "cause.idx").orderBy(F.desc("at"), F.desc(F.coalesce("seq", F.lit(0))))
+    last = Window.partitionBy("session_id", "cause.idx").orderBy(F.desc("at"), F.desc("__seq"))
     return found.withColumn("__n", F.row_number().over(last)).where("__n = 1").select("session_id", F.col("cause.idx").alias("idx"), F.col("nav_url").alias("url"))
 
 
-def _folded(steps: list[dict]) -> list[dict]:
-    """The steps of one stretch that are worth replaying: what is dropped or merged follows from the one before that was kept."""
-    kept: list[dict] = []
-    for item in steps:
-        before = kept[-1] if kept and kept[-1]["kind"] == "step" else {}
-        same = bool(item["element_key"]) and before.get("element_key") == item["element_key"]
-        if item["kind"] != "step":
-            kept.append(item)
-            continue
-        match item["step_type"]:
-            case "navigate":
-                if item["replaces_click"] is True and before.get("step_type") == "click" and item["at"] - before["at"] <= POPUP_MS:
-                    kept.pop()
-                if kept and kept[-1]["kind"] == "step" and kept[-1]["step_type"] == "navigate" and kept[-1]["url"] == item["url"]:
-                    continue
-            case "click" if item["interactive"] is False and item["mutated"] is False and item["navigated"] is not True:
-                continue
-            case "press" if item["__skipped"]:
-                continue
-            case "fill" if same and before["step_type"] in ("click", "fill") and before["navigated"] is not True:
-                kept.pop()
-            case "scroll" if before.get("step_type") == "scroll" and before["element_key"] == item["element_key"]:
-                if "toBottom" in (item["mode"], before["mode"]):
-                    before |= {"mode": "toBottom", "amount": None}
-                else:
-                    before["amount"] = (before["amount"] or 0) + (item["amount"] or 0)
-                before["at"] = item["at"]
-                continue
-        kept.append(item)
-    return kept
-
-
-def coalesce_actions(actions: DataFrame, navigations: DataFrame | None = None) -> DataFrame:
+def _is(row: Column, *kinds: str) -> Column:
+    return F.coalesce((row["kind"] == "step") & row["step_type"].isin(*kinds), F.lit(False))
+
+
+def coalesce_actions(actions: DataFrame, navigations: DataFrame | None = None, span_ms: int = SPAN_MS) -> DataFrame:
     """The actions worth replaying, with the value, amount and mode that they end with.
 
-    What is dropped follows from the row before that was kept. Markers, fields and key
-    presses that count are kept whatever stood before, so windows cut sessions there,
-    and a small helper folds the stretches as they stream by: it holds one stretch at
-    a time, and a session's stretches are spread over tasks. The windows sort a
-    session in one task.
+    Key presses that only move on to a targeted step, and clicks on nothing that did
+    nothing, go first. What else goes or merges follows from the nearest rows that are
+    left: a click or fill goes if the next row fills the same element, unless it
+    navigated; a click goes if the next row is the address that it opened; an address
+    goes if the row before (or before such a click) is the same address; scrolls of one
+    element in a row are one scroll. So each row looks at two before and one behind it,
+    and a session of any length is cut into spans of time (operators.ordered).
     """
-    caused = attribute_navigations(actions, navigations).select("session_id", "idx", F.lit(True).alias("navigated")) if navigations is not None else None
+    caused = attribute_navigations(actions, navigations, span_ms).select("session_id", "idx", F.lit(True).alias("navigated")) if navigations is not None else None
     rows = actions.join(caused, ["session_id", "idx"], "left") if caused is not None else actions.withColumn("navigated", F.lit(None).cast("boolean"))
-    in_order = Window.partitionBy("session_id").orderBy("at", "idx")
-    step = F.col("kind") == "step"
-    tab_on = F.coalesce(step & (F.col("step_type") == "press") & (F.col("key") == "Tab") & (F.lead("kind").over(in_order) == "step") & F.lead("has_target").over(in_order), F.lit(False))
-    certain = ~step | ((F.col("step_type") == "press") & ~F.col("__skipped"))
-    cut = rows.withColumn("__skipped", tab_on).withColumn("__stretch", F.sum(F.coalesce(certain, F.lit(False)).cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretch, of, schema = [], None, None
-
-        def out(items: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in _folded(items)], schema=schema)
-
-        for batch in batches:
-            schema = pa.schema([batch.schema.field(n) for n in names])
-            for row in batch.to_pylist():
-                if (row["session_id"], row["__stretch"]) != of:
-                    if stretch:
-                        yield out(stretch)
-                    stretch, of = [], (row["session_id"], row["__stretch"])
-                stretch.append(row)
-        if stretch:
-            yield out(stretch)
-
-    dealt = cut.repartition("session_id", "__stretch").sortWithinPartitions("session_id", "__stretch", "at", "idx")
-    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields])).drop("navigated")
+    key, order, span = ["session_id"], ["at", "idx"], F.floor(F.col("at") / span_ms)
+    own = F.struct("kind", "step_type", "element_key", "url", "at", "navigated", "replaces_click")
+    true = lambda c: F.coalesce(c, F.lit(False))
+
+    seen = ordered.neighbours(rows, key, order, span, ["kind", "has_target"], 0, 1)
+    following = F.try_element_at("after", F.lit(1))
+    moves_on = _is(own, "press") & true((F.col("key") == "Tab") & (following["kind"] == "step") & following["has_target"])
+    idle = _is(own, "click") & true(~F.col("interactive") & ~F.col("mutated")) & ~true(F.col("navigated"))
+    left = ordered.neighbours(seen.where(~moves_on & ~idle).drop("before", "after"), key, order, span, ["kind", "step_type", "element_key", "url", "at", "navigated", "replaces_click"], 2, 1)
+
+    one, two, after = (F.try_element_at(F.col(c), F.lit(i)) for c, i in (("before", -1), ("before", -2), ("after", 1)))
+    opened = lambda click, address: _is(click, "click") & _is(address, "navigate") & true(address["replaces_click"] & (address["at"] - click["at"] <= POPUP_MS))
+    refilled = lambda a, b: _is(a, "click", "fill") & _is(b, "fill") & true((a["element_key"] != "") & (a["element_key"] == b["element_key"])) & ~true(a["navigated"])
+    last = F.when(opened(one, own), two).otherwise(one)
+    gone = opened(own, after) | refilled(own, after) | (_is(own, "navigate") & _is(last, "navigate") & last["url"].eqNullSafe(F.col("url")))
+    scroll = _is(own, "scroll")
+    told = left.withColumns({"__gone": gone, "__scroll": scroll, "__goes_on": scroll & _is(one, "scroll") & one["element_key"].eqNullSafe(F.col("element_key"))}).drop("before", "after")
+
+    begins = F.when(F.col("__scroll") & ~F.col("__goes_on"), F.struct("at", "idx"))
+    runs = ordered.carried(told, key, order, span, begins, "__run").where("__scroll").groupBy("session_id", F.col("__run.at").alias("__at"), F.col("__run.idx").alias("idx"))
+    merged = runs.agg(F.count("*").alias("__n"), F.max(true(F.col("mode") == "toBottom")).alias("__bottom"), F.sum(F.coalesce("amount", F.lit(0.0))).alias("__sum"), F.max("at").alias("__end")).where("__n > 1")
+    kept = told.where("not __gone and not __goes_on").withColumn("__at", F.col("at"))
+    out = kept.join(merged.withColumnRenamed("idx", "__idx").withColumnsRenamed({"session_id": "__session", "__at": "__begin"}), [F.col("session_id").eqNullSafe(F.col("__session")), F.col("__at") == F.col("__begin"), F.col("idx") == F.col("__idx"), F.col("__scroll")], "left")
+    several = F.col("__n").isNotNull()
+    changed = {"mode": F.when(several & F.col("__bottom"), "toBottom").otherwise(F.col("mode")), "amount": F.when(several, F.when(~F.col("__bottom"), F.col("__sum"))).otherwise(F.col("amount")), "at": F.when(several, F.col("__end")).otherwise(F.col("at"))}
+    return out.withColumns(changed).select(*actions.columns)
 
 
 # What marks a field whose typed value must not be kept.

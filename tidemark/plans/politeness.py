@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.functions.urls import url_origin
 
 CACHED_HOURS = 24
@@ -75,8 +76,8 @@ def robots_cache_asof(checks: DataFrame, fetches: DataFrame) -> DataFrame:
     """
     good = fetches.where("status < 500").select("origin", F.col("fetched_at").alias("ts"), F.struct("body", "status", "fetched_at").alias("got"), F.lit(0).alias("order"))
     asked = checks.select("origin", "ts", F.lit(None).cast(good.schema["got"].dataType).alias("got"), F.lit(1).alias("order"))
-    w = Window.partitionBy("origin").orderBy("ts", "order").rowsBetween(Window.unboundedPreceding, 0)
-    last = good.unionByName(asked).withColumn("last", F.last("got", ignorenulls=True).over(w)).where("order = 1")
+    # a day of an origin is a task of its own; a fetch and a check at one time: the fetch first
+    last = ordered.carried(good.unionByName(asked), ["origin"], ["ts", "order"], F.date_trunc("day", "ts"), F.col("got"), "last").where("order = 1")
     fresh = F.col("ts") <= F.col("last.fetched_at") + F.expr(f"interval {CACHED_HOURS} hours")
     return last.select("origin", "ts", F.when(fresh, F.col("last.body")).alias("body"), F.coalesce(fresh, F.lit(False)).alias("cached"))
 

@@ -372,9 +372,32 @@ def j11_attributed_navigations(read):
     return clicks.attribute_navigations(_actions(read), _navigations(read))
 
 
-@query()
+# a session's month in ten minutes, so that clicks open pages and rows meet; every other address replaces the click before it
+_SPED = 7200
+
+
+@query(f"""with e as (select cast(user_id as varchar) as s, event_id as idx, epoch_ms(ts) // {_SPED} as t, cast(json_extract_string(props, '$.k') as integer) as k, event_type from events),
+ a as (select s, idx, t, case when k = 99 then 'scopeEnd' else 'step' end as kind, case event_type when 'click' then 'click' when 'view' then 'scroll' when 'signup' then 'fill' when 'purchase' then 'press' else 'navigate' end as step_type,
+  case when event_type = 'error' then 'https://x.example/' || k % 3 end as url, case when event_type = 'signup' then cast(k as varchar) end as value, case when k % 5 = 0 then 'toBottom' else 'by' end as mode, case when event_type = 'view' then k::double end as amount, 'e' || k % 4 as element, k from e),
+ n as (select s, idx as n, t + case when idx % 2 = 0 then 1 else 20000 end as t from e where idx % 5 = 0),
+ caused as (select s, idx from (select n.s, a.idx, n.t, a.t as cause_t, a.kind = 'step' and a.step_type <> 'navigate' as act from n join a on a.s = n.s and a.t <= n.t + case when a.kind = 'step' and a.step_type = 'navigate' then 0 else 5 end
+  qualify row_number() over (partition by n.n order by case when a.kind = 'step' and a.step_type = 'navigate' then a.t + 5 else a.t end desc, a.idx desc) = 1) where act and t - cause_t <= 10000 group by all),
+ b as (select a.*, c.idx is not null as went, lead(kind) over o = 'step' and lead(k) over o % 3 = 0 as targeted from a left join caused c on c.s = a.s and c.idx = a.idx window o as (partition by a.s order by a.t, a.idx)),
+ r as (select *, kind = 'step' and step_type = 'click' as click, kind = 'step' and step_type = 'fill' as fill, kind = 'step' and step_type = 'navigate' as address, kind = 'step' and step_type = 'scroll' as scroll from b
+  where not (kind = 'step' and step_type = 'press' and k % 2 = 0 and coalesce(targeted, false)) and not (kind = 'step' and step_type = 'click' and k % 4 <> 0 and k % 8 <> 1 and not went)),
+ w as (select *, coalesce(address and lag(click) over o and k % 2 = 1 and t - lag(t) over o <= 5000, false) as opens,
+  coalesce((click and lead(address) over o and lead(k) over o % 2 = 1 and lead(t) over o - t <= 5000) or ((click or fill) and lead(fill) over o and lead(element) over o = element and not went), false) as goes,
+  coalesce(scroll and lag(scroll) over o and lag(element) over o = element, false) as same, lag(address) over o as a1, lag(url) over o as u1, lag(address, 2) over o as a2, lag(url, 2) over o as u2 from r window o as (partition by s order by t, idx)),
+ x as (select *, sum(case when same then 0 else 1 end) over (partition by s order by t, idx) as run from w)
+ select s as session_id, cast(arg_min(idx, (t, idx)) as integer) as idx, max(t) as at, any_value(step_type) as step_type, arg_min(value, (t, idx)) as value, case when count(*) = 1 then any_value(amount) when not bool_or(mode = 'toBottom') then sum(amount) end as amount,
+  case when bool_or(mode = 'toBottom') then 'toBottom' else 'by' end as mode
+ from x where not goes and not coalesce(address and case when opens then a2 and u2 = url else a1 and u1 = url end, false) group by s, run""")
 def w9_coalesced_actions(read):
-    return clicks.coalesce_actions(_actions(read), _navigations(read)).select("session_id", "idx", "at", "step_type", "value", "amount", "mode")
+    sped = lambda df: df.withColumn("at", F.floor(F.col("at") / _SPED))
+    actions = sped(_actions(read)).withColumn("replaces_click", F.col("element_key").isin("e1", "e3"))
+    navigations = sped(read("events").where("event_id % 5 = 0").select(F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("https://x.example/n"), F.col("event_id").cast("string")).alias("url"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.lit(None).cast("long").alias("seq"), "event_id"))
+    navigations = navigations.withColumn("at", F.col("at") + F.when(F.col("event_id") % 2 == 0, 1).otherwise(20_000)).drop("event_id")
+    return clicks.coalesce_actions(actions, navigations).select("session_id", "idx", "at", "step_type", "value", "amount", "mode")
 
 
 @query("""with a as (select user_id, event_id, ts, cast(json_extract_string(props, '$.k') as integer) as k, event_type from events) select event_id as idx, case when event_type = 'signup' and not ever then cast(k as varchar) end as value
