@@ -230,6 +230,27 @@ def test_robots(spark):
     assert not any(r.allowed for r in politeness.robots_verdict(urls.where("url like '%a.example%'"), robots, "Special/2").collect())
 
 
+def test_robots_rules_equal_regular_expressions(spark):
+    """Random rules with stars and ends against a pattern for each; many rules of one origin make no rows of URLs by rules."""
+    import re
+
+    deal = random.Random(6)
+    word = lambda: "".join(deal.choice("ab/") for _ in range(deal.randrange(4)))
+    rules = [(deal.choice([True, False]), "/" + deal.choice(["", "*"]).join([word(), word(), word()]) + deal.choice(["", "", "$", "*", "*$", "$a"])) for _ in range(60)]
+    targets = ["/" + word() + word() + deal.choice(["", "?a", "$a"]) for _ in range(200)]
+    body = "User-agent: *\n" + "\n".join(f"{'Allow' if allow else 'Disallow'}: {value}" for allow, value in rules)
+    robots = spark.createDataFrame([("https://a.example", 200, body)], "origin string, status int, body string")
+    urls = spark.createDataFrame([(f"https://a.example{t}",) for t in targets], "url string")
+    got = {r.url: r.allowed for r in politeness.robots_verdict(urls, robots, "tidemark/1").collect()}
+    for t in targets:
+        fits = []
+        for allow, value in rules:
+            pattern = "^" + ".*".join(re.escape(p) for p in value.removesuffix("$").split("*")) + ("$" if value.endswith("$") else "")
+            if re.search(pattern, t):
+                fits.append((len(value), allow))
+        assert got[f"https://a.example{t}"] == (max(fits)[1] if fits else True), t
+
+
 def test_schedule_rules(spark):
     rows = [("day or week", "0 0 13 * 5", None), ("skipped", "30 2 31 3 *", "Europe/Madrid"), ("bad", "0 25 * * *", None), ("short", "0 0 * *", None), ("often", "*/10 * * * *", None), ("never", "0 0 31 2 *", None), ("step", "0 9-17/4 * * mon-fri", "UTC")]
     df = spark.createDataFrame(rows, "schedule_id string, cron string, timezone string")

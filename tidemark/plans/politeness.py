@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordered
 from tidemark.functions.urls import url_origin
+from tidemark.operators import ordered
 
 CACHED_HOURS = 24
 BODY_CHARS = 500_000
@@ -17,7 +17,7 @@ LONGEST_DELAY_MS = 30_000
 
 
 def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """origin, allow, rule, pattern (a regular expression) and crawl_delay lines that hold for an agent.
+    """origin, field, value, allow, crawl_delay: the lines that hold for an agent.
 
     Each body is read once per origin. Consecutive user-agent lines share a group;
     the groups that name the agent's product are taken, else those of *.
@@ -34,9 +34,43 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     name = F.lower(F.substring_index("value", "/", 1))
     ranked = grouped.withColumn("rank", F.max(F.when(is_agent & (name == product), 2).when(is_agent & (name == "*"), 1).otherwise(0)).over(of_group))
     best = ranked.withColumn("best", F.max("rank").over(Window.partitionBy("origin"))).where("rank > 0 and rank = best and field <> 'user-agent'")
-    quoted = F.regexp_replace("value", r"[.+?^{}()|\[\]\\]", r"\\$0")
-    pattern = F.concat(F.lit("^"), F.replace(F.regexp_replace(quoted, r"\$(?!$)", r"\\\$"), F.lit("*"), F.lit(".*")))
-    return best.select("origin", "field", "value", (F.col("field") == "allow").alias("allow"), pattern.alias("pattern"), F.when(F.col("field") == "crawl-delay", F.col("value").try_cast("double")).alias("crawl_delay"))
+    return best.select("origin", "field", "value", (F.col("field") == "allow").alias("allow"), F.when(F.col("field") == "crawl-delay", F.col("value").try_cast("double")).alias("crawl_delay"))
+
+
+def _goes_on(target: Column, rule: Column) -> Column:
+    """Whether a target that begins with a rule's literal start fits the rest of it: parts between stars, each behind the one before, and an end."""
+    parts = rule["rest"]
+    middle = F.slice(parts, 1, F.size(parts) - rule["anchored"].cast("int"))
+
+    def further(at: Column, part: Column) -> Column:  # 0: not found
+        found = F.when(part == "", at).otherwise(F.call_function("locate", part, target, at))
+        return F.when((at == 0) | (found == 0), 0).otherwise(found + F.length(part))
+
+    behind = F.aggregate(middle, F.length(rule["start"]) + 1, further)
+    last = F.element_at(parts, -1)
+    ended = target.endswith(last) & (F.length(target) - F.length(last) + 1 >= behind)
+    return F.when(~rule["anchored"], behind > 0).when(F.size(parts) == 0, target == rule["start"]).otherwise((behind > 0) & ended)
+
+
+def _decided(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """url, by_rule: what the longest rule that fits says, allow before disallow.
+
+    Rules are one row for each origin and literal start (what is before the first
+    star), longest rule first. A URL looks up those of its own beginnings that have the
+    length of some start, so its cost follows the number of different lengths, not of
+    rules; only rules with stars under one start are tried one by one.
+    """
+    plain = F.regexp_replace("value", r"\$$", "")
+    parts = F.split(plain, r"\*")
+    rule = F.struct(F.length("value").alias("length"), "allow", F.element_at(parts, 1).alias("start"), F.slice(parts, 2, F.size(parts)).alias("rest"), F.col("value").endswith("$").alias("anchored"))
+    started = rules.where("field <> 'crawl-delay' and value <> ''").select("origin", rule.alias("rule")).withColumn("start", F.col("rule.start"))
+    at_start = started.groupBy("origin", "start").agg(F.sort_array(F.collect_set("rule"), asc=False).alias("rules"))
+    lengths = started.groupBy("origin").agg(F.collect_set(F.length("start")).alias("lengths"))
+    own = F.explode(F.filter("lengths", lambda n: n <= F.length("target")))
+    tried = asked.join(lengths, "origin").select("url", "origin", "target", own.alias("n")).withColumn("start", F.substring("target", F.lit(1), F.col("n"))).join(at_start, ["origin", "start"])
+    first = F.aggregate("rules", F.lit(None).cast("struct<length: int, allow: boolean>"), lambda found, r: F.when(found.isNotNull(), found).otherwise(F.when(_goes_on(F.col("target"), r), F.struct(r["length"].alias("length"), r["allow"].alias("allow")))))
+    fits = tried.select("url", first.alias("rule")).where("rule is not null")
+    return fits.groupBy("url").agg(F.max_by("rule.allow", "rule").alias("by_rule"))
 
 
 def robots_verdict(urls: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
@@ -50,9 +84,7 @@ def robots_verdict(urls: DataFrame, robots: DataFrame, agent: str, url: str = "u
     target = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^#]*)", 1), F.lit(""))
     asked = asked.withColumn("target", F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target)))
     rules = robots_rules(robots, agent)
-    paths = rules.where("field <> 'crawl-delay' and value <> ''")
-    fits = asked.join(paths, "origin").where(F.regexp_like(F.col("target"), F.col("pattern")))
-    decided = fits.groupBy("url").agg(F.max_by("allow", F.struct(F.length("value"), "allow")).alias("by_rule"))
+    decided = _decided(asked, rules)
     delays = rules.where("crawl_delay > 0").groupBy("origin").agg(F.min("crawl_delay").alias("delay"))
     known = asked.join(robots.select("origin", "status", F.lit(True).alias("asked")), "origin", "left").join(delays, "origin", "left").join(decided, "url", "left")
     unreachable = F.col("asked") & (F.col("status").isNull() | (F.col("status") >= 500))
