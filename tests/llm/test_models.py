@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_exact import texts
 from tests.llm.test_near_copies import brute_groups
-from tidemark.llm import decontamination, html_extraction, language_id, queries, simhash, storage, textbytes, toxicity
+from tidemark.llm import decontamination, html_extraction, language_id, queries, storage, textbytes, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -132,6 +132,55 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(df, one).collect()} == {"und", "fr"}
 
 
+def test_planes_near_the_least_loss():
+    """The averaged steps against a long plain descent on the same weighted hinge loss."""
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.standard_normal((300, 30))).astype(np.float32)
+    x /= x.sum(1, keepdims=True)
+    y = np.where(x[:, 0] + x[:, 1] - x[:, 2] + 0.02 * rng.standard_normal(300) > 0.03, 1, -1)
+    scale, share = 1 / np.linalg.norm(x, axis=1).mean(), {k: len(y) / (2 * (y == k).sum()) for k in (1, -1)}
+
+    def loss(w, b):
+        return 5e-5 * (w @ w) / scale**2 + np.mean(np.where(y > 0, share[1], share[-1]) * np.maximum(0, 1 - y * (x @ w + b)))
+
+    w, b, best = np.zeros(30), 0.0, np.inf
+    for step in range(1, 20_000):
+        hit = (y * (x @ w + b) < 1) * np.where(y > 0, share[1], share[-1]) * y
+        w += 60 / step**0.5 * (x.T @ hit / len(y) - 1e-4 * w / scale**2)
+        b += 1 / step**0.5 * hit.mean()
+        best = min(best, loss(w, b))
+    own = language_id._svm(x, np.arange(300), y, 60, 1e-4)
+    assert loss(*own) < 1.15 * best + 0.02
+
+
+def test_duels_equal_a_plain_vote():
+    """Prediction against counting each text's letter grams, family and votes one by one; a tie goes to the larger margin, then the name."""
+    rng = np.random.default_rng(9)
+    size, languages = 1 << language_id.BITS, {"a": ["x1", "x2", "x3"], "b": ["y1"]}
+    duels = {"a": [(2, 0, 1), (3, 0, 2), (4, 1, 2)], "b": []}
+    model = language_id.Model(["a", "b"], languages, duels, rng.standard_normal((size, 5)).astype(np.float32), rng.standard_normal(5) / 50)
+    words = ["alpha", "bêta", "gamma delta", "Ünder way", "x", "one two three four"]
+    texts_ = [" ".join(rng.choice(words, 4)) for _ in range(80)] + ["", "12"]
+    names, _ = model.predict(pa.array(texts_))
+    for text, name in zip(texts_, names, strict=True):
+        raw = text.encode()
+        if not any(c.isalpha() for c in text):
+            assert name == "und"
+            continue
+        bucket, _ = textbytes.letter_grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), language_id.BITS)
+        plane = [sum(float(model.weights[b, p]) for b in bucket) / max(1, len(bucket)) + model.bias[p] for p in range(5)]
+        if plane[1] > plane[0]:
+            assert name == "y1"
+            continue
+        votes, margin = [0, 0, 0], [0.0, 0.0, 0.0]
+        for p, i, j in duels["a"]:
+            votes[i if plane[p] >= 0 else j] += 1
+            margin[i], margin[j] = margin[i] + plane[p], margin[j] - plane[p]
+        assert name == languages["a"][max(range(3), key=lambda i: (votes[i], margin[i], languages["a"][i]))]
+    still = language_id.Model(["a"], {"a": ["x1", "x2"]}, {"a": [(1, 0, 1)]}, np.zeros((size, 2), np.float32), np.zeros(2))
+    assert still.predict(pa.array(["a word"]))[0] == ["x1"]
+
+
 # --- page extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><p>Site</p></header><nav><ul><li>Menu</li></ul></nav>
@@ -385,17 +434,12 @@ def test_pipeline_edges(spark):
     """Null and empty texts, null and repeated ids, a further column; an empty table."""
     sample = queries.table(spark, SF, "documents").limit(40)
     odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (None, "the and of the with that", "en", "s", 3), (9003, "a of the", "en", "s", 3), (9003, "a of the", "en", "s", 3)], sample.schema)
-    df = sample.unionByName(odd).withColumns({"score": F.lit("mine"), "fp": F.lit(1)})
+    df = sample.unionByName(odd).withColumns({"score": F.lit("mine"), "predicted": F.lit(7), "lang_pred": F.lit("xx"), "fp": F.lit(1)})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = storage.written(stage(spark, df, SF), "edge")
-        assert "score" in df.columns and "fp" in df.columns
+        assert {tuple(r) for r in df.select("score", "predicted", "lang_pred", "fp").collect()} == {("mine", 7, "xx", 1)}
     got = [r.doc_id for r in df.where("doc_id > 9000 or doc_id is null").collect()]
     assert got.count(9003) == 1 and 9001 not in got and 9002 not in got
     empty = queries.table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
-
-
-def test_keep_one_of_copies(spark):
-    df = spark.createDataFrame([(i, "one two three four five six") for i in (5, 3, 9)] + [(7, "another text of some words here")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [3, 7]

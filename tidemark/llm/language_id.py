@@ -168,11 +168,11 @@ def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int, reg: float
     return total / n * scale, bias / n
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred string and score double; columns of those names are replaced."""
+def identify(docs: DataFrame, model: Model, *, text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred string and score double, their names behind prefix; columns of those names are replaced."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         names, scores = model.predict(batch.column(batch.schema.get_field_index(text)))
-        return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)}
+        return {f"{prefix}lang_pred": pa.array(names, pa.string()), f"{prefix}score": pa.array(scores)}
 
-    return textbytes.append_columns(docs, make, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return textbytes.append_columns(docs, make, T.StructType([T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]))

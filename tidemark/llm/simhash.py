@@ -235,18 +235,3 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs, one of each group of near_duplicates: the one with the smallest key (without a key only where none has one).
-
-    Decided by row: rows that repeat a key belong to the group of their own text.
-    """
-    marked = written(add_fingerprints(docs, text=text, words=words, out="__fp").withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
-    best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")))
-    nodes = written(marked.groupBy(F.col("__fp").alias("fp")).agg(best.alias("best")), "nodes")
-    roots = components(links(nodes.select("fp"), radius=radius))
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
-    kept = written(grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row")), "kept")
-    # merged at every size: how many rows are kept follows the corpus, so they are never broadcast
-    return marked.join(kept.hint("merge"), "__row", "left_semi").select(docs.columns)

@@ -277,11 +277,11 @@ def nnpu(positive: list[Rows], unlabelled, prior: float, width: int, s: Settings
     return w
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs with score double and predicted int; columns of those names are replaced."""
+def score(docs: DataFrame, model: Model, *, text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with score double and predicted int, their names behind prefix; columns of those names are replaced."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         got = model.score(batch.column(batch.schema.get_field_index(text)))
-        return {"score": pa.array(got), "predicted": pa.array((got >= model.threshold).astype(np.int32))}
+        return {f"{prefix}score": pa.array(got), f"{prefix}predicted": pa.array((got >= model.threshold).astype(np.int32))}
 
-    return textbytes.append_columns(docs, make, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return textbytes.append_columns(docs, make, T.StructType([T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())]))
