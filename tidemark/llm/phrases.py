@@ -9,10 +9,11 @@ it, a word as often as the nodes that begin with it plus the pieces that end wit
 
 Tasks count grams in blocks of bounded size and send them packed: the grams of one
 block that fall into one bucket of nodes are one row, sorted, so that the shuffle is
-a small part of the text. A bucket has all edges of its nodes, so nodes' flows need no
-second shuffle, and a frequent gram arrives once for each block.
+a small part of the text. A bucket has all edges of its nodes, so their flows need no
+second shuffle, and a frequent gram arrives once for each block. Buckets leave only
+the edges and nodes that occur often enough, and their words' counts.
 
-The graph of the edges that occur often enough is compacted: runs of nodes with
+The graph of those edges is compacted: runs of nodes with
 one way in and one way out become paths, by pointer doubling, each path one row with
 its edges' counts and its nodes' flows. One node in CUT by hash counts as a branch,
 which bounds the length of a path's row and the number of rounds; a ring without any
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import Scratch, written
 
 #: Bytes of text that a task gathers before it counts; grams that are counted at once.
-BLOCK_BYTES, BLOCK_GRAMS = 1 << 23, 1 << 20
+BLOCK_BYTES, BLOCK_GRAMS = 1 << 22, 1 << 18
 #: One node in so many ends a path.
 CUT = 16
 UNDETERMINED = "und"
@@ -104,19 +105,38 @@ def _packed(grams: pa.Array, counts: np.ndarray, n: int, buckets: int) -> tuple[
     return ordered[cuts[:-1]].tolist(), lines, lists(pa.array(counts[order], pa.int64()))
 
 
-_CELLS = "bucket int, lang string, words int, grams string, counts array<long>"
+_CELLS = "bucket int, parts array<struct<lang: string, words: int, grams: string, counts: array<long>>>"
+_PART = pa.struct([("lang", pa.string()), ("words", pa.int32()), ("grams", pa.string()), ("counts", pa.list_(pa.int64()))])
+
+
+def _by_bucket(cells: list[int], parts: list[pa.StructArray]) -> pa.RecordBatch:
+    """One row for each bucket, with its parts."""
+    bucket = np.array(cells, np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.concat_arrays(parts).take(pa.array(order)))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]]), lists], names=["bucket", "parts"])
 
 
 def _cells(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed counts of each task's blocks: grams of three words, and the two words and the word that end a piece. docs: lang, text."""
 
     def counted(texts: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        cells, parts, held = [], [], 0
         for lang, some in texts.items():
             words = _Words(b"\n".join(some))
             for n, last in ((3, False), (2, True), (1, True)):
                 for grams, counts in words.grams(n, last=last):
                     cell, lines, numbers = _packed(grams, counts, n, buckets)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array([lang] * len(cell), pa.string()), pa.array([n] * len(cell), pa.int32()), lines, numbers], names=["bucket", "lang", "words", "grams", "counts"])
+                    cells += cell
+                    same = lambda v, kind: pa.array([v] * len(cell), kind)
+                    parts.append(pa.StructArray.from_arrays([same(lang, pa.string()), same(n, pa.int32()), lines, numbers], fields=list(_PART)))
+                    held += len(grams)
+                    if held >= 2 * BLOCK_GRAMS:
+                        yield _by_bucket(cells, parts)
+                        cells, parts, held = [], [], 0
+        if cells:
+            yield _by_bucket(cells, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
@@ -134,41 +154,93 @@ def _cells(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _CELLS)
 
 
-def graph(docs: DataFrame, *, text: str = "text", group: str = "lang", buckets: int | None = None) -> DataFrame:
-    """lang, words, gram, n, node, flow, leads: all edges (words 3) and piece ends (2 and 1).
+def _lines(blobs: pa.Array) -> pa.Array:
+    """The lines of all texts, one on the other."""
+    data = np.frombuffer("\n".join(blobs.to_pylist()).encode(), np.uint8)
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    size = np.diff(ends, prepend=-1) - 1
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10])])
+
+
+def _totals(grams: pa.Array, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different grams and the sum of each one's counts (doubles hold them exactly)."""
+    told = grams.dictionary_encode()
+    return told.dictionary, np.bincount(told.indices.to_numpy(), counts, len(told.dictionary)).astype(np.int64)
+
+
+def _heads(grams: pa.Array, words: int) -> pa.Array:
+    """The first words of each gram of one word more."""
+    if not len(grams):
+        return grams
+    offsets = np.frombuffer(grams.buffers()[1], np.int32)[: len(grams) + 1].astype(np.int64)
+    data = np.frombuffer(grams.buffers()[2], np.uint8)[: offsets[-1]]
+    begin, end = offsets[:-1], np.flatnonzero(data == 32).reshape(len(grams), words)[:, -1]
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[begin] += 1
+    marks[end] -= 1
+    kept = np.cumsum(marks[:-1], dtype=np.int8).astype(bool)
+    size = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(size), pa.py_buffer(data[kept])])
+
+
+def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.concat_arrays([x for x in (a, b) if len(x)] or [a])
 
-    flow is how often the gram's node, its first two words, occurs; leads marks one
-    row for each node. buckets: four for each shuffle partition, if not given.
+
+def graph(docs: DataFrame, *, text: str = "text", group: str = "lang", least: int = 1, buckets: int | None = None) -> DataFrame:
+    """lang, words, gram, n: edges (words 3) and nodes with their flows (2) that occur `least` times or more, and parts of the words' counts (1).
+
+    buckets: four for each shuffle partition, if not given.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.coalesce(F.col(group).cast("string"), F.lit(UNDETERMINED)).alias("lang"), F.col(text).alias("text"))
-    cells = _cells(given, buckets).repartition("bucket")
-    rows = cells.select("bucket", "lang", "words", F.explode(F.arrays_zip(F.split("grams", "\n").alias("gram"), F.col("counts").alias("n"))).alias("g"))
-    counts = rows.groupBy("bucket", "lang", "words", F.col("g.gram").alias("gram")).agg(F.sum("g.n").alias("n"))
-    of_node = Window.partitionBy("bucket", "lang", "node")
-    flows = counts.withColumn("node", F.when(F.col("words") == 3, F.substring_index("gram", " ", 2)).otherwise(F.col("gram"))).withColumns({"leads": F.row_number().over(of_node.orderBy("gram")) == 1, "flow": F.sum("n").over(of_node)})
-    return flows.select("lang", "words", "gram", "n", "node", "flow", "leads")
 
+    def added(cells: pa.Table) -> pa.Table:
+        out = []
+        parts = cells.column("parts").combine_chunks().flatten()
+        where: dict[tuple[str, int], list[int]] = {}
+        for i, key in enumerate(zip(parts.field("lang").to_pylist(), parts.field("words").to_pylist(), strict=True)):
+            where.setdefault(key, []).append(i)
+        for lang in dict.fromkeys(lang for lang, _ in where):
+
+            def told(n: int) -> tuple[pa.Array, np.ndarray]:
+                if (lang, n) not in where:
+                    return pa.array([], pa.binary()), np.zeros(0, np.int64)
+                some = parts.take(pa.array(where[lang, n]))
+                return _totals(_lines(some.field("grams")), some.field("counts").flatten().to_numpy())
+
+            edges, n = told(3)
+            pairs, pair_ends = told(2)
+            single, single_ends = told(1)
+            nodes, flow = _totals(_joined(_heads(edges, 2), pairs), np.concatenate([n, pair_ends]))
+            words, f = _totals(_joined(_heads(nodes, 1), single), np.concatenate([flow, single_ends]))
+            for size, grams, count, most in ((3, edges, n, least), (2, nodes, flow, least), (1, words, f, 1)):
+                enough = count >= most
+                out.append(pa.table({"lang": pa.array([lang] * int(enough.sum()), pa.string()), "words": pa.array(np.full(enough.sum(), size, np.int32)), "gram": grams.filter(pa.array(enough)).cast(pa.string()), "n": pa.array(count[enough])}))
+        return pa.concat_tables(out)
 
-def word_counts(edges: DataFrame) -> DataFrame:
-    """lang, word, f: from the nodes that begin with a word and the pieces that end with it. edges: see graph."""
-    begun = edges.where("leads and words > 1").select("lang", F.substring_index("node", " ", 1).alias("word"), F.col("flow").alias("n"))
-    return begun.unionByName(edges.where("words = 1").select("lang", F.col("gram").alias("word"), "n")).groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    return _cells(given, buckets).groupBy("bucket").applyInArrow(added, "lang string, words int, gram string, n long")
 
 
-def _nodes(edges: DataFrame, heavy: DataFrame, least: int) -> DataFrame:
+def word_counts(found: DataFrame) -> DataFrame:
+    """lang, word, f: from the nodes that begin with a word and the pieces that end with it. found: see graph."""
+    return found.where("words = 1").groupBy("lang", F.col("gram").alias("word")).agg(F.sum("n").alias("f"))
+
+
+def _nodes(found: DataFrame, heavy: DataFrame) -> DataFrame:
     """lang, node, flow, into (an edge to it), best (its heaviest edge), joins (whether a path goes on through it)."""
     none = lambda kind: F.lit(None).cast(kind)
     sides = [
         heavy.select("lang", F.col("src").alias("node"), F.lit(1).alias("outs"), F.lit(0).alias("ins"), none("string").alias("into"), F.col("n").alias("best"), none("long").alias("flow")),
         heavy.select("lang", F.col("dst").alias("node"), F.lit(0).alias("outs"), F.lit(1).alias("ins"), F.col("edge").alias("into"), F.col("n").alias("best"), none("long").alias("flow")),
-        edges.where(f"leads and words > 1 and flow >= {least}").select("lang", "node", F.lit(0).alias("outs"), F.lit(0).alias("ins"), none("string").alias("into"), none("long").alias("best"), "flow"),
+        found.where("words = 2").select("lang", F.col("gram").alias("node"), F.lit(0).alias("outs"), F.lit(0).alias("ins"), none("string").alias("into"), none("long").alias("best"), F.col("n").alias("flow")),
     ]
     of_node = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("lang", "node")
-    found = of_node.agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"), F.max("into").alias("into"), F.max("best").alias("best"), F.max("flow").alias("flow"))
+    joined = of_node.agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"), F.max("into").alias("into"), F.max("best").alias("best"), F.max("flow").alias("flow"))
     joins = (F.col("outs") == 1) & (F.col("ins") == 1) & (F.pmod(F.xxhash64("lang", "node"), F.lit(CUT)) != 0)
-    return found.select("lang", "node", "flow", "into", "best", joins.alias("joins"))
+    return joined.select("lang", "node", "flow", "into", "best", joins.alias("joins"))
 
 
 def _ranked(heavy: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -203,11 +275,16 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * wide(a) * wide(a), wide(left) * wide(right))
 
 
-def scored(edges: DataFrame, words: DataFrame, *, least: int, share: int, scratch: Scratch) -> DataFrame:
-    """lang, phrase, a, l, r, score of all phrases of two or three words that occur often enough and aren't dropped. edges, words: written tables."""
+def heavy_edges(found: DataFrame) -> DataFrame:
+    """lang, edge, n, src, dst of what graph gave as edges."""
     tail = F.expr("substring(gram, instr(gram, ' ') + 1)")
-    heavy = scratch.written(edges.where(f"words = 3 and n >= {least}").select("lang", F.col("gram").alias("edge"), "n", F.col("node").alias("src"), tail.alias("dst")), "heavy")
-    nodes = scratch.written(_nodes(edges, heavy, least), "nodes")
+    return found.where("words = 3").select("lang", F.col("gram").alias("edge"), "n", F.substring_index("gram", " ", 2).alias("src"), tail.alias("dst"))
+
+
+def scored(found: DataFrame, words: DataFrame, *, least: int, share: int, scratch: Scratch) -> DataFrame:
+    """lang, phrase, a, l, r, score of all phrases of two or three words that occur often enough and aren't dropped. found, words: written tables."""
+    heavy = scratch.written(heavy_edges(found), "heavy")
+    nodes = scratch.written(_nodes(found, heavy), "nodes")
     paths = _paths(_ranked(heavy, nodes, scratch))
     on_path = F.transform(
         "counts",
@@ -220,11 +297,11 @@ def scored(edges: DataFrame, words: DataFrame, *, least: int, share: int, scratc
     twos = kept.select("lang", F.col("node").alias("phrase"), F.col("flow").alias("a"), F.substring_index("node", " ", 1).alias("first"), F.substring_index("node", " ", -1).alias("last"), none.alias("l2"), none.alias("r2"))
     often = words.where(F.col("f") >= least)
     of = lambda name: often.select("lang", F.col("word").alias(name), F.col("f").alias(f"f_{name}"))
-    found = threes.unionByName(twos).join(of("first"), ["lang", "first"]).join(of("last"), ["lang", "last"])
+    both = threes.unionByName(twos).join(of("first"), ["lang", "first"]).join(of("last"), ["lang", "last"])
     one = F.struct(_score(F.col("a"), F.col("f_first"), F.coalesce("r2", "f_last")).alias("score"), F.lit(1).alias("k"), F.col("f_first").alias("l"), F.coalesce("r2", "f_last").alias("r"))
     two = F.struct(_score(F.col("a"), F.col("l2"), F.col("f_last")).alias("score"), F.lit(2).alias("k"), F.col("l2").alias("l"), F.col("f_last").alias("r"))
     lowest = F.when(F.col("l2").isNull(), one).otherwise(F.least(one, two))
-    return found.withColumn("cut", lowest).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    return both.withColumn("cut", lowest).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
 
 def collocations(docs: DataFrame, *, text: str = "text", group: str = "lang", least: int = 10, share: int = 50, top: int = 2000, salt: int = 64) -> DataFrame:
@@ -234,9 +311,9 @@ def collocations(docs: DataFrame, *, text: str = "text", group: str = "lang", le
     occurrences that must lie in one longer phrase for it to be dropped.
     """
     with Scratch(docs.sparkSession) as scratch:
-        edges = scratch.written(graph(docs, text=text, group=group), "edges")
-        words = scratch.written(word_counts(edges), "words")
-        ranked = scored(edges, words, least=least, share=share, scratch=scratch)
+        found = scratch.written(graph(docs, text=text, group=group, least=least), "grams")
+        words = scratch.written(word_counts(found), "words")
+        ranked = scored(found, words, least=least, share=share, scratch=scratch)
         order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
         # a language may have most phrases, so each of its parts gives its own first ones first
         parts = ranked.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(salt)))
