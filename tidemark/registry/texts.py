@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import money_dates, text, urls
-from tidemark.operators import discover, extract, normalize, search
+from tidemark.operators import discover, extract, heal, normalize, search
 from tidemark.plans import definitions
 from tidemark.registry.common import registry
 from tidemark.sources import feeds
@@ -187,6 +187,30 @@ def d10_field_locators(read):
     return discover.field_locators(read("pages"), _menus(read)).select("page_id", "value", F.col("items").cast("long").alias("items"), "share")
 
 
+# steps that know a page's parts, and the page after a redesign: classes renamed, the menu in a wrapper, a banner in front
+_STEPS = ["nav", "h1", "footer"]
+
+
+def _redesigned(read):
+    html = F.replace(F.replace("html", F.lit("<nav>"), F.lit('<div class="bar"><nav class="menu">')), F.lit("</nav>"), F.lit("</nav></div>"))
+    html = F.replace(F.replace(html, F.lit("<body>"), F.lit("<body><div class=banner><p>New look</p></div>")), F.lit('class="ad"'), F.lit('class="promo"'))
+    return read("pages").select("page_id", html.alias("html"))
+
+
+def _fingerprints(read):
+    page = extract.with_nodes(read("pages"))
+    first = F.filter("nodes", lambda n: n["tag"].isin(*_STEPS) & (n["kin"] == 1))
+    wanted = page.select("page_id", F.inline(F.transform(first, lambda n: F.struct(n["tag"].alias("step_id"), n["node"].alias("node")))))
+    return heal.fingerprints_of(read("pages"), wanted)
+
+
+@query(rf"""select page_id, unnest(['nav', 'h1', 'footer']) as step_id, unnest(['nav.menu', 'h1', 'footer']) as found from pages""")
+def a10_healed(read):
+    found = heal.heal(_redesigned(read), _fingerprints(read))
+    named = heal.element_locators(_redesigned(read), found)
+    return named.select("page_id", "step_id", F.element_at("locators", 1)["value"].alias("found"))
+
+
 @query(r"select doc_id, regexp_replace(source, '[^0-9]', '', 'g') as digits, trim(regexp_replace(text, '\s+', ' ', 'g')) as line from documents")
 def d1_transform_chain(read):
     return read("documents").select("doc_id", definitions.transform_chain(F.col("source"), ["trim", r"regex:src(\d+)"]).alias("digits"), definitions.transform_chain(F.col("text"), ["collapseWhitespace", "trim"]).alias("line"))
