@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cron, text, urls
 from tidemark.operators import search
-from tidemark.plans import definitions, politeness, schedules
+from tidemark.plans import definitions, politeness, schedules, step_trees
 from tidemark.registry.common import registry
 
 QUERIES: dict = {}
@@ -269,3 +269,35 @@ def w5_version_history(read):
     newest = last.first()
     restored = definitions.version_at(versions, 1, newest[0] if newest else "").select("version_id", F.lit(True).alias("restored"))
     return history.join(restored, "version_id", "left").select("version_seq", F.coalesce("restored", F.lit(False)).alias("restored"))
+
+
+# --- trees of steps: each user's events as captured actions and markers
+
+
+@query("""with recursive e as (select cast(user_id as varchar) as s, cast(json_extract_string(props, '$.k') as integer) as k, event_type, row_number() over (partition by user_id order by epoch_ms(ts), event_id) as pos from events),
+ a as (select *, case when k % 20 = 0 then 'listStart' when k % 20 = 1 then 'detailStart' when k % 20 in (2, 3) then 'scopeEnd' when k % 20 in (4, 5, 6) then 'field' when k % 20 = 7 then 'paginate' else 'step' end as kind from e),
+ b as (select *, sum(case when kind in ('listStart', 'detailStart') then 1 when kind = 'scopeEnd' then -1 else 0 end) over (partition by s order by pos) as total from a),
+ c as (select *, total - least(min(total) over (partition by s order by pos), 0) as depth from b),
+ d as (select *, kind in ('listStart', 'detailStart') as opens, depth - case when kind in ('listStart', 'detailStart') then 1 else 0 end as level from c),
+ raw as (select r.s, r.pos, any_value(r.k) as k, any_value(r.kind) as kind, any_value(r.event_type) as event_type, max(o.pos) as scope from d r left join d o on o.s = r.s and o.opens and o.depth = r.level and o.pos < r.pos and r.level > 0 group by r.s, r.pos),
+ through as (select d.s, d.pos, d.scope from raw d left join raw o on o.s = d.s and o.pos = d.scope where d.kind = 'detailStart' and coalesce(o.kind, '') <> 'listStart'),
+ up(s, pos, scope) as (select s, pos, scope from raw union all select u.s, u.pos, t.scope from up u join through t on t.s = u.s and t.pos = u.scope),
+ real as (select raw.s, raw.pos, raw.k, raw.kind, raw.event_type, u.scope from up u join raw using (s, pos) where not exists (select 1 from through t where t.s = u.s and t.pos = u.scope) and not exists (select 1 from through t where t.s = u.s and t.pos = u.pos)),
+ placed as (select r.*, o.kind as around, o.scope as outer_scope, coalesce(r.kind = 'step' and o.kind = 'listStart' and r.k % 2 = 1, false) as hoisted,
+  coalesce(r.kind = 'field' and lag(r.kind) over (partition by r.s order by r.pos) = 'field' and lag(r.pos) over (partition by r.s order by r.pos) = r.pos - 1, false) as goes_on from real r left join real o on o.s = r.s and o.pos = r.scope),
+ pagers as (select distinct p.s, (select max(l.pos) from real l where l.s = p.s and l.kind = 'listStart' and l.pos < p.pos) as pos from real p where p.kind = 'paginate'),
+ nodes as (select p.s, p.pos, case when hoisted then outer_scope else scope end as parent, case when hoisted then [scope, 0, p.pos] else [p.pos, 1, p.pos] end as place,
+  case kind when 'listStart' then 'forEach' when 'detailStart' then 'openDetail' when 'field' then 'extract' else event_type end as type, g.pos is not null as paged from placed p left join pagers g on g.s = p.s and g.pos = p.pos where kind not in ('scopeEnd', 'paginate') and not goes_on),
+ tree(s, pos, parent, type, paged, path) as (select s, pos, parent, type, paged, [place] from nodes where parent is null union all select n.s, n.pos, n.parent, n.type, n.paged, list_append(t.path, n.place) from nodes n join tree t on t.s = n.s and t.pos = n.parent),
+ told as (select *, sum(case when paged then 2 else 1 end) over (partition by s order by path) as number from tree)
+ select t.s as recording_id, 's' || (case when w then t.number - 1 else t.number end) as step_id, case when t.paged and not w then 's' || (t.number - 1) else 's' || p.number end as parent_id, case when w then 'paginate' else t.type end as type
+ from told t left join told p on p.s = t.s and p.pos = t.parent, (values (true), (false)) as ways(w) where t.paged or not w""")
+def d11_step_trees(read):
+    k = F.get_json_object("props", "$.k").cast("int")
+    at = lambda *n: (k % 20).isin(*n)
+    kind = F.when(at(0), "listStart").when(at(1), "detailStart").when(at(2, 3), "scopeEnd").when(at(4, 5, 6), "field").when(at(7), "paginate").otherwise("step")
+    actions = read("events").select(
+        F.col("user_id").cast("string").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("idx"), kind.alias("kind"), F.col("event_type").alias("step_type"), (k % 2 == 0).alias("for_item"), F.concat(F.lit("f"), k.cast("string")).alias("name"),
+        F.to_json(F.struct(k.alias("value"))).alias("payload"), F.lit(None).cast("string").alias("wait_pattern"),
+    )
+    return definitions.walk_steps(step_trees.step_trees(actions)).select("recording_id", "step_id", "parent_id", "type")

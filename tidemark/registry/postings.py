@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import clicks, events, normalize, paging, search, track
 from tidemark.registry.common import registry
+from tidemark.shared import shared_dir
 from tidemark.sources import sinks
 
 QUERIES: dict = {}
@@ -410,12 +411,7 @@ def c31_redacted(read):
 
 
 def _folder(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import uuid
-
-    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/query-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
 
 
 @query(_LOG + "select event_id, run_id, level, type from log")
