@@ -123,6 +123,35 @@ def test_search(spark):
     assert ids("c++") == [1, 3] and ids("+++") == [] and ids("acme nothing") == []
 
 
+def test_search_index_in_segments(spark, tmp_path):
+    """The same hits as without an index, before and after refreshes, removals and merges; a refresh writes its own rows only."""
+    jobs = jobs_table(spark)
+    index = search.SearchIndex(spark, f"file://{tmp_path}/index")
+    assert search.search_jobs(jobs, "engin", index=index).count() == 0
+    index.refresh(jobs.withColumn("description", F.lit("an older text of zebras")))
+    asked = ["engin", "INGENIEUR", "zur eng", "front-end", "front end", "acme front-en", "c++", "+++", "acme nothing", "zebra", "we-use-c", "e"]
+
+    def agree(now):
+        for q in asked:
+            want = sorted(r.job_seq for r in search.search_jobs(now, q).collect())
+            assert sorted(r.job_seq for r in search.search_jobs(jobs, q, index=index).collect()) == want, q
+
+    agree(jobs.withColumn("description", F.lit("an older text of zebras")))
+    index.refresh(jobs.where("job_seq < 3"))
+    newest = spark.read.parquet(f"file://{tmp_path}/index/lists/{index.segments()[-1]}")
+    assert {r.job_id[-1] for r in newest.select("job_id").distinct().collect()} == {"1", "2"} and newest.where("token = 'end'").count() == 2
+    now = jobs.where("job_seq < 3").unionByName(jobs.where("job_seq = 3").withColumn("description", F.lit("an older text of zebras")))
+    agree(now)
+    index.merge()
+    index.prune()
+    assert len(index.segments()) == 1 and len(list((tmp_path / "index/lists").iterdir())) == 1
+    agree(now)
+    index.remove(jobs.where("job_seq = 2").select("job_id"))
+    agree(now.where("job_seq <> 2"))
+    index.refresh(jobs.where("job_seq = 2"))
+    agree(now)
+
+
 def test_refs(spark):
     jobs = jobs_table(spark)
     got = lambda ref: [(r.job_seq, r.status) for r in search.resolve_ref(jobs, ref, key="job_id", name="title").collect()]

@@ -7,19 +7,19 @@ remote, first_seen_at, last_seen_at, closed_at ...
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.shared import Versions
 
 #: Columns that a search looks in.
 SEARCHED = ["title", "company", "location", "description"]
 _TOKEN = r"[\p{L}\p{N}]+"
-#: Letters of a token by which an index is partitioned.
-PREFIX = 2
 
 
 def filter_jobs(jobs: DataFrame, *, recording: str | None = None, remote: str | None = None, since: datetime | None = None, until: datetime | None = None, include_closed: bool = False) -> DataFrame:
@@ -38,15 +38,101 @@ def end_of_day(day: Column) -> Column:
     return F.date_trunc("day", day) + F.expr("interval 1 day")
 
 
-def search_index(jobs: DataFrame, columns: list[str] = SEARCHED, key: str = "job_id") -> DataFrame:
-    """key, field, pos, token and prefix of every word, folded; from one scan. Write it partitioned by prefix to search it often."""
+def posting_lists(jobs: DataFrame, columns: list[str] = SEARCHED, key: str = "job_id") -> DataFrame:
+    """token, key, field, positions: where each folded word is, a row for each posting and column that has it."""
 
-    def tokens(field: int, column: str) -> Column:
+    def lists(field: int, column: str) -> Column:
         found = F.regexp_extract_all(text.fold_accents(F.coalesce(F.col(column), F.lit(""))), F.lit(_TOKEN), F.lit(0))
-        return F.transform(found, lambda token, pos: F.struct(F.lit(field).alias("field"), pos.alias("pos"), token.alias("token")))
+        return F.transform(found, lambda token, pos: F.struct(token.alias("token"), F.lit(field).alias("field"), pos.alias("pos")))
 
-    words = F.flatten(F.array(*(tokens(i, c) for i, c in enumerate(columns))))
-    return jobs.select(key, F.explode(words).alias("w")).select(key, "w.*", F.substring("w.token", 1, PREFIX).alias("prefix"))
+    words = F.flatten(F.array(*(lists(i, c) for i, c in enumerate(columns))))
+    return jobs.select(key, F.explode(words).alias("w")).groupBy("w.token", key, "w.field").agg(F.sort_array(F.collect_list("w.pos")).alias("positions"))
+
+
+class SearchIndex:
+    """Posting lists in immutable segments, sorted by token, so that a search reads its own tokens' row groups only.
+
+    A refresh writes a segment of its own rows and a list of the postings that it
+    knows; what older segments say of those is void. Removed postings are a segment
+    without lists. A merge writes all that holds as one segment. The segments that
+    count are named by a version (shared.Versions).
+    """
+
+    def __init__(self, spark: SparkSession, path: str, columns: list[str] = SEARCHED, key: str = "job_id") -> None:
+        self.spark, self.path, self.columns, self.key = spark, path, columns, key
+        self._versions = Versions(spark, path)
+
+    def segments(self) -> list[str]:
+        """Oldest first."""
+        return self._versions.newest({"segments": []})["segments"]
+
+    def _write(self, lists: DataFrame | None, keys: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        if lists is not None:
+            lists.repartitionByRange("token").sortWithinPartitions("token", self.key).write.parquet(f"{self.path}/lists/{name}")
+        keys.select(self.key).distinct().write.parquet(f"{self.path}/keys/{name}")
+        return name
+
+    def _publish(self, change) -> None:
+        newest = self._versions.newest({"segments": []})
+        self._versions.publish({"version": newest["version"] + 1, "segments": change(newest["segments"])})
+
+    def refresh(self, jobs: DataFrame) -> None:
+        """Take in postings whose text is new or changed; nothing else is read or written."""
+        name = self._write(posting_lists(jobs, self.columns, self.key), jobs)
+        self._publish(lambda known: [*known, name])
+
+    def remove(self, keys: DataFrame) -> None:
+        name = self._write(None, keys)
+        self._publish(lambda known: [*known, name])
+
+    def _tables(self, kind: str, segments: list[str]) -> DataFrame | None:
+        there = set(self._versions.names(kind))
+        some = [self.spark.read.parquet(f"{self.path}/{kind}/{s}").withColumn("segment", F.lit(i)) for i, s in enumerate(segments) if s in there]
+        return reduce(DataFrame.unionByName, some) if some else None
+
+    def _valid(self, found: DataFrame, segments: list[str]) -> DataFrame:
+        """Rows (key, segment, ...) that no later segment makes void."""
+        later = self._tables("keys", segments).select(self.key, F.col("segment").alias("__later"))
+        return found.join(later, (found[self.key] == later[self.key]) & (F.col("__later") > F.col("segment")), "left_anti")
+
+    def merge(self) -> None:
+        """One segment of all that holds; the old ones stay until prune."""
+        segments = self.segments()
+        lists = self._tables("lists", segments)
+        if lists is None:
+            return
+        kept = self._valid(lists, segments).drop("segment")
+        name = self._write(kept, kept.select(self.key))
+        self._publish(lambda known: [name, *known[len(segments) :]])
+
+    def prune(self) -> None:
+        used = {s for v in self._versions.keep_newest(1) for s in v["segments"]}
+        for kind in ("lists", "keys"):
+            for name in set(self._versions.names(kind)) - used:
+                self._versions.remove(f"{kind}/{name}")
+
+    def keys_with(self, query: str) -> DataFrame | None:
+        """Keys of the postings that search_jobs finds; null for a query without any token or an empty index."""
+        segments, terms = self.segments(), _terms(query)
+        lists = self._tables("lists", segments)
+        if not terms or lists is None:
+            return None
+        hits = None
+        for term in terms:
+            found = None
+            for i, word in enumerate(term):
+                token = F.col("token").startswith(word) if i == len(term) - 1 else F.col("token") == word
+                # places of the term's first word, if this one is its i-th
+                here = lists.where(token).select("segment", self.key, "field", F.transform("positions", lambda p: p - i).alias("at"))
+                if found is None:
+                    found = here
+                else:
+                    both = found.join(here.withColumnRenamed("at", "__at"), ["segment", self.key, "field"])
+                    found = both.withColumn("at", F.array_intersect("at", "__at")).where(F.size("at") > 0).drop("__at")
+            one = found.select("segment", self.key).distinct()
+            hits = one if hits is None else hits.join(one, ["segment", self.key], "left_semi")
+        return self._valid(hits, segments).select(self.key)
 
 
 def _terms(query: str) -> list[list[str]]:
@@ -54,40 +140,25 @@ def _terms(query: str) -> list[list[str]]:
     return [t for t in (re.findall(r"[^\W_]+", w) for w in text.folded(query).split()) if t]
 
 
-def search_jobs(jobs: DataFrame, query: str, *, index: DataFrame | None = None, columns: list[str] = SEARCHED, key: str = "job_id") -> DataFrame:
+def search_jobs(jobs: DataFrame, query: str, *, index: SearchIndex | None = None, columns: list[str] = SEARCHED, key: str = "job_id") -> DataFrame:
     """Postings in which every word of the query begins a token of some searched column.
 
     A word with punctuation is a phrase: its tokens follow one another in one
     column, the last one being a beginning. A query without any token finds nothing.
     Without an index the postings are filtered as they are read; with one only the
-    words' prefixes of it are read.
+    query's own tokens are.
     """
     terms = _terms(query)
     if not terms:
         return jobs.limit(0)
-    if index is None:
-        fold = [text.fold_accents(F.coalesce(F.col(c), F.lit(""))) for c in columns]
-        for term in terms:
-            phrase = rf"(?<![\p{{L}}\p{{N}}])" + r"[^\p{L}\p{N}]+".join(term)
-            jobs = jobs.where(reduce(lambda a, b: a | b, (c.rlike(phrase) for c in fold)))
-        return jobs
-    hits = None
+    if index is not None:
+        hits = index.keys_with(query)
+        return jobs.limit(0) if hits is None else jobs.join(hits, key, "left_semi")
+    fold = [text.fold_accents(F.coalesce(F.col(c), F.lit(""))) for c in columns]
     for term in terms:
-        found = None
-        for i, word in enumerate(term):
-            last = i == len(term) - 1
-            # a word shorter than a prefix begins several
-            near = index.where(F.col("prefix").startswith(word) if len(word) < PREFIX else F.col("prefix") == word[:PREFIX])
-            here = near.where(F.col("token").startswith(word) if last else F.col("token") == word).select(key, "field", (F.col("pos") - i).alias("at"))
-            found = here if found is None else found.join(here.distinct(), [key, "field", "at"], "left_semi")
-        one = found.select(key).distinct()
-        hits = one if hits is None else hits.join(one, key, "left_semi")
-    return jobs.join(hits, key, "left_semi")
-
-
-def refresh_index(index: DataFrame, written: DataFrame, key: str = "job_id") -> DataFrame:
-    """The index after some postings' text was written (new or changed ones only)."""
-    return index.join(written.select(key), key, "left_anti").unionByName(search_index(written, key=key))
+        phrase = r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(term)
+        jobs = jobs.where(reduce(lambda a, b: a | b, (c.rlike(phrase) for c in fold)))
+    return jobs
 
 
 def count_jobs(jobs: DataFrame) -> DataFrame:

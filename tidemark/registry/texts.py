@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import money_dates, text, urls
 from tidemark.operators import discover, extract, heal, normalize, search
 from tidemark.plans import definitions
 from tidemark.registry.common import registry
+from tidemark.shared import shared_dir
 from tidemark.sources import feeds
 
 QUERIES: dict = {}
@@ -325,13 +328,16 @@ def f2_search_phrase(read):
 
 @query(rf"select doc_id as job_id from documents where regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])of[^\p{{L}}\p{{N}}]+th') and regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])er') and regexp_matches({_FOLDED}, '(^|[^\p{{L}}\p{{N}}])t')")
 def f3_refreshed_index(read):
-    """A stored index, half of it made anew, searched by its prefixes: the same hits as without one."""
-    from tidemark.registry.postings import _folder
-
+    """A stored index of older texts, taken in anew in two parts, some of them removed and put back, and merged: the same hits as without one."""
     jobs = _jobs(read)
-    path = _folder(jobs.sparkSession)
-    search.refresh_index(search.search_index(jobs), jobs.where("job_id % 2 = 0")).write.partitionBy("prefix").parquet(path)
-    return search.search_jobs(jobs, "Of-th ér T", index=jobs.sparkSession.read.option("basePath", path).schema("job_id long, field int, pos int, token string, prefix string").parquet(path)).select("job_id")
+    index = search.SearchIndex(jobs.sparkSession, f"{shared_dir(jobs.sparkSession)}/index-{uuid.uuid4().hex}")
+    index.refresh(jobs.withColumn("description", F.lit("of the er at first")))
+    index.refresh(jobs.where("job_id % 2 = 0"))
+    index.merge()
+    index.refresh(jobs.where("job_id % 2 = 1"))
+    index.remove(jobs.where("job_id % 5 = 0"))
+    index.refresh(jobs.where("job_id % 5 = 0"))
+    return search.search_jobs(jobs, "Of-th ér T", index=index).select("job_id")
 
 
 _SEEN = "to_timestamp(1700000000 + doc_id % 97 * 3600)::timestamp"
@@ -366,12 +372,11 @@ def f8_resolved_ref(read):
 from (select *, case when regexp_matches(t, '^[=+\-@\t\r]') then '''' || t else t end as g from (select *, text[1:60] as t from documents) order by doc_id % 97 desc, doc_id desc limit 5000)
 union all select 'title,company,location,remote,salaryText,salaryMin,salaryMax,salaryCurrency,salaryPeriod,employmentType,postedAt,url,firstSeenAt,lastSeenAt,closedAt,recordingId'""")
 def s9_csv_lines(read):
-    from tidemark.registry.postings import _folder
     from tidemark.sources import sinks
 
     jobs = _jobs(read)
     full = jobs.withColumns({c: F.lit(None).cast("string") for c in sinks.EXPORT_COLUMNS if c not in jobs.columns}).withColumn("url", F.col("job_seq").cast("string"))
-    path = _folder(jobs.sparkSession)
+    path = f"{shared_dir(jobs.sparkSession)}/query-{uuid.uuid4().hex}"
     # times are left out of the comparison, not of the order
     sinks.write_jobs_csv(full, path, limit=5000, blank=("first_seen_at", "closed_at"))
     return jobs.sparkSession.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
@@ -405,11 +410,10 @@ def c13_content_hashes(read):
 
 @query("select doc_id as job_seq, source as recording_id from documents order by doc_id % 97 desc, doc_id desc limit 200")
 def s10_json_export(read):
-    from tidemark.registry.postings import _folder
     from tidemark.sources import sinks
 
     jobs = _jobs(read)
     full = jobs.withColumns({c: F.lit(None).cast("string") for c in sinks.EXPORT_COLUMNS if c not in jobs.columns}).withColumn("url", F.col("job_seq").cast("string"))
-    path = _folder(jobs.sparkSession)
+    path = f"{shared_dir(jobs.sparkSession)}/query-{uuid.uuid4().hex}"
     sinks.write_jobs_json(full, path, limit=200)
     return jobs.sparkSession.read.schema("url string, recordingId string").json(path).select(F.col("url").cast("long").alias("job_seq"), F.col("recordingId").alias("recording_id"))

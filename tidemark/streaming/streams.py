@@ -9,7 +9,6 @@ and closer take turns on one table.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import track
+from tidemark.shared import Versions
 
 
 def stream_run_log(events: DataFrame, run_id: str | None = None, after: int | None = None) -> DataFrame:
@@ -38,47 +38,17 @@ def stream_timeline(events: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """Postings by key in buckets. A version is one small file that names the folder of each bucket; what no version names doesn't count.
-
-    A version's file is written under a name of its own and then renamed to the
-    version's, which fails if there is one. So a writer that dies leaves nothing that
-    counts or is in the way, and of two writers of one version the later fails, to be
-    run again from the newest one.
-    """
+    """Postings by key in buckets; a version (see shared.Versions) names the folder of each bucket."""
 
     def __init__(self, spark: SparkSession, path: str, empty: DataFrame, buckets: int = 64) -> None:
         self.spark, self.path, self._empty, self.buckets = spark, path, empty, buckets
-
-    def _at(self, name: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        at, fs = self._at(folder)
-        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        self._versions = Versions(spark, path)
 
     def versions(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in self._names("versions") if n.endswith(".json") and n[0].isdigit())
-
-    def _version(self, version: int) -> dict:
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{version}.json", wholetext=True).first()[0])
+        return self._versions.numbers()
 
     def _newest(self) -> dict:
-        known = self.versions()
-        return self._version(known[-1]) if known else {"version": 0, "applied": {}, "folders": {}}
-
-    def _publish(self, after: dict) -> None:
-        (draft, fs), (final, _) = self._at(f"versions/_{uuid.uuid4().hex}.json"), self._at(f"versions/{after['version']}.json")
-        out = fs.create(draft, False)
-        out.write(json.dumps(after).encode())
-        out.close()
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        plain = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(final), plain)
-        except Exception as e:
-            fs.delete(draft, False)
-            raise RuntimeError(f"version {after['version']} of {self.path} is there already: run the batch again") from e
+        return self._versions.newest({"applied": {}, "folders": {}})
 
     def _bucket(self):
         return F.pmod(F.xxhash64(*track.KEY), F.lit(self.buckets)).cast("int")
@@ -99,19 +69,16 @@ class StateTable:
         folder = uuid.uuid4().hex
         rows = change(self._rows(newest, touched)).select(self._empty.columns).withColumn("bucket", self._bucket())
         rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        made = {n.removeprefix("bucket=") for n in self._names(f"data/{folder}") if n.startswith("bucket=")}
+        made = {n.removeprefix("bucket=") for n in self._versions.names(f"data/{folder}") if n.startswith("bucket=")}
         folders = {b: f for b, f in newest["folders"].items() if b not in touched} | dict.fromkeys(sorted(made), folder)
         after = {"version": newest["version"] + 1, "applied": newest["applied"] | {source: batch}, "folders": folders}
-        self._publish(after)
+        self._versions.publish(after)
 
     def prune(self, keep: int = 5) -> None:
         """Remove all but the newest versions, and folders that none of them names. Not while a batch is being written."""
-        known = self.versions()
-        used = {f for v in known[-keep:] for f in self._version(v)["folders"].values()}
-        kept = {f"{v}.json" for v in known[-keep:]}
-        for old in [f"versions/{n}" for n in self._names("versions") if n not in kept] + [f"data/{f}" for f in self._names("data") if f not in used]:
-            at, fs = self._at(old)
-            fs.delete(at, True)
+        used = {f for v in self._versions.keep_newest(keep) for f in v["folders"].values()}
+        for folder in set(self._versions.names("data")) - used:
+            self._versions.remove(f"data/{folder}")
 
 
 def track_batch(table: StateTable, batch: DataFrame, batch_id: int) -> None:
