@@ -333,6 +333,30 @@ def test_stream_close_and_track(spark, tmp_path):
     assert {r.dedup_key: r.closed_at for r in table.read().collect()} == {"a": day(3), "b": None}
 
 
+def test_a_runs_stream_ends_with_the_run(spark, tmp_path):
+    """Stored events, new ones while it runs, the last ones before the end; resumed, nothing comes twice."""
+    log = "run_id string, event_id long"
+    write = lambda *ids: spark.createDataFrame([("r", i) for i in ids] + [("other", i) for i in ids], log).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    write(1, 2, 3)
+    statuses, given = ["running", "running", "blocked"], []
+
+    def runs():
+        status = statuses.pop(0)
+        df = spark.createDataFrame([("r", status), ("other", "failed")], "run_id string, status string")
+        write(10 + len(statuses))  # logged after the run was looked up
+        return df
+
+    events_ = spark.readStream.schema(log).parquet(f"{tmp_path}/log")
+    give = lambda batch, _: given.append(sorted(r.event_id for r in batch.collect()))
+    end = streams.follow_run(events_, "r", runs, give, f"{tmp_path}/state", after=1, wait=0)
+    assert end.status == "blocked" and [x for b in given for x in b] == [2, 3, 12, 11, 10]
+    write(20)
+    statuses.append("blocked")
+    given.clear()
+    streams.follow_run(events_, "r", runs, give, f"{tmp_path}/state", after=1, wait=0)
+    assert [x for b in given for x in b] == [10, 20]
+
+
 def test_state_table_after_a_crash_and_with_two_writers(spark, tmp_path):
     """A writer that died half-way leaves nothing in the way; of two writers of one version one fails and can be run again."""
     table = streams.StateTable(spark, f"file://{tmp_path}/table", spark.createDataFrame([], STATE), buckets=2)

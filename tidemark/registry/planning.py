@@ -197,13 +197,15 @@ def c29_reasons(read):
     return read("orders").select("o_orderkey", text.reason_text(F.when(k % 3 == 0, "bot_wall").when(k % 3 == 1, F.concat(F.lit("code_"), k.cast("string")))).alias("words"))
 
 
-@query("select o_orderkey, case when o_orderkey % 3 = 0 then 'Full-time' when o_orderkey % 3 = 1 then 'Part-time-work' else o_orderpriority end as words, o_orderkey % 4 <> 1 as alike from orders")
+# the words of a part's type written together, each with a capital
+@query("""select p_partkey, upper(p_type[1]) || lower(p_type[2:]) || '-' || ['time', 'shift', 'night'][p_partkey % 3 + 1] || case when p_partkey % 2 = 0 then '-' || lower(p_type) else '' end as words, p_partkey % 4 <> 1 as alike from part""")
 def c27_hyphens_and_resemblance(read):
-    k = F.col("o_orderkey")
-    word = F.when(k % 3 == 0, "FullTime").when(k % 3 == 1, "PartTimeWork").otherwise(F.col("o_orderpriority"))
+    k = F.col("p_partkey")
+    own = F.initcap("p_type")
+    word = F.concat(own, F.element_at(F.array(F.lit("Time"), F.lit("Shift"), F.lit("Night")), (k % 3 + 1).cast("int")), F.when(k % 2 == 0, own).otherwise(""))
     tag = F.when(k % 4 == 0, "a").when(k % 4 == 1, "b").when(k % 4 == 2, "b")
     said = F.when(k % 4 == 2, "Apply now").when(k % 4 < 2, "Other")
-    return read("orders").select("o_orderkey", text.hyphen_case(word).alias("words"), text.resembles(tag, said, F.lit("a"), F.lit("apply NOW")).alias("alike"))
+    return read("part").select("p_partkey", text.hyphen_case(word).alias("words"), text.resembles(tag, said, F.lit("a"), F.lit("apply NOW")).alias("alike"))
 
 
 # --- definitions: one for each nation's board, from its customers
@@ -253,11 +255,11 @@ def c24_templates(read):
     return read("orders").select("o_orderkey", got.alias("g")).select("o_orderkey", "g.text", "g.error")
 
 
-@query("""select o_orderkey, case o_orderkey % 3 when 0 then 'x' end as city, case o_orderkey % 3 when 1 then 'undeclared: zip' when 2 then 'missing: city' end as error from orders""")
+@query("""select o_orderkey, case o_orderkey % 3 when 0 then o_orderpriority end as city, case o_orderkey % 3 when 1 then 'undeclared: zip' when 2 then 'missing: city' end as error from orders""")
 def c24_params(read):
     k = F.col("o_orderkey")
     declared = F.create_map(F.lit("city"), F.lit(None).cast("string"), F.lit("lang"), F.lit("en"))
-    over = F.when(k % 3 == 0, F.create_map(F.lit("city"), F.lit("x"))).when(k % 3 == 1, F.create_map(F.lit("zip"), F.lit("1")))
+    over = F.when(k % 3 == 0, F.create_map(F.lit("city"), F.col("o_orderpriority"))).when(k % 3 == 1, F.create_map(F.lit("zip"), F.lit("1")))
     return read("orders").select("o_orderkey", definitions.resolve_params(declared, over).alias("g")).select("o_orderkey", F.col("g.params")["city"].alias("city"), "g.error")
 
 

@@ -63,24 +63,25 @@ def a2_run_stats(read):
     return track.run_stats(track.flag_new_changed(_sightings(read)).withColumn("is_error", F.col("value") > 90))
 
 
-_BEFORE = "before as (select recording_id, dedup_key, arg_max(content_hash, run_seq) as content_hash, arg_max(value, run_seq) as value, min(ts) as first_seen_at, max(run_seq) as last_run from s where run_seq <= 15 group by all)"
+_BEFORE = "before as (select recording_id, dedup_key, arg_max(content_hash, run_seq) as content_hash, arg_max(value, run_seq) as value, min(ts) as first_seen_at, max(run_seq) as last_run from s where run_seq <= 29 group by all)"
 
 
-@query(_S + f""", {_BEFORE}, batch as (select * from s where run_seq = 16) select coalesce(b.recording_id, x.recording_id) as recording_id, coalesce(b.dedup_key, x.dedup_key) as dedup_key,
+@query(_S + f""", {_BEFORE}, batch as (select * from s where run_seq >= 30) select coalesce(b.recording_id, x.recording_id) as recording_id, coalesce(b.dedup_key, x.dedup_key) as dedup_key,
  case when x.run_id is null then 'unseen' when b.content_hash is null then 'new' when b.content_hash <> x.content_hash then 'changed' else 'same' end as flag, case when x.run_id is not null and b.content_hash is distinct from x.content_hash then x.value else b.value end as value,
  coalesce(b.first_seen_at, x.ts) as first_seen_at, x.run_id is null and cast(substr(coalesce(b.dedup_key, x.dedup_key), 2) as int) % 4 = 0 as closed from before b full join batch x on b.recording_id = x.recording_id and b.dedup_key = x.dedup_key""")
 def w3_merged_state(read):
-    state = _state(read, 15).withColumn("closed_at", F.when(F.substring("dedup_key", 2, 9).cast("int") % 4 == 0, F.lit("2024-01-20").cast("timestamp")))
-    batch = _sightings(read).where("run_seq = 16").withColumns({"seen_at": F.col("ts"), "posted_at": F.col("ts")})
+    state = _state(read, 29).withColumn("closed_at", F.when(F.substring("dedup_key", 2, 9).cast("int") % 4 == 0, F.lit("2024-01-20").cast("timestamp")))
+    batch = _sightings(read).where("run_seq >= 30").withColumns({"seen_at": F.col("ts"), "posted_at": F.col("ts")})
     return track.merge_job_state(state, batch).select(*track.KEY, "flag", "value", "first_seen_at", F.col("closed_at").isNotNull().alias("closed"))
 
 
-@query(_S + "select recording_id, dedup_key, arg_max(content_hash, run_seq) as content_hash, min(ts) as first_seen_at, max(ts) as last_seen_at, max(run_seq) = 15 as seen from s where run_seq <= 15 group by all")
+# all days but the newest as the state, the newest as the batch
+@query(_S + "select recording_id, dedup_key, arg_max(content_hash, run_seq) as content_hash, min(ts) as first_seen_at, max(ts) as last_seen_at, max(run_seq) = 30 as seen from s group by all")
 def s12_upserted(read):
-    state = _state(read, 14)
-    batch = _sightings(read).where("run_seq = 15").withColumns({"seen_at": F.col("ts"), "posted_at": F.col("ts")})
+    state = _state(read, 29)
+    batch = _sightings(read).where("run_seq >= 30").withColumns({"seen_at": F.col("ts"), "posted_at": F.col("ts")})
     after = sinks.upsert_jobs(state, batch)
-    return after.select(*track.KEY, "content_hash", "first_seen_at", "last_seen_at", (F.dayofmonth("last_seen_at") == 15).alias("seen"))
+    return after.select(*track.KEY, "content_hash", "first_seen_at", "last_seen_at", (F.dayofmonth("last_seen_at") == 30).alias("seen"))
 
 
 _CLOSED = """, r as (select *, sum(case when status = 'succeeded' then 1 else 0 end) over (partition by recording_id order by run_seq) as upto from runs),
@@ -429,11 +430,11 @@ def t5_streamed_timeline(read):
 
     log = _log(read)
     spark, path = log.sparkSession, _folder(log.sparkSession)
-    for odd in (0, 1):  # two files, two batches
-        log.where(F.col("event_id") % 2 == odd).coalesce(1).write.mode("append").parquet(f"{path}/log")
-    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
-    (streams.stream_timeline(source).writeStream.outputMode("complete").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"))
-     .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination())
+    for odd in (0, 1):  # two batches
+        log.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{path}/log")
+        source = spark.readStream.schema(log.schema).parquet(f"{path}/log")
+        timeline = streams.stream_timeline(source).writeStream.outputMode("complete").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"))
+        timeline.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     # each batch holds the whole result so far
     batches = spark.read.parquet(f"{path}/out")
     return batches.join(F.broadcast(batches.agg(F.max("batch").alias("batch"))), "batch").select("run_id", "step_id", "starts", "warnings", "errors")
@@ -467,21 +468,21 @@ _EMPTY = "recording_id string, dedup_key string, content_hash string, posted_at
 
 
 def _streamed(read, closed: bool):
-    """Sightings of all days as a stream of three files; with closed, the finished runs up to each close what they missed."""
+    """Sightings of all days as a stream of three batches; with closed, the finished runs up to each close what they missed."""
     from tidemark.streaming import streams
 
     seen = _sightings(read).select(*track.KEY, "run_id", "run_seq", "content_hash", F.col("ts").alias("posted_at"), F.col("ts").alias("seen_at"))
     spark, path = seen.sparkSession, _folder(seen.sparkSession)
     table = streams.StateTable(spark, f"{path}/table", spark.createDataFrame([], _EMPTY), buckets=8)
-    runs = _runs(read).withColumn("status", F.lit("succeeded"))
-    for low, high in ((0, 10), (10, 20), (20, 31)):
-        seen.where((F.col("run_seq") > low) & (F.col("run_seq") <= high)).coalesce(1).write.mode("append").parquet(f"{path}/seen")
-        source = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/seen")
+    runs = _runs(read)
+    for low, high in ((0, 9), (9, 21), (21, 31)):
+        seen.where((F.col("run_seq") > low) & (F.col("run_seq") <= high)).write.mode("append").parquet(f"{path}/seen")
+        source = spark.readStream.schema(seen.schema).parquet(f"{path}/seen")
         streams.stream_track_jobs(source, table, f"{path}/tracked").awaitTermination()
         if closed:
             past = F.col("run_seq") <= high
-            last = runs.where(past).groupBy("recording_id").agg(F.lit("succeeded").alias("status"), F.lit(f"2024-03-{high}").cast("timestamp").alias("finished_at"))
-            last.coalesce(1).write.mode("append").parquet(f"{path}/finished")
+            last = runs.where(past).groupBy("recording_id").agg(F.max_by("status", "run_seq").alias("status"), F.lit(f"2024-03-{high:02d}").cast("timestamp").alias("finished_at"))
+            last.write.mode("append").parquet(f"{path}/finished")
             finished = spark.readStream.schema(last.schema).parquet(f"{path}/finished")
             streams.stream_close(finished, table, seen.where(past), runs.where(past), f"{path}/closed", n=3).awaitTermination()
     return table.read()
@@ -492,9 +493,12 @@ def t2_streamed_tracking(read):
     return _streamed(read, closed=False).select(*track.KEY, "content_hash", F.dayofmonth("first_seen_at").cast("long").alias("first_day"), F.dayofmonth("last_seen_at").cast("long").alias("last_day"))
 
 
-# closed at the first look that finds a posting in none of its board's three newest runs, if it isn't seen after that
-@query(_S + """, looks as (select unnest([10, 20, 31]) as look), newest as (select recording_id, look, min(run_seq) as oldest from (select runs.*, look from runs, looks where run_seq <= look qualify row_number() over (partition by recording_id, look order by run_seq desc) <= 3) group by all having count(*) = 3),
- last as (select recording_id, dedup_key, max(run_seq) as last_day from s group by all), shut as (select l.recording_id, l.dedup_key, min(look) as look from last l join newest n on n.recording_id = l.recording_id and l.last_day <= n.look and l.last_day < n.oldest group by all)
+# a look counts if the board's newest run succeeded; closed at the first that finds a posting in none of its three newest runs that did, if it isn't seen after that
+@query(_S + """, looks as (select unnest([9, 21, 31]) as look), fine as (select recording_id, look from runs, looks where run_seq <= look group by all having arg_max(status, run_seq) = 'succeeded'),
+ newest as (select recording_id, look, run_seq, count(*) over (partition by recording_id, look) as n from (select runs.*, look from runs join fine using (recording_id) where status = 'succeeded' and run_seq <= look qualify row_number() over (partition by recording_id, look order by run_seq desc) <= 3)),
+ last as (select recording_id, dedup_key, max(run_seq) as last_day from s group by all),
+ shut as (select l.recording_id, l.dedup_key, min(f.look) as look from last l join (select distinct recording_id, look from newest where n = 3) f on f.recording_id = l.recording_id and l.last_day <= f.look
+  where not exists (select 1 from s join newest n using (recording_id, run_seq) where s.recording_id = l.recording_id and s.dedup_key = l.dedup_key and n.look = f.look) group by all)
  select recording_id, dedup_key, timestamp '2024-03-01' + to_days(cast(look as integer) - 1) as closed_at from last left join shut using (recording_id, dedup_key)""")
 def t4_streamed_closing(read):
     return _streamed(read, closed=True).select(*track.KEY, "closed_at")

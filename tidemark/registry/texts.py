@@ -389,9 +389,12 @@ def c6_absolute_urls(read):
     return read("pages").select("page_id", urls.absolute_url(F.lit("../up"), F.concat(origin, F.lit("/a/b"))).alias("above"), urls.absolute_url(F.concat(F.lit(" /jobs/"), own, F.lit("?a=1")), url).alias("rooted"), urls.absolute_url(F.lit("?next"), url).alias("asked"), urls.absolute_url(F.lit("mailto:x@y.example"), url).alias("mail"))
 
 
-@query(r"""select page_id, '<p>' || chr(8211) || chr(8212) || ' &nope; ' || page_id || ' & &lt;' as decoded from pages""")
+# whole texts with some letters written as references, decimal and hexadecimal, and whole pages with the references that they hold
+@query(r"""select doc_id as id, 'text' as kind, text as decoded from documents union all select page_id, 'page', replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') from pages""")
 def c4_decoded_entities(read):
-    return read("pages").select("page_id", text.decode_entities(F.concat(F.lit("&lt;p&gt;&#8211;&#x2014; &nope; "), F.col("page_id").cast("string"), F.lit(" &AMP; &amp;lt;"))).alias("decoded"))
+    coded = F.replace(F.replace(F.replace("text", F.lit("e"), F.lit("&#101;")), F.lit("a"), F.lit("&#x61;")), F.lit("é"), F.lit("&#xE9;"))
+    both = read("documents").select(F.col("doc_id").alias("id"), F.lit("text").alias("kind"), coded.alias("t")).unionByName(read("pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), F.col("html").alias("t")))
+    return both.select("id", "kind", text.decode_entities(F.col("t")).alias("decoded"))
 
 
 @query("select doc_id, case when doc_id % 2 = 0 then ['lang', 'source'] else ['source'] end as names from documents")

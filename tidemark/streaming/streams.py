@@ -9,16 +9,20 @@ and closer take turns on one table.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import track
 from tidemark.shared import Versions
 
+# Statuses that a run keeps.
+FINAL = ("succeeded", "partial", "failed", "blocked", "cancelled")
+
 
 def stream_run_log(events: DataFrame, run_id: str | None = None, after: int | None = None) -> DataFrame:
     """Events of a run (or all) behind a place in the log; the checkpoint of the query keeps what was given out."""
@@ -26,6 +30,20 @@ def stream_run_log(events: DataFrame, run_id: str | None = None, after: int | No
     return some if after is None else some.where(F.col("event_id") > after)
 
 
+def follow_run(events: DataFrame, run_id: str, runs: Callable[[], DataFrame], give: Callable[[DataFrame, int], None], checkpoint: str, *, after: int | None = None, wait: float = 1.0) -> Row:
+    """Give out a run's events, stored ones and then new ones, each once, until the run is final; its row is the end.
+
+    runs gives the table of runs as it is now (run_id, status). A run is looked up before
+    each pass over the log, so what was logged before it ended is given out before the end.
+    """
+    while True:
+        ended = runs().where((F.col("run_id") == run_id) & F.col("status").isin(*FINAL)).limit(1).collect()
+        stream_run_log(events, run_id, after).writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        if ended:
+            return ended[0]
+        time.sleep(wait)
+
+
 def stream_dedupe(sightings: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The first sighting of each key of a run; arrived_at bounds the state."""
     return sightings.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["run_id", "dedup_key"])
