@@ -89,3 +89,12 @@ def test_waiting_times(spark):
     assert run(spark, headers, lambda s: money_dates.retry_after_ms(s, now())) == [30000, 500, 10000, 0, None, None]
     since = run(spark, ["36h", "7D", "2w", "2026-01-02", "x"], lambda s: money_dates.parse_since(s, now()))
     assert since == [dt.datetime(2026, 10, 5, 3, 30), dt.datetime(2026, 9, 29, 15, 30), dt.datetime(2026, 9, 22, 15, 30), dt.datetime(2026, 1, 2), None]
+
+
+def test_described_schedules(spark):
+    from tidemark.functions import cron
+
+    told = {"*/7 * * * *": "Every 7 minutes", "4 * * * *": "Every hour at :04", "30 */6 * * *": "Every 6 hours at :30", "5 7,19 * * *": "Every day at 07:05 and 19:05", "0 9 * * 1-5": "Weekdays at 09:00", "0 9 * * 6,0": "Weekends at 09:00", "15 8 * * 2,4,7": "Tuesdays, Thursdays and Sundays at 08:15",
+        "0 6 1,15 * *": "On day 1 and 15 of every month at 06:00", "0 6 1 * 2": "Custom schedule (0 6 1 * 2)", "0 6 * 3 *": "Custom schedule (0 6 * 3 *)", "0 9 * * 8": "Custom schedule (0 9 * * 8)", "a * * * *": "Custom schedule (a * * * *)"}
+    got = run(spark, [(c, None) for c in told] + [("  4   * * * * ", "Asia/Tokyo")], cron.describe_cron, "c string, z string")
+    assert got == [f"{v} UTC" for v in told.values()] + ["Every hour at :04 Asia/Tokyo"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,30 +23,41 @@ def _words(items: Column) -> Column:
     return F.when(n <= 1, F.coalesce(F.try_element_at(items, F.lit(1)), F.lit(""))).otherwise(F.concat(F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.element_at(items, -1)))
 
 
+#: Parts of the shapes below: times of the day, dates, days of the week.
+_TIMES, _DATES, _DAYS = r"(?<times>\d+(?:,\d+)*)", r"(?<dates>\d+(?:,\d+)*)", r"(?<days>\*|1-5|0*[0-7](?:,0*[0-7])*)"
+#: Shape of an expression, and how it is said; what is in braces is said by the group of that name.
+SHAPES = [
+    (r"\*/(?<step>\d+) \* \* \* \*", "Every {step} minutes"),
+    (r"(?<minute>\d+) \* \* \* \*", "Every hour at :{minute}"),
+    (r"(?<minute>\d+) \*/(?<step>\d+) \* \* \*", "Every {step} hours at :{minute}"),
+    (rf"(?<minute>\d+) {_TIMES} \* \* {_DAYS}", "{days} at {times}"),
+    (rf"(?<minute>\d+) {_TIMES} {_DATES} \* \*", "On day {dates} of every month at {times}"),
+]
+# Days that have a name together.
+TOGETHER = {"*": "Every day", "1-5": "Weekdays", "0,6": "Weekends", "6,0": "Weekends", "6,7": "Weekends"}
+
+
 def describe_cron(cron: Column, timezone: Column) -> Column:
-    """Common schedules in words, others as they are; with the zone (UTC where there is none)."""
-    part = lambda i: F.coalesce(F.try_element_at(F.split(F.trim(cron), r"\s+"), F.lit(i)), F.lit(""))
-    minute, hour, dom, month, dow = (part(i) for i in range(1, 6))
-    number = lambda c: c.rlike(r"^\d+$")
+    """Expressions of the common shapes in words, others as they are; with the zone (UTC where there is none)."""
+    spaced = F.regexp_replace(F.trim(cron), r"\s+", " ")
     two = lambda c: F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
-    hours, days, dates = F.split(hour, ","), F.split(dow, ","), F.split(dom, ",")
-    times = _words(F.transform(hours, lambda h: F.concat(two(h), F.lit(":"), two(minute))))
-    names = F.array(*map(F.lit, DAYS))
-    day_words = _words(F.transform(days, lambda d: F.try_element_at(names, F.coalesce(d.try_cast("int"), F.lit(0)) % 7 + 1)))
-    known_days = F.forall(days, lambda d: number(d) & (F.coalesce(d.try_cast("int"), F.lit(99)) <= 7))
-    when = F.when(dow == "*", "Every day").when(dow == "1-5", "Weekdays").when(dow.isin("0,6", "6,0", "6,7"), "Weekends").when(known_days, day_words)
-    every = lambda c: F.regexp_extract(c, r"^\*/(\d+)$", 1)
-    any_day = (dom == "*") & (dow == "*")
-    timed = F.forall(hours, number)
-    told = F.when(month == "*", F.coalesce(
-        F.when((every(minute) != "") & (hour == "*") & any_day, F.concat(F.lit("Every "), every(minute), F.lit(" minutes"))),
-        F.when(number(minute), F.coalesce(
-            F.when(any_day & (hour == "*"), F.concat(F.lit("Every hour at :"), two(minute))),
-            F.when(any_day & (every(hour) != ""), F.concat(F.lit("Every "), every(hour), F.lit(" hours at :"), two(minute))),
-            F.when(timed & (dom == "*"), F.concat(when, F.lit(" at "), times)),
-            F.when(timed & (dow == "*") & F.forall(dates, number), F.concat(F.lit("On day "), _words(dates), F.lit(" of every month at "), times)),
-        )),
-    ))
+
+    def said(shape: str, sentence: str) -> Column:
+        names = re.findall(r"\(\?<(\w+)>", shape)
+        group = lambda name: F.regexp_extract(spaced, f"^{shape}(?: .*)?$", names.index(name) + 1)
+        together = F.create_map(*(F.lit(x) for kv in TOGETHER.items() for x in kv))
+        day = lambda d: F.element_at(F.array(*map(F.lit, DAYS)), d.try_cast("int") % 7 + 1)
+        words = {
+            "step": lambda: group("step"),
+            "minute": lambda: two(group("minute")),
+            "times": lambda: _words(F.transform(F.split(group("times"), ","), lambda h: F.concat(two(h), F.lit(":"), two(group("minute"))))),
+            "dates": lambda: _words(F.split(group("dates"), ",")),
+            "days": lambda: F.coalesce(F.try_element_at(together, group("days")), _words(F.transform(F.split(group("days"), ","), day))),
+        }
+        parts = [words[p[1:-1]]() if p[:1] == "{" else F.lit(p) for p in re.split(r"(\{\w+\})", sentence) if p]
+        return F.when(spaced.rlike(f"^{shape}(?: .*)?$"), F.concat(*parts))
+
+    told = F.coalesce(*(said(shape, sentence) for shape, sentence in SHAPES))
     return F.concat(F.coalesce(told, F.concat(F.lit("Custom schedule ("), cron, F.lit(")"))), F.lit(" "), F.coalesce(timezone, F.lit("UTC")))
 
 
@@ -77,7 +90,6 @@ def field_numbers(text: Column, field: str) -> Column:
 
     lists = F.transform(F.split(text, ","), one)
 
-
     def joined(lists: Column) -> Column:
         numbers = F.flatten(lists)
         if field == "dow":
