@@ -378,7 +378,7 @@ def j11_attributed_navigations(read):
 _SPED = 7200
 
 
-@query(f"""with e as (select cast(user_id as varchar) as s, event_id as idx, epoch_ms(ts) // {_SPED} as t, cast(json_extract_string(props, '$.k') as integer) as k, event_type from events),
+@query(f"""with e as (select cast(user_id as varchar) as s, event_id as idx, epoch_us(ts) // 1000 // {_SPED} as t, cast(json_extract_string(props, '$.k') as integer) as k, event_type from events),
  a as (select s, idx, t, case when k = 99 then 'scopeEnd' else 'step' end as kind, case event_type when 'click' then 'click' when 'view' then 'scroll' when 'signup' then 'fill' when 'purchase' then 'press' else 'navigate' end as step_type,
   case when event_type = 'error' then 'https://x.example/' || k % 3 end as url, case when event_type = 'signup' then cast(k as varchar) end as value, case when k % 5 = 0 then 'toBottom' else 'by' end as mode, case when event_type = 'view' then k::double end as amount, 'e' || k % 4 as element, k from e),
  n as (select s, idx as n, t + case when idx % 2 = 0 then 1 else 20000 end as t from e where idx % 5 = 0),
