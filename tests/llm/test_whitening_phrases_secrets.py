@@ -196,7 +196,7 @@ def test_only_unseen_blobs_and_rules_are_scanned(spark, monkeypatch):
     found = {(r.path, r.version): len(r.found) for r in secret_scans.findings(second, ledger).collect()}
     assert found == {(1, 1): 1, (1, 2): 0, (2, 1): 0, (3, 1): 0, (4, 1): 1}
     # a rule's new version scans everything for that rule alone
-    newer = tuple(r._replace(version=2, pattern="plain") if r.name == "hex" else r for r in secret_scans.RULES)
+    newer = tuple(r._replace(version=2, pattern="plain", least=1) if r.name == "hex" else r for r in secret_scans.RULES)
     before = spark.read.parquet(*ledger._parts()).count()
     assert secret_scans.scan(second, ledger, rules=newer) == 3
     assert spark.read.parquet(*ledger._parts()).count() == before + 3

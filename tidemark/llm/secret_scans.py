@@ -133,8 +133,10 @@ def scan(versions: DataFrame, ledger: Ledger, *, text: str = "text", rules: tupl
     unseen = written(addresses.join(seen, "blob", "left").select("blob", numbers.alias("unseen")).where(F.size("unseen") > 0), "unseen")
     n = unseen.count()
     if n:
-        asked = F.broadcast(unseen) if n <= broadcast_blobs else unseen.hint("shuffle_hash")
-        ledger.append(_scanned(_first_texts(versions, text).join(asked, "blob"), rules))
+        texts = _first_texts(versions, text)
+        # either way all texts of a blob come together, so that it is scanned once
+        met = texts.join(F.broadcast(unseen), "blob").repartition("blob") if n <= broadcast_blobs else texts.join(unseen.hint("shuffle_hash"), "blob")
+        ledger.append(_scanned(met, rules))
     return n
 
 
