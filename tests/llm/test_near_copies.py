@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tests.llm.test_exact import texts
-from tidemark.llm import near_copies, queries
+from tidemark.llm import near_copies, queries, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -94,3 +95,57 @@ def test_shared_counts():
         got = near_copies.shared_counts(sets, 4)
         assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(6) if i != j)
     near_copies.SHARED_AT_ONCE = 4096
+
+
+def test_stage_finds_by_simhash(spark):
+    """Two texts of similarity 0.82 whose MinHash bands all differ: only their fingerprints bring them together."""
+    deal = random.Random(33699)
+    one = [f"w{deal.randrange(5000)}" for _ in range(104)]
+    two = ["other" if i in (30, 75) else w for i, w in enumerate(one)]
+    rows = {1: " ".join(one), 2: " ".join(two), 3: "quite another text of more than five words"}
+    _, fps, cells = near_copies._marks(pa.array(list(rows.values())), 5)
+    assert not (cells[0] == cells[1]).any() and ((fps[0] ^ fps[1]) & (1 << 64) - 1).bit_count() <= 7
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, SF).collect()} == set(brute_groups(rows).values()) == {1, 3}
+
+
+def test_fingerprints_are_majorities_of_distinct_shingles():
+    rows = ["a b c d e f g a b c d e f g a b c d e", "one", "", None, "x y z x y z x y z x y z"]
+    _, fps, _ = near_copies._marks(pa.array(rows, pa.string()), 5)
+    for text, fp in zip(rows, fps, strict=True):
+        own = near_copies._sets(pa.array([text], pa.string()), 5)[0].tolist()
+        want = sum((sum(h >> b & 1 for h in own) * 2 > len(own)) << b for b in range(64)) if own else None
+        assert (fp if fp is None else fp & (1 << 64) - 1) == want
+
+
+def test_near_pairs(spark):
+    """In small, large and cut cells: every pair of up to 7 bits, none beyond the radius, far ones mostly."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 64, 1500, np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, False).astype(np.uint64)) for n in rng.integers(1, 15, 1500)]
+    fps = np.concatenate([base, base ^ np.array(flips, np.uint64)])
+    # cells with hundreds of rows: the first 22 bits agree
+    fps[:600] &= np.uint64((1 << 64) - (1 << 22))
+    fps[1500:1800] = fps[:300] ^ np.array(flips[:300], np.uint64)
+    fps = np.unique(fps)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None])
+    place = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+    df = spark.createDataFrame([(f,) for f in place], "fp long")
+    for slice_rows in (2048, 100):
+        got = {tuple(sorted((place[r.a], place[r.b]))) for r in simhash.near_pairs(df, slice_rows=slice_rows).collect()}
+        all_near = set(zip(*(x.tolist() for x in np.nonzero(np.triu(apart <= 13, 1))), strict=True))
+        sure = set(zip(*(x.tolist() for x in np.nonzero(np.triu(apart <= 7, 1))), strict=True))
+        assert sure <= got <= all_near and len(got) > 0.85 * len(all_near) and len(sure) > 500
+
+
+def test_crowded_fingerprints_stay_linked(spark):
+    """A crowd within the radius leaves a few links for each member, and they connect it."""
+    center = 0x0123456789ABCDEF
+    fps = [center ^ 1 << b for b in range(60)] + [center ^ 3 << b for b in range(60)] + [center]
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = [(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    reached, wave = {fps[-1]}, {fps[-1]}
+    while wave:
+        wave = ({a for a, b in got if b in wave} | {b for a, b in got if a in wave}) - reached
+        reached |= wave
+    assert reached == set(fps) and len(got) < len(fps) ** 2 / 4

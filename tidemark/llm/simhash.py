@@ -13,6 +13,9 @@ links, never all pairs; the groups of all cells are joined by components().
 Cells above a size are cut into pairs of slices by the fingerprints' hash, which
 other tasks compare: no cell is one task's work, and none is capped.
 
+near_pairs() goes beyond the radius that bit ranges can promise, for callers that check
+each pair: wider cells, compared at a wide radius, pass on the pairs themselves.
+
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any
 other. Rows with a null id get a fingerprint and their component's id, but are
 never a component's id; a component of null ids only has none.
@@ -20,7 +23,7 @@ never a component's id; a component of null ids only has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -37,6 +40,10 @@ from tidemark.llm.storage import written
 SEED = 42
 #: Fingerprints of a cell's slice; a larger cell is cut.
 SLICE = 2048
+#: Parts of the bits and how many of them must agree in near_pairs, and from how many nodes on the narrower cells serve.
+WIDE, NARROW, WIDE_NODES = (9, 2), (10, 3), 30_000_000
+#: Two fingerprints with more neighbours than this in a cell pass on the link to the first one only.
+CROWD = 8
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -59,6 +66,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def majorities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Fingerprint of each run of hashes: a bit is set if it is in over half of the run that begins at its start."""
+    half = np.diff(np.append(starts, len(hashes))).astype(np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    for b in range(64):
+        count = np.add.reduceat(hashes >> np.uint64(b) & np.uint64(1), starts)
+        out |= (count * np.uint64(2) > half).astype(np.uint64) << np.uint64(b)
+    return out
+
+
 def add_fingerprints(docs: DataFrame, *, text: str = "text", words: int = 4, out: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed long."""
 
@@ -118,8 +135,8 @@ def within(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def linked_groups(fps: np.ndarray, radius: int, rows_at_once: int = 256) -> np.ndarray:
-    """For each of distinct fingerprints the place of the first one of its group (linked directly or over others)."""
+def _lanes(fps: np.ndarray, radius: int, rows_at_once: int = 256) -> np.ndarray:
+    """within() of all fingerprints among themselves."""
     n = len(fps)
     planes = bit_planes(fps)
     lanes = np.zeros((n, planes.shape[1]), np.uint64)
@@ -128,12 +145,19 @@ def linked_groups(fps: np.ndarray, radius: int, rows_at_once: int = 256) -> np.n
     tail = n % 64
     if tail:
         lanes[:, -1] &= np.uint64((1 << tail) - 1)
+    return lanes
+
+
+def linked_groups(fps: np.ndarray, radius: int, rows_at_once: int = 256) -> np.ndarray:
+    """For each of distinct fingerprints the place of the first one of its group (linked directly or over others)."""
+    n = len(fps)
+    lanes = _lanes(fps, radius, rows_at_once)
     first = np.full(n, -1)
     unpack = lambda mask: np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
     for i in range(n):
         if first[i] >= 0:
             continue
-        group = np.zeros(planes.shape[1], np.uint64)
+        group = np.zeros(lanes.shape[1], np.uint64)
         group[i // 64] = np.uint64(1 << (i % 64))
         wave = np.array([i])
         while len(wave):
@@ -144,30 +168,73 @@ def linked_groups(fps: np.ndarray, radius: int, rows_at_once: int = 256) -> np.n
     return first
 
 
-def _small_groups(fps: np.ndarray, cell: np.ndarray, begins: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links inside small cells, all at once: row i against row i + d of the sorted table, as shifted bit planes."""
+def _small_groups(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the links inside small cells, all at once: row i against row i + d of the sorted table, as shifted bit planes."""
     for d in range(1, int(sizes.max()) if len(sizes) else 0):
         at = np.concatenate([np.arange(b, b + s - d) for b, s in zip(begins[sizes > d], sizes[sizes > d], strict=True)])
         planes = bit_planes(fps[at] ^ fps[at + d])
         close = within(np.zeros(1, np.uint64), planes, radius)[0]
         hit = np.flatnonzero(np.unpackbits(close.view(np.uint8), bitorder="little")[: len(at)])
-        yield fps[at[hit]], fps[at[hit] + d]
+        yield at[hit], at[hit] + d
 
 
-def _compare(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) inside each cell; the rows are sorted by cell."""
+def _by_size(cells: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Begins and sizes of the small cells of more than one row, and (begin, size) of the larger ones; the rows are sorted by cell."""
     begins = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, int)
     sizes = np.diff(np.append(begins, len(cells)))
-    small = (sizes > 1) & (sizes <= 24)
-    found = list(_small_groups(fps, cells, begins[small], sizes[small], radius))
-    for b, s in zip(begins[sizes > 24], sizes[sizes > 24], strict=True):
+    few = (sizes > 1) & (sizes <= small)
+    return begins[few], sizes[few], list(zip(begins[sizes > small], sizes[sizes > small], strict=True))
+
+
+def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _compare(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect each cell; the rows are sorted by cell."""
+    begins, sizes, large = _by_size(cells, 24)
+    found = [(fps[i], fps[j]) for i, j in _small_groups(fps, begins, sizes, radius)]
+    for b, s in large:
         own = np.unique(fps[b : b + s])
         first = linked_groups(own, radius)
         other = first != np.arange(len(own))
         found.append((own[first[other]], own[other]))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+    return _joined(found)
+
+
+def _uncrowded(i: np.ndarray, j: np.ndarray, degree: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the pairs of places i < j go on: all of a place with few neighbours, else j's with its first neighbour."""
+    return (np.minimum(degree[i], degree[j]) <= CROWD) | (first[j] == i)
+
+
+def _direct_pairs(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of each cell within the radius, less what is crowded."""
+    order = np.lexsort((fps, cells))
+    cells, fps = cells[order], fps[order]
+    begins, sizes, large = _by_size(cells, 128)
+    i, j = (x.astype(np.int64) for x in _joined(list(_small_groups(fps, begins, sizes, radius))))
+    first = np.full(len(fps), len(fps))
+    np.minimum.at(first, j, i)
+    keep = _uncrowded(i, j, np.bincount(np.concatenate([i, j]), minlength=len(fps)), first)
+    found = [(fps[i[keep]], fps[j[keep]])]
+    for b, s in large:
+        own = np.unique(fps[b : b + s])
+        lanes = _lanes(own, radius)
+        degree = np.bitwise_count(lanes).sum(1, dtype=np.int64) - 1
+        some = np.flatnonzero(degree)
+        first = np.zeros(len(own), int)
+        for at in np.split(some, range(256, len(some), 256)):
+            near = np.unpackbits(lanes[at].view(np.uint8), axis=1, bitorder="little")
+            first[at] = near.argmax(1)
+            later, earlier = np.nonzero(near)
+            later = at[later]
+            keep = earlier < later
+            earlier, later = earlier[keep], later[keep]
+            keep = _uncrowded(earlier, later, degree, first)
+            found.append((own[earlier[keep]], own[later[keep]]))
+    return _joined(found)
 
 
 # --- tables and cells ------------------------------------------------------
@@ -180,21 +247,40 @@ def _tables(nodes: int, radius: int) -> list[list[tuple[int, int]]]:
     holds few nodes at any size of the corpus.
     """
     k = 1 if nodes < 20_000 else 2 if nodes < 20_000_000 else 3 if nodes < 1_000_000_000 else 4
-    edges = np.linspace(0, 64, radius + k + 1).round().astype(int)
+    return _choices(radius + k, k)
+
+
+def _choices(parts: int, agree: int) -> list[list[tuple[int, int]]]:
+    edges = np.linspace(0, 64, parts + 1).round().astype(int)
     ranges = [(int(a), int(b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [list(c) for c in combinations(ranges, k)]
+    return [list(c) for c in combinations(ranges, agree)]
 
 
 def _cell(fp: Column, table: int, ranges: list[tuple[int, int]]) -> Column:
-    cell = F.lit(table).cast("long")
+    cell = F.lit(0).cast("long")
     for begin, width in ranges:
         cell = F.shiftleft(cell, width).bitwiseOR(F.shiftrightunsigned(fp, begin).bitwiseAND(F.lit((1 << width) - 1)))
-    return cell
+    # above the bits of any table, whose widths differ
+    return cell.bitwiseOR(F.lit(table << 48).cast("long"))
 
 
 def links(nodes: DataFrame, *, radius: int = 4, slice_rows: int = SLICE) -> DataFrame:
     """Links a, b (signed fingerprints) that connect all of nodes(fp), distinct, within the radius of each other."""
-    tables = _tables(nodes.count(), radius)
+    return _in_cells(nodes, _tables(nodes.count(), radius), lambda cells, fps: _compare(cells, fps, radius), slice_rows)
+
+
+def near_pairs(nodes: DataFrame, *, radius: int = 13, slice_rows: int = SLICE) -> DataFrame:
+    """Pairs a, b (signed fingerprints) of nodes(fp), distinct, that differ in radius bits at most.
+
+    A pair meets if two of nine parts of the bits agree: surely up to 7 different bits, by chance beyond
+    (three of ten from WIDE_NODES on). Fingerprints crowded in a cell pass on a link to one neighbour.
+    """
+    tables = _choices(*(WIDE if nodes.count() < WIDE_NODES else NARROW))
+    return _in_cells(nodes, tables, lambda cells, fps: _direct_pairs(cells, fps, radius), slice_rows)
+
+
+def _in_cells(nodes: DataFrame, tables: list[list[tuple[int, int]]], compare: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slice_rows: int) -> DataFrame:
+    """What compare finds in each cell of the tables, distinct."""
     index = nodes.select("fp", F.explode(F.array(*(_cell(F.col("fp"), i, r) for i, r in enumerate(tables)))).alias("cell"))
     sizes = index.groupBy("cell").count().where("count > 1")
     slices = F.ceil(F.col("count") / slice_rows).cast("int")
@@ -216,8 +302,8 @@ def links(nodes: DataFrame, *, radius: int = 4, slice_rows: int = SLICE) -> Data
                 continue
             whole = np.searchsorted(cells, cells[-1])  # the last cell may go on in the next batch
             rest_cell, rest_fp = cells[whole:], fps[whole:]
-            yield batch_of(*_compare(cells[:whole], fps[:whole], radius))
-        yield batch_of(*_compare(rest_cell, rest_fp, radius))
+            yield batch_of(*compare(cells[:whole], fps[:whole]))
+        yield batch_of(*compare(rest_cell, rest_fp))
 
     return placed.select("place", "fp").repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long").distinct()
 
