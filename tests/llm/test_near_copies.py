@@ -149,3 +149,49 @@ def test_crowded_fingerprints_stay_linked(spark):
         wave = ({a for a, b in got if b in wave} | {b for a, b in got if a in wave}) - reached
         reached |= wave
     assert reached == set(fps) and len(got) < len(fps) ** 2 / 4
+
+
+def test_no_link_is_lost_in_a_crowd_and_no_row_stands_for_a_pair(spark, monkeypatch):
+    """The pair that only fingerprints find, in a crowd of texts near both fingerprints whose similarity is below 0.8."""
+    deal = random.Random(33699)
+    one = [f"w{deal.randrange(5000)}" for _ in range(104)]
+    rows = {1: " ".join(one), 2: " ".join("other" if i in (30, 75) else w for i, w in enumerate(one))}
+    for n in range(10, 710):
+        at = {30, 75, deal.randrange(2, 12), deal.randrange(90, 102)} if n % 2 else {deal.randrange(5, 25), deal.randrange(45, 60), deal.randrange(85, 100)}
+        rows[n] = " ".join(f"x{n}" if i in at else w for i, w in enumerate(one))
+    want = brute_groups(rows)
+    assert want[2] == 1 and len(set(want.values())) == len(rows) - 1
+    made, write = {}, near_copies.Scratch.written
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies.Scratch, "written", counted)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == want
+    # a row for each table of cells at most, and one leader for each node
+    assert made["near"][0] <= 36 * len(rows) and made["pairs"][0] <= len(rows)
+
+
+def test_near_groups(spark):
+    """Every pair that near_pairs finds is in a group, in small, large and cut cells; a crowd's rows grow with its size."""
+    rng = np.random.default_rng(9)
+    center = np.uint64(0x0123456789ABCDEF)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, False).astype(np.uint64)) for n in rng.integers(1, 7, 250)]
+    fps = np.unique(np.concatenate([center ^ np.array(flips, np.uint64), rng.integers(0, 1 << 64, 100, np.uint64)])).view(np.int64).tolist()
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for slice_rows in (2048, 100):
+        groups, of = {}, {}
+        got = simhash.near_groups(df, slice_rows=slice_rows).collect()
+        for r in got:
+            groups.setdefault(r.cell, set()).add(r.fp)
+            of.setdefault(r.fp, set()).add(r.cell)
+        assert all(len(g) > 1 for g in groups.values()) and len(got) <= sum(map(len, groups.values()))
+        pairs = simhash.near_pairs(df, slice_rows=slice_rows).collect()
+        assert pairs and all(of[r.a] & of[r.b] for r in pairs)
+        apart = {(a, b) for a in fps for b in fps if a < b and 0 < ((a ^ b) & (1 << 64) - 1).bit_count() <= 7}
+        assert len(apart) > len(pairs) and all(of[a] & of[b] for a, b in apart)
+        if slice_rows == 2048:
+            assert len(got) <= 36 * len(fps)

@@ -13,8 +13,9 @@ links, never all pairs; the groups of all cells are joined by components().
 Cells above a size are cut into pairs of slices by the fingerprints' hash, which
 other tasks compare: no cell is one task's work, and none is capped.
 
-near_pairs() goes beyond the radius that bit ranges can promise, for callers that check
-each pair: wider cells, compared at a wide radius, pass on the pairs themselves.
+near_groups() and near_pairs() go beyond the radius that bit ranges can promise, for callers
+that check what they get: wider cells, compared at a wide radius. A group is a row for each
+of its fingerprints, so it grows with their number; pairs are for tables of few near ones.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any
 other. Rows with a null id get a fingerprint and their component's id, but are
@@ -40,7 +41,7 @@ from tidemark.llm.storage import written
 SEED = 42
 #: Fingerprints of a cell's slice; a larger cell is cut.
 SLICE = 2048
-#: Parts of the bits and how many of them must agree in near_pairs, and from how many nodes on the narrower cells serve.
+#: Parts of the bits and how many of them must agree in near_groups and near_pairs, and from how many nodes on the narrower cells serve.
 WIDE, NARROW, WIDE_NODES = (9, 2), (10, 3), 30_000_000
 #: Two fingerprints with more neighbours than this in a cell pass on the link to the first one only.
 CROWD = 8
@@ -86,6 +87,11 @@ def add_fingerprints(docs: DataFrame, *, text: str = "text", words: int = 4, out
     return textbytes.append_columns(docs, make, T.StructType([T.StructField(out, T.LongType())]))
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 # --- bit-sliced comparison -------------------------------------------------
 
 
@@ -237,6 +243,28 @@ def _direct_pairs(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.n
     return _joined(found)
 
 
+def _cell_groups(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group and fingerprint of all that has another within the radius in its cell; equal groups of several cells have one id."""
+    order = np.lexsort((fps, cells))
+    cells, fps = cells[order], fps[order]
+    begins, sizes, large = _by_size(cells, 128)
+    i, j = (x.astype(np.int64) for x in _joined(list(_small_groups(fps, begins, sizes, radius))))
+    first, before = np.arange(len(fps)), None
+    while before is None or (first != before).any():
+        before, least = first.copy(), np.minimum(first[i], first[j])
+        np.minimum.at(first, i, least)
+        np.minimum.at(first, j, least)
+        first = first[first]
+    for b, s in large:
+        own, at = np.unique(fps[b : b + s], return_index=True)
+        first[b + at] = b + at[linked_groups(own, radius)]
+    size = np.bincount(first, minlength=len(fps))
+    member = np.flatnonzero(size[first] > 1)
+    ids = size.astype(np.uint64)
+    np.add.at(ids, first[member], mixed(fps[member]))
+    return mixed(ids[first[member]]), fps[member]
+
+
 # --- tables and cells ------------------------------------------------------
 
 
@@ -279,6 +307,16 @@ def near_pairs(nodes: DataFrame, *, radius: int = 13, slice_rows: int = SLICE) -
     return _in_cells(nodes, tables, lambda cells, fps: _direct_pairs(cells, fps, radius), slice_rows)
 
 
+def near_groups(nodes: DataFrame, *, radius: int = 13, slice_rows: int = SLICE) -> DataFrame:
+    """cell, fp (signed): groups of nodes(fp), distinct, that links of radius bits at most hold together in a cell.
+
+    Two fingerprints that near_pairs would bring together, crowded or not, are in a group. A
+    fingerprint has one row for each cell at most, so no row stands for a pair.
+    """
+    tables = _choices(*(WIDE if nodes.count() < WIDE_NODES else NARROW))
+    return _in_cells(nodes, tables, lambda cells, fps: _cell_groups(cells, fps, radius), slice_rows).toDF("cell", "fp")
+
+
 def _in_cells(nodes: DataFrame, tables: list[list[tuple[int, int]]], compare: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slice_rows: int) -> DataFrame:
     """What compare finds in each cell of the tables, distinct."""
     index = nodes.select("fp", F.explode(F.array(*(_cell(F.col("fp"), i, r) for i, r in enumerate(tables)))).alias("cell"))
