@@ -1,6 +1,7 @@
 """Near copies against the Jaccard similarity of all pairs."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -195,3 +196,26 @@ def test_near_groups(spark):
         assert len(apart) > len(pairs) and all(of[a] & of[b] for a, b in apart)
         if slice_rows == 2048:
             assert len(got) <= 36 * len(fps)
+
+
+def test_no_table_of_the_corpus_is_broadcast(spark, tmp_path):
+    """Read from files, which Spark takes for small: an exploded index has 36 rows for each fingerprint in them."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def plans():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+    spark.createDataFrame([(i * 0x9E3779B97F4A7C1 % (1 << 63),) for i in range(500)], "fp long").write.parquet(f"{tmp_path}/fps")
+    deal = random.Random(4)
+    base = [f"w{deal.randrange(999)}" for _ in range(150)]
+    texts = [(i, " ".join(f"x{i}" if k == i else w for k, w in enumerate(base[i // 60 * 3 :]))) for i in range(120)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    before = set(plans())
+    simhash.near_groups(spark.read.parquet(f"{tmp_path}/fps")).collect()
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == set(brute_groups(dict(texts)).values())
+    joins = [j for i, plan in plans().items() if i not in before for j in re.findall(r"(BroadcastHash|SortMerge)Join (\w+)", plan)]
+    # only ids that texts are chosen by may be
+    assert ("SortMerge", "Inner") in joins and set(joins) & {("BroadcastHash", kind) for kind in ("Inner", "LeftOuter", "RightOuter")} == set()

@@ -322,7 +322,8 @@ def _in_cells(nodes: DataFrame, tables: list[list[tuple[int, int]]], compare: Ca
     index = nodes.select("fp", F.explode(F.array(*(_cell(F.col("fp"), i, r) for i, r in enumerate(tables)))).alias("cell"))
     sizes = index.groupBy("cell").count().where("count > 1")
     slices = F.ceil(F.col("count") / slice_rows).cast("int")
-    member = index.join(sizes, "cell").select("cell", "fp", slices.alias("slices"), F.pmod(F.xxhash64("fp"), slices).cast("int").alias("own"))
+    # merged at every size: Spark takes the exploded index for as small as nodes and would send all its rows to the driver
+    member = index.join(sizes.hint("merge"), "cell").select("cell", "fp", slices.alias("slices"), F.pmod(F.xxhash64("fp"), slices).cast("int").alias("own"))
     others = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("low"), F.greatest(o, F.col("own")).alias("high")))
     placed = member.select("fp", "cell", F.explode(others).alias("pair"))
     placed = placed.select("fp", F.when(F.col("pair.high") == 0, F.col("cell")).otherwise(F.xxhash64("cell", "pair.low", "pair.high")).alias("place"))
