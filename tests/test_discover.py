@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import discover, extract, heal
+from tidemark.registry import registered
 
 
 class Tree(HTMLParser):
@@ -100,6 +101,30 @@ def test_every_locator_finds_exactly_its_list(spark, pages):
         assert all(told[r.page_id, x.kind, x.value] == r.nodes for x in r.locators)
 
 
+def test_locators_are_not_computed_again_by_what_follows(spark, pages, sf_dir):
+    """Rows made of locators bring a filter on them, which took all their expressions with it, a hundred times as long."""
+    groups = discover.list_groups(pages)
+    for rows in (discover.list_locators(pages, groups).select("page_id", F.posexplode("locators")), registered()["d9_list_locators"][0](spark, sf_dir)):
+        assert rows.count() > 0 and len(rows._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    key = lambda df: sorted(map(repr, df.select("page_id", "rank", "locators").collect()))
+    assert key(discover.located_lists(pages)) == key(discover.list_locators(pages, groups))
+    assert {r.look for r in discover.located_lists(pages, "ul.job").collect()} == {"ul.job"}
+    # a page is a row: another one with its id has lists of its own
+    twice = pages.where("page_id < 3").union(pages.where("page_id < 3"))
+    assert key(discover.located_lists(twice)) == sorted(2 * key(discover.located_lists(pages.where("page_id < 3"))))
+
+
+def test_what_is_told_of_elements_outside_spark(spark):
+    """Roles and stable classes by the helper and by Spark's expressions, with odd attributes."""
+    attrs = ["", "role='row x'", "role=' listitem'", "role='  '", "class=' a  b\u0085\tc-d_e \u00e4b a'", "class=x1", "href", "size='2 '", "size=' +3\t'", "size=1.5", "size=-4", "size=99999999999", "size=x multiple", "type=SUBMIT", "type=zz", "list=q", "alt=x", "alt"]
+    html = "".join(f"<{tag} {a}>" for tag in ("a", "area", "img", "select", "input", "li", "div") for a in attrs)
+    of = extract.with_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    told = F.transform("nodes", lambda n: F.struct(n["tag"].alias("tag"), n["attrs"].alias("attrs"), extract.role_of(n).alias("role"), discover.stable_classes(n).alias("classes")))
+    rows = of.select(told.alias("x")).first().x
+    assert len(rows) == 7 * len(attrs) + 1 and {r.role for r in rows} >= {"link", "img", "listbox", "combobox", "textbox", "button", "row", "listitem"}
+    assert [(extract.role_in(r.tag, r.attrs), list(discover._stable(r.attrs.get("class", "")))) for r in rows] == [(r.role, r.classes) for r in rows]
+
+
 def test_fields_agree_with_extraction(spark):
     item = "<li class=job><h2 class='title big'><a href=/{0}>T{0}</a></h2><div><span class=loc>L</span><span>x</span></div>{1}</li>"
     html = "<ul><li><a href=/>menu</a></li></ul><main><ul>" + "".join(item.format(i, "<em>new</em>" if i < 2 else "") for i in range(6)) + "</ul></main>"

@@ -7,10 +7,20 @@ those under parents that look alike, as boards split their lists into parts.
 
 Groups are made by hashing looks, never by comparing elements in pairs. A locator
 counts only if it finds exactly what it should: that is checked on the page itself.
+
+A page's lists and their locators need nothing but the page, so a small helper finds
+them as it parses: one pass, and no expression that a filter behind it would repeat.
+Pages are dealt out before, by their hash: a file may hold all of them as one piece.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain as chained
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +30,18 @@ from tidemark.operators.extract import Page
 
 #: Ancestors by which a selector for a list may begin; levels of one for a field.
 MOST_PREFIX, MOST_LEVELS = 3, 3
-_LEVEL = "array<struct<tag: string, classes: array<string>>>"
+#: Pages that are written at once.
+PAGES_AT_ONCE = 256
+_CLASS = r"^[A-Za-z][A-Za-z_-]*$"
+# $ is before a last line break, too, of which Java knows more
+_STABLE = re.compile(r"[A-Za-z][A-Za-z_-]*[\u0085\u2028\u2029]?")
+_Level = tuple[str, tuple[str, ...]]
 
 
 def stable_classes(node: Column) -> Column:
     """An element's classes that don't look generated, in their order."""
     given = F.split(F.coalesce(extract.attr_of(node, "class"), F.lit("")), r"\s+")
-    return F.array_distinct(F.filter(given, lambda c: c.rlike("^[A-Za-z][A-Za-z_-]*$")))
+    return F.array_distinct(F.filter(given, lambda c: c.rlike(_CLASS)))
 
 
 def _level(node: Column) -> Column:
@@ -52,10 +67,165 @@ def _above(of: Page, node: Column, levels: int) -> list[Column]:
     return found
 
 
-def _card(of: Page, node: Column) -> Column:
-    """Whether an element has some structure: a link or three elements in it, or more."""
-    few = F.slice(of.nodes, node["node"] + 2, F.least(node["last"] - node["node"], F.lit(2)))
-    return (node["last"] - node["node"] >= 3) | F.exists(few, lambda n: (n["tag"] == "a") & extract.attr_of(n, "href").isNotNull())
+@lru_cache(1 << 12)
+def _stable(given: str) -> tuple[str, ...]:
+    """stable_classes of a class attribute, outside Spark."""
+    return tuple(dict.fromkeys(c for c in re.split(r"[ \t\n\x0b\f\r]+", given) if _STABLE.fullmatch(c)))
+
+
+class _Lists:
+    """A page's lists and locators for them, from its elements."""
+
+    def __init__(self, html: str) -> None:
+        self.rows = extract.elements(html)
+        self.attrs = [dict(r["attrs"]) for r in self.rows]
+        self.classes = [_stable(a.get("class", "")) for a in self.attrs]
+        self.with_tag = self._places(r["tag"] for r in self.rows)
+        self.fitting: dict[tuple[_Level, ...], list[int]] = {}
+        self.with_role: dict[str | None, list[int]] | None = None
+        self.with_test_id: dict[str | None, list[int]] | None = None
+
+    @staticmethod
+    def _places(keys: Iterator[str | None]) -> dict[str | None, list[int]]:
+        found: dict[str | None, list[int]] = {}
+        for place, key in enumerate(keys):
+            found.setdefault(key, []).append(place)
+        return found
+
+    def _level(self, place: int) -> _Level:
+        return self.rows[place]["tag"], self.classes[place][:2]
+
+    def _above(self, place: int, levels: int) -> int | None:
+        """An element's parent, its parent, ...; none beyond the page."""
+        for _ in range(levels):
+            place = self.rows[place]["up"]
+            if place <= 0:
+                return None
+        return place
+
+    def _card(self, place: int) -> bool:
+        """Whether an element has some structure: a link or three elements in it, or more."""
+        last = self.rows[place]["last"]
+        return last - place >= 3 or any(self.rows[k]["tag"] == "a" and "href" in self.attrs[k] for k in range(place + 1, last + 1))
+
+    def _looks(self, place: int) -> list[str]:
+        tag = self.rows[place]["tag"]
+        return [f"{tag}.{c}" for c in self.classes[place]] or [f"{tag}>{','.join(self.rows[k]['tag'] for k in self.rows[place]['kids'])}"]
+
+    def groups(self) -> list[dict]:
+        """rank, look, size, depth and nodes of the lists, by rank."""
+        siblings: dict[tuple[str, int], list[int]] = {}
+        cousins: dict[tuple[str, str], list[int]] = {}
+        for place, row in enumerate(self.rows):
+            if row["up"] > 0 and row["tag"] not in ("html", "head", "body"):  # no body, and nothing outside it
+                around = _words(self._level(row["up"]))
+                for look in self._looks(place):
+                    siblings.setdefault((look, row["up"]), []).append(place)
+                    cousins.setdefault((look, around), []).append(place)
+        apart = ((key, nodes) for key, nodes in cousins.items() if any(self.rows[k]["up"] != self.rows[nodes[0]]["up"] for k in nodes))
+        looks: dict[tuple[int, ...], str] = {}
+        for (look, _), nodes in chained(siblings.items(), apart):
+            if len(nodes) > 1:
+                looks[tuple(nodes)] = min(look, looks.get(tuple(nodes), look))
+        cards = {nodes for nodes in looks if all(map(self._card, nodes))}
+        found = [{"look": looks[nodes], "size": len(nodes), "depth": min(self.rows[k]["depth"] for k in nodes), "nodes": list(nodes)} for nodes in cards or looks]
+        found.sort(key=lambda g: (-g["size"], g["depth"], g["nodes"][0], g["look"]))
+        return [g | {"rank": i} for i, g in enumerate(found, 1)]
+
+    def _fit(self, chain: tuple[_Level, ...]) -> list[int]:
+        """Places of the elements that fit a chain of levels (their own first, then their parent's, ...); looked for once on a page."""
+        if chain not in self.fitting:
+            (tag, classes), levels = chain[-1], len(chain) - 1
+            found = []
+            for place in self._fit(chain[:-1]) if levels else self.with_tag.get(tag, []):
+                level = self._above(place, levels)
+                if level is not None and self.rows[level]["tag"] == tag and set(classes) <= set(self.classes[level]):
+                    found.append(place)
+            self.fitting[chain] = found
+        return self.fitting[chain]
+
+    def _path(self, place: int) -> str:
+        """The path from the page to an element, by tags and their places."""
+        steps = []
+        while place > 0:
+            steps.append(f"/{self.rows[place]['tag']}[{self.rows[place]['kin']}]")
+            place = self.rows[place]["up"]
+        return "".join(reversed(steps))
+
+    def locators(self, nodes: list[int] | None) -> list[dict[str, str]]:
+        """kind and value of the locators that find all of a list's items and nothing else, best first."""
+        if not nodes or not all(0 <= k < len(self.rows) for k in nodes):
+            return []
+        first = nodes[0]
+        tag, attrs = self.rows[first]["tag"], self.attrs[first]
+        common = [c for c in self.classes[first] if all(c in self.classes[k] for k in nodes)]
+        levels = [(tag, tuple(common[:2]))]
+        for n in range(1, MOST_PREFIX + 1):
+            place = self._above(first, n)
+            if place is None or self.rows[place]["tag"] in ("html", "body"):
+                break
+            levels.append(self._level(place))
+        if self.with_role is None or self.with_test_id is None:
+            self.with_role = self._places(extract.role_in(r["tag"], a) for r, a in zip(self.rows, self.attrs, strict=True))
+            self.with_test_id = self._places(a.get("data-testid") for a in self.attrs)
+        found: list[dict[str, str]] = []
+
+        def exact(kind: str, value: str, places: list[int]) -> None:
+            if places == nodes:
+                found.append({"kind": kind, "value": value})
+
+        def chains(specific: bool) -> None:
+            for n in range(1, len(levels) + 1):
+                chain = tuple(levels[:n])
+                if any(classes for _, classes in chain) == specific:
+                    exact("css", " > ".join(map(_words, reversed(chain))), self._fit(chain))
+
+        if test_id := attrs.get("data-testid"):
+            exact("testId", test_id, self.with_test_id[test_id])
+        chains(True)
+        if (role := extract.role_in(tag, attrs)) is not None:
+            exact("role", role, self.with_role[role])
+        chains(False)
+        if (up := self.rows[first]["up"]) >= 0:
+            exact("xpath", f"{self._path(up)}/{tag}", [k for k in self.rows[up]["kids"] if self.rows[k]["tag"] == tag])
+        return found
+
+
+def _words(level: _Level) -> str:
+    """_said of a level, outside Spark."""
+    return ".".join([level[0], *level[1]])
+
+
+_LOCATORS = "array<struct<kind: string, value: string>>"
+_FOUND = {"rank": ("int", pa.int32()), "look": ("string", pa.string()), "size": ("int", pa.int32()), "depth": ("int", pa.int32()), "nodes": ("array<int>", pa.list_(pa.int32()))}
+_TOLD = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+
+
+def _of_pages(batch: pa.RecordBatch, make, kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """page_id and the rows that make(page, i) gives for the i-th page of a batch of page_id, html, ..."""
+    for begin in range(0, len(batch), PAGES_AT_ONCE):
+        at, rows = [], []
+        for i in range(begin, min(begin + PAGES_AT_ONCE, len(batch))):
+            made = make(_Lists(batch.column(1)[i].as_py() or ""), i)
+            at += [i] * len(made)
+            rows += made
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, kind in kinds.items())], names=["page_id", *kinds])
+
+
+def _found(pages: DataFrame, locators: bool, look: str | None = None) -> DataFrame:
+    pages = pages.select("page_id", "html")
+    kinds = {k: kind for k, (_, kind) in _FOUND.items()} | ({"locators": _TOLD} if locators else {})
+
+    def lists(page: _Lists, _: int) -> list[dict]:
+        groups = [g for g in page.groups() if look is None or g["look"] == look]
+        return [g | {"locators": page.locators(g["nodes"])} for g in groups] if locators else groups
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _of_pages(batch, lists, kinds)
+
+    told = ", ".join([f"page_id {dict(pages.dtypes)['page_id']}", *(f"{k} {kind}" for k, (kind, _) in _FOUND.items()), *([f"locators {_LOCATORS}"] if locators else [])])
+    return pages.repartition(F.xxhash64("page_id", "html")).mapInArrow(run, told)
 
 
 def list_groups(pages: DataFrame) -> DataFrame:
@@ -63,28 +233,14 @@ def list_groups(pages: DataFrame) -> DataFrame:
 
     If some list's items all are cards (they have structure), only such lists count.
     The largest is first, then the outermost, then the earlier one; lists with the same
-    items are one, by its first look.
+    items are one, by its first look. Pages that share a page_id have lists of their own.
     """
-    of = extract.page()
+    return _found(pages, False)
 
-    def seen(n: Column) -> Column:
-        shape = F.concat(n["tag"], F.lit(">"), F.array_join(F.transform(n["kids"], lambda k: extract.node_at(of, k)["tag"]), ","))
-        looks = let(stable_classes(n), lambda c: F.when(F.size(c) == 0, F.array(shape)).otherwise(F.transform(c, lambda x: F.concat(n["tag"], F.lit("."), x))))
-        around = let(extract.node_at(of, n["up"]), lambda p: _said(_level(p)))
-        return F.struct(n["node"].alias("node"), n["up"].alias("up"), n["depth"].alias("depth"), _card(of, n).alias("card"), looks.alias("looks"), around.alias("around"))
-
-    # no body, and nothing outside it
-    whole = F.filter("nodes", lambda n: (n["up"] > 0) & ~n["tag"].isin("html", "head", "body"))
-    elements = extract.with_nodes(pages).select("page_id", F.inline(F.transform(whole, seen))).select("page_id", "node", "up", "depth", "card", "around", F.explode("looks").alias("look"))
-    told = [F.array_sort(F.collect_list("node")).alias("nodes"), F.min("depth").alias("depth"), F.min("card").alias("cards")]
-    siblings = elements.groupBy("page_id", "look", "up").agg(*told).drop("up")
-    cousins = elements.groupBy("page_id", "look", "around").agg(*told, F.count_distinct("up").alias("parents")).where("parents > 1").drop("around", "parents")
-    groups = siblings.unionByName(cousins).where(F.size("nodes") >= 2)
-    groups = groups.groupBy("page_id", "nodes").agg(F.min("look").alias("look"), F.min("depth").alias("depth"), F.min("cards").alias("cards"))
-    of_page = Window.partitionBy("page_id")
-    kept = groups.withColumn("__any", F.max("cards").over(of_page)).where("cards or not __any").withColumn("size", F.size("nodes"))
-    order = of_page.orderBy(F.desc("size"), "depth", F.element_at("nodes", 1), "look")
-    return kept.withColumn("rank", F.row_number().over(order)).select("page_id", "rank", "look", "size", "depth", "nodes")
+
+def located_lists(pages: DataFrame, look: str | None = None) -> DataFrame:
+    """list_groups with the locators of each list (see list_locators), from one parse of a page; for a look, of such lists only."""
+    return _found(pages, True, look)
 
 
 def _chain_matches(of: Page, within: Column, chain: Column, levels: int, top: Column | None = None) -> Column:
@@ -128,44 +284,18 @@ def list_locators(pages: DataFrame, groups: DataFrame) -> DataFrame:
     Test ids come first, then selectors with classes from short to long, the role, selectors
     of tags only, and the path. A list that no locator tells from others has none.
     """
-    of = extract.page()
-    some = extract.with_nodes(pages).join(groups.select("page_id", "rank", "nodes").withColumnRenamed("nodes", "__group"), "page_id")
-    group, nodes = F.col("__group"), F.col("nodes")
-    first = extract.node_at(of, F.element_at(group, 1))
-    rest = F.transform(group, lambda k: stable_classes(extract.node_at(of, k)))
-    common = F.slice(F.aggregate(rest, stable_classes(first), F.array_intersect), 1, 2)
-    own = F.struct(first["tag"].alias("tag"), common.alias("classes"))
-    above = [F.when(~n["tag"].isin("html", "body"), _level(n)) for n in _above(of, first, MOST_PREFIX)]
-    some = some.withColumns({"__first": first, "__levels": F.array(own, *above)})
-    # levels up to the first that is missing
-    reach = F.array_position(F.transform("__levels", lambda x: x.isNull()), True)
-    some = some.withColumn("__levels", F.when(reach > 0, F.slice("__levels", 1, (reach - 1).cast("int"))).otherwise(F.col("__levels")))
-
-    def exact(kind: str, value: Column, found: Column) -> Column:
-        return F.when(found == group, _locator(kind, value))
-
-    def chains(specific: bool) -> list[Column]:
-        made = []
-        for n in range(1, MOST_PREFIX + 2):
-            chain = F.slice("__levels", 1, n)
-            wanted = F.exists(chain, lambda x: F.size(x["classes"]) > 0) == F.lit(specific)
-            made.append(F.when((F.size("__levels") >= n) & wanted, exact("css", _selector(chain), _chain_matches(of, nodes, chain, n))))
-        return made
-
-    same = lambda test: F.transform(F.filter(nodes, test), lambda n: n["node"])
-    lead = F.col("__first")
-    test_id = extract.attr_of(lead, "data-testid")
-    role = extract.role_of(lead)
-    siblings = let(extract.node_at(of, lead["up"]), lambda p: F.filter(p["kids"], lambda k: extract.node_at(of, k)["tag"] == lead["tag"]))
-    path = F.concat(let(extract.node_at(of, lead["up"]), lambda p: _path(of, p)), F.lit("/"), lead["tag"])
-    found = F.array(
-        F.when(test_id != "", exact("testId", test_id, same(lambda n: F.coalesce(extract.attr_of(n, "data-testid") == test_id, F.lit(False))))),
-        *chains(True),
-        F.when(role.isNotNull(), exact("role", role, same(lambda n: F.coalesce(extract.role_of(n) == role, F.lit(False))))),
-        *chains(False),
-        F.when(siblings == group, _locator("xpath", path)),
-    )
-    return some.select("page_id", "rank", F.array_compact(found).alias("locators"))
+    kinds = dict(groups.select("page_id", "rank").dtypes)
+    of_page = groups.groupBy("page_id").agg(F.collect_list(F.struct("rank", "nodes")).alias("lists"))
+    # the source goes to its lists, a page once
+    some = pages.select("page_id", "html").join(of_page.hint("merge"), "page_id")
+    some = some.select("page_id", "html", F.col("lists.rank").alias("ranks"), F.col("lists.nodes").alias("nodes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = lambda page, i, at=batch: [{"rank": r, "locators": page.locators(n)} for r, n in zip(at.column(2)[i].as_py(), at.column(3)[i].as_py(), strict=True)]
+            yield from _of_pages(batch, told, {"rank": batch.schema.field(2).type.value_type, "locators": _TOLD})
+
+    return some.mapInArrow(run, f"page_id {dict(some.dtypes)['page_id']}, rank {kinds['rank']}, locators {_LOCATORS}")
 
 
 def field_locators(pages: DataFrame, groups: DataFrame, least: float = 0.6) -> DataFrame:

@@ -39,6 +39,8 @@ INPUT_ROLES = {
     "button": "button", "submit": "button", "reset": "button", "image": "button", "checkbox": "checkbox", "radio": "radio", "range": "slider", "search": "searchbox", "number": "spinbutton", "": "textbox", "text": "textbox",
     "email": "textbox", "tel": "textbox", "url": "textbox",
 }
+#: What a string is cast to an integer from: signs and digits, between blanks and control characters.
+_INT = re.compile(r"[\x00-\x20\x7f]*([+-]?[0-9]+)[\x00-\x20\x7f]*")
 #: An element: its place, its parent's and its last descendant's, its depth; its place among its siblings and among those of its tag;
 #: its children; what labels it (-1: nothing); where its text and its inner HTML begin and end, in bytes.
 _FIELDS = {"node": "int", "up": "int", "last": "int", "depth": "int", "tag": "string", "attrs": "map<string, string>", "nth": "int", "kin": "int", "kids": "array<int>", "label": "int", "said_from": "int", "said_to": "int", "html_from": "int", "html_to": "int"}
@@ -152,6 +154,11 @@ class _Elements(HTMLParser):
             self._say(data)
 
 
+def elements(html: str) -> list[dict]:
+    """A page's elements in preorder, with the fields of NODE; attrs as pairs."""
+    return _Elements(html).rows
+
+
 class Page(NamedTuple):
     """Columns of a parsed page: its elements, its text and its source as bytes."""
 
@@ -217,6 +224,23 @@ def role_of(node: Column) -> Column:
     )
 
 
+def role_in(tag: str, attrs: dict[str, str]) -> str | None:
+    """What role_of says, of an element outside Spark."""
+    given = attrs.get("role", "").strip(" ").split(" ")[0]
+    if given:
+        return given
+    if tag in ("a", "area"):
+        return "link" if "href" in attrs else None
+    if tag == "img":
+        return "img" if attrs.get("alt") else None
+    if tag == "select":
+        size = _INT.fullmatch(attrs.get("size", ""))
+        return "listbox" if "multiple" in attrs or (size and 1 < int(size[1]) < 1 << 31) else "combobox"
+    if tag == "input":
+        return "combobox" if "list" in attrs else INPUT_ROLES.get(attrs.get("type", "").lower())
+    return ROLES.get(tag)
+
+
 def name_of(of: Page, node: Column) -> Column:
     """What an element is called: by its aria-label, what labels it, a button's value, an image's alternative, or its text."""
     squeezed = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))

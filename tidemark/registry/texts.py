@@ -181,7 +181,7 @@ def d8_found_lists(read):
 
 @query(rf"""select page_id, i, k as kind, v as value from {_MENU}, (values (0, 'role', 'listitem'), (1, 'css', 'li'), (2, 'css', 'ul > li'), (3, 'css', 'nav > ul > li'), (4, 'xpath', '/html[1]/body[1]/nav[1]/ul[1]/li')) as t(i, k, v) where len(l) >= 2""")
 def d9_list_locators(read):
-    found = discover.list_locators(read("pages"), _menus(read))
+    found = discover.located_lists(read("pages"), "li>a")
     return found.select("page_id", F.posexplode("locators").alias("i", "l")).select("page_id", "i", "l.kind", "l.value")
 
 
